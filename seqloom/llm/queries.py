@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.llm.packing import pack
 from seqloom.llm.quality_rules import quality_rules
 from seqloom.llm.set_sketch import near_duplicates
 
@@ -13,6 +14,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The tokenizer of the packing query; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -21,6 +33,6 @@ def op10_set_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules, op10_set_sketch_dedup)}
+QUERIES = {f.__name__: f for f in (op2_pack_nnls, op9_quality_rules, op10_set_sketch_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.llm.mixing import mix
 from seqloom.llm.packing import pack
 from seqloom.llm.quality_rules import quality_rules
 from seqloom.llm.set_sketch import near_duplicates
@@ -25,6 +26,10 @@ def op2_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -33,6 +38,6 @@ def op10_set_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pack_nnls, op9_quality_rules, op10_set_sketch_dedup)}
+QUERIES = {f.__name__: f for f in (op2_pack_nnls, op4_entropy_mix, op9_quality_rules, op10_set_sketch_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seqloom.llm.disclosure import sanitise
+from seqloom.llm.mixing import apply_mix
+from seqloom.llm.packing import pack
 from seqloom.llm.quality_rules import apply_quality_rules
+from seqloom.llm.queries import tokenizer_path
 from seqloom.llm.set_sketch import keep_one_of_each
 from seqloom.storage import stored
 
@@ -19,7 +23,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one_of_each(docs)
 
 
-STAGES = [("quality_rules", quality), ("near_dedup", near_dedup)]
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data and the terms that disclose it replaced."""
+    return sanitise(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return apply_mix(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return pack(docs, tokenizer_path())
+
+
+STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("pii", pii), ("mixing", mixing), ("packing", packing)]
 
 #: Sketches, tokenizers and rounding by hash are beyond SQL; the tests compare with brute force.
 ORACLE_SQL = None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.llm.backoff_lm import score_texts
 from seqloom.llm.disclosure import find_personal_data
 from seqloom.llm.mixing import mix
 from seqloom.llm.packing import pack
@@ -31,6 +32,10 @@ def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op5_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -43,6 +48,6 @@ def op10_set_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pack_nnls, op4_entropy_mix, op8_disclosure_pii, op9_quality_rules, op10_set_sketch_dedup)}
+QUERIES = {f.__name__: f for f in (op2_pack_nnls, op4_entropy_mix, op5_backoff_lm, op8_disclosure_pii, op9_quality_rules, op10_set_sketch_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.backoff_lm import score_texts
+from seqloom.llm.cross_polytope import near_vectors
 from seqloom.llm.disclosure import find_personal_data
 from seqloom.llm.mixing import mix
 from seqloom.llm.packing import pack
@@ -28,6 +29,10 @@ def op2_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -48,6 +53,6 @@ def op10_set_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pack_nnls, op4_entropy_mix, op5_backoff_lm, op8_disclosure_pii, op9_quality_rules, op10_set_sketch_dedup)}
+QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_pack_nnls, op4_entropy_mix, op5_backoff_lm, op8_disclosure_pii, op9_quality_rules, op10_set_sketch_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -10,8 +10,11 @@ from seqloom.llm.cross_polytope import near_vectors
 from seqloom.llm.disclosure import find_personal_data
 from seqloom.llm.mixing import mix
 from seqloom.llm.packing import pack
+from seqloom.llm.pu_quality import score_quality, train
 from seqloom.llm.quality_rules import quality_rules
+from seqloom.llm.role_repair import repair_roles
 from seqloom.llm.set_sketch import near_duplicates
+from seqloom.llm.url_filter import filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +36,11 @@ def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -41,6 +49,14 @@ def op5_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_roles(_table(spark, sf_dir, "conversations"))
+
+
+def op7_url_char_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op8_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -53,6 +69,6 @@ def op10_set_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_pack_nnls, op4_entropy_mix, op5_backoff_lm, op8_disclosure_pii, op9_quality_rules, op10_set_sketch_dedup)}
+QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_pack_nnls, op3_pu_quality, op4_entropy_mix, op5_backoff_lm, op6_role_repair, op7_url_char_lm, op8_disclosure_pii, op9_quality_rules, op10_set_sketch_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -1,6 +1,8 @@
-"""The registered queries for the sequence operators and their DuckDB twins."""
+"""All registered queries for the sequence operators and their DuckDB twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from seqloom.plans import intervals  # noqa: F401
+from seqloom.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

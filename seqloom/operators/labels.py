@@ -16,10 +16,10 @@ from pyspark.sql.window import Window
 def interval_join(frames: DataFrame, intervals: DataFrame, closed: bool = True, bucket: int = 64, how: str = "inner") -> DataFrame:
     """Rows of ``frames`` (seq_id, t) with each interval (seq_id, start, end) that covers them; ``closed``: the end counts."""
     last = F.col("end") if closed else F.col("end") - 1
-    cut = intervals.withColumn("_last", last).filter("_last >= start")
-    cut = cut.withColumn("_b", F.explode(F.sequence(F.expr(f"floor(start / {bucket})"), F.expr(f"floor(_last / {bucket})")))).withColumnRenamed("seq_id", "_s")
-    on = (F.col("seq_id") == F.col("_s")) & (F.expr(f"floor(t / {bucket})") == F.col("_b")) & F.col("t").between(F.col("start"), F.col("_last"))
-    return frames.join(cut, on, how).drop("_s", "_b", "_last")
+    cut = intervals.withColumn("_iv_last", last).filter("_iv_last >= start")
+    cut = cut.withColumn("_iv_b", F.explode(F.sequence(F.expr(f"floor(start / {bucket})"), F.expr(f"floor(_iv_last / {bucket})")))).withColumnRenamed("seq_id", "_iv_s")
+    on = (F.col("seq_id") == F.col("_iv_s")) & (F.expr(f"floor(t / {bucket})") == F.col("_iv_b")) & F.col("t").between(F.col("start"), F.col("_iv_last"))
+    return frames.join(cut, on, how).drop("_iv_s", "_iv_b", "_iv_last")
 
 
 def paint_labels(frames: DataFrame, annotations: DataFrame, label: str, default, rank: str = "ann_id", closed: bool = True) -> DataFrame:

@@ -83,3 +83,14 @@ PARTS = """acts AS (SELECT l_orderkey AS seq_id, CAST(row_number() OVER (PARTITI
 def with_(*views: str) -> str:
     """The head of an oracle query over these views."""
     return "WITH " + ", ".join(views) + " "
+
+
+def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as one signal a device: seq_id, device, t, value, us, k."""
+    f = frames(spark, sf_dir)
+    t = F.row_number().over(Window.partitionBy("seq_id", "code").orderBy("t")) - 1
+    return f.select("seq_id", F.col("code").alias("device"), t.alias("t"), F.col("score").alias("value"), "us", "k")
+
+
+SIGNAL = """sig AS (SELECT seq_id, code AS device, CAST(row_number() OVER (PARTITION BY seq_id, code ORDER BY t) - 1 AS INTEGER) AS t, score AS value, us, k FROM frames)"""
+PAIRS = """pairs AS (SELECT a.seq_id, a.t, a.device AS d1, b.device AS d2, a.value AS a, b.value AS b FROM sig a JOIN sig b ON a.seq_id = b.seq_id AND a.t = b.t AND a.device > b.device)"""

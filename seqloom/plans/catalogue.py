@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.plans import clocks, features, intervals  # noqa: F401
+from seqloom.plans import assemblies, clocks, evaluation, features, intervals  # noqa: F401
 from seqloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqloom.operators.segments import active_slices, segment_ids, to_segments
+from seqloom.operators.segments import active_slices, segment_ids
 
 
 def window_clips(frames: DataFrame, win: int, stride: int, label: str = "label") -> DataFrame:
@@ -83,12 +83,3 @@ def around_start(frames: DataFrame, actions: DataFrame, half: int = 8) -> DataFr
     near = F.col("t").between(F.col("_a"), F.col("_b"))
     return interval_join(frames.select("seq_id", "t"), span).filter(near | F.col("t").between(F.col("_s"), F.col("_e"))).select("seq_id", "ann_id", "t", near.alias("near"))
 
-
-def best_by(column: Column, index: str) -> Column:
-    """The smallest index among the rows with the largest value of ``column``."""
-    return -F.max(F.struct(column, -F.col(index)))["col2"]
-
-
-def run_lengths(frames: DataFrame, label: str) -> DataFrame:
-    """(seq_id, label, n) of every run."""
-    return to_segments(frames, label).select("seq_id", "label", "n")

@@ -10,7 +10,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def interval_join(frames: DataFrame, intervals: DataFrame, closed: bool = True, bucket: int = 64, how: str = "inner") -> DataFrame:
@@ -125,12 +124,3 @@ def resting_devices(devices: DataFrame, actions: DataFrame) -> DataFrame:
     touched = actions.select("seq_id", F.explode(F.array("object", "target")).alias("device")).filter("device is not null and device <> -1")
     return devices.join(touched, ["seq_id", "device"], "left_anti")
 
-
-def half_open(col: Column) -> Column:
-    """The inclusive end of a half-open one."""
-    return col - 1
-
-
-def last_before(order: str) -> Window:
-    """Rows of a sequence before the present one."""
-    return Window.partitionBy("seq_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

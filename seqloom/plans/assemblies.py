@@ -126,7 +126,7 @@ def g15(s, d):
 
 @query(
     "g16_component_signature",
-    "WITH RECURSIVE " + JOINTS + ", e AS (SELECT state_id, a, b FROM jo WHERE state_id % 20 = 0 UNION SELECT state_id, b, a FROM jo WHERE state_id % 20 = 0), r AS (SELECT state_id, a, a AS b FROM e UNION SELECT r.state_id, r.a, e.b FROM r JOIN e ON r.state_id = e.state_id AND r.b = e.a), v AS (SELECT DISTINCT state_id, a FROM e) SELECT x.state_id, x.a, y.a AS b, CASE WHEN r.a IS NULL THEN -1 ELSE 1 END AS same FROM v x JOIN v y ON x.state_id = y.state_id AND x.a < y.a LEFT JOIN r ON r.state_id = x.state_id AND r.a = x.a AND r.b = y.a".replace(" WHERE state_id % 20 = 0", ""),
+    "WITH RECURSIVE " + JOINTS + ", e AS (SELECT state_id, a, b FROM jo UNION SELECT state_id, b, a FROM jo), r AS (SELECT state_id, a, a AS b FROM e UNION SELECT r.state_id, r.a, e.b FROM r JOIN e ON r.state_id = e.state_id AND r.b = e.a), v AS (SELECT DISTINCT state_id, a FROM e) SELECT x.state_id, x.a, y.a AS b, CASE WHEN r.a IS NULL THEN -1 ELSE 1 END AS same FROM v x JOIN v y ON x.state_id = y.state_id AND x.a < y.a LEFT JOIN r ON r.state_id = x.state_id AND r.a = x.a AND r.b = y.a",
 )
 def g16(s, d):
     return G.component_signature(_joints(s, d))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from seqloom.functions import arrays as X
 from seqloom.operators import decode as L
@@ -196,7 +195,3 @@ def q6(s, d):
     b = f.filter("label = 'view'").select("seq_id", "ts", F.col("t").alias("view"))
     return bounded_join(a, b, "1 day").select("seq_id", "click", "view")
 
-
-def last_labels(s, d):
-    """The label before each frame; kept for callers of the decoders."""
-    return frames(s, d).withColumn("before", F.lag("label").over(Window.partitionBy("seq_id").orderBy("t")))

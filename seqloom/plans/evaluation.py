@@ -121,7 +121,7 @@ def i14(s, d):
     return _flat(I.signature_scores(scores(s, d), sig))
 
 
-@query("i15_one_hot_signature", "SELECT vec_id, array_to_string(list_transform(range(0, 4), lambda i: CASE WHEN i = (CASE WHEN label % 3 = 2 THEN 2 ELSE label % 3 END) THEN 1 ELSE -1 END), ',') AS sig FROM (SELECT vec_id, CASE WHEN label % 3 = 2 THEN 3 ELSE label % 3 END AS label FROM embeddings)".replace("CASE WHEN label % 3 = 2 THEN 2 ELSE label % 3 END) THEN", "label) THEN"))
+@query("i15_one_hot_signature", "SELECT vec_id, array_to_string(list_transform(range(0, 4), lambda i: CASE WHEN i = label THEN 1 ELSE -1 END), ',') AS sig FROM (SELECT vec_id, CASE WHEN label % 3 = 2 THEN 3 ELSE label % 3 END AS label FROM embeddings)")
 def i15(s, d):
     v = F.when(F.col("label") % 3 == 2, -1).otherwise(F.col("label") % 3)
     return table(s, d, "embeddings").select("vec_id", F.array_join(I.one_hot_signature(v, 4).cast("array<string>"), ",").alias("sig"))
@@ -359,7 +359,7 @@ def k7(s, d):
     return K.accuracy(_labels(s, d), "seq_id", equal=F.col("pred") % 2 == F.col("truth") % 2).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("k10_oov_rate", with_(FRAMES) + "SELECT round(avg(CAST(b.x IS NULL AS INTEGER)), 6) AS rate FROM (SELECT k * 100 + code AS x FROM frames WHERE seq_id % 2 = 0) a LEFT JOIN (SELECT DISTINCT k * 100 + code AS x FROM frames WHERE seq_id % 2 = 1) b USING (x)".replace("b.x IS NULL", "y IS NULL").replace("(SELECT DISTINCT k * 100 + code AS x FROM frames WHERE seq_id % 2 = 1) b USING (x)", "(SELECT DISTINCT k * 100 + code AS y FROM frames WHERE seq_id % 2 = 1) b ON x = y"))
+@query("k10_oov_rate", with_(FRAMES) + "SELECT round(avg(CAST(y IS NULL AS INTEGER)), 6) AS rate FROM (SELECT k * 100 + code AS x FROM frames WHERE seq_id % 2 = 0) a LEFT JOIN (SELECT DISTINCT k * 100 + code AS y FROM frames WHERE seq_id % 2 = 1) b ON x = y")
 def k10(s, d):
     f = frames(s, d).withColumn("x", F.col("k") * 100 + F.col("code"))
     return K.oov_rate(f.filter("seq_id % 2 = 0"), f.filter("seq_id % 2 = 1"), "x").withColumn("rate", F.round("rate", 6))

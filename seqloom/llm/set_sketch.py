@@ -8,11 +8,21 @@ alike, so bands of registers find candidates. For a candidate pair the counts of
 and equal registers give the likelihood of each similarity; pairs whose estimate lies far below the
 limit are dropped, all others are confirmed on their full sets.
 
-Work is kept linear in the rows of a bucket. Documents with the same set are one class. In each of
-``star_rounds`` rounds every bucket offers one member as a pivot, each document is compared with
-its most promising pivot, and confirmed links are contracted. What is left is compared
-exhaustively, but only between documents of different components, so no link between components
-that share a bucket is lost.
+Work is kept near linear in the rows of a bucket. Documents with the same set are one class. Of the
+documents that share a bucket it is counted how many shingles each has to itself; two documents
+share at most the smaller number of what is left, which bounds their similarity from above. Pairs
+below the limit by that bound are never formed, and a document that can reach it with nobody is
+dropped. In each of ``star_rounds`` rounds every bucket offers one member as a pivot, first the one
+with the fewest shingles of its own, then others by hash; each document is compared with its most
+promising pivot, and confirmed links are contracted. What is left in buckets of several components
+is compared by its rarest shingles: with the shingles of each document in one common order, rarest
+first, two documents can only be similar enough if they share one of the first n - ceil(t * n) + 1.
+Documents of different components are paired at each rare one of these, one that ``rare`` documents
+or fewer hold. A pair that shares none of them shares no rare shingle at all, so for it the bound
+above holds with rare shingles counted as own ones; only pairs that pass it are formed in the buckets,
+each at the first bucket it shares.
+That loses no link, and neither the common text of a large group nor the edits of its members makes
+pairs that cannot be linked.
 
 Defined results: documents without words or with a null text are empty, link with nothing and are
 kept; repeated rows of one id are one document whose text is the first in order; ties go to the
@@ -36,7 +46,10 @@ from seqloom.storage import stored
 
 @dataclass(frozen=True)
 class SketchParams:
-    """``threshold``: links need 100 * shared >= threshold * union. ``margin``: estimates below threshold less this are not confirmed."""
+    """``threshold``: links need 100 * shared >= threshold * union. ``margin``: estimates below threshold less this are not confirmed.
+
+    ``broadcast_ids``: most document ids that are broadcast to pick texts; more are joined by shuffle.
+    """
 
     shingle: int = 3
     threshold: int = 85
@@ -46,7 +59,10 @@ class SketchParams:
     rate: float = 20.0
     q: int = 65534
     margin: float = 0.20
-    star_rounds: int = 3
+    star_rounds: int = 2
+    rare: int = 16
+    broadcast_ids: int = 500_000
+    items_a_shard: int = 1_000_000
     seed: int = 20
 
     @property
@@ -110,7 +126,7 @@ def _sketched(docs: DataFrame, p: SketchParams) -> DataFrame:
 
 
 def _banded(reps: DataFrame, p: SketchParams) -> DataFrame:
-    """(key, id) for each band of each set's registers."""
+    """(id, keys): the bucket of each band of a set's registers; no bucket is shared by two bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -120,9 +136,9 @@ def _banded(reps: DataFrame, p: SketchParams) -> DataFrame:
             key = np.broadcast_to(np.arange(1, p.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), regs.shape[:2]).copy()
             for j in range(p.rows):
                 key = mix(key + regs[:, :, j])
-            yield pd.DataFrame({"key": key.view(np.int64).ravel(), "id": np.repeat(pdf["id"].to_numpy(), p.bands)})
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "keys": list(key.view(np.int64))})
 
-    return reps.select("id", "regs").mapInPandas(run, "key long, id long")
+    return reps.select("id", "regs").mapInPandas(run, "id long, keys array<long>")
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, p: SketchParams) -> DataFrame:
@@ -140,9 +156,84 @@ def _estimated(pairs: DataFrame, reps: DataFrame, p: SketchParams) -> DataFrame:
                 keep = est >= p.threshold / 100 - p.margin
                 yield pd.DataFrame({"a": x["a"].to_numpy()[keep], "b": x["b"].to_numpy()[keep], "est": est[keep]})
 
-    # a link needs sets of similar size, whatever the registers say
-    sized = f"100 * least(na, nb) >= {p.threshold} * greatest(na, nb)"
-    return pairs.join(left, "a").join(right, "b").filter(sized).mapInPandas(run, "a long, b long, est double")
+    return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a long, b long, est double")
+
+
+def _dealt(sets: DataFrame, bits: int) -> DataFrame:
+    """(shard, items, ids): the shingles of many documents by their leading bits, each with its document's id."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            items = np.frombuffer(b"".join(pdf["items"]), np.uint64)
+            ids = np.repeat(pdf["id"].to_numpy(), [len(x) // 8 for x in pdf["items"]])
+            order = np.argsort(items, kind="stable")
+            items, ids = items[order], ids[order]
+            shard = (items >> np.uint64(64 - bits)).astype(np.int64)
+            at = np.flatnonzero(np.diff(shard, prepend=-1))
+            ends = np.append(at[1:], len(shard))
+            yield pd.DataFrame({"shard": shard[at], "items": [items[i:j].tobytes() for i, j in zip(at, ends, strict=True)], "ids": [ids[i:j].tobytes() for i, j in zip(at, ends, strict=True)]})
+
+    return sets.mapInPandas(run, "shard long, items binary, ids binary")
+
+
+def _shard_bits(sets: DataFrame, p: SketchParams) -> int:
+    total = sets.agg(F.sum(F.expr("length(items) div 8"))).first()[0] or 0
+    return max(4, int(total // p.items_a_shard).bit_length())
+
+
+def _own_items(sets: DataFrame, p: SketchParams) -> DataFrame:
+    """(id, n, open): set size, and how many shingles of a document are not its own alone among ``sets``."""
+
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        items, ids = np.frombuffer(b"".join(pdf["items"]), np.uint64), np.frombuffer(b"".join(pdf["ids"]), np.int64)
+        _, inverse, counts = np.unique(items, return_inverse=True, return_counts=True)
+        who, open_ = np.unique(ids[counts[inverse] > 1], return_counts=True)
+        return pd.DataFrame({"id": who, "open": open_})
+
+    shards = _dealt(sets, _shard_bits(sets, p))
+    shared = shards.groupBy("shard").applyInPandas(counted, "id long, open long").groupBy("id").agg(F.sum("open").alias("open"))
+    return sets.select("id", F.expr("length(items) div 8").alias("n")).join(shared, "id").select("id", "n", "open")
+
+
+def _rarest(sets: DataFrame, p: SketchParams) -> DataFrame:
+    """(token, id, few, core): for each document the shingles of which a similar one must share at least one.
+
+    ``few``: whether the shingle is rare; ``core``: how many shingles of the document are not.
+    """
+    bits = _shard_bits(sets, p)
+
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        items, ids = np.frombuffer(b"".join(pdf["items"]), np.uint64), np.frombuffer(b"".join(pdf["ids"]), np.int64)
+        _, inverse, counts = np.unique(items, return_inverse=True, return_counts=True)
+        order = np.argsort(ids, kind="stable")
+        items, ids, spread = items[order], ids[order], counts[inverse][order].astype("<i8")
+        at = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1))
+        ends = np.append(at[1:], len(ids))
+        return pd.DataFrame({"id": ids[at], "items": [items[i:j].tobytes() for i, j in zip(at, ends, strict=True)], "spread": [spread[i:j].tobytes() for i, j in zip(at, ends, strict=True)]})
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        tokens, ids, few, core = [], [], [], []
+        for who, g in pdf.groupby("id"):
+            items, spread = np.frombuffer(b"".join(g["items"]), np.uint64), np.frombuffer(b"".join(g["spread"]), "<i8")
+            n = len(items)
+            least = -(-p.threshold * n // 100)
+            keep = np.lexsort((items, spread))[: n - least + 1]
+            keep = keep[spread[keep] > 1]  # nobody else has the others
+            tokens.append(items[keep])
+            ids.append(np.full(len(keep), who))
+            few.append(spread[keep] <= p.rare)
+            core.append(np.full(len(keep), (spread > p.rare).sum()))
+        return pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "id": np.concatenate(ids).astype(np.int64), "few": np.concatenate(few), "core": np.concatenate(core).astype(np.int64)})
+
+    parts = _dealt(sets, bits).groupBy("shard").applyInPandas(counted, "id long, items binary, spread binary")
+    return parts.groupBy(F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("part")).applyInPandas(first, "token long, id long, few boolean, core long")
+
+
+def _reachable(n1: str, o1: str, n2: str, o2: str, p: SketchParams) -> str:
+    """SQL: whether two sets of these sizes and numbers of shared shingles can be similar enough."""
+    return f"100 * least({o1}, {o2}) >= {p.threshold} * ({n1} + {n2} - least({o1}, {o2}))"
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, p: SketchParams) -> DataFrame:
@@ -178,30 +269,47 @@ def near_duplicates(docs: DataFrame, p: SketchParams = SketchParams(), text_col:
     sketches = stored(_sketched(texts, p).groupBy("id").agg(F.min(F.struct("print", "n", "regs")).alias("s")).select("id", "s.*"))
     full = sketches.filter("n > 0")
     reps = stored(full.groupBy("print").agg(F.min("id").alias("id"), F.count("*").alias("n_same"), F.first("n").alias("n"), F.first("regs").alias("regs")))
-    bands = _banded(reps, p)
+    banded = _banded(reps, p)
+    bands = banded.select(F.explode("keys").alias("key"), "id")
     shared = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     members = stored(bands.join(shared, "key"))
-    sets = stored(_full_sets(texts, members.select("id").distinct(), p))
+    wanted = stored(members.select("id").distinct())
+    few = wanted.count() <= p.broadcast_ids
+    sets = stored(_full_sets(texts, F.broadcast(wanted) if few else wanted, p))
+    possible = _own_items(sets, p).filter(f"100 * open >= {p.threshold} * n")
+    members = stored(members.join(possible, "id"))
     component = None
     edges = None
     for r in range(p.star_rounds + 1):
         if component is None:
             left = members.withColumn("c", F.col("id"))
         else:
-            left = members.join(component, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+            left = members.join(component, F.col("id") == F.col("node"), "left").select("key", "id", "n", "open", F.coalesce("component", "id").alias("c"))
             mixed = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
             left = stored(left.join(mixed, "key"))
             if left.isEmpty():
                 break
         if r < p.star_rounds:
-            pick = F.struct(F.xxhash64(F.col("id"), F.lit(r)).alias("h"), F.col("id").alias("pivot"), F.col("c").alias("pc"))
-            pivots = left.groupBy("key").agg(F.min(pick).alias("x")).select("key", "x.pivot", "x.pc")
-            pairs = left.join(pivots, "key").filter("c <> pc").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+            first = F.xxhash64(F.col("id"), F.lit(r)) if r else (F.col("n") - F.col("open")) / F.col("n")
+            pick = F.struct(first.alias("h"), F.col("id").alias("pivot"), F.col("c").alias("pc"), F.col("n").alias("pn"), F.col("open").alias("po"))
+            pivots = left.groupBy("key").agg(F.min(pick).alias("x")).select("key", "x.pivot", "x.pc", "x.pn", "x.po")
+            pairs = left.join(pivots, "key").filter("c <> pc").filter(_reachable("n", "open", "pn", "po", p)).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
             best = _estimated(pairs, reps, p).groupBy("a").agg(F.max(F.struct("est", "b")).alias("x")).select("a", "x.b")
         else:
-            other = left.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"))
-            pairs = left.join(other, "key").filter("c < c2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-            best = _estimated(pairs, reps, p)
+            docs_left = left.select("id", "n", "open", "c").distinct()
+            tokens = _rarest(sets.join(docs_left.select("id"), "id", "left_semi"), p).join(docs_left, "id")
+            tokens = stored(tokens.select("token", "id", "c", "n", "open", "few", "core"))
+            rare = tokens.filter("few")
+            twin = rare.select("token", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("open").alias("o2"))
+            at_rare = rare.join(twin, "token").filter("c < c2").filter(_reachable("n", "open", "n2", "o2", p)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+            cores = tokens.filter(f"not few and 100 * core >= {p.threshold} * n").select("id", "c", "n", "core").distinct()
+            spots = banded.join(cores, "id").select("id", "c", "n", "core", "keys", F.posexplode("keys").alias("pos", "key"))
+            mixed = spots.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+            spots = stored(spots.join(mixed, "key"))
+            other = spots.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("core").alias("o2"), F.col("keys").alias("k2"))
+            met = F.arrays_overlap(F.slice("keys", F.lit(1), F.col("pos")), F.slice("k2", F.lit(1), F.col("pos")))
+            at_core = spots.join(other, "key").filter("c < c2").filter(_reachable("n", "core", "n2", "o2", p)).filter(~met).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+            best = _estimated(at_rare.unionAll(at_core).distinct(), reps, p)
         found = _confirmed(best, sets, p)
         edges = stored(found if edges is None else edges.unionAll(found))
         component = stored(connected_components(edges))
@@ -218,6 +326,6 @@ def near_duplicates(docs: DataFrame, p: SketchParams = SketchParams(), text_col:
 
 
 def keep_one_of_each(docs: DataFrame, p: SketchParams = SketchParams(), id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its group; rows without an id stay."""
+    """The rows of ``docs`` whose document is the smallest of its group; rows without an id, and rows that repeat a kept id, stay."""
     marks = near_duplicates(docs, p, id_col=id_col).filter("not kept").select(id_col)
     return docs.join(marks, id_col, "left_anti").select(*docs.columns)

@@ -108,24 +108,26 @@ def disclosing_terms(spans: DataFrame, keyed: DataFrame, p: DisclosureParams = D
     left = F.slice(left, F.greatest(F.lit(1), F.size(left) - n_words + 1), n_words)
     beside = F.concat(left, F.slice(right, F.lit(1), n_words))
     entity = F.concat_ws(":", "kind", F.when(F.col("kind").isin("card", "phone"), _digits(F.col("value"))).otherwise(F.lower("value")))
-    contexts = spans.select(entity.alias("entity"), F.xxhash64(beside).alias("context"), beside.alias("words")).groupBy("entity", "context").agg(F.first("words").alias("words"))
+    contexts = spans.select(entity.alias("entity"), "print", F.xxhash64(beside).alias("context"), beside.alias("words")).groupBy("entity", "context").agg(F.first("words").alias("words"), F.min("print").alias("print"))
     contexts = stored(contexts)
-    seen = contexts.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= p.support)
+    total = keyed.count()
     plain = F.regexp_extract(F.col("word"), r"^[^\p{L}]*(\p{L}+)[^\p{L}]*$", 1)
-    terms = contexts.join(seen, "entity").select("entity", "context", "n_e", F.explode(F.array_distinct("words")).alias("word"))
-    terms = terms.select("entity", "context", "n_e", plain.alias("term")).filter(F.length("term") >= p.shortest).distinct()
-    both = stored(terms.groupBy("entity", "term", "n_e").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= p.support))
+    terms = contexts.select("entity", "context", "print", F.explode(F.array_distinct("words")).alias("word"))
+    terms = terms.select("entity", "context", "print", plain.alias("term")).filter(F.length("term") >= p.shortest).distinct()
+    part = lambda n_te, n_t: F.log2(F.least(F.lit(1.0), n_te / n_t) / prior) / -F.log2(prior)
+    prior = F.least(F.lit(0.5), F.col("n_e") / F.lit(float(max(total, 1))))
+    seen = contexts.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= p.support)
+    # a term stands in at least as many texts as it stands beside entities in: most words are ruled out by that alone
+    beside_any = terms.select("term", "print").distinct().groupBy("term").agg(F.count("*").alias("least"))
+    both = terms.join(seen, "entity").groupBy("entity", "term", "n_e").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= p.support)
+    both = stored(both.join(beside_any, "term").filter(part(F.col("n_te"), F.col("least")) >= p.threshold))
     if both.isEmpty():
         return None
     wanted = both.select("term").distinct()
-    total, n_terms = keyed.count(), wanted.count()
-    few = n_terms <= p.broadcast_terms
+    few = wanted.count() <= p.broadcast_terms
     words = keyed.select("print", F.explode(F.array_distinct(F.regexp_extract_all(lower_az(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
     spread = words.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy("term", "print").agg(F.lit(1).alias("x")).groupBy("term").agg(F.count("*").alias("n_t"))
-    given = F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))
-    prior = F.least(F.lit(0.5), F.col("n_e") / F.lit(float(max(total, 1))))
-    part = F.log2(given / prior) / -F.log2(prior)
-    found = stored(both.join(spread, "term").groupBy("term").agg(F.max(part).alias("part")).filter(F.col("part") >= p.threshold))
+    found = stored(both.join(spread, "term").groupBy("term").agg(F.max(part(F.col("n_te"), F.col("n_t"))).alias("part")).filter(F.col("part") >= p.threshold))
     return None if found.isEmpty() else found
 
 

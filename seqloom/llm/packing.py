@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,6 +61,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.cached_words, self.known = cached_words, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -70,11 +72,15 @@ class WordEncoder:
         if len(known) + len(new) > self.cached_words:
             known.clear()
             new = {w for ws in words for w in ws}
-        new = list(new)
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
+        # a word of ASCII letters is one piece to the tokenizer, so its model alone encodes it
+        plain = [w for w in new if w.isalpha()]
+        other = [w for w in new if not w.isalpha()]
+        for w in plain:
+            known[w] = array("I", [x.id for x in self.model.tokenize(w.decode())]).tobytes()
+        for i in range(0, len(other), 4096):
+            some = other[i : i + 4096]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+                known[w] = array("I", e.ids).tobytes()
         get = known.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 

@@ -165,11 +165,14 @@ def apply_mix(docs: DataFrame, p: MixParams = MixParams(), text_col: str = "text
 
     Repeated rows with one id, source and size share their copies evenly, the odd ones going to the first texts.
     """
+    # one key without nulls for the join and the window after it, so texts are shuffled once
+    key = lambda i, c, n: F.concat_ws("/", F.coalesce(F.col(i).cast("string"), F.lit("")), F.col(n), F.when(F.col(c).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(c))))
     plan = mix(docs, p, text_col, source_col, id_col).groupBy(F.col(id_col).alias("m_id"), F.col(source_col).alias("m_source"), F.col("size").alias("m_size")).agg(F.sum("copies").alias("m_copies"), F.count("*").alias("m_rows"))
+    plan = plan.select(key("m_id", "m_source", "m_size").alias("m_plan_key"), "m_copies", "m_rows")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    at = F.row_number().over(Window.partitionBy(id_col, source_col, "m_size0").orderBy(F.xxhash64(text_col)))
-    sized = docs.withColumn("m_size0", size).withColumn("m_at", at)
-    tied = sized.join(plan, _same(id_col, "m_id") & _same(source_col, "m_source") & (F.col("m_size0") == F.col("m_size")))
+    sized = docs.withColumn("m_size0", size).withColumn("m_key", key(id_col, source_col, "m_size0"))
+    tied = sized.join(plan, F.col("m_key") == F.col("m_plan_key"))
+    tied = tied.withColumn("m_at", F.row_number().over(Window.partitionBy("m_key").orderBy(F.xxhash64(text_col))))
     copies = F.expr("m_copies div m_rows") + F.when(F.col("m_at") <= F.col("m_copies") % F.col("m_rows"), 1).otherwise(0)
     times = F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies.cast("long")))
     return tied.select(*docs.columns, F.explode(times).alias("m_i")).select(*docs.columns)

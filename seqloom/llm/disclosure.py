@@ -1,12 +1,14 @@
 """Personal data and the terms that give it away, with DataFrame operations only.
 
 Base kinds are found by pattern: e-mail and IP addresses, card and phone numbers; a match that
-fails its check (parts, digits, Luhn) is dropped. A found value is a protected entity. Words that
-stand beside an entity are counted over the corpus: the information that a term t gives about an
-entity e is their pointwise mutual information, log2(P(e|t) / P(e)), and e itself carries
--log2 P(e) bits. A term whose share of those bits reaches ``threshold`` in at least ``support``
-different contexts discloses the entity: it is generalised wherever it stands, or removed from
-``remove`` on. Contexts that read alike count once, so copies of one page do not make evidence.
+fails its check (parts, digits, Luhn) is dropped. A found value is a protected entity, however rare
+it is; so are the domain and the local part of an e-mail address, which pool what their single
+addresses are too rare for. Words that stand beside an entity are counted over the corpus: the
+information that a term t gives about an entity e is their pointwise mutual information,
+log2(P(e|t) / P(e)), and e itself carries -log2 P(e) bits. P(e|t) is smoothed by ``smooth`` texts
+that hold e as often as any text does, so one text is weaker evidence than many. A term whose share
+of those bits reaches ``threshold`` discloses the entity: it is generalised wherever it stands, or
+removed from ``remove`` on. All counts are of different texts: exact copies count once.
 
 The patterns never back up: runs of a class are taken whole and a match starts where a run starts,
 which finds what the plain patterns find and stays linear in the text.
@@ -39,10 +41,10 @@ TERM = r"\p{L}++"
 
 @dataclass(frozen=True)
 class DisclosureParams:
-    """``reach``: words on each side of an entity. ``broadcast_terms``: most terms that are broadcast; more are joined by shuffle."""
+    """``reach``: words on each side of an entity. ``smooth``: texts that the prior counts for. ``broadcast_terms``: most terms that are broadcast; more are joined by shuffle."""
 
     reach: int = 8
-    support: int = 3
+    smooth: float = 0.5
     threshold: float = 0.9
     remove: float = 1.0
     shortest: int = 3
@@ -107,19 +109,21 @@ def disclosing_terms(spans: DataFrame, keyed: DataFrame, p: DisclosureParams = D
     left, right = near(F.col("before")), near(F.col("after"))
     left = F.slice(left, F.greatest(F.lit(1), F.size(left) - n_words + 1), n_words)
     beside = F.concat(left, F.slice(right, F.lit(1), n_words))
-    entity = F.concat_ws(":", "kind", F.when(F.col("kind").isin("card", "phone"), _digits(F.col("value"))).otherwise(F.lower("value")))
-    contexts = spans.select(entity.alias("entity"), "print", F.xxhash64(beside).alias("context"), beside.alias("words")).groupBy("entity", "context").agg(F.first("words").alias("words"), F.min("print").alias("print"))
-    contexts = stored(contexts)
-    total = keyed.count()
+    value = F.when(F.col("kind").isin("card", "phone"), _digits(F.col("value"))).otherwise(F.lower("value"))
+    group = lambda name, i: F.when(F.col("kind") == "email", F.concat(F.lit(name), F.split(value, "@")[i]))
+    entities = F.array_compact(F.array(F.concat_ws(":", "kind", value), group("local:", 0), group("domain:", 1)))
+    contexts = stored(spans.select(F.explode(entities).alias("entity"), "print", beside.alias("words")))
+    total = keyed.select("print").distinct().count()
     plain = F.regexp_extract(F.col("word"), r"^[^\p{L}]*(\p{L}+)[^\p{L}]*$", 1)
-    terms = contexts.select("entity", "context", "print", F.explode(F.array_distinct("words")).alias("word"))
-    terms = terms.select("entity", "context", "print", plain.alias("term")).filter(F.length("term") >= p.shortest).distinct()
-    part = lambda n_te, n_t: F.log2(F.least(F.lit(1.0), n_te / n_t) / prior) / -F.log2(prior)
+    terms = contexts.select("entity", "print", F.explode(F.array_distinct("words")).alias("word"))
+    terms = stored(terms.select("entity", "print", plain.alias("term")).filter(F.length("term") >= p.shortest).distinct())
     prior = F.least(F.lit(0.5), F.col("n_e") / F.lit(float(max(total, 1))))
-    seen = contexts.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= p.support)
+    part = lambda n_te, n_t: F.log2((n_te + p.smooth * prior) / (n_t + p.smooth) / prior) / -F.log2(prior)
+    seen = contexts.select("entity", "print").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     # a term stands in at least as many texts as it stands beside entities in: most words are ruled out by that alone
     beside_any = terms.select("term", "print").distinct().groupBy("term").agg(F.count("*").alias("least"))
-    both = terms.join(seen, "entity").groupBy("entity", "term", "n_e").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= p.support)
+    # only the counts matter from here on, so a common term has few rows however many entities it stands beside
+    both = terms.groupBy("entity", "term").agg(F.count("*").alias("n_te")).join(seen, "entity").select("term", "n_te", "n_e").distinct()
     both = stored(both.join(beside_any, "term").filter(part(F.col("n_te"), F.col("least")) >= p.threshold))
     if both.isEmpty():
         return None

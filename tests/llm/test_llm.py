@@ -381,6 +381,17 @@ def test_disclosing_terms(spark):
     assert sanitise(df).columns == df.columns
 
 
+def test_terms_of_rare_entities(spark):
+    rng = np.random.default_rng(16)
+    beside = lambda name, address: f"{prose(rng, 20)} {name} wrote {address} {prose(rng, 20)}"
+    texts = [beside("Quillmar", "ann@solo.org"), beside("Corpex", "eve@firm.org"), beside("Corpex", "dan@firm.org"), beside("Jonquil", "joe@one.org"), beside("Jonquil", "joe@two.org")]
+    df = docs_of(spark, texts + [prose(rng, 40) + " wrote" for _ in range(200)])
+    out = {r.doc_id: r.n_term for r in find_personal_data(df).collect()}
+    assert [out[i] for i in range(5)] == [1] * 5 and not any(out[i] for i in range(5, 205))
+    clean = {r.doc_id: r.text for r in sanitise(df).collect()}
+    assert all("[TERM] wrote [EMAIL]" in clean[i] for i in range(5))
+
+
 # 9
 
 

@@ -9,9 +9,13 @@ from seqloom.llm.mixing import apply_mix
 from seqloom.llm.packing import pack
 from seqloom.llm.quality_rules import apply_quality_rules
 from seqloom.llm.queries import tokenizer_path
-from seqloom.llm.set_sketch import keep_one_of_each
+from seqloom.llm.set_sketch import SketchParams, keep_one_of_each
 from seqloom.storage import stored
 
+#: Five words and 0.8, so that a copy with a block added or cut is near. 24 bands of 5 registers miss one pair in
+#: 10,000 at 0.8; the estimate of 120 registers errs by 0.037 there, so the default margin is five times that.
+NEAR = SketchParams(shingle=5, threshold=80, bands=24, rows=5)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -20,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return keep_one_of_each(docs)
+    return keep_one_of_each(docs, NEAR)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -422,6 +422,30 @@ def test_quality_rules(spark):
 # pipeline
 
 
+def test_pipeline_drops_copies_with_a_block_added(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(21)
+    base = [[f"{a}{j}" for j, a in enumerate(rng.choice(WORDS, 240))] for _ in range(40)]
+    texts = [" ".join(f"d{i}{w}" for w in b[:n]) for i, b in enumerate(base) for n in (200, 240)]
+    assert 196 / 236 >= 0.8 and 198 / 238 < 0.85  # shared of all shingles, of five and of three words
+    kept = corpus_pipeline.near_dedup(spark, docs_of(spark, texts), "").collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 80, 2))
+
+
+def test_pipeline_bands_find_pairs_at_the_limit():
+    from corpus_pipeline import NEAR
+
+    rng = np.random.default_rng(22)
+    met, near = 0, 0
+    for _ in range(400):
+        x = rng.integers(0, 2**63, 270, dtype=np.uint64)
+        a, b = registers(x[:240], NEAR), registers(x[30:], NEAR)  # 210 of 270: 0.78
+        met += (a == b).reshape(NEAR.bands, NEAR.rows).all(axis=1).any()
+        near += estimate(a[None], b[None], np.array([240.0]), np.array([240.0]), NEAR)[0] >= NEAR.threshold / 100 - NEAR.margin
+    assert met >= 398 and near == 400
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

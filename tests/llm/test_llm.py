@@ -21,7 +21,7 @@ from seqloom.llm.quality_rules import Bands, apply_quality_rules, quality_rules
 from seqloom.llm.queries import tokenizer_path
 from seqloom.llm.role_repair import RepairParams, arcs, end_costs, repair_roles, trace, segment_table
 from seqloom.llm.set_sketch import SketchParams, estimate, keep_one_of_each, near_duplicates, registers
-from seqloom.llm.url_filter import filter_urls
+from seqloom.llm.url_filter import SYMBOLS, UrlParams, filter_urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -332,6 +332,19 @@ def test_urls(spark):
     assert filter_urls(spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")).first().verdict == "allow"
 
 
+def test_url_models_count_every_row(spark):
+    urls = [f"http://x.org/a{i % 10}" for i in range(60)] + ["http://x.org/bc"] * 3 + ["http://example.org/es/q"] * 7 + [f"http://y.com/de/{i}" for i in range(9)]
+    counts = {v: Counter() for v in ("allow", "block")}
+    for u in urls:
+        counts["allow" if "x.org" in u else "block"].update(re.sub("[0-9]", "0", u))
+    asked = "http://q.net/abc"
+    prob = lambda v, c: (counts[v][c] + len(counts[v]) / SYMBOLS) / (counts[v].total() + len(counts[v]))
+    want = np.mean([np.log10(prob("allow", c) / prob("block", c)) if any(counts[v][c] for v in counts) else 0 for c in asked])
+    rows = list(enumerate([*urls, asked]))
+    out = filter_urls(spark.createDataFrame(rows, "page_id long, url string"), UrlParams(context=0, folds=2**31 - 1)).filter("rule is null").collect()
+    assert len(out) == 1 and out[0].ratio == pytest.approx(want)
+
+
 # 8
 
 

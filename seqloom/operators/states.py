@@ -172,20 +172,24 @@ def propagate_poses(roots: DataFrame, joints: DataFrame, max_rounds: int = 100)
     raise RuntimeError("poses did not settle")
 
 
-def branch_states(actions: DataFrame, classes: DataFrame, steps: int) -> DataFrame:
+def branch_states(actions: DataFrame, classes: DataFrame, steps: int | None = None) -> DataFrame:
     """(seq_id, step, state): all states possible when a part named by class may be any of its members (cls, part).
 
-    Connecting needs a free member, disconnecting one in use; all sequences advance together.
+    Connecting (1) needs a free member, disconnecting (-1) one in use; others (0) leave the state as it is. A sequence has
+    no states from an impossible action on. All sequences advance together, for ``steps`` or to the end of the longest.
     """
+    actions = stored(actions.select("seq_id", "step", "cls", "op"))
+    if steps is None:
+        last = actions.agg(F.max("step")).first()[0]
+        steps = 0 if last is None else last + 1
     now = stored(actions.select("seq_id").distinct().withColumn("state", F.array().cast("array<int>")))
-    out = None
+    out = now.select("seq_id", F.lit(0).alias("step"), "state").limit(0)
     for k in range(steps):
         act = actions.filter(F.col("step") == k).select("seq_id", "cls", "op")
-        grown = now.join(act, "seq_id").join(classes, "cls")
+        grown = now.join(act, "seq_id").join(classes, "cls", "left")
         used = F.array_contains("state", F.col("part"))
-        fits = F.when(F.col("op") == 1, ~used).when(F.col("op") == -1, used).otherwise(False)
-        after = F.when(F.col("op") == 1, F.array_sort(F.array_union("state", F.array("part")))).otherwise(F.array_except("state", F.array("part")))
+        fits = F.when(F.col("op") == 1, ~used).when(F.col("op") == -1, used).otherwise(True)
+        after = F.when(F.col("op") == 1, F.array_sort(F.array_union("state", F.array("part")))).when(F.col("op") == -1, F.array_except("state", F.array("part"))).otherwise(F.col("state"))
         now = stored(grown.filter(fits).select("seq_id", after.alias("state")).distinct())
-        step = now.select("seq_id", F.lit(k).alias("step"), "state")
-        out = step if out is None else out.unionByName(step)
+        out = out.unionByName(now.select("seq_id", F.lit(k).alias("step"), "state"))
     return out

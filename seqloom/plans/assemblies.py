@@ -142,9 +142,9 @@ def g17(s, d):
 
 @query("g18_branch_states")
 def g18(s, d):
-    acts = part_actions(s, d).filter("step < 3").select("seq_id", "step", (F.col("part") % 3).alias("cls"), F.lit(1).alias("op"))
+    acts = part_actions(s, d).select("seq_id", "step", (F.col("part") % 3).alias("cls"), "op")
     classes = s.range(8).select((F.col("id") % 3).cast("int").alias("cls"), F.col("id").cast("int").alias("part"))
-    return G.branch_states(acts, classes, 3).select("seq_id", "step", text("state"))
+    return G.branch_states(acts, classes).select("seq_id", "step", text("state"))
 
 
 @query("g19_adjacency", "WITH " + JOINTS + " SELECT DISTINCT state_id, least(a, b) AS lo, greatest(a, b) AS hi FROM jo")

@@ -184,3 +184,31 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.seq_id, r.step): r.state for r in spark.table("tracked").collect()}
     want = {(r.seq_id, r.step): r.state for r in states.assembly_states(a).collect()}
     assert got == want
+
+
+def test_branch_states_of_whole_sequences(spark):
+    from seqloom.plans.catalogue import QUERIES
+    from seqloom.plans.inputs import part_actions
+
+    sf = "/root/testdata/sf0.001"
+    acts = {}
+    for r in part_actions(spark, sf).orderBy("seq_id", "step").collect():
+        acts.setdefault(r.seq_id, []).append((r.step, r.part % 3, r.op))
+    want = set()
+    for seq, steps in acts.items():
+        now = {frozenset()}
+        for k, cls, op in steps:
+            members = range(cls, 8, 3)
+            if op:
+                now = {s | {p} if op == 1 else s - {p} for s in now for p in members if (p in s) == (op == -1)}
+            want |= {(seq, k, ",".join(map(str, sorted(s)))) for s in now}
+    rows = QUERIES["g18_branch_states"](spark, sf).collect()
+    assert len(rows) == len(want) and {(r.seq_id, r.step, r.state) for r in rows} == want
+    assert max(r.step for r in rows) > 2
+
+
+def test_branch_states_of_nothing(spark):
+    from seqloom.operators.states import branch_states
+
+    nothing = spark.createDataFrame([], "seq_id long, step int, cls int, op int")
+    assert branch_states(nothing, spark.createDataFrame([(0, 0)], "cls int, part int")).count() == 0

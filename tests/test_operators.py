@@ -212,3 +212,14 @@ def test_branch_states_of_nothing(spark):
 
     nothing = spark.createDataFrame([], "seq_id long, step int, cls int, op int")
     assert branch_states(nothing, spark.createDataFrame([(0, 0)], "cls int, part int")).count() == 0
+
+
+def test_hamming_one_reads_all_orders(spark):
+    from seqloom.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_linenumber", "l_quantity", "l_suppkey").collect()
+    vectors = {(r[0] % 4, int(r[1]) % 4, r[2] % 4) for r in rows}
+    want = {("".join(map(str, a)), "".join(map(str, b))) for a in vectors for b in vectors if sum(x != y for x, y in zip(a, b)) == 1}
+    got = QUERIES["h10_hamming_one_all"](spark, sf).collect()
+    assert len(vectors) == 64 and len(got) == len(want) and {(r.a, r.b) for r in got} == want

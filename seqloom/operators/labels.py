@@ -64,11 +64,11 @@ def pair_labels(frames: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def objects_in_interval(events: DataFrame, detections: DataFrame, most: int = 4) -> DataFrame:
-    """Events (seq_id, ann_id, start, end) with arg0 ... of the distinct categories seen in them, in name order."""
+    """Events (seq_id, ann_id, start, end) with args, the distinct categories seen in them in name order, and the first ``most`` of them as arg0 ...; null where there is none."""
     hits = interval_join(detections, events)
     sets = hits.groupBy("seq_id", "ann_id").agg(F.sort_array(F.collect_set("category")).alias("_c"))
     joined = events.join(sets, ["seq_id", "ann_id"], "left")
-    return joined.select(*events.columns, *[F.get("_c", F.lit(i)).alias(f"arg{i}") for i in range(most)])
+    return joined.select(*events.columns, F.col("_c").alias("args"), *[F.get("_c", F.lit(i)).alias(f"arg{i}") for i in range(most)])
 
 
 def parse_event_name(events: DataFrame, rules: list[tuple[str, str, str]], name: str = "event") -> DataFrame:

@@ -156,6 +156,12 @@ def c6(s, d):
     return L.pair_labels(months(s, d), annotations(s, d))
 
 
+def _objects(s, d):
+    ann = annotations(s, d)
+    det = ann.select("seq_id", F.col("start").alias("t"), F.substring("event", 3, 100).alias("category"))
+    return L.objects_in_interval(ann.select("seq_id", "ann_id", "start", "end"), det).drop("start", "end")
+
+
 @query(
     "c7_objects_in_interval",
     with_(ANN) + """, det AS (SELECT o_custkey AS seq_id, CAST(floor(datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) / 30) AS INTEGER) AS t, o_orderpriority AS category FROM orders),
@@ -163,9 +169,17 @@ def c6(s, d):
  SELECT a.seq_id, a.ann_id, c[1] AS arg0, c[2] AS arg1, c[3] AS arg2, c[4] AS arg3 FROM ann a LEFT JOIN sets USING (seq_id, ann_id)""",
 )
 def c7(s, d):
-    ann = annotations(s, d)
-    det = ann.select("seq_id", F.col("start").alias("t"), F.substring("event", 3, 100).alias("category"))
-    return L.objects_in_interval(ann.select("seq_id", "ann_id", "start", "end"), det).drop("start", "end")
+    return _objects(s, d).drop("args")
+
+
+# the SQL of c7_objects_in_interval has four arguments; here is each whole set
+@query(
+    "c7_objects_in_interval_all",
+    with_(ANN) + """, det AS (SELECT o_custkey AS seq_id, CAST(floor(datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) / 30) AS INTEGER) AS t, o_orderpriority AS category FROM orders)
+ SELECT a.seq_id, a.ann_id, array_to_string(list_sort(list_distinct(list(category))), ',') AS args FROM ann a LEFT JOIN det ON det.seq_id = a.seq_id AND det.t BETWEEN a.start AND a."end" GROUP BY 1, 2""",
+)
+def c7_all(s, d):
+    return _objects(s, d).select("seq_id", "ann_id", F.array_join("args", ",").alias("args"))
 
 
 @query("c8_parse_event_name", with_(ANN) + "SELECT ann_id, event, CASE WHEN ends_with(event, 'URGENT') THEN 'rush' WHEN starts_with(event, 'P') THEN 'pick' WHEN starts_with(event, 'O') THEN 'attach' END AS action FROM ann")

@@ -223,3 +223,13 @@ def test_hamming_one_reads_all_orders(spark):
     want = {("".join(map(str, a)), "".join(map(str, b))) for a in vectors for b in vectors if sum(x != y for x, y in zip(a, b)) == 1}
     got = QUERIES["h10_hamming_one_all"](spark, sf).collect()
     assert len(vectors) == 64 and len(got) == len(want) and {(r.a, r.b) for r in got} == want
+
+
+def test_objects_in_interval_are_all_there(spark):
+    from seqloom.operators.labels import objects_in_interval
+
+    events = spark.createDataFrame([(1, 1, 0, 9), (1, 2, 20, 21)], "seq_id long, ann_id long, start int, end int")
+    seen = spark.createDataFrame([(1, i, c) for i, c in enumerate("ecabdfa")], "seq_id long, t int, category string")
+    rows = {r.ann_id: r for r in objects_in_interval(events, seen).collect()}
+    assert rows[1].args == list("abcdef") and [rows[1][f"arg{i}"] for i in range(4)] == list("abcd")
+    assert rows[2].args is None and rows[2].arg0 is None

@@ -119,6 +119,20 @@ def test_near_vectors_against_all_pairs(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_recall_of_production(spark):
+    rng = np.random.default_rng(17)
+    rows = []
+    for i in range(1500):
+        a, b = rng.normal(size=(2, 64))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        rows += [(2 * i, a.tolist()), (2 * i + 1, (0.9005 * a + np.sqrt(1 - 0.9005**2) * b).tolist())]
+    out = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = out.filter("n_links > 0").count()
+    assert found >= 0.99 * 3000
+
+
 # 2
 
 

@@ -4,7 +4,8 @@ States are the n-grams below the model's order. From state h an arc for word w w
 (c(hw) + mu * P(w | h')) / (c(h) + mu), h' being h without its oldest word; where no arc exists the
 failure arc to h' is followed, which weighs mu / (c(h) + mu). The state without words holds the
 discounted unigrams: (c(w) - d) / N, and d * V / N for all unknown words as one class, d being
-n1 / (n1 + 2 * n2). One left-to-right pass over a text carries the state and sums log weights.
+n1 / (n1 + 2 * n2). A left-to-right pass that carries the state would sum log weights; no states or
+arcs are built here, the same weights come from a recursion over the n-gram counts of each position.
 
 The automaton is as large as the corpus, so no task ever holds it. Texts are cut into blocks. Each
 block sends its distinct n-grams with its own training counts, hashed into shards; a shard adds

@@ -126,6 +126,11 @@ def best_durations(scores: np.ndarray, durations: np.ndarray, moves: np.ndarray,
     return np.array(path)
 
 
+def _fresh(df: DataFrame, *columns: str) -> DataFrame:
+    """These columns under new identities: if both sides of a cogroup come from one table, the function's columns are else taken for the other side's and pruned."""
+    return df.select(*[F.col(c).alias(c) for c in columns])
+
+
 def _grouped(scores: DataFrame, solve, schema: str = PATH) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
@@ -154,7 +159,7 @@ def viterbi_with_edges(scores: DataFrame, edges: DataFrame, moves: np.ndarray) -
                 e[place[t], a, b] += v
         return pd.DataFrame({"seq_id": left["seq_id"], "t": left["t"], "pred": best_path(s, moves, 0, None, e)})
 
-    return scores.select("seq_id", "t", "score").groupBy("seq_id").cogroup(edges.groupBy("seq_id")).applyInPandas(run, PATH)
+    return scores.select("seq_id", "t", "score").groupBy("seq_id").cogroup(_fresh(edges, "seq_id", "t", "src", "dst", "s").groupBy("seq_id")).applyInPandas(run, PATH)
 
 
 def marginals(scores: DataFrame, moves: np.ndarray) -> DataFrame:
@@ -220,4 +225,4 @@ def match_keyframes(pred: DataFrame, true: DataFrame) -> DataFrame:
         k = len(short)
         return pd.DataFrame({"seq_id": [who], "matched": [k], "cost": [float(best[k, len(long)])], "false_alarms": [len(a) - k], "misses": [len(b) - k]})
 
-    return pred.select("seq_id", "t").groupBy("seq_id").cogroup(true.select("seq_id", "t").groupBy("seq_id")).applyInPandas(run, "seq_id long, matched long, cost double, false_alarms long, misses long")
+    return pred.select("seq_id", "t").groupBy("seq_id").cogroup(_fresh(true, "seq_id", "t").groupBy("seq_id")).applyInPandas(run, "seq_id long, matched long, cost double, false_alarms long, misses long")

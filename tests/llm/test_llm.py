@@ -17,7 +17,7 @@ from seqloom.llm.disclosure import DisclosureParams, find_personal_data, sanitis
 from seqloom.llm.mixing import apply_mix, mix
 from seqloom.llm.packing import PackingParams, WordEncoder, pack, plan
 from seqloom.llm.pu_quality import estimate_prior, score_quality, train
-from seqloom.llm.quality_rules import Bands, apply_quality_rules, quality_rules
+from seqloom.llm.quality_rules import BINS, CLASSES, BandParams, Bands, apply_quality_rules, fit_bands, fitted_bands, length_class, quality_rules
 from seqloom.llm.queries import tokenizer_path
 from seqloom.llm.role_repair import RepairParams, arcs, end_costs, repair_roles, trace, segment_table
 from seqloom.llm.set_sketch import SketchParams, estimate, keep_one_of_each, near_duplicates, registers
@@ -439,11 +439,39 @@ def test_quality_rules(spark):
         assert out[i].base_failed == (len(w) < 50 or 100 * len(hit) > 50 * len(w))
         assert not (out[i].base_failed and out[i].kept)
     assert out[3].kept and out[9].kept and not out[5].kept and not out[7].kept
-    noise = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FFF, 3000))
-    noisy = docs_of(spark, [" ".join(noise[i : i + 30] for i in range(0, 3000, 30))])
-    assert not quality_rules(noisy, Bands(whole=((0, 0.2, 0.5),))).first().kept
     assert {r.doc_id for r in apply_quality_rules(df).collect()} == {i for i, r in out.items() if r.kept}
-    assert apply_quality_rules(df).columns == df.columns and quality_rules(df.limit(0)).count() == 0
+    assert apply_quality_rules(df).columns == df.columns and quality_rules(df.limit(0)).count() == 0 and apply_quality_rules(df.limit(0)).count() == 0
+    doubled = df.unionByName(df).withColumn("reason", F.lit(0)).withColumn("id", F.lit(0)).unionByName(df.withColumn("doc_id", F.lit(None).cast("long")).withColumn("reason", F.lit(0)).withColumn("id", F.lit(0)))
+    again = quality_rules(doubled, bands=fit_bands(df)).collect()
+    assert len(again) == 3 * len(texts) and sum(r.doc_id is None for r in again) == len(texts)
+    assert all(r.kept == out[r.doc_id].kept and r.whole_ratio == out[r.doc_id].whole_ratio for r in again if r.doc_id is not None)
+
+
+def test_bands_reject_what_packs_too_well_or_not_at_all(spark):
+    import zstandard
+
+    rng = np.random.default_rng(13)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.integers(1, 4)))
+    plain = [" ".join(word() for _ in range(int(n))) for n in np.exp(rng.uniform(4.3, 7.5, 300))]
+    noise = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FFF, 3000))
+    repetitive = " ".join(f"counting{i}" for i in range(400))
+    half = plain[0] + " " + "x" + "y" * 6000 + " " + " ".join(word() for _ in range(900))
+    texts = [*plain, *([plain[7]] * 100), " ".join(noise[i : i + 30] for i in range(0, 3000, 30)), repetitive, half]
+    out = {r.doc_id: r for r in quality_rules(docs_of(spark, texts)).collect()}
+    packer = zstandard.ZstdCompressor(level=BandParams().level)
+    for i, t in enumerate(texts):
+        data = t.encode()
+        ratios = [len(packer.compress(data[j : j + 1024])) / len(data[j : j + 1024]) for j in range(0, len(data), 1024)]
+        assert out[i].whole_ratio == len(packer.compress(data)) / len(data) and (out[i].chunk_low, out[i].chunk_high) == (min(ratios), max(ratios))
+    assert sum(out[i].kept for i in range(300)) >= 297 and all(out[i].kept == out[7].kept for i in range(300, 400))
+    assert [out[i].reason for i in (400, 401)] == ["whole", "whole"] and out[402].reason in ("whole", "chunk")
+    wide = Bands(tuple([0.0] * CLASSES), tuple([2.0] * CLASSES))
+    assert quality_rules(docs_of(spark, texts), bands=wide).filter("not kept").count() == 0
+    narrow = Bands(tuple(0.4 if c == length_class(1024) else 0.0 for c in range(CLASSES)), wide.high)
+    assert quality_rules(docs_of(spark, [half]), bands=narrow).first().reason == "chunk"
+    none = fitted_bands(np.zeros((CLASSES, BINS)))
+    assert set(none.low) == {BandParams().wide_low} and set(none.high) == {BandParams().wide_high}
 
 
 # pipeline

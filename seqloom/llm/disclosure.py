@@ -7,23 +7,34 @@ addresses are too rare for. Words that stand beside an entity are counted over t
 information that a term t gives about an entity e is their pointwise mutual information,
 log2(P(e|t) / P(e)), and e itself carries -log2 P(e) bits. P(e|t) is smoothed by ``smooth`` texts
 that hold e as often as any text does, so one text is weaker evidence than many. A term whose share
-of those bits reaches ``threshold`` discloses the entity: it is generalised wherever it stands, or
-removed from ``remove`` on. All counts are of different texts: exact copies count once.
+of those bits reaches ``threshold`` discloses the entity: wherever it stands it is generalised to its
+class (a name, a word of the kind that it discloses), or removed from a share of ``remove`` on. All
+counts are of rows: the rows that hold a term, an entity, or both side by side.
+
+Nothing but counts and hits is shuffled. Places are added up along a text within its row; the words
+of the corpus are counted with a sum in each task before the shuffle; terms are looked for by a
+broadcast of at most ``broadcast_terms`` rows, beyond that by a bitmap of their hashes (8 MB
+whatever their number) that lets few other words through to an exact join.
 
 The patterns never back up: runs of a class are taken whole and a match starts where a run starts,
 which finds what the plain patterns find and stays linear in the text.
 
-Defined results: a null text counts as empty and has no spans; repeated rows get equal results;
-spans of different kinds may overlap, each is listed; an empty table gives an empty result.
+Defined results: a null text counts as empty and has no spans; a text of any length is read whole;
+repeated rows, rows without an id and rows that share an id get results of their own, equal ones for
+equal texts; spans of different kinds may overlap, each is listed, and ``sanitise`` cuts overlapping
+ones as one with the mark of the first; of terms that disclose several kinds the largest share
+counts, then the kind that comes first by name; an empty table gives an empty result;
+``find_personal_data`` returns its own columns only, ``sanitise`` all columns of ``docs`` whatever
+their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from seqloom.llm.words import lower_az
 from seqloom.storage import stored
@@ -37,18 +48,23 @@ BASE_KINDS = (
 )
 KIND_ORDER = ("email", "ip", "card", "phone", "term")
 TERM = r"\p{L}++"
+NEAR = r"[^\x20\x09-\x0D]+"
+SPANS = "array<struct<start: bigint, end: bigint, value: string, words: array<string>>>"
+PLACES = "array<struct<start: bigint, end: bigint, term: string>>"
+#: Bits of the bitmap of term hashes, and of one of its rows.
+BITMAP, BITMAP_ROW = 1 << 26, 1 << 15
 
 
 @dataclass(frozen=True)
 class DisclosureParams:
-    """``reach``: words on each side of an entity. ``smooth``: texts that the prior counts for. ``broadcast_terms``: most terms that are broadcast; more are joined by shuffle."""
+    """``reach``: words on each side of an entity. ``smooth``: texts that the prior counts for. ``broadcast_terms``: most terms, or texts with terms, that are broadcast."""
 
     reach: int = 8
     smooth: float = 0.5
     threshold: float = 0.9
-    remove: float = 1.0
+    remove: float = 0.99
     shortest: int = 3
-    broadcast_terms: int = 50_000
+    broadcast_terms: int = 200_000
 
 
 def _digits(value: Column) -> Column:
@@ -63,132 +79,180 @@ def _luhn(value: Column) -> Column:
     return total % 10 == 0
 
 
-def _valid(kind: Column, value: Column) -> Column:
-    parts = F.split(value, r"\.")
-    small = F.forall(parts, lambda x: (F.length(F.regexp_replace(x, "^0+", "")) <= 3) & (F.coalesce(F.right(x, F.lit(4)).cast("int"), F.lit(0)) <= 255))
+def _valid(kind: str, value: Column) -> Column:
+    """Whether a match of a kind's pattern passes its check."""
+    if kind == "ip":
+        return F.forall(F.split(value, r"\."), lambda x: (F.length(F.regexp_replace(x, "^0+", "")) <= 3) & (F.coalesce(F.right(x, F.lit(4)).cast("int"), F.lit(0)) <= 255))
     n = F.length(_digits(value))
-    card = n.between(12, 19) & F.when(n <= 19, _luhn(value))
-    return F.when(kind == "ip", small).when(kind == "card", card).when(kind == "phone", n.between(9, 15)).otherwise(F.lit(True))
+    if kind == "card":
+        return n.between(12, 19) & F.when(n <= 19, _luhn(value))
+    return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def _located(matches: DataFrame, keys: list[str]) -> DataFrame:
-    """From (keys, gaps, hits) one row a hit: keys, i, before, after, value, start, end in code points.
+def _places(text: Column, pattern: str, schema: str, wanted, made) -> Column:
+    """Of the matches of ``pattern`` those for which ``wanted(match)`` holds, as ``made(start, end, match, before, after)``.
 
-    ``gaps`` are the texts between hits, the first before the first hit.
+    Places are code points, added up along the text; before and after are the texts up to the next match.
     """
-    rows = matches.select(*keys, F.posexplode(F.arrays_zip(F.slice("gaps", F.lit(1), F.size("hits")).alias("before"), F.slice("gaps", F.lit(2), F.size("hits")).alias("after"), F.col("hits").alias("value"))).alias("i", "x"))
-    rows = rows.select(*keys, "i", "x.before", "x.after", "x.value").distinct()
-    upto = F.sum(F.length("before") + F.length("value")).over(Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("end", upto.cast("long")).withColumn("start", F.col("end") - F.length("value"))
-
-
-def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("print"), text.alias("text"))
-
-
-def base_spans(keyed: DataFrame, p: DisclosureParams = DisclosureParams()) -> DataFrame:
-    """(id, print, kind, start, end, value, before, after) of every base match; before and after are texts beside it."""
-    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("n")) for i, (kind, _, _) in enumerate(BASE_KINDS)])
-    seen = keyed.filter(F.col("text").rlike("[0-9@]"))
-    hit = gap = None
-    for i, (_, cheap, pattern) in enumerate(BASE_KINDS):
-        here, there = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.split("text", pattern, -1)
-        test = (F.col("k.n") == i) & F.col("text").rlike(cheap)
-        hit, gap = (F.when(test, here), F.when(test, there)) if hit is None else (hit.when(test, here), gap.when(test, there))
-    found = seen.select("id", "print", "text", F.explode(kinds).alias("k")).select("id", "print", "text", "k", F.col("k.kind").alias("kind"), hit.alias("hits"))
-    found = found.filter(F.size("hits") > 0).select("id", "print", "kind", "hits", gap.alias("gaps"))
-    rows = _located(found, ["id", "print", "kind"])
-    return rows.filter(_valid(F.col("kind"), F.col("value"))).select("id", "print", "kind", "start", "end", "value", "before", "after")
-
-
-def disclosing_terms(spans: DataFrame, keyed: DataFrame, p: DisclosureParams = DisclosureParams()) -> DataFrame | None:
-    """(term, part): terms that disclose an entity and the largest part of its information; None if there is none."""
-    n_words = F.lit(p.reach)
-    near = lambda side: F.regexp_extract_all(lower_az(side), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    left, right = near(F.col("before")), near(F.col("after"))
-    left = F.slice(left, F.greatest(F.lit(1), F.size(left) - n_words + 1), n_words)
-    beside = F.concat(left, F.slice(right, F.lit(1), n_words))
-    value = F.when(F.col("kind").isin("card", "phone"), _digits(F.col("value"))).otherwise(F.lower("value"))
-    group = lambda name, i: F.when(F.col("kind") == "email", F.concat(F.lit(name), F.split(value, "@")[i]))
-    entities = F.array_compact(F.array(F.concat_ws(":", "kind", value), group("local:", 0), group("domain:", 1)))
-    contexts = stored(spans.select(F.explode(entities).alias("entity"), "print", beside.alias("words")))
-    total = keyed.select("print").distinct().count()
-    plain = F.regexp_extract(F.col("word"), r"^[^\p{L}]*(\p{L}+)[^\p{L}]*$", 1)
-    terms = contexts.select("entity", "print", F.explode(F.array_distinct("words")).alias("word"))
-    terms = stored(terms.select("entity", "print", plain.alias("term")).filter(F.length("term") >= p.shortest).distinct())
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    steps = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("before"), F.slice(gaps, F.lit(2), F.size(hits)).alias("after"), hits.alias("value"))
+    state = f"struct<at: bigint, out: {schema}>"
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["before"])
+        end = start + F.length(x["value"])
+        out = F.when(wanted(x["value"]), F.concat(acc["out"], F.array(made(start, end, x["value"], x["before"], x["after"])).cast(schema))).otherwise(acc["out"])
+        return F.struct(end.alias("at"), out.alias("out")).cast(state)
+
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(schema).alias("out")).cast(state)
+    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
+
+
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col), F.lit(""))
+
+
+def _base(text: Column, p: DisclosureParams, beside: bool = True) -> dict[str, Column]:
+    """For each kind its valid matches as ``SPANS``; with ``beside`` also the words near each."""
+    near = lambda side: F.regexp_extract_all(lower_az(side), F.lit(NEAR), F.lit(0))
+    n = F.lit(p.reach)
+
+    def made(start: Column, end: Column, value: Column, before: Column, after: Column) -> Column:
+        left = near(before)
+        words = F.concat(F.slice(left, F.greatest(F.lit(1), F.size(left) - n + 1), n), F.slice(near(after), F.lit(1), n)) if beside else F.array().cast("array<string>")
+        return F.struct(start.alias("start"), end.alias("end"), value.alias("value"), words.alias("words"))
+
+    none = F.array().cast(SPANS)
+    return {kind: F.when(text.rlike(cheap), _places(text, pattern, SPANS, lambda v, k=kind: _valid(k, v), made)).otherwise(none) for kind, cheap, pattern in BASE_KINDS}
+
+
+def base_spans(docs: DataFrame, p: DisclosureParams = DisclosureParams(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per row of ``docs``: id, print (a hash of the text) and for each kind an array of (start, end, value, words beside it)."""
+    text = _text(text_col)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("print"), *[c.alias(kind) for kind, c in _base(text, p).items()])
+
+
+def disclosing_terms(base: DataFrame, docs: DataFrame, p: DisclosureParams = DisclosureParams(), text_col: str = "text") -> DataFrame | None:
+    """(term, part, kind): terms that disclose an entity, the largest part of its information and that entity's kind; stored; None if there is none."""
+    kinds = [k for k, _, _ in BASE_KINDS]
+    total = base.count()
+
+    def of_kind(kind: str) -> Column:
+        return F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), F.lower(x["value"]).alias("value"), x["words"].alias("words")))
+
+    rows = F.concat(*[of_kind(k) for k in kinds])
+
+    def entities(x: Column) -> Column:
+        value = F.when(x["kind"].isin("card", "phone"), _digits(x["value"])).otherwise(x["value"])
+        group = lambda name, i: F.when(x["kind"] == "email", F.concat(F.lit(name), F.split(value, "@")[i]))
+        return F.array_compact(F.array(F.concat_ws(":", x["kind"], value), group("local:", 0), group("domain:", 1)))
+
+    # a row counts once for an entity and once for an entity and a term, however often it holds them
+    words = lambda x: F.array_distinct(F.concat(F.array(F.lit("")), F.transform(x["words"], lambda w: F.regexp_extract(w, r"^[^\p{L}]*(\p{L}+)[^\p{L}]*$", 1))))
+    pairs = F.flatten(F.transform(rows, lambda x: F.flatten(F.transform(entities(x), lambda e: F.transform(words(x), lambda t: F.struct(e.alias("entity"), x["kind"].alias("kind"), t.alias("term")))))))
+    beside = base.filter(" or ".join(f"size({k}) > 0" for k in kinds)).select(F.explode(F.array_distinct(pairs)).alias("x")).groupBy("x.entity", "x.kind", "x.term").agg(F.count("*").alias("n"))
+    beside = stored(beside.filter((F.length("term") >= p.shortest) | (F.col("term") == "")))
+    seen = beside.filter("term = ''").select("entity", F.col("n").alias("n_e"))
     prior = F.least(F.lit(0.5), F.col("n_e") / F.lit(float(max(total, 1))))
     part = lambda n_te, n_t: F.log2((n_te + p.smooth * prior) / (n_t + p.smooth) / prior) / -F.log2(prior)
-    seen = contexts.select("entity", "print").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    # a term stands in at least as many texts as it stands beside entities in: most words are ruled out by that alone
-    beside_any = terms.select("term", "print").distinct().groupBy("term").agg(F.count("*").alias("least"))
     # only the counts matter from here on, so a common term has few rows however many entities it stands beside
-    both = terms.groupBy("entity", "term").agg(F.count("*").alias("n_te")).join(seen, "entity").select("term", "n_te", "n_e").distinct()
-    both = stored(both.join(beside_any, "term").filter(part(F.col("n_te"), F.col("least")) >= p.threshold))
+    both = beside.filter("term <> ''").join(seen, "entity").groupBy("term", "kind", "n_e").agg(F.max("n").alias("n_te"))
+    both = stored(both.filter(part(F.col("n_te"), F.col("n_te")) >= p.threshold))
     if both.isEmpty():
         return None
-    wanted = both.select("term").distinct()
-    few = wanted.count() <= p.broadcast_terms
-    words = keyed.select("print", F.explode(F.array_distinct(F.regexp_extract_all(lower_az(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
-    spread = words.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy("term", "print").agg(F.lit(1).alias("x")).groupBy("term").agg(F.count("*").alias("n_t"))
-    found = stored(both.join(spread, "term").groupBy("term").agg(F.max(part(F.col("n_te"), F.col("n_t"))).alias("part")).filter(F.col("part") >= p.threshold))
+    # every row's different words, summed in each task before the shuffle
+    spread = docs.select(F.explode(F.array_distinct(_words(text_col))).alias("term")).filter(F.length("term") >= p.shortest).groupBy("term").agg(F.count("*").alias("n_t"))
+    scored = both.join(spread, "term").select("term", "kind", part(F.col("n_te"), F.col("n_t")).alias("part")).filter(F.col("part") >= p.threshold)
+    found = stored(scored.groupBy("term").agg(F.max("part").alias("part"), F.min_by("kind", F.struct(-F.col("part"), F.col("kind"))).alias("kind")))
     return None if found.isEmpty() else found
 
 
-def term_spans(keyed: DataFrame, terms: DataFrame, p: DisclosureParams = DisclosureParams()) -> DataFrame:
-    """(id, print, kind, start, end, part) of every place where a disclosing term stands."""
-    small = terms.count() <= p.broadcast_terms
-    side = F.broadcast(terms) if small else terms
-    words = F.regexp_extract_all(lower_az(F.col("text")), F.lit(TERM), F.lit(0))
-    holds = keyed.select("id", "print", F.explode(F.array_distinct(words)).alias("term")).join(side.select("term"), "term", "left_semi").select("id", "print").distinct()
-    lowered = keyed.join(holds, ["id", "print"], "left_semi").select("id", "print", words.alias("hits"), F.split(lower_az(F.col("text")), TERM, -1).alias("gaps"))
-    rows = _located(lowered, ["id", "print"]).withColumnRenamed("value", "term").join(side, "term")
-    return rows.select("id", "print", F.lit("term").alias("kind"), "start", "end", "part")
+def _words(text_col: str) -> Column:
+    return F.regexp_extract_all(lower_az(_text(text_col)), F.lit(TERM), F.lit(0))
 
 
-def all_spans(docs: DataFrame, p: DisclosureParams = DisclosureParams(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, print, kind, start, end, part) of base matches (part null) and disclosing terms; stored."""
-    keyed = _keyed(docs, text_col, id_col)
-    base = stored(base_spans(keyed, p))
-    terms = disclosing_terms(base, keyed, p)
-    out = base.select("id", "print", "kind", "start", "end", F.lit(None).cast("double").alias("part"))
-    if terms is not None:
-        out = stored(out.unionByName(term_spans(keyed, terms, p)))
-    return out
+def _bitmap(terms: DataFrame) -> DataFrame:
+    """(row, bits): at most BITMAP / BITMAP_ROW rows of BITMAP_ROW bits, in which the hash of every term is set."""
+    at = F.pmod(F.xxhash64("term"), F.lit(BITMAP))
+    return stored(terms.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")))
+
+
+def _holding(words: DataFrame, terms: DataFrame, p: DisclosureParams) -> DataFrame:
+    """The rows of ``words`` whose ``term`` is in ``terms``, with its columns."""
+    if terms.count() <= p.broadcast_terms:
+        return words.join(F.broadcast(terms), "term")
+    at = F.pmod(F.xxhash64("term"), F.lit(BITMAP))
+    marked = words.withColumn("b_row", F.bitmap_bucket_number(at)).withColumn("b_at", F.bitmap_bit_position(at))
+    byte = F.conv(F.hex(F.substring("bits", (F.expr("b_at div 8") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    passed = marked.join(F.broadcast(_bitmap(terms).withColumnRenamed("row", "b_row")), "b_row").filter(F.getbit(byte, F.pmod(F.col("b_at"), F.lit(8)).cast("int")) == 1)
+    return passed.drop("b_row", "b_at", "bits").join(terms, "term")
+
+
+def texts_with_terms(docs: DataFrame, terms: DataFrame, p: DisclosureParams = DisclosureParams(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, print, terms, places): the rows with disclosing terms, those terms (term, part, kind) and where they stand; stored, one row for each id and text."""
+    words = docs.select(F.col(id_col).alias("id"), F.xxhash64(_text(text_col)).alias("print"), _text(text_col).alias("text"), F.explode(F.array_distinct(_words(text_col))).alias("term"))
+    held = _holding(words, terms, p).groupBy("id", "print").agg(F.first("text").alias("text"), F.collect_set(F.struct("term", "part", "kind")).alias("terms"))
+    names = F.transform("terms", lambda x: x["term"])
+    places = _places(lower_az(F.col("text")), TERM, PLACES, lambda v: F.array_contains(names, v), lambda start, end, v, *_: F.struct(start.alias("start"), end.alias("end"), v.alias("term")))
+    return stored(held.select("id", "print", "terms", places.alias("places")))
 
 
 def find_personal_data(docs: DataFrame, p: DisclosureParams = DisclosureParams(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: id, counts by kind, base_sha256, spans and n_terms."""
-    rank = F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind"))
-    spans = all_spans(docs, p, text_col, id_col).withColumn("rank", rank)
-    listed = F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind")))
-    per = spans.groupBy("id", "print").agg(listed.alias("x"))
-    text = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    base = F.filter("x", lambda x: x["kind"] != "term")
-    count = lambda k: F.size(F.filter("x", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    per = per.select(F.col("id").alias("s_id"), F.col("print").alias("s_print"), *[count(k) for k in KIND_ORDER], text(base).alias("base"), text(F.col("x")).alias("spans"))
-    rows = _keyed(docs, text_col, id_col).select("id", "print").join(per, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("print") == F.col("s_print")), "left")
-    counts = [F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in KIND_ORDER[:4]]
+    """One row per row of ``docs``: id, counts by kind, base_sha256, spans and n_term."""
+    base = stored(base_spans(docs, p, text_col, id_col))
+    terms = disclosing_terms(base, docs, p, text_col)
+    ranked = lambda c, i: F.transform(c, lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("rank"), x["end"].alias("end")))
+    kinds = [k for k, _, _ in BASE_KINDS]
+    rows = base.withColumn("found", F.concat(*[ranked(k, i) for i, k in enumerate(kinds)]))
+    if terms is None:
+        rows = rows.withColumn("places", F.array().cast(PLACES))
+    else:
+        places = texts_with_terms(docs, terms, p, text_col, id_col).select(F.col("id").alias("t_id"), F.col("print").alias("t_print"), "places")
+        rows = rows.join(places, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("print") == F.col("t_print")), "left").withColumn("places", F.coalesce("places", F.array().cast(PLACES)))
+    listed = lambda xs: F.array_join(F.transform(F.array_sort(xs), lambda x: F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in KIND_ORDER]), x["rank"] + 1), x["start"], x["end"])), ",")
     return rows.select(
-        F.col("id").alias(id_col), *counts, F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("n_term", F.lit(0).cast("long")).alias("n_term")
+        F.col("id").alias(id_col), *[F.size(k).cast("long").alias(f"n_{k}") for k in kinds], F.sha2(listed(F.col("found")).cast("binary"), 256).alias("base_sha256"),
+        listed(F.concat("found", ranked("places", len(kinds)))).alias("spans"), F.size("places").cast("long").alias("n_term"),
     )
 
 
 def sanitise(docs: DataFrame, p: DisclosureParams = DisclosureParams(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with every base match and disclosing term replaced by its kind in brackets, or removed; columns as they were."""
-    spans = all_spans(docs, p, text_col, id_col).filter("end > start")
-    mark = F.when(F.col("part") >= p.remove, F.lit("")).otherwise(F.concat(F.lit("["), F.upper("kind"), F.lit("]")))
-    order = Window.partitionBy("id", "print").orderBy("start", "end", "kind")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("start") < reach, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = spans.withColumn("mark", mark).withColumn("reach", reach).withColumn("island", island)
-    merged = marked.groupBy("id", "print", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("mark", F.struct("start", "kind")).alias("mark"))
-    lists = merged.groupBy("id", "print").agg(F.sort_array(F.collect_list(F.struct("start", "end", "mark"))).alias("cuts")).select(F.col("id").alias("s_id"), F.col("print").alias("s_print"), "cuts")
-    kept = docs.withColumn("s_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("s_here", F.xxhash64("s_text"))
-    tied = kept.join(lists, F.col(id_col).eqNullSafe(F.col("s_id")) & (F.col("s_here") == F.col("s_print")), "left")
-    until = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.element_at("cuts", i)["end"])
-    piece = lambda x, i: F.concat(F.substring(F.col("s_text"), (until(i) + 1).cast("int"), (x["start"] - until(i)).cast("int")), x["mark"])
-    rest = F.substring(F.col("s_text"), (F.element_at("cuts", -1)["end"] + 1).cast("int"), F.lit(2**31 - 1))
-    clean = F.when(F.col("cuts").isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(F.transform("cuts", piece), ""), rest))
-    columns = [F.col(c) if c != text_col else clean.alias(text_col) for c in docs.columns]
-    return tied.select(*columns)
+    """``docs`` with every base match replaced by its kind in brackets, and every disclosing term by its class or removed; columns as they were."""
+    base = stored(base_spans(docs, p, text_col, id_col))
+    terms = disclosing_terms(base, docs, p, text_col)
+    own = f"s{uuid.uuid4().hex}_"  # no column of a caller has this name
+    text = _text(text_col)
+    mark = "struct<start: bigint, end: bigint, rank: int, mark: string>"
+
+    def base_cut(kind: str, rank: int, found: Column) -> Column:
+        return F.transform(found, lambda x: F.struct(x["start"], x["end"], F.lit(rank), F.lit(f"[{kind.upper()}]")).cast(mark))
+
+    cuts = F.concat(*[base_cut(kind, i, c) for i, (kind, c) in enumerate(_base(text, p, beside=False).items())])
+    if terms is not None:
+        with_terms = texts_with_terms(docs, terms, p, text_col, id_col)
+        few = with_terms.count() <= p.broadcast_terms
+        side = with_terms.select(F.col("id").alias(f"{own}id"), F.col("print").alias(f"{own}print"), F.col("terms").alias(f"{own}terms"), F.col("places").alias(f"{own}places"))
+        docs_ = docs.join(F.broadcast(side) if few else side, F.col(id_col).eqNullSafe(F.col(f"{own}id")) & (F.xxhash64(text) == F.col(f"{own}print")), "left")
+
+        def term_cut(x: Column) -> Column:
+            about = F.filter(f"{own}terms", lambda t: t["term"] == x["term"])[0]
+            name = F.when(F.substring(text, (x["start"] + 1).cast("int"), F.lit(1)).rlike(r"\p{Lu}"), "NAME").otherwise("WORD")
+            shown = F.when(about["part"] >= p.remove, F.lit("")).otherwise(F.concat(F.lit("["), name, F.lit(":"), F.upper(about["kind"]), F.lit("]")))
+            return F.struct(x["start"], x["end"], F.lit(len(BASE_KINDS)), shown).cast(mark)
+
+        cuts = F.concat(cuts, F.coalesce(F.transform(f"{own}places", term_cut), F.array().cast(f"array<{mark}>")))
+    else:
+        docs_ = docs
+    state = "struct<upto: bigint, out: array<string>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        between = F.substring(text, (acc["upto"] + 1).cast("int"), (x["start"] - acc["upto"]).cast("int"))
+        inside = x["start"] < acc["upto"]  # of an overlap: already cut
+        out = F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(between, x["mark"])))
+        return F.struct(F.greatest(acc["upto"], x["end"]).alias("upto"), out.alias("out")).cast(state)
+
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["upto"] + 1).cast("int"), F.lit(2**31 - 1)))
+    zero = F.struct(F.lit(0).cast("bigint").alias("upto"), F.array().cast("array<string>").alias("out")).cast(state)
+    clean = F.when(F.size(f"{own}cuts") > 0, F.aggregate(F.array_sort(f"{own}cuts"), zero, step, rest)).otherwise(F.col(text_col))
+    marked = docs_.withColumn(f"{own}cuts", cuts)
+    return marked.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.backoff_lm import LmParams, score_texts
 from seqloom.llm.components import connected_components
 from seqloom.llm.cross_polytope import PolytopeParams, near_vectors
-from seqloom.llm.disclosure import DisclosureParams, find_personal_data, sanitise
+from seqloom.llm.disclosure import DisclosureParams, base_spans, disclosing_terms, find_personal_data, sanitise
 from seqloom.llm.mixing import apply_mix, mix
 from seqloom.llm.packing import PackingParams, WordEncoder, pack, plan
 from seqloom.llm.pu_quality import estimate_prior, score_quality, train
@@ -404,8 +404,54 @@ def test_disclosing_terms(spark):
     out = {r.doc_id: r for r in find_personal_data(df, p).collect()}
     assert all(out[i].n_term == 1 and out[i].n_email == 1 for i in range(5)) and out[65].spans == "term:0:6" and out[66].spans == ""
     clean = {r.doc_id: r.text for r in sanitise(df, p).collect()}
-    assert "[EMAIL]" in clean[0] and "[TERM] wrote" in clean[0] and "Zorbax" not in clean[0] and clean[65] == "[TERM] again" and clean[66] == texts[66]
+    assert "[EMAIL]" in clean[0] and "[NAME:EMAIL] wrote" in clean[0] and "Zorbax" not in clean[0] and clean[65] == "[NAME:EMAIL] again" and clean[66] == texts[66]
     assert sanitise(df).columns == df.columns
+    removed = {r.doc_id: r.text for r in sanitise(df, DisclosureParams(remove=0.9)).collect()}
+    assert "  wrote [EMAIL]" in removed[0] and removed[65] == " again"
+
+
+def test_term_scores_against_counting(spark):
+    rng = np.random.default_rng(31)
+    texts = [f"{prose(rng, 12)} {rng.choice(['Mirela', 'Otto', 'Quint'])} wrote a{rng.integers(0, 4)}@d{rng.integers(0, 2)}.org {prose(rng, 12)}" for _ in range(60)]
+    texts += [f"{prose(rng, 8)} {rng.choice(['Mirela', 'Tess'])} {prose(rng, 8)}" for _ in range(140)]
+    p = DisclosureParams(threshold=0.3)
+    df = docs_of(spark, texts)
+    words_of = lambda t: set(re.findall(r"[^\W\d_]+", t.lower()))
+    n_t, n_e, n_te = Counter(), Counter(), Counter()
+    for t in texts:
+        n_t.update(words_of(t))
+        seen = set()
+        for m in re.finditer(KINDS[0][1], t):
+            near = t[: m.start()].lower().split()[-8:] + t[m.end() :].lower().split()[:8]
+            terms = {x for w in near for x in re.findall(r"^[\W\d_]*([^\W\d_]+)[\W\d_]*$", w)} | {""}
+            local, domain = m.group().lower().split("@")
+            seen |= {(e, x) for e in (m.group().lower(), f"local:{local}", f"domain:{domain}") for x in terms}
+        n_e.update(e for e, x in seen if not x)
+        n_te.update((e, x) for e, x in seen if len(x) >= 3)
+    want = {}
+    for (e, x), k in n_te.items():
+        prior = min(0.5, n_e[e] / len(texts))
+        share = np.log2((k + p.smooth * prior) / (n_t[x] + p.smooth) / prior) / -np.log2(prior)
+        if share >= p.threshold:
+            want[x] = max(want.get(x, 0), share)
+    got = disclosing_terms(base_spans(df, p), df, p)
+    assert want and {r.term: pytest.approx(r.part) for r in got.collect()} == want
+    few = {r.doc_id: r.spans for r in find_personal_data(df, p).collect()}
+    many = {r.doc_id: r.spans for r in find_personal_data(df, DisclosureParams(threshold=0.3, broadcast_terms=0)).collect()}
+    assert few == many and "term" in "".join(few.values())
+    assert {r.text for r in sanitise(df, p).collect()} == {r.text for r in sanitise(df, DisclosureParams(threshold=0.3, broadcast_terms=0)).collect()}
+
+
+def test_sanitise_keeps_every_column_and_row(spark):
+    df = docs_of(spark, ["Zorbax wrote bob@corp.org twice bob@corp.org", None, "", "+49 176 123456789, 4111 1111 1111 1111"])
+    for c in ("s_text", "s_here", "cuts", "text2", "kind", "id", "print", "terms", "places", "t_id"):
+        df = df.withColumn(c, F.lit(c))
+    df = df.unionByName(df).unionByName(df.withColumn("doc_id", F.lit(None).cast("long")))
+    out = sanitise(df).collect()
+    assert sanitise(df).columns == df.columns and len(out) == 12 and all(r.cuts == "cuts" and r.s_text == "s_text" for r in out)
+    texts = Counter(r.text for r in out)
+    assert texts[None] == 3 and texts[""] == 3 and not any("@" in (t or "") or "4111" in (t or "") for t in texts)
+    assert len(find_personal_data(df).collect()) == 12 and sanitise(df.limit(0)).count() == 0
 
 
 def test_terms_of_rare_entities(spark):
@@ -416,7 +462,7 @@ def test_terms_of_rare_entities(spark):
     out = {r.doc_id: r.n_term for r in find_personal_data(df).collect()}
     assert [out[i] for i in range(5)] == [1] * 5 and not any(out[i] for i in range(5, 205))
     clean = {r.doc_id: r.text for r in sanitise(df).collect()}
-    assert all("[TERM] wrote [EMAIL]" in clean[i] for i in range(5))
+    assert all("[NAME:EMAIL] wrote [EMAIL]" in clean[i] for i in range(5))
 
 
 # 9

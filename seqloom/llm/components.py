@@ -3,15 +3,15 @@
 Each round replaces the edges of every vertex by edges to its smallest neighbour: first for the
 larger neighbours, then for the smaller ones. Only (vertex, vertex) rows are shuffled, minima are
 pre-aggregated before the shuffle, and a vertex with very many neighbours costs one row a
-neighbour, so no group is gathered in one task.
+neighbour, so no group is gathered in one task. A round's table goes once the next one is written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from seqloom.storage import stored
+from seqloom.storage import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,20 +27,28 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The stored edges, and their number and a sum over them, both taken while writing."""
+    seen = Observation()
+    out = stored(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")))
+    return out, (seen.get["n"], seen.get["sum"])
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component) for every vertex of ``edges`` (columns a, b): the smallest vertex it reaches.
 
-    Self-edges and repeated edges change nothing; a vertex without an edge to another one has no
+    Self-edges, repeated edges and edges with a null change nothing; a vertex without an edge to another one has no
     row; an empty table gives an empty result.
     """
-    now = stored(edges.select("a", "b").filter("a <> b and a is not null and b is not null").distinct())
-    mark = None
+    now, mark = _written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     for _ in range(max_rounds):
-        now = stored(_small_star(_large_star(now)))
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark or seen[0] == 0:
+        if mark[0] == 0:
+            break
+        before, was = now, mark
+        now, mark = _written(_small_star(_large_star(before)))
+        discard(before)
+        if mark == was:
             break
-        mark = seen
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

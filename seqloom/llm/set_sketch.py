@@ -8,25 +8,25 @@ alike, so bands of registers find candidates. For a candidate pair the counts of
 and equal registers give the likelihood of each similarity; pairs whose estimate lies far below the
 limit are dropped, all others are confirmed on their full sets.
 
-Work is kept near linear in the rows of a bucket. Documents with the same set are one class. Of the
-documents that share a bucket it is counted how many shingles each has to itself; two documents
-share at most the smaller number of what is left, which bounds their similarity from above. Pairs
-below the limit by that bound are never formed, and a document that can reach it with nobody is
-dropped. In each of ``star_rounds`` rounds every bucket offers one member as a pivot, first the one
-with the fewest shingles of its own, then others by hash; each document is compared with its most
-promising pivot, and confirmed links are contracted. What is left in buckets of several components
-is compared by its rarest shingles: with the shingles of each document in one common order, rarest
-first, two documents can only be similar enough if they share one of the first n - ceil(t * n) + 1.
-Documents of different components are paired at each rare one of these, one that ``rare`` documents
-or fewer hold. A pair that shares none of them shares no rare shingle at all, so for it the bound
-above holds with rare shingles counted as own ones; only pairs that pass it are formed in the buckets,
-each at the first bucket it shares.
-That loses no link, and neither the common text of a large group nor the edits of its members makes
-pairs that cannot be linked.
+Work is kept near linear in the rows of a bucket. Documents with the same set are one class. Every
+bucket offers two members as pivots; each document is compared with its most promising pivot, and
+confirmed links are contracted. What is left in buckets of several components is compared by its
+rarest shingles: with the shingles of each document in one common order, rarest first, two documents
+can only be similar enough if they share one of the first n - ceil(t * n) + 1. Documents of different
+components are paired at each rare one of these, one that ``rare`` documents or fewer hold. A pair
+that shares none of them shares no rare shingle at all, so its common shingles are at most the
+smaller number of shingles that are not rare; only pairs for which that bound reaches the limit are
+formed in the buckets. That loses no link, and neither the common
+text of a large group nor the edits of its members makes pairs that cannot be linked. Shingles are
+counted, and pivots chosen, with sums and minima in each task before the shuffle, so a shingle or a
+bucket that a third of the corpus shares is not gathered anywhere.
 
 Defined results: documents without words or with a null text are empty, link with nothing and are
-kept; repeated rows of one id are one document whose text is the first in order; ties go to the
-smallest id.
+kept; a text of any length is read whole; repeated rows of one id are one document whose text is the
+first in the order of set fingerprints; rows without an id are returned one by one, with component_id
+null and kept, and link with nothing; ties go to the smallest id; an empty table gives an empty
+result; ``near_duplicates`` returns its own columns only, ``keep_one_of_each`` every column and row
+of the kept documents, whatever the columns' names.
 """
 
 from __future__ import annotations
@@ -59,10 +59,8 @@ class SketchParams:
     rate: float = 20.0
     q: int = 65534
     margin: float = 0.20
-    star_rounds: int = 2
     rare: int = 16
     broadcast_ids: int = 500_000
-    items_a_shard: int = 1_000_000
     seed: int = 20
 
     @property
@@ -107,38 +105,33 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, p: Sk
     return grid[np.arange(len(grid)), like.argmax(axis=1)]
 
 
+def fingerprint(items: np.ndarray) -> str:
+    """Size and 128 hash bits of a set."""
+    with np.errstate(over="ignore"):
+        one, two = int(mix(items).sum(dtype=np.uint64)), int(mix(items ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
+    return f"{len(items):x}-{one:016x}{two:016x}"
+
+
 def _sketched(docs: DataFrame, p: SketchParams) -> DataFrame:
-    """(id, n, print, regs): set size, 128-bit fingerprint of the set, registers."""
+    """(id, lone, n, print, regs): set size, 128-bit fingerprint of the set, registers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                s = shingles(hash_words(words_of(text)), p.shingle)
-                with np.errstate(over="ignore"):
-                    one, two = int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-                rows.append((len(s), f"{len(s):x}-{one:016x}{two:016x}", registers(s, p).tobytes()))
+            sets = (shingles(hash_words(words_of(text)), p.shingle) for text in pdf["text"])
+            rows = [(len(s), fingerprint(s), registers(s, p).tobytes()) for s in sets]
             out = pd.DataFrame(rows, columns=["n", "print", "regs"])
-            out.insert(0, "id", pdf["id"].to_numpy())
+            out.insert(0, "lone", pdf["lone"].astype("Int64").to_numpy())
+            out.insert(0, "id", pdf["id"].astype("Int64").to_numpy())
             yield out
 
-    return docs.mapInPandas(run, "id long, n long, print string, regs binary")
-
-
-def _banded(reps: DataFrame, p: SketchParams) -> DataFrame:
-    """(id, keys): the bucket of each band of a set's registers; no bucket is shared by two bands."""
+    return docs.mapInPandas(run, "id long, lone long, n long, print string, regs binary")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(len(pdf), p.bands, p.rows).astype(np.uint64)
-            key = np.broadcast_to(np.arange(1, p.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), regs.shape[:2]).copy()
-            for j in range(p.rows):
-                key = mix(key + regs[:, :, j])
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "keys": list(key.view(np.int64))})
 
-    return reps.select("id", "regs").mapInPandas(run, "id long, keys array<long>")
+def _bands(reps: DataFrame, p: SketchParams) -> DataFrame:
+    """(key, id): the bucket of each band of a set's registers; no bucket is shared by two bands."""
+    width = 2 * p.rows
+    keys = F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * width + 1, F.lit(width))))
+    return reps.select(F.explode(keys).alias("key"), "id")
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, p: SketchParams) -> DataFrame:
@@ -159,80 +152,8 @@ def _estimated(pairs: DataFrame, reps: DataFrame, p: SketchParams) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a long, b long, est double")
 
 
-def _dealt(sets: DataFrame, bits: int) -> DataFrame:
-    """(shard, items, ids): the shingles of many documents by their leading bits, each with its document's id."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            items = np.frombuffer(b"".join(pdf["items"]), np.uint64)
-            ids = np.repeat(pdf["id"].to_numpy(), [len(x) // 8 for x in pdf["items"]])
-            order = np.argsort(items, kind="stable")
-            items, ids = items[order], ids[order]
-            shard = (items >> np.uint64(64 - bits)).astype(np.int64)
-            at = np.flatnonzero(np.diff(shard, prepend=-1))
-            ends = np.append(at[1:], len(shard))
-            yield pd.DataFrame({"shard": shard[at], "items": [items[i:j].tobytes() for i, j in zip(at, ends, strict=True)], "ids": [ids[i:j].tobytes() for i, j in zip(at, ends, strict=True)]})
-
-    return sets.mapInPandas(run, "shard long, items binary, ids binary")
-
-
-def _shard_bits(sets: DataFrame, p: SketchParams) -> int:
-    total = sets.agg(F.sum(F.expr("length(items) div 8"))).first()[0] or 0
-    return max(4, int(total // p.items_a_shard).bit_length())
-
-
-def _own_items(sets: DataFrame, p: SketchParams) -> DataFrame:
-    """(id, n, open): set size, and how many shingles of a document are not its own alone among ``sets``."""
-
-    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
-        items, ids = np.frombuffer(b"".join(pdf["items"]), np.uint64), np.frombuffer(b"".join(pdf["ids"]), np.int64)
-        _, inverse, counts = np.unique(items, return_inverse=True, return_counts=True)
-        who, open_ = np.unique(ids[counts[inverse] > 1], return_counts=True)
-        return pd.DataFrame({"id": who, "open": open_})
-
-    shards = _dealt(sets, _shard_bits(sets, p))
-    shared = shards.groupBy("shard").applyInPandas(counted, "id long, open long").groupBy("id").agg(F.sum("open").alias("open"))
-    return sets.select("id", F.expr("length(items) div 8").alias("n")).join(shared, "id").select("id", "n", "open")
-
-
-def _rarest(sets: DataFrame, p: SketchParams) -> DataFrame:
-    """(token, id, few, core): for each document the shingles of which a similar one must share at least one.
-
-    ``few``: whether the shingle is rare; ``core``: how many shingles of the document are not.
-    """
-    bits = _shard_bits(sets, p)
-
-    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
-        items, ids = np.frombuffer(b"".join(pdf["items"]), np.uint64), np.frombuffer(b"".join(pdf["ids"]), np.int64)
-        _, inverse, counts = np.unique(items, return_inverse=True, return_counts=True)
-        order = np.argsort(ids, kind="stable")
-        items, ids, spread = items[order], ids[order], counts[inverse][order].astype("<i8")
-        at = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1))
-        ends = np.append(at[1:], len(ids))
-        return pd.DataFrame({"id": ids[at], "items": [items[i:j].tobytes() for i, j in zip(at, ends, strict=True)], "spread": [spread[i:j].tobytes() for i, j in zip(at, ends, strict=True)]})
-
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens, ids, few, core = [], [], [], []
-        for who, g in pdf.groupby("id"):
-            items, spread = np.frombuffer(b"".join(g["items"]), np.uint64), np.frombuffer(b"".join(g["spread"]), "<i8")
-            n = len(items)
-            least = -(-p.threshold * n // 100)
-            keep = np.lexsort((items, spread))[: n - least + 1]
-            keep = keep[spread[keep] > 1]  # nobody else has the others
-            tokens.append(items[keep])
-            ids.append(np.full(len(keep), who))
-            few.append(spread[keep] <= p.rare)
-            core.append(np.full(len(keep), (spread > p.rare).sum()))
-        return pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "id": np.concatenate(ids).astype(np.int64), "few": np.concatenate(few), "core": np.concatenate(core).astype(np.int64)})
-
-    parts = _dealt(sets, bits).groupBy("shard").applyInPandas(counted, "id long, items binary, spread binary")
-    return parts.groupBy(F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("part")).applyInPandas(first, "token long, id long, few boolean, core long")
-
-
 def _reachable(n1: str, o1: str, n2: str, o2: str, p: SketchParams) -> str:
-    """SQL: whether two sets of these sizes and numbers of shared shingles can be similar enough."""
+    """SQL: whether two sets of these sizes can be similar enough if they share at most the smaller of o1 and o2 shingles."""
     return f"100 * least({o1}, {o2}) >= {p.threshold} * ({n1} + {n2} - least({o1}, {o2}))"
 
 
@@ -240,88 +161,86 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, p: SketchParams) -> DataFrame:
     """(a, b) of the pairs that are linked, counted on their full sets."""
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("sb"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep = []
-            for one, two in zip(pdf["sa"], pdf["sb"], strict=True):
-                x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * both >= p.threshold * (len(x) + len(y) - both))
-            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
-
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").filter(100 * both >= p.threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, p: SketchParams) -> DataFrame:
-    """(id, items) for the wanted documents: the sorted shingle hashes as bytes."""
+    """(id, items) for the wanted documents (id, print): the sorted hashes of the shingles; texts of an id with another print are passed over."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "items": [shingles(hash_words(words_of(t)), p.shingle).tobytes() for t in pdf["text"]]})
+            sets = [shingles(hash_words(words_of(t)), p.shingle) for t in pdf["text"]]
+            right = [fingerprint(s) == x for s, x in zip(sets, pdf["print"], strict=True)]
+            yield pd.DataFrame({"id": pdf["id"][right], "items": [s.view(np.int64) for s, ok in zip(sets, right, strict=True) if ok]})
+
+    return docs.join(wanted, "id").select("id", "text", "print").mapInPandas(run, "id long, items array<long>")
 
-    return docs.join(wanted, "id", "left_semi").mapInPandas(run, "id long, items binary")
+
+def _rarest(sets: DataFrame, p: SketchParams) -> DataFrame:
+    """(id, n, core, prefix): for each set how many of its shingles are not rare, and the (count, token) of which a similar set must share one.
+
+    Counts are numbers of sets in ``sets``; shingles that no other set has are left out.
+    """
+    tokens = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("token"))
+    counts = stored(tokens.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1"))
+    shared = tokens.join(counts, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("k", "token"))).alias("shared"))
+    # rarest first: the n - |shared| shingles of its own come before these
+    length = F.expr(f"n - cast(ceil({p.threshold} * n / 100) as int) + 1 - (n - size(shared))")
+    prefix = F.when(length > 0, F.slice("shared", F.lit(1), F.greatest(length, F.lit(1)))).otherwise(F.slice("shared", 1, 0))
+    return shared.filter(f"100 * size(shared) >= {p.threshold} * n").select("id", "n", F.size(F.filter("shared", lambda x: x["k"] > p.rare)).alias("core"), prefix.alias("prefix"))
+
+
+def _left_pairs(left: DataFrame, sets: DataFrame, p: SketchParams) -> DataFrame:
+    """(a, b): the pairs of different components that may be linked, among documents (key, id, c) of buckets with several components."""
+    docs = stored(left.select("id", "c").distinct())
+    ranked = stored(_rarest(sets.join(docs.select("id"), "id", "left_semi"), p).join(docs, "id"))
+    rare = ranked.select("id", "c", "n", F.explode(F.filter("prefix", lambda x: x["k"] <= p.rare)).alias("x")).select("id", "c", "n", F.col("x.token").alias("token"))
+    twin = rare.select("token", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("n").alias("n2"))
+    at_rare = rare.join(twin, "token").filter("c < c2").filter(_reachable("n", "n", "n2", "n2", p)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    cores = ranked.filter(f"100 * core >= {p.threshold} * n").select("id", "n", "core")
+    spots = left.join(cores, "id").select("key", "id", "c", "n", "core")
+    mixed = stored(spots.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"))
+    spots = stored(spots.join(mixed, "key"))
+    other = spots.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("core").alias("o2"))
+    at_core = spots.join(other, "key").filter("c < c2").filter(_reachable("n", "core", "n2", "o2", p)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    return at_rare.unionAll(at_core).distinct()
 
 
 def near_duplicates(docs: DataFrame, p: SketchParams = SketchParams(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links), kept, n_same (documents with the same set)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    sketches = stored(_sketched(texts, p).groupBy("id").agg(F.min(F.struct("print", "n", "regs")).alias("s")).select("id", "s.*"))
-    full = sketches.filter("n > 0")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    lone = F.when(F.col("id").isNull(), F.monotonically_increasing_id())
+    sketches = stored(_sketched(texts.withColumn("lone", lone), p).groupBy("id", "lone").agg(F.min(F.struct("print", "n", "regs")).alias("s"), F.count("*").alias("rows")).select("id", "lone", "s.*", "rows"))
+    full = sketches.filter("n > 0 and id is not null")
     reps = stored(full.groupBy("print").agg(F.min("id").alias("id"), F.count("*").alias("n_same"), F.first("n").alias("n"), F.first("regs").alias("regs")))
-    banded = _banded(reps, p)
-    bands = banded.select(F.explode("keys").alias("key"), "id")
-    shared = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
+    bands = _bands(reps, p)
+    by_hash = F.min_by("id", F.xxhash64("id"))
+    shared = stored(bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), by_hash.alias("pick")).filter("lo < hi").select("key", "lo", "pick"))
     members = stored(bands.join(shared, "key"))
-    wanted = stored(members.select("id").distinct())
+    wanted = stored(reps.select("id", "print").join(members.select("id").distinct(), "id"))
     few = wanted.count() <= p.broadcast_ids
-    sets = stored(_full_sets(texts, F.broadcast(wanted) if few else wanted, p))
-    possible = _own_items(sets, p).filter(f"100 * open >= {p.threshold} * n")
-    members = stored(members.join(possible, "id"))
-    component = None
-    edges = None
-    for r in range(p.star_rounds + 1):
-        if component is None:
-            left = members.withColumn("c", F.col("id"))
-        else:
-            left = members.join(component, F.col("id") == F.col("node"), "left").select("key", "id", "n", "open", F.coalesce("component", "id").alias("c"))
-            mixed = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-            left = stored(left.join(mixed, "key"))
-            if left.isEmpty():
-                break
-        if r < p.star_rounds:
-            first = F.xxhash64(F.col("id"), F.lit(r)) if r else (F.col("n") - F.col("open")) / F.col("n")
-            pick = F.struct(first.alias("h"), F.col("id").alias("pivot"), F.col("c").alias("pc"), F.col("n").alias("pn"), F.col("open").alias("po"))
-            pivots = left.groupBy("key").agg(F.min(pick).alias("x")).select("key", "x.pivot", "x.pc", "x.pn", "x.po")
-            pairs = left.join(pivots, "key").filter("c <> pc").filter(_reachable("n", "open", "pn", "po", p)).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-            best = _estimated(pairs, reps, p).groupBy("a").agg(F.max(F.struct("est", "b")).alias("x")).select("a", "x.b")
-        else:
-            docs_left = left.select("id", "n", "open", "c").distinct()
-            tokens = _rarest(sets.join(docs_left.select("id"), "id", "left_semi"), p).join(docs_left, "id")
-            tokens = stored(tokens.select("token", "id", "c", "n", "open", "few", "core"))
-            rare = tokens.filter("few")
-            twin = rare.select("token", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("open").alias("o2"))
-            at_rare = rare.join(twin, "token").filter("c < c2").filter(_reachable("n", "open", "n2", "o2", p)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
-            cores = tokens.filter(f"not few and 100 * core >= {p.threshold} * n").select("id", "c", "n", "core").distinct()
-            spots = banded.join(cores, "id").select("id", "c", "n", "core", "keys", F.posexplode("keys").alias("pos", "key"))
-            mixed = spots.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-            spots = stored(spots.join(mixed, "key"))
-            other = spots.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("core").alias("o2"), F.col("keys").alias("k2"))
-            met = F.arrays_overlap(F.slice("keys", F.lit(1), F.col("pos")), F.slice("k2", F.lit(1), F.col("pos")))
-            at_core = spots.join(other, "key").filter("c < c2").filter(_reachable("n", "core", "n2", "o2", p)).filter(~met).select(F.col("id").alias("a"), F.col("id2").alias("b"))
-            best = _estimated(at_rare.unionAll(at_core).distinct(), reps, p)
-        found = _confirmed(best, sets, p)
-        edges = stored(found if edges is None else edges.unionAll(found))
-        component = stored(connected_components(edges))
-    classes = reps.select("print", F.col("id").alias("rep"), "n_same")
-    if component is not None:
-        classes = classes.join(component, F.col("rep") == F.col("node"), "left").select("print", "n_same", F.coalesce("component", "rep").alias("component_id"))
-    else:
-        classes = classes.select("print", "n_same", F.col("rep").alias("component_id"))
-    linked = sketches.select("id", "n", F.when(F.col("n") > 0, F.col("print")).alias("print")).join(classes, "print", "left")
+    sets = _full_sets(texts, F.broadcast(wanted) if few else wanted, p)
+    sets = stored(sets if sketches.filter("id is not null and rows > 1").isEmpty() else sets.dropDuplicates(["id"]))
+    pairs = members.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("lo", "pick"))).alias("b")).filter("a <> b").distinct()
+    best = _estimated(pairs, reps, p).groupBy("a").agg(F.max(F.struct("est", "b")).alias("x")).select("a", "x.b")
+    component = stored(connected_components(_confirmed(best, sets, p)))
+    placed = members.select("key", "id").join(component, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    mixed = stored(placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"))
+    left = stored(placed.join(mixed, "key"))
+    more = stored(_confirmed(_estimated(_left_pairs(left, sets, p), reps, p), sets, p))
+    if not more.isEmpty():
+        # links between components: these are contracted, not the documents
+        of = lambda x: component.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        links = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        joined = stored(connected_components(links)).select(F.col("node").alias("c"), F.col("component").alias("to"))
+        ids = component.select("node", F.col("component").alias("c")).unionAll(joined.select(F.col("c").alias("node"), "c")).distinct()
+        component = stored(ids.join(joined, "c", "left").groupBy("node").agg(F.min(F.coalesce("to", "c")).alias("component")))
+    classes = reps.select("print", F.col("id").alias("rep"), "n_same").join(component, F.col("rep") == F.col("node"), "left").select("print", "n_same", F.coalesce("component", "rep").alias("component_id"))
+    linked = sketches.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("print")).alias("print")).join(classes, "print", "left")
     component_id = F.coalesce("component_id", "id")
     return linked.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component_id.alias("component_id"), (component_id == F.col("id")).alias("kept"), F.coalesce("n_same", F.lit(1).cast("long")).alias("n_same")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.coalesce(component_id == F.col("id"), F.lit(True)).alias("kept"), F.coalesce("n_same", F.lit(1).cast("long")).alias("n_same")
     )
 
 

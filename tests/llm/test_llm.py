@@ -55,7 +55,7 @@ def test_near_duplicates_against_all_pairs(spark):
             texts.append(" ".join(w))
     texts += [base[0], base[0].upper(), prose(rng, 6000)]
     df = docs_of(spark, texts).withColumn("id", F.lit(1)).withColumn("component", F.lit("x"))
-    got = {r.doc_id: r for r in near_duplicates(df, SketchParams(star_rounds=1, rare=3)).collect()}
+    got = {r.doc_id: r for r in near_duplicates(df, SketchParams(rare=3)).collect()}
     sets = [set(zip(w, w[1:], w[2:])) if len(w) > 2 else ({tuple(w)} if w else set()) for w in map(words, texts)]
     top = list(range(len(texts)))
     for _ in texts:

@@ -14,7 +14,7 @@ from seqloom.llm.backoff_lm import LmParams, score_texts
 from seqloom.llm.components import connected_components
 from seqloom.llm.cross_polytope import PolytopeParams, near_vectors
 from seqloom.llm.disclosure import DisclosureParams, base_spans, disclosing_terms, find_personal_data, sanitise
-from seqloom.llm.mixing import apply_mix, mix
+from seqloom.llm.mixing import BANDS, MixParams, apply_mix, mix
 from seqloom.llm.packing import PackingParams, WordEncoder, pack, plan
 from seqloom.llm.pu_quality import estimate_prior, score_quality, train
 from seqloom.llm.quality_rules import BINS, CLASSES, BandParams, Bands, apply_quality_rules, fit_bands, fitted_bands, length_class, quality_rules
@@ -250,6 +250,58 @@ def test_mixing_meets_targets(spark):
     assert mix(df.limit(0)).count() == 0
 
 
+def test_mixing_solves_the_dual(spark):
+    rng = np.random.default_rng(19)
+    sources = [["a", "b", "c", "d"][int(i)] for i in rng.choice(4, 300, p=[0.5, 0.2, 0.2, 0.1])]
+    sizes = np.minimum(rng.lognormal(3, 1, 300), 300).astype(int) + 1
+    p = MixParams()
+    rows = mix(docs_of(spark, [prose(rng, int(n)) for n in sizes], sources)).collect()
+    size, rate = np.array([r.size for r in rows], float), np.array([r.rate for r in rows])
+    names = sorted({r.source for r in rows})
+    of = np.array([names.index(r.source) for r in rows])
+    target = np.array([next(r.target for r in rows if r.source == n) for n in names])
+    source_size = np.bincount(of, size)
+    free = target < p.cap * source_size * (1 - 1e-9)
+    assert free.sum() >= 2 and (~free).any() and (rate[~free[of]] == p.cap).all()
+    assert all(np.sum(size[of == s] * rate[of == s]) == pytest.approx(target[s], rel=1e-7) for s in np.flatnonzero(free))
+    assert all(np.ptp(rate[of == s]) > 0.05 for s in np.flatnonzero(free)) and (rate > 0).all() and (rate <= p.cap).all()
+    # the dual itself, all multipliers at once by plain Newton steps with halving
+    x = size / (size.sum() / len(size))
+    band = np.minimum(BANDS - 1, np.floor(np.log2(size))).astype(int)
+    use = free[of]
+    t = target / (size.sum() / len(size))
+    want = np.bincount(band, x, BANDS) / x.sum() * (t[free].sum() + p.cap * x[~use].sum()) - p.cap * np.bincount(band, x * ~use, BANDS)
+    hold = p.softness * (x * x).sum() / BANDS
+    a = np.concatenate([np.eye(len(names))[of], np.eye(BANDS)[band]], axis=1)[use] * x[use, None]
+    a = a[:, np.r_[free, np.full(BANDS, True)]]
+    goal = np.concatenate([t[free], want])
+    ridge = np.concatenate([np.zeros(free.sum()), np.full(BANDS, hold)])
+    dual = lambda y: np.sum(p.cap * np.logaddexp(np.log(p.cap - 1), a @ y)) - goal @ y + (ridge * y * y).sum() / 2
+    y = np.zeros(len(goal))
+    for _ in range(200):
+        r = p.cap / (1 + (p.cap - 1) * np.exp(-a @ y))
+        gradient = a.T @ r - goal + ridge * y
+        move = np.linalg.solve((a * (r * (1 - r / p.cap))[:, None]).T @ a + np.diag(ridge + 1e-9), gradient)
+        k = 1.0
+        while dual(y - k * move) > dual(y) + 1e-12 and k > 1e-9:
+            k /= 2
+        y = y - k * move
+    assert np.abs(gradient).max() < 1e-6
+    assert np.allclose(p.cap / (1 + (p.cap - 1) * np.exp(-a @ y)), rate[use], atol=1e-5)
+
+
+def test_mixing_columns_and_odd_rows(spark):
+    df = docs_of(spark, ["a b c"] * 6 + [None, "", "x " * 3000], ["s", None, "t"] * 3)
+    for c in ("m_rows", "m_size0", "m_key", "s", "size", "target"):
+        df = df.withColumn(c, F.lit(c))
+    df = df.unionByName(df).unionByName(df.withColumn("doc_id", F.lit(None).cast("long")))
+    rows = mix(df).collect()
+    assert len(rows) == 27 and all(r.taken <= 2 * r.size for r in rows)
+    out = apply_mix(df)
+    assert out.columns == df.columns and out.count() == sum(r.copies for r in rows) and apply_mix(df.limit(0)).count() == 0
+    assert {r.m_rows for r in out.collect()} == {"m_rows"}
+
+
 # 5
 
 

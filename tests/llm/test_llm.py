@@ -398,17 +398,43 @@ def test_urls(spark):
     assert filter_urls(spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")).first().verdict == "allow"
 
 
-def test_url_models_count_every_row(spark):
-    urls = [f"http://x.org/a{i % 10}" for i in range(60)] + ["http://x.org/bc"] * 3 + ["http://example.org/es/q"] * 7 + [f"http://y.com/de/{i}" for i in range(9)]
-    counts = {v: Counter() for v in ("allow", "block")}
-    for u in urls:
-        counts["allow" if "x.org" in u else "block"].update(re.sub("[0-9]", "0", u))
-    asked = "http://q.net/abc"
-    prob = lambda v, c: (counts[v][c] + len(counts[v]) / SYMBOLS) / (counts[v].total() + len(counts[v]))
-    want = np.mean([np.log10(prob("allow", c) / prob("block", c)) if any(counts[v][c] for v in counts) else 0 for c in asked])
-    rows = list(enumerate([*urls, asked]))
-    out = filter_urls(spark.createDataFrame(rows, "page_id long, url string"), UrlParams(context=0, folds=2**31 - 1)).filter("rule is null").collect()
-    assert len(out) == 1 and out[0].ratio == pytest.approx(want)
+def plain_url_model(urls, context, least):
+    """Witten-Bell by recursion over dictionaries; grams that stand fewer than ``least`` times are not kept."""
+    counts = [Counter(), Counter()]
+    for u, v in urls:
+        t = "^" * context + re.sub("[^a-z0/.\\-_?=&%#:]", "~", re.sub("[0-9]", "0", u.lower()))
+        for i in range(context, len(t)):
+            counts[v].update(t[i - k : i + 1] for k in range(context + 1))
+    kept = {g for g in {*counts[0], *counts[1]} if counts[0][g] + counts[1][g] >= least}
+
+    def prob(v, ctx, sym):
+        lower = prob(v, ctx[1:], sym) if ctx else 1 / SYMBOLS
+        here = [g for g in kept if len(g) == len(ctx) + 1 and g[:-1] == ctx]
+        n, t = sum(counts[v][g] for g in here), sum(counts[v][g] > 0 for g in here)
+        c = counts[v][ctx + sym] if ctx + sym in kept else 0
+        return (c + t * lower) / (n + t) if n else lower
+
+    def ratio(u):
+        t = "^" * context + re.sub("[^a-z0/.\\-_?=&%#:]", "~", re.sub("[0-9]", "0", u.lower()))
+        spots = [(t[i - context : i], t[i]) for i in range(context, len(t))]
+        return np.mean([np.log10(prob(1, c, s) / prob(0, c, s)) for c, s in spots])
+
+    return ratio, prob, len(kept)
+
+
+@pytest.mark.parametrize(("context", "least"), [(0, 1), (2, 1), (4, 1), (4, 8)])
+def test_url_models_against_recursion(spark, context, least):
+    urls = [(f"http://x.org/a{i % 10}", 1) for i in range(60)] + [("http://x.org/bc", 1)] * 3 + [("http://example.org/es/q", 0)] * 7 + [(f"http://y.com/de/{i}", 0) for i in range(9)]
+    asked = ["http://q.net/abc", "ftp://example.net/Ä/es/", "x", "http://x.net/a11?z", "y" * 4000]
+    ratio, prob, n_kept = plain_url_model(urls, context, least)
+    symbols = "abcdefghijklmnopqrstuvwxyz0~^" + "/.-_?=&%#:"
+    assert sum(prob(1, "/x.o"[-context:] if context else "", s) for s in symbols) == pytest.approx(1)
+    rows = list(enumerate([*(u for u, _ in urls), *asked, None, ""]))
+    most = 10**6 if least == 1 else n_kept
+    out = filter_urls(spark.createDataFrame(rows, "page_id long, url string"), UrlParams(context=context, folds=2**31 - 1, most_grams=most)).filter("rule is null").collect()
+    got = {r.page_id - len(urls): r.ratio for r in out}
+    assert got.pop(len(asked)) == got.pop(len(asked) + 1) == 0
+    assert got == {i: pytest.approx(ratio(u)) for i, u in enumerate(asked)}
 
 
 # 8

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm.backoff_lm import LmParams, score_texts
+from seqloom.llm.backoff_lm import LmParams, _counts_of, _counts_to, _grown, _shrunk, score_texts
 from seqloom.llm.components import connected_components
 from seqloom.llm.cross_polytope import PolytopeParams, near_vectors
 from seqloom.llm.disclosure import DisclosureParams, base_spans, disclosing_terms, find_personal_data, sanitise
@@ -305,41 +305,71 @@ def test_mixing_columns_and_odd_rows(spark):
 # 5
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_language_model_against_counting(spark, order):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_against_a_plain_automaton(spark, order):
     rng = np.random.default_rng(11)
-    texts = [None, "", "A b a"] + [prose(rng, int(n)) for n in rng.integers(1, 60, 60)]
-    p = LmParams(order=order, mu=3.0, block_bytes=2000)
-    out = {r.doc_id: r for r in score_texts(docs_of(spark, texts).withColumn("score", F.lit(1)), p).collect()}
+    few = lambda n: " ".join(rng.choice(WORDS[:5]) for _ in range(n))
+    texts = [None, "", "A b a", "a b a"] + [prose(rng, int(n)) for n in rng.integers(1, 60, 30)] + [few(int(n)) for n in rng.integers(1, 60, 30)] + [few(9000)]
+    p = LmParams(order=order, scale=(3.0, 2.0), power=(0.7, 0.4), block_bytes=2000)
+    df = docs_of(spark, texts)
+    df = df.unionByName(df.filter("doc_id = 7")).unionByName(df.filter("doc_id in (2, 9)").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    out = score_texts(df.withColumn("score", F.lit(1)).withColumn("block", F.lit("x")), p).collect()
     pad = max(1, order - 1)
-    tokens = {i: [b"<s>"] * pad + words(t) + [None] for i, t in enumerate(texts)}
-    held = {i for i in tokens if zlib.crc32(str(i).encode()) % 7 == 2}
-    counts = [Counter() for _ in range(order + 1)]
-    for i, w in tokens.items():
-        if i not in held:
-            for k in range(1, order + 1):
-                counts[k].update(tuple(w[j - k + 1 : j + 1]) for j in range(k - 1, len(w)))
-    known = {g: c for g, c in counts[1].items() if g != (b"<s>",)}
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = lambda t: [b"<s>"] * pad + words(t) + [None]
+    counts = Counter()
+    for i, t in rows:
+        if not held(i):
+            w = tokens(t)
+            counts.update(tuple(w[j - k + 1 : j + 1]) for k in range(1, order + 1) for j in range(k - 1, len(w)))
+    known = {g[0]: c for g, c in counts.items() if len(g) == 1 and g != (b"<s>",)}
     n, v = sum(known.values()), len(known)
     n1, n2 = (sum(c == x for c in known.values()) for x in (1, 2))
     d = n1 / (n1 + 2 * n2)
-    for i, w in tokens.items():
+    strength = lambda h: (3.0, 2.0)[min(len(h), 2) - 1] * counts[h] ** (0.7, 0.4)[min(len(h), 2) - 1]
+
+    def weight(h, w):
+        if not h:
+            return (known[w] - d) / n if w in known else d * v / n
+        return (counts[(*h, w)] + strength(h) * weight(h[1:], w)) / (counts[h] + strength(h)) if counts[h] else weight(h[1:], w)
+
+    arcs = {(g[:-1], g[-1]): weight(g[:-1], g[-1]) for g in counts if g[-1] != b"<s>" and (len(g) == 1 or counts[g[:-1]])}
+    failures = {g: strength(g) / (counts[g] + strength(g)) for g in counts if len(g) < order}
+    heads = [(), (b"alpha",), (b"beta", b"alpha")[: order - 1]]
+    assert all(sum(weight(h, w) for w in [*known, b"?"]) == pytest.approx(1) for h in heads)
+
+    def traverse(t):
+        w = tokens(t)
+        state = tuple(w[: order - 1])
+        while state and state not in failures:
+            state = state[1:]
         base = score = 0.0
-        for j in range(pad, len(w)):
-            c = known.get((w[j],), 0)
-            base += np.log10((c + 1) / (n + v + 1))
-            prob = (c - d) / n if c else d * v / n
-            for k in range(2, order + 1):
-                context = tuple(w[j - k + 1 : j])
-                prob = (counts[k][(*context, w[j])] + p.mu * prob) / (counts[k - 1][context] + p.mu)
-            score += np.log10(prob)
-        r = out[i]
-        assert (r.held_out, r.n_tokens, r.train_tokens) == (i in held, len(w) - pad, n)
-        assert r.n_known == sum((x,) in known for x in w[pad:])
-        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
+        for x in w[pad:]:
+            base += np.log10((known.get(x, 0) + 1) / (n + v + 1))
+            while state and (state, x) not in arcs:
+                score += np.log10(failures[state])
+                state = state[1:]
+            score += np.log10(arcs.get((state, x), d * v / n))
+            state = (*state, x)[-(order - 1) :] if (state, x) in arcs else ()
+            while state and state not in failures:
+                state = state[1:]
+        return base, score
+
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in out)
+    want = sorted(((-1 if i is None else i), held(i), len(words(t)) + 1, sum(x in known for x in [*words(t), None]), n, *traverse(t)) for i, t in rows)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [g[5:] for g in got] == [pytest.approx(w[5:]) for w in want]
     assert score_texts(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_language_model_counts_and_keys_keep_their_values():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2))
+    counts = np.array([0, 1, 2**31, 2**32 + 5, 2**52], np.int64)
+    assert (_grown(_shrunk(keys)) == keys).all() and (_counts_of(_counts_to(counts)) == counts).all()
+
+
 # 6
 
 

@@ -12,8 +12,10 @@ third of all documents share is not gathered anywhere.
 All cuts lie at window boundaries of a document, so checksums are known when it is tokenised and
 no ids are shuffled. A sequence is padded to the window, except where its length is a power of two.
 
-Defined results: a null or empty text is one end id; repeated rows are packed one by one; an
-empty table gives no pieces.
+Defined results: a null or empty text is one end id; a text of any length is read whole; repeated rows
+and rows without an id are packed one by one, told apart by ``row_copy``; among equal lengths places
+go by hash and id; an empty table gives no pieces; only the operator's own columns are returned,
+whatever others ``docs`` has.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,53 +39,86 @@ from seqloom.storage import stored
 
 @dataclass(frozen=True)
 class PackingParams:
-    """``cached_words``: word encodings that a worker keeps before it starts afresh. ``slices``: hashed slices of one length."""
+    """``cached_words``: word encodings of a generation that a worker keeps. ``slices``: least hashed slices of one length; one for each ``slice_rows`` documents."""
 
     window: int = 2048
     end_id: int = 1
     iterations: int = 200
-    cached_words: int = 1_000_000
+    cached_words: int = 500_000
     slices: int = 256
+    slice_rows: int = 100_000
 
 
-#: A full stop or comma between a letter or digit and white space, which the tokenizer splits off in any case.
-_PUNCTUATION = re.compile(rb"[.,](?<=[a-z0-9][.,])(?=[\x20\x09-\x0D]|\Z)")
+#: What the tokenizer takes apart in a word of ASCII characters and Latin-1 letters without an apostrophe: runs of letters, single digits, runs of marks.
+_PIECES = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
-class WordEncoder:
-    """Encodes texts word by word.
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it can be printed, else the next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [x for x in range(256) if x not in shown]
+    return [chr(x) if x in shown else chr(256 + hidden.index(x)) for x in range(256)]
 
-    The tokenizer lower-cases, splits at white space and between letters and punctuation, and never
-    looks across such a place, so equal words have equal ids and each is encoded once.
+
+class WordEncoder(dict):
+    """Encodes texts word by word; a dictionary from words to their ids as little-endian unsigned 32-bit numbers.
+
+    The tokenizer lower-cases, splits at white space and between letters, digits and marks, and never
+    looks across such a place, so equal words have equal ids and each is encoded once, plain ones
+    piece by piece with the tokenizer's model alone. A text that holds one of the tokenizer's special
+    tokens is given to it whole. At ``cached_words`` words a new generation begins, to which those
+    move that are met again.
     """
 
     def __init__(self, path: str, cached_words: int) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # no single word is one
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
-        self.cached_words, self.known = cached_words, {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        words = [_PUNCTUATION.sub(rb" \g<0>", t.encode().translate(TO_LOWER)).split() for t in texts]
-        known = self.known
-        new = {w for ws in words for w in ws if w not in known}
-        if len(known) + len(new) > self.cached_words:
-            known.clear()
-            new = {w for ws in words for w in ws}
-        # a word of ASCII letters is one piece to the tokenizer, so its model alone encodes it
-        plain = [w for w in new if w.isalpha()]
-        other = [w for w in new if not w.isalpha()]
-        for w in plain:
-            known[w] = array("I", [x.id for x in self.model.tokenize(w.decode())]).tobytes()
-        for i in range(0, len(other), 4096):
-            some = other[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        self.cached_words, self.before, self.letters = cached_words, {}, _byte_letters()
+
+    def _encoded(self, word: bytes) -> bytes:
+        if word.isalpha():
+            text = word.decode()
+        else:
+            pieces = _PIECES.findall(word)
+            if sum(map(len, pieces)) < len(word):
+                return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+            if len(pieces) > 1:
+                return b"".join([self[x] for x in pieces])
+            text = "".join([self.letters[c] for c in word.decode().lower().encode()])
+        return array("I", [x.id for x in self.model.tokenize(text)]).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self._encoded(word)
+        if len(self) >= self.cached_words:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def _whole(self, text: str) -> bytes:
+        self.tokenizer.encode_special_tokens = False
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.tokenizer.encode_special_tokens = True
+        return array("I", ids).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit numbers."""
+        if any(x in text for x in self.special):
+            return self._whole(text)
+        return b"".join(map(self.__getitem__, text.encode().translate(TO_LOWER).split()))
+
+
+@lru_cache(1)
+def _encoder(path: str, cached_words: int) -> WordEncoder:
+    """A worker's encoder: kept from task to task."""
+    return WordEncoder(path, cached_words)
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, p: PackingParams, text_col: str, id_col: str) -> DataFrame:
@@ -93,14 +129,14 @@ def tokenised(docs: DataFrame, tokenizer_path: str, p: PackingParams, text_col:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = WordEncoder(tokenizer_path, p.cached_words)
+        encode = _encoder(tokenizer_path, p.cached_words).encode
         end = np.array([p.end_id], "<u4").tobytes()
         for pdf in batches:
             for i in range(0, len(pdf), 512):
                 x = pdf.iloc[i : i + 512]
                 rows = []
-                for data in encode([t or "" for t in x["text"]]):
-                    data += end
+                for text in x["text"]:
+                    data = encode(text or "") + end
                     rows.append((len(data) // 4, [zlib.crc32(data[j : j + step]) for j in range(0, len(data), step)], len(data) % step // 4))
                 out = pd.DataFrame(rows, columns=["n", "crcs", "tail"])
                 out.insert(0, "id", x["id"].to_numpy())
@@ -254,9 +290,10 @@ def pack(docs: DataFrame, tokenizer_path: str, p: PackingParams = PackingParams(
     w = p.window
     tails = tokens.filter("tail > 0").select("id", "copy", "n", "tail", (F.col("n") - F.col("tail")).alias("start"), F.element_at("crcs", -1).alias("crc"))
     kinds = "id long, copy long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    tail_pieces = _ranked(tails, ["tail"], p.slices).mapInPandas(placed, kinds)
+    slices = max(p.slices, sum(counts.values()) // p.slice_rows)
+    tail_pieces = _ranked(tails, ["tail"], slices).mapInPandas(placed, kinds)
     # whole windows: numbered after the planned sequences, by slice and then within it
-    many = tokens.filter(f"n >= {w}").withColumn("slice", F.pmod(F.xxhash64("id", "copy"), F.lit(p.slices))).withColumn("whole", F.expr(f"n div {w}"))
+    many = tokens.filter(f"n >= {w}").withColumn("slice", F.pmod(F.xxhash64("id", "copy"), F.lit(slices))).withColumn("whole", F.expr(f"n div {w}"))
     parts = F.pmod(F.xxhash64("copy"), F.lit(64))
     sums = many.withColumn("part", parts).groupBy("slice", "part").agg(F.sum("whole").alias("in_part"))
     before = F.coalesce(F.sum("in_part").over(Window.orderBy("slice", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -140,11 +140,14 @@ def test_encoder_is_the_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    texts = ["", "Hello, World. it's  I'LL\tgo...\n", "a.b, c,, d!? 12.5, é, <|endoftext|> x.", " nb sp\x1cq\x85r", "ΑΣ Σ. ẞ İ é café,", "9.\n.,", "x" * 5000 + "."]
-    e = WordEncoder(tokenizer_path(), 3)
-    for text, ids in zip(texts, e(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+    rng = np.random.default_rng(23)
+    texts = ["", "Hello, World. it's  I'LL\tgo...\n", "a.b, c,, d!? 12.5, é, x.", " nb sp\x1cq\x85r", "ΑΣ Σ. ẞ İ é café,", "9.\n.,", "x" * 5000 + ".", "Été ÀÉÎ&&& ÿß×÷ ª5ºµ e\u0301 'tis don't rock'n'roll ½ ²"]
+    texts += ["hi <|endoftext|> there", "<|startoftext|>A.<|endoftext|>", "<|ENDOFTEXT|> x", "é<|ENDOFTEXT|>…", "<|endoftext|", "|endoftext|> <|startoftext|><|startoftext|>"]
+    texts += ["".join(rng.choice(list("abZÉéßñ019.,!?&$'’-_ \t\n\xa0Σİ中<|>")) for _ in range(60)) for _ in range(300)]
+    for cached in (3, 10**6):
+        e = WordEncoder(tokenizer_path(), cached)
+        for text in texts:
+            assert np.frombuffer(e.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
 def test_packing_is_exact(spark):

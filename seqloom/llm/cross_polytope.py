@@ -6,15 +6,18 @@ are kept. Every vector lies in one bucket a table and also looks into the next m
 (multiprobe: the second axis of either hash). Vectors that meet in a bucket are compared by cosine
 in double precision.
 
-A pair that meets more than once is counted at its first meeting only, which both rows can tell
-from the bucket codes they carry, so pairs are never listed: a block of a bucket yields one row a
-vector, its links and the smallest vector it is tied to there. Equal vectors are one class that
-counts as many. Buckets above ``block_rows`` rows are compared block against block in separate
-groups, however many rows they hold.
-
-Defined results: null vectors, zero vectors and those with null or non-finite parts link with
-nothing; vectors of different length are never compared; rows that repeat an id are one vector,
-the first in byte order; an empty table gives an empty result.
+A pair that meets more than once is counted at its first meeting only, which can be told from the
+two vectors' bucket codes, so pairs are never listed: a block of a bucket yields one row a vector,
+its links and the smallest vector it is tied to there. Equal vectors are one class that counts as
+many. Buckets above ``block_rows`` rows are compared block against block in separate groups, however
+many rows they hold. Codes do not travel with the vectors: a task works them out again for those
+that it found a link of.
+
+Defined results: null vectors, zero vectors, empty ones and those with null or non-finite parts link
+with nothing; vectors of different length are never compared; rows that repeat an id are one vector,
+the first in byte order; rows without an id are returned one by one, with component_id null and kept,
+and link with nothing; an empty table gives an empty result; only the operator's own columns are
+returned, whatever others ``vectors`` has.
 """
 
 from __future__ import annotations
@@ -109,39 +112,60 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(pdf: pd.DataFrame, p: PolytopeParams, dtype: str) -> pd.DataFrame:
-    """(id, links, low): the links that this block adds to a vector, the smallest id it is tied to here."""
-    none = pd.DataFrame({"id": np.empty(0, np.int64), "links": np.empty(0, np.int64), "low": np.empty(0, np.int64)})
-    asks, owns = np.flatnonzero(pdf["asks"].to_numpy()), np.flatnonzero(pdf["owns"].to_numpy())
-    if len(asks) == 0 or len(owns) == 0 or len(pdf) < 2:
-        return none
-    ids, many = pdf["id"].to_numpy(), pdf["many"].to_numpy()
+    """(id, links, low): the links that the blocks in ``pdf`` add to a vector, the smallest id it is tied to there. Vectors are of one length."""
+    pdf = pdf.sort_values(["tab", "code", "x", "y"], kind="stable")
+    ids, many, table = (pdf[c].to_numpy() for c in ("id", "many", "tab"))
+    asks, owns = pdf["asks"].to_numpy(bool), pdf["owns"].to_numpy(bool)
     vec = np.frombuffer(b"".join(pdf["vec"]), dtype).reshape(len(pdf), -1).astype(np.float64)
     vec /= np.linalg.norm(vec, axis=1, keepdims=True)
-    codes = None
-    table = int(pdf["tab"].iloc[0])
-    pairs_q, pairs_i, first = [], [], []
-    for at in range(0, len(asks), 1024):
-        rows = asks[at : at + 1024]
-        q, i = np.nonzero(vec[rows] @ vec[owns].T >= p.threshold)
-        q, i = rows[q], owns[i]
-        q, i = q[ids[q] != ids[i]], i[ids[q] != ids[i]]
-        if not len(q):
+    block = np.stack([pdf[c].to_numpy() for c in ("tab", "code", "x", "y")])
+    cuts = np.flatnonzero(np.r_[True, (block[:, 1:] != block[:, :-1]).any(axis=0), True])
+    links = np.zeros(len(pdf), np.int64)
+    found_q, found_i, waiting = [], [], 0
+    tied: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def settle() -> None:
+        """Count the waiting pairs that meet here for the first time, and remember what they tie together."""
+        nonlocal waiting
+        q, i = np.concatenate(found_q), np.concatenate(found_i)
+        found_q.clear()
+        found_i.clear()
+        waiting = 0
+        rows, at = np.unique(np.concatenate([q, i]), return_inverse=True)
+        codes = np.concatenate([bucket_codes(vec[rows[k : k + 1000]], p) for k in range(0, len(rows), 1000)])
+        a, b = at[: len(q)], at[len(q) :]
+        for t in np.unique(table[q]):
+            here = np.flatnonzero(table[q] == t)
+            for k in range(0, len(here), 65536):
+                part = here[k : k + 65536]
+                new = part[_first_here(int(t), codes[a[part]], codes[b[part]], ids[q[part]], ids[i[part]])]
+                np.add.at(links, q[new], many[i[new]])
+                np.add.at(links, i[new], many[q[new]])
+        distinct, node = np.unique(ids[rows], return_inverse=True)
+        tied.append((ids[rows], distinct[_labels(len(distinct), node[a], node[b])[node]]))
+
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        asking, owning = lo + np.flatnonzero(asks[lo:hi]), lo + np.flatnonzero(owns[lo:hi])
+        if hi - lo < 2 or not len(asking) or not len(owning):
             continue
-        if codes is None:
-            codes = np.frombuffer(b"".join(pdf["codes"]), np.uint32).reshape(len(pdf), p.tables, p.probes)
-        for k in range(0, len(q), 65536):
-            a, b = q[k : k + 65536], i[k : k + 65536]
-            first.append(_first_here(table, codes[a], codes[b], ids[a], ids[b]))
-        pairs_q.append(q)
-        pairs_i.append(i)
-    if not pairs_q:
-        return none
-    q, i, new = np.concatenate(pairs_q), np.concatenate(pairs_i), np.concatenate(first)
-    _, node = np.unique(ids, return_inverse=True)
-    low = np.unique(ids)[_labels(int(node.max()) + 1, node[q], node[i])[node]]
-    links = np.bincount(q[new], many[i[new]], len(pdf)) + np.bincount(i[new], many[q[new]], len(pdf))
-    out = pd.DataFrame({"id": ids, "links": links.astype(np.int64), "low": low})
-    return out[(out["links"] > 0) | (out["low"] < out["id"])]
+        for at in range(0, len(asking), 1024):
+            rows = asking[at : at + 1024]
+            q, i = np.nonzero(vec[rows] @ vec[owning].T >= p.threshold)
+            q, i = rows[q], owning[i]
+            other = ids[q] != ids[i]
+            if other.any():
+                found_q.append(q[other])
+                found_i.append(i[other])
+                waiting += int(other.sum())
+                if waiting > 2_000_000:
+                    settle()
+    if waiting:
+        settle()
+    if not tied:
+        return pd.DataFrame({"id": np.empty(0, np.int64), "links": np.empty(0, np.int64), "low": np.empty(0, np.int64)})
+    counted = pd.DataFrame({"id": ids, "links": links, "low": ids}).query("links > 0")
+    ties = pd.concat([pd.DataFrame({"id": x, "links": 0, "low": low}) for x, low in tied]).query("low < id").drop_duplicates()
+    return pd.concat([counted.groupby(["id", "low"], as_index=False)["links"].sum(), ties])
 
 
 def near_vectors(vectors: DataFrame, p: PolytopeParams = PolytopeParams(), vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
@@ -157,10 +181,12 @@ def near_vectors(vectors: DataFrame, p: PolytopeParams = PolytopeParams(), vec_c
                 x = None if v is None else np.array([np.nan if y is None else y for y in v], kind)
                 sound = x is not None and len(x) and np.isfinite(x).all() and np.any(x)
                 out.append((x + 0).astype(dtype).tobytes() if sound else None)
-            yield pd.DataFrame({"id": pdf["id"], "vec": out})
+            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "lone": pdf["lone"].astype("Int64"), "vec": out})
 
-    one = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).filter("id is not null").mapInPandas(packed, "id long, vec binary")
-    every = stored(one.groupBy("id").agg(F.min("vec").alias("vec")).withColumn("class", F.sha2("vec", 256)))
+    lone = F.when(F.col("id").isNull(), F.monotonically_increasing_id())
+    one = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).withColumn("lone", lone).mapInPandas(packed, "id long, lone long, vec binary")
+    every = one.groupBy("id", "lone").agg(F.min("vec").alias("vec"))
+    every = stored(every.select("id", F.when(F.col("id").isNotNull(), F.col("vec")).alias("vec")).withColumn("class", F.sha2("vec", 256)))
     classes = every.filter("vec is not null").groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("many"), F.first("vec").alias("vec"))
     classes = stored(classes)
 
@@ -171,12 +197,11 @@ def near_vectors(vectors: DataFrame, p: PolytopeParams = PolytopeParams(), vec_c
                     x = g.iloc[at : at + 1000]
                     v = np.frombuffer(b"".join(x["vec"]), dtype).reshape(len(x), -1).astype(np.float64)
                     codes = bucket_codes(v / np.linalg.norm(v, axis=1, keepdims=True), p)
-                    raw = [c.tobytes() for c in codes]
                     for t in range(p.tables):
                         for j in range(p.probes):
-                            yield pd.DataFrame({"tab": t, "dim": int(size), "code": codes[:, t, j].astype(np.int64), "own": j == 0, "id": x["rep"].to_numpy(), "many": x["many"].to_numpy(), "codes": raw, "vec": x["vec"].to_numpy()})
+                            yield pd.DataFrame({"tab": t, "dim": int(size), "code": codes[:, t, j].astype(np.int64), "own": j == 0, "id": x["rep"].to_numpy(), "many": x["many"].to_numpy(), "vec": x["vec"].to_numpy()})
 
-    entries = classes.select("rep", "many", "vec").mapInPandas(hashed, "tab int, dim int, code long, own boolean, id long, many long, codes binary, vec binary")
+    entries = classes.select("rep", "many", "vec").mapInPandas(hashed, "tab int, dim int, code long, own boolean, id long, many long, vec binary")
     key = ["tab", "dim", "code"]
     # buckets with one member, or in which nobody lives, compare nothing
     in_bucket = stored(entries.groupBy(*key).agg(F.count("*").alias("rows"), F.max("own").alias("lived")).filter("rows > 1 and lived").select(*key, "rows"))
@@ -187,20 +212,16 @@ def near_vectors(vectors: DataFrame, p: PolytopeParams = PolytopeParams(), vec_c
     across = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(F.col("mine").alias("x"), j.alias("y")))
     down = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(j.alias("x"), F.col("mine").alias("y")))
     spots = F.array_distinct(F.when(F.col("own"), F.concat(across, down)).otherwise(across))
-    placed = cut.select(*key, "own", "id", "many", "codes", "vec", "mine", F.explode(spots).alias("spot"))
+    placed = cut.select(*key, "own", "id", "many", "vec", "mine", F.explode(spots).alias("spot"))
     total = in_bucket.agg(F.sum("rows")).first()[0] or 0
     shards = max(1, int(total // p.shard_rows))
     placed = placed.select(
-        F.pmod(F.xxhash64(*key, "spot"), F.lit(shards)).alias("shard"), *key, F.col("spot.x").alias("x"), F.col("spot.y").alias("y"), "id", "many", "codes", "vec",
+        F.pmod(F.xxhash64(*key, "spot"), F.lit(shards)).alias("shard"), *key, F.col("spot.x").alias("x"), F.col("spot.y").alias("y"), "id", "many", "vec",
         (F.col("spot.x") == F.col("mine")).alias("asks"), (F.col("own") & (F.col("spot.y") == F.col("mine"))).alias("owns"),
     )
 
     def compared(pdf: pd.DataFrame) -> pd.DataFrame:
-        outs = [_compare(g, p, dtype) for _, g in pdf.groupby(["tab", "dim", "code", "x", "y"], sort=False) if len(g) > 1]
-        outs = [x for x in outs if len(x)]
-        if not outs:
-            return pd.DataFrame({"id": np.empty(0, np.int64), "links": np.empty(0, np.int64), "low": np.empty(0, np.int64)})
-        return pd.concat(outs).groupby(["id", "low"], as_index=False)["links"].sum()
+        return pd.concat([_compare(g, p, dtype) for _, g in pdf.groupby("dim")])
 
     found = stored(placed.groupBy("shard").applyInPandas(compared, "id long, links long, low long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
@@ -209,4 +230,4 @@ def near_vectors(vectors: DataFrame, p: PolytopeParams = PolytopeParams(), vec_c
     whole = whole.select("class", "many", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = every.select("id", "class").join(whole, "class", "left")
     component_id = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component_id.alias("component_id"), (component_id == F.col("id")).alias("kept"), F.coalesce("many", F.lit(1).cast("long")).alias("n_same"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component_id.alias("component_id"), F.coalesce(component_id == F.col("id"), F.lit(True)).alias("kept"), F.coalesce("many", F.lit(1).cast("long")).alias("n_same"))

@@ -105,8 +105,11 @@ def test_near_vectors_against_all_pairs(spark):
     seen = {}
     for i, v, _ in rows:
         seen.setdefault(i, v)
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    out = {r.vec_id: r for r in near_vectors(df, PolytopeParams(tables=14, block_rows=20)).collect()}
+    rows += [(None, rows[-1][1], 1), (None, rows[-1][1], 1), (None, None, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("code", F.lit("x")).withColumn("vec", F.lit("x"))
+    every = near_vectors(df, PolytopeParams(tables=14, block_rows=20)).collect()
+    assert [(r.n_links, r.component_id, r.kept) for r in every if r.vec_id is None] == [(0, None, True)] * 3
+    out = {r.vec_id: r for r in every if r.vec_id is not None}
     good = {i: np.array(v, float) for i, v in seen.items() if v and len(v) == 16 and None not in v and np.isfinite(v).all() and np.any(v)}
     links = {i: {j for j in good if j != i and good[i] @ good[j] / np.linalg.norm(good[i]) / np.linalg.norm(good[j]) >= 0.9} for i in good}
     assert {i: out[i].n_links for i in good} == {i: len(x) for i, x in links.items()}

@@ -36,16 +36,17 @@ def attribute_prf(labels: DataFrame, attributes: DataFrame) -> DataFrame:
     return tied.groupBy("attr").agg(count(1, 1).alias("tp"), count(0, 1).alias("fp"), count(1, 0).alias("fn"), count(0, 0).alias("tn"))
 
 
-def _run_text(labels: DataFrame, label: str, out: str) -> DataFrame:
-    runs = to_segments(labels.select("seq_id", "t", F.col(label).alias("label")))
-    letters = F.transform(F.sort_array(F.collect_list(F.struct("seg_id", "label"))), lambda x: F.char(x["label"] + 48))
-    return runs.groupBy("seq_id").agg(F.array_join(letters, "").alias(out))
-
-
 def edit_score(labels: DataFrame) -> DataFrame:
-    """(seq_id, edit): 1 - Levenshtein distance of the segment labels over the longer of the two; one character a class, so below 200 classes."""
-    both = _run_text(labels, "truth", "_t").join(_run_text(labels, "pred", "_p"), "seq_id")
-    return both.select("seq_id", (1 - F.levenshtein("_t", "_p") / F.greatest(F.length("_t"), F.length("_p"))).alias("edit"))
+    """(seq_id, edit): 1 - Levenshtein distance of the segment labels over the longer of the two.
+
+    Labels are numbered within their sequence, and each number is one character from U+10000 on, which leaves room for a million classes.
+    """
+    runs = [to_segments(labels.select("seq_id", "t", F.col(c).alias("label"))).select("seq_id", "seg_id", "label", F.lit(c).alias("side")) for c in ("truth", "pred")]
+    numbered = runs[0].unionByName(runs[1]).withColumn("_n", F.dense_rank().over(Window.partitionBy("seq_id").orderBy("label")))
+    letter = F.decode(F.unhex(F.lpad(F.hex(F.col("_n") + 0x10000), 8, "0")), "UTF-32")
+    side = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == c, F.struct("seg_id", "_c")))), lambda x: x["_c"]), "")
+    text = numbered.withColumn("_c", letter).groupBy("seq_id").agg(side("truth").alias("_t"), side("pred").alias("_p"))
+    return text.select("seq_id", (1 - F.levenshtein("_t", "_p") / F.greatest(F.length("_t"), F.length("_p"))).alias("edit"))
 
 
 def overlap_score(labels: DataFrame) -> DataFrame:

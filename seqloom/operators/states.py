@@ -37,12 +37,17 @@ def cumulative_states(actions: DataFrame) -> DataFrame:
 
 
 def assembly_states(actions: DataFrame) -> DataFrame:
-    """(seq_id, step, state) of connect (1) and disconnect (-1) actions; others (0) leave the state as it is."""
-    upto = Window.partitionBy("seq_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    ops = F.collect_list(F.struct("op", "part")).over(upto)
-    empty = F.array().cast("array<int>")
-    fold = lambda s, x: F.when(x["op"] == 1, F.array_union(s, F.array(x["part"]))).when(x["op"] == -1, F.array_except(s, F.array(x["part"]))).otherwise(s)
-    return actions.select("seq_id", "step", F.array_sort(F.aggregate(ops, empty, fold)).alias("state"))
+    """(seq_id, step, state) of connect (1) and disconnect (-1) actions; others (0) leave the state as it is.
+
+    A part is in the state from an action that connects it to the next one that disconnects it. These
+    spans are laid out over the actions, so the work is that of writing the states down.
+    """
+    order = Window.partitionBy("seq_id").orderBy("step")
+    placed = actions.select("seq_id", "step", "op", "part", F.row_number().over(order).alias("_i"), F.count("*").over(Window.partitionBy("seq_id")).alias("_n"))
+    turns = placed.filter("op <> 0").withColumn("_next", F.lead("_i").over(Window.partitionBy("seq_id", "part").orderBy("_i")))
+    there = turns.filter("op = 1").select("seq_id", "part", F.explode(F.sequence("_i", F.coalesce(F.col("_next") - 1, F.col("_n").cast("int")))).alias("_i"))
+    held = there.groupBy("seq_id", "_i").agg(F.array_sort(F.collect_set("part")).alias("state"))
+    return placed.select("seq_id", "step", "_i").join(held, ["seq_id", "_i"], "left").select("seq_id", "step", F.coalesce("state", F.array().cast("array<int>")).alias("state"))
 
 
 def transition_labels(states: DataFrame) -> DataFrame:

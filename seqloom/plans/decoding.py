@@ -17,7 +17,46 @@ def _moves(s, d):
     return L.log_matrix(scores(s, d), "label", 10, diagonal=5.0)
 
 
-@query("l1_viterbi")
+#: Log moves with the diagonal 5 as in ``_moves``, and frames with their place and their sequence's length.
+MOVES = """tr AS (SELECT label AS a, lead(label) OVER (PARTITION BY seq_id ORDER BY t) AS b FROM scores), seen AS (SELECT a, b, count(*) AS n FROM tr WHERE b IS NOT NULL GROUP BY 1, 2),
+ cell AS (SELECT i, j, coalesce(n, 0) + CASE WHEN i = j THEN 5.0 ELSE 0.0 END AS m FROM range(0, 10) x(i) CROSS JOIN range(0, 10) y(j) LEFT JOIN seen ON a = i AND b = j),
+ line AS (SELECT i, list(CASE WHEN m > 0 THEN greatest(ln(m / s), -20.0) ELSE -20.0 END ORDER BY j) AS r FROM (SELECT *, sum(m) OVER (PARTITION BY i) AS s FROM cell) GROUP BY 1),
+ mv AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM line),
+ fr AS MATERIALIZED (SELECT seq_id, t, score, label, CAST(row_number() OVER (PARTITION BY seq_id ORDER BY t) - 1 AS INTEGER) AS i, count(*) OVER (PARTITION BY seq_id) AS n FROM scores)"""
+
+
+def _path(beam="", edge=""):
+    """SQL of the best path: forward steps (best score and where it came from for each class), then back from the last frame."""
+    now = "f.best" if not beam else f"list_transform(f.best, lambda v: CASE WHEN v >= list_max(f.best) - {beam} THEN v ELSE CAST('-infinity' AS DOUBLE) END)"
+    reach = f"list_transform(range(0, 10), lambda j: now[j + 1] + m[j + 1][k + 1]{edge})"
+    return f"""fw AS (SELECT seq_id, i, list_transform(range(0, 10), lambda k: CASE WHEN k = 0 THEN CAST(0 AS DOUBLE) ELSE CAST('-infinity' AS DOUBLE) END) AS best, CAST([] AS BIGINT[]) AS came FROM fr WHERE i = 0
+ UNION ALL SELECT seq_id, i, list_transform(range(0, 10), lambda k: list_max({reach}) + score[k + 1]), list_transform(range(0, 10), lambda k: list_position({reach}, list_max({reach})) - 1)
+ FROM (SELECT r.seq_id, r.i, r.score, r.label, {now} AS now, m FROM fw f JOIN fr r ON r.seq_id = f.seq_id AND r.i = f.i + 1, mv)),
+ bw AS (SELECT f.seq_id, f.i, CAST(list_position(best, list_max(best)) - 1 AS BIGINT) AS pred, came FROM fw f JOIN fr r ON r.seq_id = f.seq_id AND r.i = f.i WHERE f.i = n - 1
+ UNION ALL SELECT f.seq_id, f.i, b.came[b.pred + 1], f.came FROM bw b JOIN fw f ON f.seq_id = b.seq_id AND f.i = b.i - 1),
+ path AS (SELECT r.seq_id, r.t, CAST(pred AS INTEGER) AS pred, r.label FROM bw b JOIN fr r ON r.seq_id = b.seq_id AND r.i = b.i)"""
+
+
+#: Log-sum-exp, the forward and the backward recursion, and posteriors at their largest.
+LSE = "list_max({0}) + ln(list_sum(list_transform({0}, lambda v: exp(v - list_max({0})))))"
+AHEAD = LSE.format("list_transform(range(0, 10), lambda j: f.a[j + 1] + m[j + 1][k + 1])")
+BACK = LSE.format("list_transform(range(0, 10), lambda j: m[k + 1][j + 1] + (r2.score[j + 1] + f.b[j + 1]))")
+POSTERIOR = f"""fw AS (SELECT seq_id, i, score AS a FROM fr WHERE i = 0
+ UNION ALL SELECT r.seq_id, r.i, list_transform(range(0, 10), lambda k: {AHEAD} + r.score[k + 1]) FROM fw f JOIN fr r ON r.seq_id = f.seq_id AND r.i = f.i + 1, mv),
+ bk AS (SELECT seq_id, i, list_transform(score, lambda v: CAST(0 AS DOUBLE)) AS b FROM fr WHERE i = n - 1
+ UNION ALL SELECT r.seq_id, r.i, list_transform(range(0, 10), lambda k: {BACK}) FROM bk f JOIN fr r2 ON r2.seq_id = f.seq_id AND r2.i = f.i JOIN fr r ON r.seq_id = f.seq_id AND r.i = f.i - 1, mv),
+ ps AS (SELECT fr.seq_id, fr.t, list_transform(range(0, 10), lambda k: fw.a[k + 1] + bk.b[k + 1]) AS p FROM fr JOIN fw ON fw.seq_id = fr.seq_id AND fw.i = fr.i JOIN bk ON bk.seq_id = fr.seq_id AND bk.i = fr.i)
+ SELECT seq_id, t, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS pred, round(list_max(p) - ({LSE.format("p")}), 6) AS log_prob FROM ps"""
+HEAD = "WITH RECURSIVE " + ", ".join([SCORES, MOVES]) + ", "
+MATCHED = "WITH RECURSIVE " + FRAMES + """, a AS (SELECT seq_id, list(t ORDER BY t) AS x FROM frames WHERE score > 100 GROUP BY 1), b AS (SELECT seq_id, list(t ORDER BY t) AS y FROM frames WHERE k > 80 GROUP BY 1),
+ ab AS (SELECT seq_id, coalesce(x, []) AS x, coalesce(y, []) AS y FROM a FULL JOIN b USING (seq_id)),
+ io AS MATERIALIZED (SELECT seq_id, len(x) AS nx, len(y) AS ny, CASE WHEN len(x) > len(y) THEN y ELSE x END AS s, CASE WHEN len(x) > len(y) THEN x ELSE y END AS l FROM ab),
+ dp AS (SELECT seq_id, 0 AS j, list_transform(range(0, len(s) + 1), lambda i: CASE WHEN i = 0 THEN CAST(0 AS DOUBLE) ELSE CAST('infinity' AS DOUBLE) END) AS best FROM io
+ UNION ALL SELECT io.seq_id, d.j + 1, list_transform(range(0, len(s) + 1), lambda i: CASE WHEN i = 0 THEN CAST(0 AS DOUBLE) ELSE least(d.best[i + 1], d.best[i] + abs(s[i] - l[d.j + 1])) END) FROM dp d JOIN io ON io.seq_id = d.seq_id WHERE d.j < len(l))
+ SELECT io.seq_id, len(s) AS matched, best[len(s) + 1] AS cost, nx - len(s) AS false_alarms, ny - len(s) AS misses FROM dp JOIN io ON io.seq_id = dp.seq_id AND dp.j = len(l)"""
+
+
+@query("l1_viterbi", HEAD + _path() + " SELECT seq_id, t, pred FROM path")
 def l1(s, d):
     return L.viterbi(scores(s, d), np.maximum(_moves(s, d), -20.0))
 
@@ -27,17 +66,17 @@ def l2(s, d):
     return L.viterbi(scores(s, d), L.log_matrix(scores(s, d), "label", 10, "uniform"), start=None)
 
 
-@query("l3_beam_decode")
+@query("l3_beam_decode", HEAD + _path(beam="5.0") + " SELECT seq_id, t, pred FROM path")
 def l3(s, d):
     return L.viterbi(scores(s, d), np.maximum(_moves(s, d), -20.0), beam=-5.0)
 
 
-@query("l4_marginals")
+@query("l4_marginals", HEAD + POSTERIOR)
 def l4(s, d):
-    return L.marginals(scores(s, d), np.maximum(_moves(s, d), -20.0))
+    return L.marginals(scores(s, d), np.maximum(_moves(s, d), -20.0)).withColumn("log_prob", F.round("log_prob", 6))
 
 
-@query("l5_edge_scores")
+@query("l5_edge_scores", HEAD + _path(edge=" + CASE WHEN j = label % 10 AND k = (label + 1) % 10 THEN 1.0 ELSE 0.0 END") + " SELECT seq_id, t, pred FROM path")
 def l5(s, d):
     x = scores(s, d)
     edges = x.select("seq_id", "t", (F.col("label") % 10).alias("src"), ((F.col("label") + 1) % 10).alias("dst"), F.lit(1.0).alias("s"))
@@ -67,13 +106,13 @@ def l8(s, d):
     return L.joint_decode(scores(s, d), _durations(), table_, np.where(np.arange(4) == 0, 0.0, -np.inf))
 
 
-@query("l9_experiment")
+@query("l9_experiment", HEAD + _path() + ", acc AS (SELECT seq_id % 5 AS fold, seq_id, avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) AS a FROM path GROUP BY 1, 2) SELECT fold, round(avg(a), 6) AS accuracy, count(*) AS n FROM acc GROUP BY 1")
 def l9(s, d):
     """All folds in one job: decode every sequence, score it, average by fold."""
     x = scores(s, d)
     pred = L.viterbi(x, np.maximum(_moves(s, d), -20.0))
     tied = pred.join(x.select("seq_id", "t", F.col("label").alias("truth")), ["seq_id", "t"]).withColumn("fold", F.col("seq_id") % 5)
-    return K.accuracy(tied, "fold", "seq_id").groupBy("fold").agg(F.avg("accuracy").alias("accuracy"), F.count("*").alias("n"))
+    return K.accuracy(tied, "fold", "seq_id").groupBy("fold").agg(F.round(F.avg("accuracy"), 6).alias("accuracy"), F.count("*").alias("n"))
 
 
 @query("l10_baseline_decode", with_(SCORES) + ", l AS (SELECT seq_id, t // 5 AS seg, unnest(range(0, 10)) AS c, unnest(score) AS s FROM scores), m AS (SELECT seq_id, seg, c, avg(s) AS s FROM l GROUP BY 1, 2, 3) SELECT seq_id, CAST(seg AS INTEGER) AS seg_id, CAST(arg_max(c, s) AS INTEGER) AS pred FROM m GROUP BY 1, 2")
@@ -86,7 +125,7 @@ def l10(s, d):
     return arr.select("seq_id", "seg_id", X.argmax(F.col("score")).alias("pred"))
 
 
-@query("k14_match_keyframes")
+@query("k14_match_keyframes", MATCHED)
 def k14(s, d):
     f = frames(s, d)
     return L.match_keyframes(f.filter("score > 100").select("seq_id", "t"), f.filter("k > 80").select("seq_id", "t"))

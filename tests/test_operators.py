@@ -233,3 +233,44 @@ def test_objects_in_interval_are_all_there(spark):
     rows = {r.ann_id: r for r in objects_in_interval(events, seen).collect()}
     assert rows[1].args == list("abcdef") and [rows[1][f"arg{i}"] for i in range(4)] == list("abcd")
     assert rows[2].args is None and rows[2].arg0 is None
+
+
+def test_decoders_over_two_tables(spark):
+    """Both sides from one table, results pruned, and sequences that one side lacks."""
+    rng = np.random.default_rng(5)
+    rows = [(s, t, rng.normal(size=3).tolist()) for s in (1, 2, 3) for t in range(5)]
+    x = spark.createDataFrame(rows, "seq_id long, t int, score array<double>")
+    edges = x.filter("seq_id <> 3").select("seq_id", "t", (F.col("t") % 3).alias("src"), ((F.col("t") + 1) % 3).alias("dst"), F.lit(2.0).alias("s"))
+    extra = edges.unionByName(edges.withColumn("seq_id", F.lit(9).cast("long")))
+    moves = np.log(np.full((3, 3), 1 / 3))
+    out = decode.viterbi_with_edges(x, extra, moves)
+    assert out.count() == 15 and out.select("pred").count() == 15
+    for s in (1, 2, 3):
+        score = np.array([v for q, _, v in rows if q == s])
+        gain = lambda p: sum(score[t][p[t]] + moves[p[t - 1]][p[t]] + (2.0 if s != 3 and (p[t - 1], p[t]) == (t % 3, (t + 1) % 3) else 0) for t in range(1, 5))  # noqa: B023, E731
+        best = max(((0, *p) for p in itertools.product(range(3), repeat=4)), key=gain)
+        assert [r.pred for r in out.filter(f"seq_id = {s}").orderBy("t").collect()] == list(best)
+    places = spark.createDataFrame([(1, 1), (1, 5), (1, 9), (2, 4), (3, 2), (3, 7)], "seq_id long, t int")
+    got = decode.match_keyframes(places.filter("t <> 4"), places.filter("t < 7 and seq_id < 3"))
+    assert got.count() == 3 and got.select("cost").count() == 3
+    assert {(r.seq_id, r.matched, r.cost, r.false_alarms, r.misses) for r in got.collect()} == {(1, 2, 0.0, 1, 0), (2, 0, 0.0, 0, 1), (3, 0, 0.0, 2, 0)}
+    a, b = [1, 4, 8, 9, 20], [2, 9, 10]
+    both = spark.createDataFrame([(1, t, 0) for t in a] + [(1, t, 1) for t in b], "seq_id long, t int, side int")
+    cost = decode.match_keyframes(both.filter("side = 0"), both.filter("side = 1")).first().cost
+    assert cost == min(sum(abs(i - j) for i, j in zip(p, b)) for p in itertools.permutations(a, len(b)))
+
+
+def test_states_of_repeated_and_undone_actions(spark):
+    rng = np.random.default_rng(8)
+    rows = [(s, 10 * i, int(rng.integers(-1, 2)), int(rng.integers(0, 3))) for s in (1, 2) for i in range(40)]
+    got = {(r.seq_id, r.step): r.state for r in states.assembly_states(spark.createDataFrame(rows, "seq_id long, step int, op int, part int")).collect()}
+    now = {1: set(), 2: set()}
+    for s, step, op, part in rows:
+        now[s] = now[s] | {part} if op == 1 else now[s] - {part} if op == -1 else now[s]
+        assert got[s, step] == sorted(now[s])
+
+
+def test_edit_score_with_many_classes(spark):
+    rows = [(1, t, t, t if t % 2 else t + 256) for t in range(600)]
+    out = metrics.edit_score(spark.createDataFrame(rows, "seq_id long, t int, truth int, pred int")).first()
+    assert math.isclose(out.edit, 0.5)

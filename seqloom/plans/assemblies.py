@@ -132,7 +132,12 @@ def g16(s, d):
     return G.component_signature(_joints(s, d))
 
 
-@query("g17_propagate_poses")
+POSES = "WITH RECURSIVE " + JOINTS + """, j AS (SELECT state_id, b AS child, min(a) AS parent FROM jo WHERE a < b GROUP BY 1, 2),
+ pose AS (SELECT DISTINCT state_id, parent AS part, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS z FROM j WHERE (state_id, parent) NOT IN (SELECT (state_id, child) FROM j)
+ UNION ALL SELECT j.state_id, child, x + 1.0, y + 0.5, z + child FROM pose p JOIN j ON j.state_id = p.state_id AND j.parent = p.part) SELECT * FROM pose"""
+
+
+@query("g17_propagate_poses", POSES)
 def g17(s, d):
     j = _joints(s, d).filter("a < b").groupBy("state_id", F.col("b").alias("child")).agg(F.min("a").alias("parent"))
     j = j.select("state_id", "parent", "child", F.lit(1.0).alias("dx"), F.lit(0.5).alias("dy"), F.col("child").cast("double").alias("dz"))
@@ -140,7 +145,14 @@ def g17(s, d):
     return G.propagate_poses(roots.select("state_id", "part", *[F.lit(0.0).alias(c) for c in "xyz"]), j)
 
 
-@query("g18_branch_states")
+BRANCHES = "WITH RECURSIVE " + PARTS + """, cl AS (SELECT CAST(p % 3 AS INTEGER) AS cls, CAST(p AS INTEGER) AS part FROM range(0, 8) x(p)),
+ way AS (SELECT DISTINCT seq_id, -1 AS step, CAST([] AS INTEGER[]) AS state FROM acts
+ UNION ALL SELECT DISTINCT w.seq_id, w.step + 1, CASE op WHEN 1 THEN list_sort(list_append(state, cl.part)) WHEN -1 THEN list_filter(state, lambda x: x <> cl.part) ELSE state END
+ FROM way w JOIN acts a ON a.seq_id = w.seq_id AND a.step = w.step + 1 JOIN cl ON cl.cls = a.part % 3 WHERE CASE op WHEN 1 THEN NOT list_contains(state, cl.part) WHEN -1 THEN list_contains(state, cl.part) ELSE true END)
+ SELECT seq_id, step, array_to_string(state, ',') AS state FROM way WHERE step >= 0"""
+
+
+@query("g18_branch_states", BRANCHES)
 def g18(s, d):
     acts = part_actions(s, d).select("seq_id", "step", (F.col("part") % 3).alias("cls"), "op")
     classes = s.range(8).select((F.col("id") % 3).cast("int").alias("cls"), F.col("id").cast("int").alias("part"))

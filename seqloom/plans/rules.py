@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import counts as H
 from seqloom.operators import relations as R
-from seqloom.plans.assemblies import _joints
+from seqloom.plans.assemblies import JOINTS, _joints
 from seqloom.plans.evaluation import STATES, _states
 from seqloom.plans.inputs import ANN, MONTHS, PARTS, annotations, months, part_actions, table, with_
 from seqloom.plans.registry import query
@@ -51,13 +51,20 @@ def h19(s, d):
     return H.fit_gaussians(pts).select("cls", "n", *[F.round(c, 6).alias(c) for c in ("mx", "my", "vx", "vy")])
 
 
-@query("i16_component_state_scores")
+COMPONENT_SCORES = "WITH RECURSIVE " + JOINTS + """, e AS (SELECT state_id, a, b FROM jo UNION SELECT state_id, b, a FROM jo), reach AS (SELECT state_id, a, a AS b FROM e UNION SELECT r.state_id, r.a, e.b FROM reach r JOIN e ON e.state_id = r.state_id AND e.a = r.b),
+ v AS (SELECT DISTINCT state_id, a FROM e), sig AS (SELECT x.state_id, x.a, y.a AS b, CASE WHEN r.b IS NULL THEN -1 ELSE 1 END AS same FROM v x JOIN v y ON x.state_id = y.state_id AND x.a < y.a LEFT JOIN reach r ON r.state_id = x.state_id AND r.a = x.a AND r.b = y.a),
+ f AS (SELECT l_orderkey AS state_id, least(l_partkey % 9, l_suppkey % 9) AS a, greatest(l_partkey % 9, l_suppkey % 9) AS b, l_quantity AS value FROM lineitem),
+ s AS (SELECT state_id, sum(same * value / 100) AS s FROM sig JOIN f USING (state_id, a, b) GROUP BY 1)
+ SELECT state_id, round(s, 6) AS s, round(s - ln(sum(exp(s)) OVER (PARTITION BY state_id // 100)), 6) AS log_prob FROM s"""
+
+
+@query("i16_component_state_scores", COMPONENT_SCORES)
 def i16(s, d):
     from seqloom.operators.states import component_signature
 
     sig = component_signature(_joints(s, d))
     feats = table(s, d, "lineitem").select(F.col("l_orderkey").alias("state_id"), (F.col("l_partkey") % 9).cast("int").alias("a"), (F.col("l_suppkey") % 9).cast("int").alias("b"), F.col("l_quantity").alias("value"))
-    return R.component_state_scores(sig, feats)
+    return R.component_state_scores(sig, feats).withColumn("s", F.round("s", 6)).withColumn("log_prob", F.round("log_prob", 6))
 
 
 @query("k8_goal_agreement", with_(PARTS) + ", s AS (SELECT seq_id, list_distinct(list(part) FILTER (step % 2 = 0)) AS t, list_distinct(list(part) FILTER (step % 2 = 1)) AS p FROM acts GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (list_has_all([0, 1, 2, 3, 4, 5], coalesce(t, [])) = list_has_all([0, 1, 2, 3, 4, 5], coalesce(p, []))) AS agree FROM s")

@@ -29,43 +29,53 @@ def tokenizer_path() -> str:
 
 
 def op2_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of 2048-token sequences."""
     return pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
 def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.9 and more among all embeddings, and each vector's class."""
     return near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
 def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learnt from good labels of the training fold and unlabelled text."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_quality(docs, train(docs, _table(spark, sf_dir, "labels")))
 
 
 def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources by weight takes of every document."""
     return mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
 def op5_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log10 probability of every document."""
     return score_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op6_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn with its repaired role and its part of the formatted conversation."""
     return repair_roles(_table(spark, sf_dir, "conversations"))
 
 
 def op7_url_char_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule or the model's verdict for every page."""
     return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
 def op8_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, and the terms that disclose it."""
     return find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the quality rules for every document."""
     return quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_set_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies that each document belongs to."""
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

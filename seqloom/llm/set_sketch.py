@@ -9,14 +9,15 @@ and equal registers give the likelihood of each similarity; pairs whose estimate
 limit are dropped, all others are confirmed on their full sets.
 
 Work is kept near linear in the rows of a bucket. Documents with the same set are one class. Every
-bucket offers two members as pivots; each document is compared with its most promising pivot, and
-confirmed links are contracted. What is left in buckets of several components is compared by its
+bucket offers two members as pivots, the one most of whose shingles are common, which is the middle
+of a group of near copies, and one by hash; each document is compared with its most promising pivots,
+and confirmed links are contracted. What is left in buckets of several components is compared by its
 rarest shingles: with the shingles of each document in one common order, rarest first, two documents
 can only be similar enough if they share one of the first n - ceil(t * n) + 1. Documents of different
 components are paired at each rare one of these, one that ``rare`` documents or fewer hold. A pair
 that shares none of them shares no rare shingle at all, so its common shingles are at most the
-smaller number of shingles that are not rare; only pairs for which that bound reaches the limit are
-formed in the buckets. That loses no link, and neither the common
+smaller number of shingles that are not rare; only pairs for which that bound reaches the limit, and
+which share one of those first shingles, are formed in the buckets, at the first bucket they share. That loses no link, and neither the common
 text of a large group nor the edits of its members makes pairs that cannot be linked. Shingles are
 counted, and pivots chosen, with sums and minima in each task before the shuffle, so a shingle or a
 bucket that a third of the corpus shares is not gathered anywhere.
@@ -36,7 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.components import connected_components
@@ -48,7 +49,7 @@ from seqloom.storage import stored
 class SketchParams:
     """``threshold``: links need 100 * shared >= threshold * union. ``margin``: estimates below threshold less this are not confirmed.
 
-    ``broadcast_ids``: most document ids that are broadcast to pick texts; more are joined by shuffle.
+    ``tries``: pivots that a document is compared with. ``broadcast_ids``: most document ids that are broadcast to pick texts; more are joined by shuffle.
     """
 
     shingle: int = 3
@@ -59,6 +60,7 @@ class SketchParams:
     rate: float = 20.0
     q: int = 65534
     margin: float = 0.20
+    tries: int = 2
     rare: int = 16
     broadcast_ids: int = 500_000
     seed: int = 20
@@ -127,11 +129,10 @@ def _sketched(docs: DataFrame, p: SketchParams) -> DataFrame:
     return docs.mapInPandas(run, "id long, lone long, n long, print string, regs binary")
 
 
-def _bands(reps: DataFrame, p: SketchParams) -> DataFrame:
-    """(key, id): the bucket of each band of a set's registers; no bucket is shared by two bands."""
+def _keys(p: SketchParams) -> Column:
+    """The buckets of a set's registers, one a band; no bucket is shared by two bands."""
     width = 2 * p.rows
-    keys = F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * width + 1, F.lit(width))))
-    return reps.select(F.explode(keys).alias("key"), "id")
+    return F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * width + 1, F.lit(width))))
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, p: SketchParams) -> DataFrame:
@@ -191,19 +192,20 @@ def _rarest(sets: DataFrame, p: SketchParams) -> DataFrame:
     return shared.filter(f"100 * size(shared) >= {p.threshold} * n").select("id", "n", F.size(F.filter("shared", lambda x: x["k"] > p.rare)).alias("core"), prefix.alias("prefix"))
 
 
-def _left_pairs(left: DataFrame, sets: DataFrame, p: SketchParams) -> DataFrame:
+def _left_pairs(left: DataFrame, ranked: DataFrame, reps: DataFrame, p: SketchParams) -> DataFrame:
     """(a, b): the pairs of different components that may be linked, among documents (key, id, c) of buckets with several components."""
-    docs = stored(left.select("id", "c").distinct())
-    ranked = stored(_rarest(sets.join(docs.select("id"), "id", "left_semi"), p).join(docs, "id"))
-    rare = ranked.select("id", "c", "n", F.explode(F.filter("prefix", lambda x: x["k"] <= p.rare)).alias("x")).select("id", "c", "n", F.col("x.token").alias("token"))
+    docs = stored(ranked.join(left.select("id", "c").distinct(), "id"))
+    rare = docs.select("id", "c", "n", F.explode(F.filter("prefix", lambda x: x["k"] <= p.rare)).alias("x")).select("id", "c", "n", F.col("x.token").alias("token"))
     twin = rare.select("token", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("n").alias("n2"))
     at_rare = rare.join(twin, "token").filter("c < c2").filter(_reachable("n", "n", "n2", "n2", p)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
-    cores = ranked.filter(f"100 * core >= {p.threshold} * n").select("id", "n", "core")
-    spots = left.join(cores, "id").select("key", "id", "c", "n", "core")
+    cores = docs.filter(f"100 * core >= {p.threshold} * n").select("id", "c", "n", "core", F.transform("prefix", lambda x: x["token"]).alias("first"))
+    cores = stored(cores.join(reps.select("id", _keys(p).alias("keys")), "id"))
+    spots = cores.select("id", "c", F.explode("keys").alias("key"))
     mixed = stored(spots.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"))
-    spots = stored(spots.join(mixed, "key"))
-    other = spots.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("core").alias("o2"))
-    at_core = spots.join(other, "key").filter("c < c2").filter(_reachable("n", "core", "n2", "o2", p)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    spots = cores.select("id", "c", "n", "core", "first", "keys", F.posexplode("keys").alias("pos", "key")).join(mixed, "key")
+    other = spots.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("core").alias("o2"), F.col("first").alias("f2"), F.col("keys").alias("k2"))
+    met = F.arrays_overlap(F.slice("keys", F.lit(1), F.col("pos")), F.slice("k2", F.lit(1), F.col("pos")))
+    at_core = spots.join(other, "key").filter("c < c2").filter(_reachable("n", "core", "n2", "o2", p)).filter(~met & F.arrays_overlap("first", "f2")).select(F.col("id").alias("a"), F.col("id2").alias("b"))
     return at_rare.unionAll(at_core).distinct()
 
 
@@ -214,21 +216,25 @@ def near_duplicates(docs: DataFrame, p: SketchParams = SketchParams(), text_col:
     sketches = stored(_sketched(texts.withColumn("lone", lone), p).groupBy("id", "lone").agg(F.min(F.struct("print", "n", "regs")).alias("s"), F.count("*").alias("rows")).select("id", "lone", "s.*", "rows"))
     full = sketches.filter("n > 0 and id is not null")
     reps = stored(full.groupBy("print").agg(F.min("id").alias("id"), F.count("*").alias("n_same"), F.first("n").alias("n"), F.first("regs").alias("regs")))
-    bands = _bands(reps, p)
-    by_hash = F.min_by("id", F.xxhash64("id"))
-    shared = stored(bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), by_hash.alias("pick")).filter("lo < hi").select("key", "lo", "pick"))
+    bands = reps.select("id", F.explode(_keys(p)).alias("key"))
+    shared = stored(bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key"))
     members = stored(bands.join(shared, "key"))
     wanted = stored(reps.select("id", "print").join(members.select("id").distinct(), "id"))
     few = wanted.count() <= p.broadcast_ids
     sets = _full_sets(texts, F.broadcast(wanted) if few else wanted, p)
     sets = stored(sets if sketches.filter("id is not null and rows > 1").isEmpty() else sets.dropDuplicates(["id"]))
-    pairs = members.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("lo", "pick"))).alias("b")).filter("a <> b").distinct()
-    best = _estimated(pairs, reps, p).groupBy("a").agg(F.max(F.struct("est", "b")).alias("x")).select("a", "x.b")
+    ranked = stored(_rarest(sets, p))
+    placed = members.join(ranked.select("id", (F.col("core") / F.col("n")).alias("common")), "id")  # the others can be like nobody
+    middle, other = F.max_by("id", F.struct("common", -F.col("id"))), F.min_by("id", F.xxhash64("id"))
+    pivots = stored(placed.groupBy("key").agg(F.array_distinct(F.array(middle, other)).alias("pivots"), F.count("*").alias("rows")).filter("rows > 1").select("key", "pivots"))
+    pairs = placed.select("key", F.col("id").alias("a")).join(pivots, "key").select("a", F.explode("pivots").alias("b")).filter("a <> b").distinct()
+    best = _estimated(pairs, reps, p).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("est", "b")), asc=False).alias("x"))
+    best = best.select("a", F.explode(F.slice("x", 1, p.tries)).alias("x")).select("a", "x.b")
     component = stored(connected_components(_confirmed(best, sets, p)))
-    placed = members.select("key", "id").join(component, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    placed = placed.select("key", "id").join(component, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     mixed = stored(placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"))
     left = stored(placed.join(mixed, "key"))
-    more = stored(_confirmed(_estimated(_left_pairs(left, sets, p), reps, p), sets, p))
+    more = stored(_confirmed(_estimated(_left_pairs(left, ranked, reps, p), reps, p), sets, p))
     if not more.isEmpty():
         # links between components: these are contracted, not the documents
         of = lambda x: component.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,6 +141,27 @@ def _grouped(scores: DataFrame, solve, schema: str = PATH) -> DataFrame:
     return scores.select("seq_id", F.col("t").cast("int").alias("t"), "score").groupBy("seq_id").applyInPandas(run, schema)
 
 
+def map_sequences(f, schema: str, *tables: DataFrame) -> DataFrame:
+    """``f`` of the rows of each sequence, one pandas frame for each of ``tables`` (an empty one where a table lacks the sequence); rows in ``schema``.
+
+    The tables meet in one shuffle by seq_id; a sequence is the unit of work.
+    """
+    tagged = None
+    for k, table in enumerate(tables):
+        one = table.select("seq_id", F.lit(k).alias("_table"), *[F.col(c).alias(f"_{k}_{c}") for c in table.columns if c != "seq_id"])
+        tagged = one if tagged is None else tagged.unionByName(one, allowMissingColumns=True)
+    names = [table.columns for table in tables]
+
+    def run(rows: pa.Table) -> pa.Table:
+        parts = []
+        for k, columns in enumerate(names):
+            own = rows.filter(pc.equal(rows["_table"], k))
+            parts.append(pa.table({c: own["seq_id" if c == "seq_id" else f"_{k}_{c}"] for c in columns}).to_pandas())
+        return pa.Table.from_pandas(f(*parts), preserve_index=False)
+
+    return tagged.groupBy("seq_id").applyInArrow(run, schema)
+
+
 def viterbi(scores: DataFrame, moves: np.ndarray, start: int | None = 0, beam: float | None = None) -> DataFrame:
     """(seq_id, t, pred): the most likely path of each sequence."""
     return _grouped(scores, lambda s: {"pred": best_path(s, moves, start, beam)})

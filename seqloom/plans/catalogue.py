@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.plans import assemblies, clocks, decoding, evaluation, features, intervals, rules  # noqa: F401
+from seqloom.plans import assemblies, clocks, decoding, evaluation, features, files, intervals, rules  # noqa: F401
 from seqloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from seqloom.functions import arrays as X
@@ -274,3 +275,15 @@ def test_edit_score_with_many_classes(spark):
     rows = [(1, t, t, t if t % 2 else t + 256) for t in range(600)]
     out = metrics.edit_score(spark.createDataFrame(rows, "seq_id long, t int, truth int, pred int")).first()
     assert math.isclose(out.edit, 0.5)
+
+
+def test_map_sequences(spark):
+    a = spark.createDataFrame([(1, 0, 2.0), (1, 1, 3.0), (2, 0, 5.0)], "seq_id long, t int, v double")
+    b = spark.createDataFrame([(1, "x"), (3, "y")], "seq_id long, name string")
+
+    def f(x, y):
+        who = (x if len(x) else y)["seq_id"].iloc[0]
+        return pd.DataFrame({"seq_id": [who], "total": [float(x["v"].sum())], "last": [int(x["t"].max()) if len(x) else -1], "names": ["".join(y["name"])]})
+
+    out = decode.map_sequences(f, "seq_id long, total double, last long, names string", a, b)
+    assert {tuple(r) for r in out.collect()} == {(1, 5.0, 1, "x"), (2, 5.0, 0, ""), (3, 0.0, -1, "y")} and out.count() == 3

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqloom.functions.tables import beside
 from seqloom.operators.segments import to_segments
 
 
@@ -17,8 +18,8 @@ def transition_counts(frames: DataFrame, label: str, uniform: float = 0.0, diago
     before = F.lag(label).over(Window.partitionBy("seq_id").orderBy("t"))
     pairs = frames.select(before.alias("src"), F.col(label).alias("dst")).filter("src is not null").groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
     if uniform or diagonal:
-        known = frames.select(F.col(label).alias("x")).distinct().withColumn("_k", F.lit(1))
-        grid = known.select(F.col("x").alias("src"), "_k").join(known.select(F.col("x").alias("dst"), "_k"), "_k").drop("_k")  # vocabulary by vocabulary
+        known = frames.select(F.col(label).alias("x")).distinct()
+        grid = beside(known.select(F.col("x").alias("src")), known.select(F.col("x").alias("dst")))
         extra = F.lit(uniform) + F.when(F.col("src") == F.col("dst"), diagonal).otherwise(0.0)
         pairs = grid.join(pairs, ["src", "dst"], "left").select("src", "dst", (F.coalesce("n", F.lit(0.0)) + extra).alias("n"))
     total = F.sum("n").over(Window.partitionBy("src"))
@@ -120,7 +121,7 @@ def parse_transition_table(rules: DataFrame, key: str, normalize: bool = False)
 def expand_event_rules(rules: DataFrame, categories: DataFrame) -> DataFrame:
     """(event, mode, slot, part): an AND of ORs (event, parts ARRAY<ARRAY<STRING>>, ``*name`` a category) as an OR of ANDs."""
     slots = rules.select("event", F.posexplode("parts").alias("slot", "options")).select("event", "slot", F.explode("options").alias("option"))
-    members = slots.join(F.broadcast(categories), F.col("option") == F.concat(F.lit("*"), F.col("category")), "left").select("event", "slot", F.coalesce("member", "option").alias("part"))  # parts of one product
+    members = slots.join(categories, F.col("option") == F.concat(F.lit("*"), F.col("category")), "left").select("event", "slot", F.coalesce("member", "option").alias("part"))
     lists = members.groupBy("event", "slot").agg(F.sort_array(F.collect_set("part")).alias("o")).groupBy("event").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "o"))), lambda x: x["o"]).alias("lists"))
     empty = F.array(F.array().cast("array<string>"))
     modes = F.aggregate("lists", empty, lambda acc, o: F.flatten(F.transform(acc, lambda m: F.transform(o, lambda x: F.concat(m, F.array(x))))))

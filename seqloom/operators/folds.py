@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from seqloom.functions.tables import numbered
 
 
 def make_folds(ids: DataFrame, n: int, val_share: float, draw: Column, draw_val: Column, key: str = "seq_id") -> DataFrame:
-    """(fold, split, key): each fold tests its n-tile of the ids by ``draw``; of the rest the first share by ``draw_val`` validates."""
-    tiles = ids.select(key).distinct().withColumn("_tile", F.ntile(n).over(Window.orderBy(draw, key)) - 1).withColumn("_v", draw_val)
-    folds = tiles.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    """(fold, split, key): each fold tests its n-tile of the ids by ``draw``; of the rest the first share by ``draw_val`` validates.
+
+    Ids are numbered by range twice, by draw for the tiles and by ``draw_val`` within the rest of each fold, so no task sees them all.
+    """
+    drawn = numbered(ids.select(key).distinct(), "_i", draw, key)
+    total = drawn.count()
+    small, longer = total // n, total % n  # the first tiles have one id more
+    tile = F.when(F.col("_i") < longer * (small + 1), F.floor(F.col("_i") / (small + 1))).otherwise(longer + F.floor((F.col("_i") - longer * (small + 1)) / max(small, 1)))
+    folds = drawn.select(key, tile.cast("int").alias("_tile"), draw_val.alias("_v")).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     test = F.col("_tile") == F.col("fold")
-    rest = Window.partitionBy("fold", test.cast("int"))
-    share = F.row_number().over(rest.orderBy("_v", key)) <= F.floor(F.count("*").over(rest) * val_share)
-    return folds.select("fold", F.when(test, "test").when(share, "val").otherwise("train").alias("split"), key)
+    rest = numbered(folds.filter(~test), "_r", "fold", "_v", key)
+    first = rest.groupBy("fold").agg(F.min("_r").alias("_first"), F.count("*").alias("_n"))  # one row a fold
+    share = F.col("_r") - F.col("_first") < F.floor(F.col("_n") * val_share)
+    learnt = rest.join(F.broadcast(first), "fold").select("fold", F.when(share, "val").otherwise("train").alias("split"), key)
+    return learnt.unionByName(folds.filter(test).select("fold", F.lit("test").alias("split"), key))
 
 
 def make_group_folds(items: DataFrame, group: str, n: int, val_share: float, draw: Column, draw_val: Column) -> DataFrame:

@@ -103,7 +103,7 @@ def validate_intervals(annotations: DataFrame, lengths: DataFrame) -> DataFrame:
 def expand_pairs(pairs: DataFrame, holes: DataFrame, both: bool = False) -> DataFrame:
     """Part pairs to hole pairs through ``holes`` (part1, part2, hole1, hole2), read in both directions."""
     swapped = holes.select(F.col("part2").alias("part1"), F.col("part1").alias("part2"), F.col("hole2").alias("hole1"), F.col("hole1").alias("hole2"))
-    out = pairs.join(F.broadcast(holes.unionByName(swapped).distinct()), ["part1", "part2"])  # a fixed mapping of one product's holes
+    out = pairs.join(holes.unionByName(swapped).distinct(), ["part1", "part2"])
     if both:
         back = out.withColumn("_h", F.col("hole1")).withColumn("hole1", F.col("hole2")).withColumn("hole2", F.col("_h")).drop("_h")
         out = out.unionByName(back)

@@ -49,14 +49,21 @@ def edit_score(labels: DataFrame) -> DataFrame:
     return text.select("seq_id", (1 - F.levenshtein("_t", "_p") / F.greatest(F.length("_t"), F.length("_p"))).alias("edit"))
 
 
-def overlap_score(labels: DataFrame) -> DataFrame:
-    """(seq_id, overlap): for each true segment the best IoU with a predicted one of its label, averaged."""
-    true = to_segments(labels.select("seq_id", "t", F.col("truth").alias("label"))).select("seq_id", "label", "seg_id", "start", "end")
-    pred = to_segments(labels.select("seq_id", "t", F.col("pred").alias("label"))).select("seq_id", "label", F.col("start").alias("_a"), F.col("end").alias("_b"))
+def overlap_score(labels: DataFrame, width: int = 256) -> DataFrame:
+    """(seq_id, overlap): for each true segment the best IoU with a predicted one of its label, averaged.
+
+    Segments meet in the stretches of ``width`` frames that they share, each pair in the first of them.
+    """
+    at = lambda c: F.floor(F.col(c) / width)
+    runs = lambda c: to_segments(labels.select("seq_id", "t", F.col(c).alias("label")))
+    true = runs("truth").select("seq_id", "label", "seg_id", "start", "end").withColumn("_w", F.explode(F.sequence(at("start"), at("end"))))
+    pred = runs("pred").select(F.col("seq_id").alias("_s"), F.col("label").alias("_l"), F.col("start").alias("_a"), F.col("end").alias("_b"))
+    pred = pred.withColumn("_v", F.explode(F.sequence(at("_a"), at("_b"))))
     both = F.greatest(F.lit(0), F.least("end", "_b") - F.greatest("start", "_a") + 1)
     iou = both / (F.greatest("end", "_b") - F.least("start", "_a") + 1)
-    tied = true.join(pred, (true["seq_id"] == pred["seq_id"]) & (true["label"] == pred["label"]) & (F.col("_a") <= F.col("end")) & (F.col("start") <= F.col("_b")), "left")
-    best = tied.groupBy(true["seq_id"], "seg_id").agg(F.coalesce(F.max(iou), F.lit(0.0)).alias("iou"))
+    same = F.expr("seq_id = _s and label = _l and _w = _v and _a <= end and start <= _b") & (F.col("_w") == F.greatest(at("start"), at("_a")))
+    met = F.when(F.col("_a").isNotNull(), iou)  # a segment that meets none has 0
+    best = true.join(pred, same, "left").groupBy("seq_id", "seg_id").agg(F.coalesce(F.max(met), F.lit(0.0)).alias("iou"))
     return best.groupBy("seq_id").agg(F.avg("iou").alias("overlap"))
 
 

@@ -21,7 +21,7 @@ def segment_features(pixels: DataFrame, *values: str) -> DataFrame:
 
 def frame_scores(pixels: DataFrame, table: DataFrame) -> DataFrame:
     """(seq_id, t, score): mean log-ratio of the foreground pixels through their colour cluster (cluster, ratio)."""
-    return pixels.filter("segment <> 0").join(F.broadcast(table), "cluster").groupBy(*FRAME).agg(F.avg("ratio").alias("score"))  # one row a cluster
+    return pixels.filter("segment <> 0").join(table, "cluster").groupBy(*FRAME).agg(F.avg("ratio").alias("score"))
 
 
 def _kept(pixels: DataFrame, keep: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def fit_color_model(pixels: DataFrame, k: int, smoothing: float = 1.0, seed: int
     model = KMeans(k=k, seed=seed).fit(points)
     on = (F.col("segment") != 0).cast("long")
     per = model.transform(points).groupBy(F.col("prediction").alias("cluster")).agg(F.sum(on).alias("a"), F.sum(1 - on).alias("z"))
-    every = Window.partitionBy(F.lit(1))  # one row a cluster
+    every = Window.partitionBy(F.lit(1))
     share = lambda c: (F.col(c) + smoothing) / (F.sum(c).over(every) + smoothing * k)
     return model, per.select("cluster", F.log(share("a") / share("z")).alias("ratio"))
 

@@ -42,7 +42,7 @@ def layer_agreement(blocks: DataFrame, goal: DataFrame) -> DataFrame:
     want = goal.groupBy("layer").agg(F.sort_array(F.collect_set("part")).alias("_goal"))
     have = blocks.groupBy("seq_id", "layer").agg(F.sort_array(F.collect_set("part")).alias("_have"))
     top = F.max("layer").over(Window.partitionBy("seq_id"))
-    marked = have.withColumn("_top", top).join(F.broadcast(want), "layer", "left")  # one row a layer
+    marked = have.withColumn("_top", top).join(want, "layer", "left")
     below = F.col("layer") < F.col("_top")
     right = F.min(F.when(below, (F.col("_have") == F.col("_goal")).cast("int")))
     out = marked.groupBy("seq_id", "_top").agg(F.coalesce(right, F.lit(1)).alias("_ok"), F.sum(below.cast("int")).alias("_k"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.functions import arrays as X
+from seqloom.functions.tables import beside
 from seqloom.operators.segments import segment_ids
 
 
@@ -31,7 +32,7 @@ def fit_moments(scores: DataFrame) -> DataFrame:
 
 def standardize(scores: DataFrame, moments: DataFrame) -> DataFrame:
     """Long scores less their mean over their deviation; the moments have one row a class."""
-    return long_form(scores).join(F.broadcast(moments), "class_id").select("seq_id", "t", "class_id", ((F.col("s") - F.col("mean")) / F.col("std")).alias("s"))
+    return long_form(scores).join(moments, "class_id").select("seq_id", "t", "class_id", ((F.col("s") - F.col("mean")) / F.col("std")).alias("s"))
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
@@ -59,7 +60,7 @@ def pair_scores(actions: DataFrame, parts: DataFrame, cooccurrence: DataFrame) -
     """(seq_id, t, action, part, s): the best sum of an action and a part score among the pairs seen together (action, part)."""
     a = long_form(actions).select("seq_id", "t", F.col("class_id").alias("action"), F.col("s").alias("_a"))
     b = long_form(parts).select("seq_id", "t", F.col("class_id").alias("part"), F.col("s").alias("_b"))
-    seen = a.join(F.broadcast(cooccurrence.select("action", "part").distinct()), "action").join(b, ["seq_id", "t", "part"])  # a vocabulary of pairs
+    seen = a.join(cooccurrence.select("action", "part").distinct(), "action").join(b, ["seq_id", "t", "part"])
     best = F.max(F.struct((F.col("_a") + F.col("_b")).alias("s"), (-F.col("action")).alias("a"), (-F.col("part")).alias("p")))
     return seen.groupBy("seq_id", "t").agg(best.alias("x")).select("seq_id", "t", (-F.col("x.a")).alias("action"), (-F.col("x.p")).alias("part"), F.col("x.s").alias("s"))
 
@@ -88,14 +89,14 @@ def distance_state_scores(distances: DataFrame, edges: DataFrame, scale: float =
 
 def class_average(scores: DataFrame, classes: DataFrame) -> DataFrame:
     """Mean score of the states of each symmetry class (state, cls)."""
-    return scores.join(F.broadcast(classes), "state").groupBy("seq_id", "t", "cls").agg(F.avg("s").alias("s"))  # one row a state
+    return scores.join(classes, "state").groupBy("seq_id", "t", "cls").agg(F.avg("s").alias("s"))
 
 
 def joint_scores(events: DataFrame, states: DataFrame, allowed: DataFrame, w_event: float, w_state: float) -> DataFrame:
     """(seq_id, t, event, state, s): weighted sums over the allowed pairs (event, state)."""
     e = long_form(events).select("seq_id", "t", F.col("class_id").alias("event"), F.col("s").alias("_e"))
     s = long_form(states).select("seq_id", "t", F.col("class_id").alias("state"), F.col("s").alias("_s"))
-    return e.join(F.broadcast(allowed), "event").join(s, ["seq_id", "t", "state"]).select("seq_id", "t", "event", "state", (w_event * F.col("_e") + w_state * F.col("_s")).alias("s"))
+    return e.join(allowed, "event").join(s, ["seq_id", "t", "state"]).select("seq_id", "t", "event", "state", (w_event * F.col("_e") + w_state * F.col("_s")).alias("s"))
 
 
 def lookup_event(pairs: DataFrame, table: DataFrame) -> DataFrame:
@@ -108,15 +109,12 @@ def gaussian_scores(points: DataFrame, params: DataFrame) -> DataFrame:
     """(seq_id, t, cls, s): log density of (x, y) under each class's axis-aligned Gaussian (mx, my, vx, vy); missing points score -inf."""
     quad = F.pow(F.col("x") - F.col("mx"), 2) / F.col("vx") + F.pow(F.col("y") - F.col("my"), 2) / F.col("vy")
     s = -0.5 * (quad + F.log(F.col("vx") * F.col("vy"))) - math.log(2 * math.pi)
-    classes = F.broadcast(params.withColumn("_k", F.lit(1)))  # one row a class
-    tied = points.withColumn("_k", F.lit(1)).join(classes, "_k")
-    return tied.select("seq_id", "t", "cls", F.coalesce(s, F.lit(float("-inf"))).alias("s"))
+    return beside(points, params).select("seq_id", "t", "cls", F.coalesce(s, F.lit(float("-inf"))).alias("s"))
 
 
 def bin_match_scores(actions: DataFrame, bins: DataFrame, match: float) -> DataFrame:
     """(action, bin, s): log match if the bin holds the action, else log of the rest; ``bins`` is (bin, contents array)."""
-    tied = actions.withColumn("_k", F.lit(1)).join(bins.withColumn("_k", F.lit(1)), "_k")  # vocabulary by vocabulary
-    return tied.select("action", "bin", F.when(F.array_contains("contents", F.col("action")), math.log(match)).otherwise(math.log(1 - match)).alias("s"))
+    return beside(actions, bins).select("action", "bin", F.when(F.array_contains("contents", F.col("action")), math.log(match)).otherwise(math.log(1 - match)).alias("s"))
 
 
 def split_signals(frames: DataFrame, only_active: bool = True) -> DataFrame:
@@ -134,7 +132,7 @@ def join_signals(frames: DataFrame, value: str) -> DataFrame:
 
 def vote_group(scores: DataFrame, membership: DataFrame) -> DataFrame:
     """(seq_id, model): the model with the largest log score summed over frames; a frame's score is the log-sum-exp over the parts (part, model)."""
-    parts = long_form(scores).join(F.broadcast(membership), F.col("class_id") == F.col("part"))  # a product's parts
+    parts = long_form(scores).join(membership, F.col("class_id") == F.col("part"))
     per = parts.groupBy("seq_id", "t", "model").agg((F.max("s") + F.log(F.sum(F.exp(F.col("s"))) / F.exp(F.max("s")))).alias("s"))
     totals = per.groupBy("seq_id", "model").agg(F.sum("s").alias("s"))
     best = F.row_number().over(Window.partitionBy("seq_id").orderBy(F.desc("s"), "model"))
@@ -143,7 +141,7 @@ def vote_group(scores: DataFrame, membership: DataFrame) -> DataFrame:
 
 def nearest_centers(points: DataFrame, centers: DataFrame) -> DataFrame:
     """(seq_id, seg_id, bin, n, x, y): points by nearest centre (bin, cx, cy), runs of one bin collapsed to their mean place."""
-    tied = points.withColumn("_k", F.lit(1)).join(F.broadcast(centers.withColumn("_k", F.lit(1))), "_k")  # one row a centre
+    tied = beside(points, centers)
     gap = F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)
     near = tied.groupBy("seq_id", "t").agg(F.min(F.struct(gap.alias("d"), "bin")).alias("m"), F.first("x").alias("x"), F.first("y").alias("y"))
     runs = segment_ids(near.withColumn("bin", F.col("m.bin")), "bin")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqloom.functions.tables import beside
+
 
 def magnitude(x: Column, y: Column, z: Column) -> Column:
     """Length of a 3-vector."""
@@ -114,9 +116,9 @@ def pair_distance(positions: DataFrame) -> DataFrame:
 def feasible_pairs(holes: DataFrame) -> DataFrame:
     """(hole1, hole2) with hole1 > hole2 on different parts; names are part_hole_number. Joined on the vocabulary, not on frames."""
     part = F.split("hole", "_hole_")[0]
-    one = holes.select(F.col("hole").alias("hole1"), part.alias("part1"), F.lit(1).alias("_k"))
-    two = holes.select(F.col("hole").alias("hole2"), part.alias("part2"), F.lit(1).alias("_k"))
-    return one.join(two, "_k").filter("hole1 > hole2 and part1 <> part2").select("hole1", "hole2")
+    one = holes.select(F.col("hole").alias("hole1"), part.alias("part1"))
+    two = holes.select(F.col("hole").alias("hole2"), part.alias("part2"))
+    return beside(one, two).filter("hole1 > hole2 and part1 <> part2").select("hole1", "hole2")
 
 
 def average_pose(poses: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqloom.functions.tables import numbered
 from seqloom.storage import stored
 
 
@@ -151,7 +152,7 @@ def edges_to_assembly(frames: DataFrame, patterns: DataFrame, key: str = "edges"
     first = patterns.groupBy(key).agg(F.min("id").alias("_id"))
     new = frames.select(key).distinct().join(first, key, "left_anti")
     base = patterns.agg(F.max("id").alias("_m"))
-    more = new.select(key, F.row_number().over(Window.orderBy(key)).alias("_r")).join(F.broadcast(base)).select(key, (F.col("_m") + F.col("_r")).alias("_id"))  # one row
+    more = numbered(new, "_r", key).join(F.broadcast(base)).select(key, (F.col("_m") + F.col("_r") + 1).alias("_id"))  # one row
     return frames.join(first.unionByName(more), key).withColumnRenamed("_id", "assembly")
 
 

@@ -15,9 +15,10 @@ from seqloom.storage import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Each larger neighbour of a vertex moves to its smallest one; only vertices with neighbours on both sides have any to move, so the middle of a star has no row in ``low``."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    low = both.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("top")).filter("m < a and a < top").select("a", "m")
+    return both.filter("b > a").join(low, "a", "left").select(F.col("b").alias("a"), F.coalesce("m", "a").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

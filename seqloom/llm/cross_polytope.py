@@ -36,7 +36,7 @@ from seqloom.storage import stored
 
 @dataclass(frozen=True)
 class PolytopeParams:
-    """``broadcast_keys``: most large buckets whose list is broadcast; more are joined by shuffle."""
+    """``tables``: tables for vectors of up to 64 parts; each doubling of the length adds two, which holds the recall. ``broadcast_keys``: most large buckets whose list is broadcast; more are joined by shuffle."""
 
     threshold: float = 0.9
     tables: int = 9
@@ -61,13 +61,14 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 def bucket_codes(x: np.ndarray, p: PolytopeParams) -> np.ndarray:
     """uint32[rows, tables, probes] of the buckets each row looks into; the first probe is its own bucket."""
     n = max(2, 1 << int(x.shape[1] - 1).bit_length())
+    tables = p.tables + 2 * max(0, n.bit_length() - 7)
     rng = np.random.default_rng([p.seed, n])
-    signs = rng.choice(np.array([-1.0, 1.0]), (p.tables, 2, 3, n))
+    signs = rng.choice(np.array([-1.0, 1.0]), (tables, 2, 3, n))
     wide = np.zeros((len(x), n))
     wide[:, : x.shape[1]] = x
-    out = np.empty((len(x), p.tables, p.probes), np.uint32)
+    out = np.empty((len(x), tables, p.probes), np.uint32)
     rows = np.arange(len(x))
-    for t in range(p.tables):
+    for t in range(tables):
         best, next_ = [], []
         for j in range(2):
             y = wide
@@ -197,7 +198,7 @@ def near_vectors(vectors: DataFrame, p: PolytopeParams = PolytopeParams(), vec_c
                     x = g.iloc[at : at + 1000]
                     v = np.frombuffer(b"".join(x["vec"]), dtype).reshape(len(x), -1).astype(np.float64)
                     codes = bucket_codes(v / np.linalg.norm(v, axis=1, keepdims=True), p)
-                    for t in range(p.tables):
+                    for t in range(codes.shape[1]):
                         for j in range(p.probes):
                             yield pd.DataFrame({"tab": t, "dim": int(size), "code": codes[:, t, j].astype(np.int64), "own": j == 0, "id": x["rep"].to_numpy(), "many": x["many"].to_numpy(), "vec": x["vec"].to_numpy()})
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.backoff_lm import LmParams, _counts_of, _counts_to, _grown, _shrunk, score_texts
 from seqloom.llm.components import connected_components
-from seqloom.llm.cross_polytope import PolytopeParams, near_vectors
+from seqloom.llm.cross_polytope import PolytopeParams, bucket_codes, near_vectors
 from seqloom.llm.disclosure import DisclosureParams, base_spans, disclosing_terms, find_personal_data, sanitise
 from seqloom.llm.mixing import BANDS, MixParams, apply_mix, mix
 from seqloom.llm.packing import PackingParams, WordEncoder, pack, plan
@@ -136,6 +136,18 @@ def test_near_vectors_recall_of_production(spark):
     assert found >= 0.99 * 3000
 
 
+@pytest.mark.parametrize("size", [64, 256, 768])
+def test_recall_holds_for_longer_vectors(size):
+    rng = np.random.default_rng(18)
+    p = PolytopeParams()
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.normal(size=(2, 600, size)))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.9005 * a + np.sqrt(1 - 0.9005**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    one, two = bucket_codes(a, p), bucket_codes(b, p)
+    met = (one == two[:, :, :1]).any(axis=2) | (two == one[:, :, :1]).any(axis=2)
+    assert met.any(axis=1).mean() > 0.99
+
+
 # 2
 
 

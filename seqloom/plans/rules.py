@@ -21,7 +21,7 @@ def h9(s, d):
 def h14(s, d):
     events = annotations(s, d).select("event").distinct()
     rules = events.select("event", F.array(F.array(F.lit("*leg")), F.array(F.lit("top"), F.lit("side"))).alias("parts"))
-    cats = events.limit(1).select(F.lit("leg").alias("category"), F.explode(F.array(F.lit("leg1"), F.lit("leg2"))).alias("member"))
+    cats = s.range(1).select(F.lit("leg").alias("category"), F.explode(F.array(F.lit("leg1"), F.lit("leg2"))).alias("member"))
     slots = H.expand_event_rules(rules, cats)
     return slots.groupBy("event", "mode").agg(F.max(F.when(F.col("slot") == 0, F.col("part"))).alias("first"), F.max(F.when(F.col("slot") == 1, F.col("part"))).alias("second")).drop("mode")
 

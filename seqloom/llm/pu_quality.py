@@ -9,9 +9,12 @@ logistic over binned text measures, fitted on the driver from a bounded sample
 (``most_positives`` and ``most_unlabelled`` rows, chosen by hash of the id); every text is scored
 where it lies.
 
-Defined results: null and empty texts have all measures zero and get a score like any other; a
-document labelled more than once is positive if any label says so; without positives the score is
-0.5; rows are scored one by one; language, source and id are never read by a score.
+Defined results: null and empty texts have all measures zero and get a score like any other; a text
+of any length is read whole; a document labelled more than once is positive if any label says so;
+without positives the score is 0.5; repeated rows and rows without an id (never held out) are scored
+one by one and equally; ties of the sampling hash go to the smallest id; an empty table gives an empty
+result; language, source and id are never read by a score; only the operator's own columns are
+returned, whatever others ``docs`` has.
 """
 
 from __future__ import annotations
@@ -107,6 +110,20 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(u[best] / p[best], 0.05, 0.99))
 
 
+def pu_risk(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, l2: float) -> tuple[float, np.ndarray]:
+    """The non-negative unbiased risk of weights ``w`` with the logistic loss, and the step's direction.
+
+    While what unlabelled rows lose as negatives, less the prior's share of positives among them, is
+    negative, the direction is that of raising it again.
+    """
+    zp, zu = positive @ w, unlabelled @ w
+    inner = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    value = prior * np.logaddexp(0, -zp).mean() + max(0.0, inner) + l2 * (w @ w) / 2
+    good = -prior * (positive.T @ (1 - _sigmoid(zp))) / len(positive)
+    bad = unlabelled.T @ _sigmoid(zu) / len(unlabelled) - prior * (positive.T @ _sigmoid(zp)) / len(positive)
+    return value, (good + bad if inner >= 0 else -bad) + l2 * w
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, p: PuParams = PuParams()) -> PuModel:
     """The model of smallest non-negative risk; rows are texts, columns measures."""
     both = np.concatenate([positive, unlabelled])
@@ -124,14 +141,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, p: PuParams = PuParams())
     first = _adam(separate, xp.shape[1], p.steps // 2, p.rate)
     prior = estimate_prior(xp[1::2] @ first, xu[1::2] @ first)
 
-    def risk(w: np.ndarray) -> np.ndarray:
-        zp, zu = xp @ w, xu @ w
-        good = -prior * (xp.T @ (1 - _sigmoid(zp))) / len(xp)
-        bad = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        inner = xu.T @ _sigmoid(zu) / len(xu) - prior * (xp.T @ _sigmoid(zp)) / len(xp)
-        return (good + inner if bad >= 0 else -inner) + p.l2 * w
-
-    w = _adam(risk, xp.shape[1], p.steps, p.rate)
+    w = _adam(lambda w: pu_risk(w, xp, xu, prior, p.l2)[1], xp.shape[1], p.steps, p.rate)
     return PuModel(edges, w[:-1], float(w[-1]), prior)
 
 

@@ -16,7 +16,7 @@ from seqloom.llm.cross_polytope import PolytopeParams, bucket_codes, near_vector
 from seqloom.llm.disclosure import DisclosureParams, base_spans, disclosing_terms, find_personal_data, sanitise
 from seqloom.llm.mixing import BANDS, MixParams, apply_mix, mix
 from seqloom.llm.packing import PackingParams, WordEncoder, pack, plan
-from seqloom.llm.pu_quality import estimate_prior, score_quality, train
+from seqloom.llm.pu_quality import estimate_prior, pu_risk, score_quality, train
 from seqloom.llm.quality_rules import BINS, CLASSES, BandParams, Bands, apply_quality_rules, fit_bands, fitted_bands, length_class, quality_rules
 from seqloom.llm.queries import tokenizer_path
 from seqloom.llm.role_repair import RepairParams, arcs, end_costs, repair_roles, trace, segment_table
@@ -233,6 +233,39 @@ def test_pu_quality_learns_without_bad_labels(spark):
     assert 0.6 < estimate_prior(rng.normal(2, 1, 4000), np.concatenate([rng.normal(2, 1, 2800), rng.normal(-2, 1, 1200)])) < 0.85
 
 
+def test_pu_risk_against_its_definition():
+    rng = np.random.default_rng(14)
+    xp, xu = rng.normal(0.5, 1, (40, 5)), rng.normal(0, 1, (70, 5))
+    loss = lambda z: np.log1p(np.exp(-z))
+    seen = set()
+    for scale in (0.1, 1.0, 4.0):
+        for prior in (0.3, 0.9):
+            w = scale * rng.normal(size=5)
+            inner = lambda v: sum(loss(-x @ v) for x in xu) / 70 - prior * sum(loss(-x @ v) for x in xp) / 40  # noqa: B023, E731
+            plain = lambda v: prior * sum(loss(x @ v) for x in xp) / 40 + max(0, inner(v)) + 0.01 * (v @ v) / 2  # noqa: B023, E731
+            value, step = pu_risk(w, xp, xu, prior, 0.01)
+            assert value == pytest.approx(plain(w))
+            f = plain if inner(w) >= 0 else (lambda v: -inner(v) + 0.01 * (v @ v) / 2)  # noqa: B023
+            slope = [(f(w + 1e-6 * e) - f(w - 1e-6 * e)) / 2e-6 for e in np.eye(5)]
+            assert np.allclose(step, slope, atol=1e-6)
+            seen.add(inner(w) >= 0)
+    assert True in seen
+
+
+def test_quality_of_odd_rows(spark):
+    rng = np.random.default_rng(15)
+    texts = [prose(rng, 80) for _ in range(40)] + [None, "", prose(rng, 30000)]
+    df = docs_of(spark, texts).withColumn("x", F.lit(0)).withColumn("held", F.lit("h"))
+    df = df.unionByName(df).unionByName(df.withColumn("doc_id", F.lit(None).cast("long")))
+    model = train(df, spark.createDataFrame([(i, 1, 0) for i in range(30)] * 2, "doc_id long, quality int, toxic int"))
+    out = score_quality(df, model).collect()
+    assert len(out) == 3 * len(texts) and sum(r.doc_id is None and not r.held_out for r in out) == len(texts)
+    by = {}
+    for r in out:
+        by.setdefault(r.doc_id, set()).add(r.score)
+    assert all(len(v) == 1 for i, v in by.items() if i is not None) and score_quality(df.limit(0), model).count() == 0
+
+
 # 4
 
 

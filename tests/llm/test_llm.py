@@ -724,3 +724,29 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, "/root/testdata/sf0.001")
     assert empty.count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(27)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    text = lambda n: " ".join("".join(rng.choice(syllables) for _ in range(rng.integers(1, 4))) for _ in range(n))
+    texts = [text(int(n)) for n in rng.integers(60, 400, 40)] + [text(120) + " write to ann@solo.org today"]
+    rows = [(i, t, "en", ["s", None, "t"][i % 3], len(t)) for i, t in enumerate(texts)] + [(90, None, None, None, None), (91, "", "en", "s", 0), (None, texts[0] + " and more", None, None, 1), (3, texts[3], "en", "s", len(texts[3]))]
+    docs = spark.createDataFrame(rows, DOCS)
+    for c in ("id", "print", "cuts", "m_rows", "kept", "key", "a", "b"):
+        docs = docs.withColumn(c, F.lit(c))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == columns, name
+        got = docs.collect()
+        assert all(r.cuts == "cuts" and r.m_rows == "m_rows" and r.key == "key" for r in got), name
+        if name == "near_dedup":
+            assert {r.doc_id for r in got} >= set(range(1, 41))
+        if name == "pii":
+            assert not any("ann@solo.org" in r.text for r in got) and any("[EMAIL]" in r.text for r in got)
+        docs = spark.createDataFrame(got, docs.schema)
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert sum(r.length for r in out if r.start == 0) and len({r.row_copy for r in out}) == len(got)

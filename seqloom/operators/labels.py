@@ -21,21 +21,27 @@ def interval_join(frames: DataFrame, intervals: DataFrame, closed: bool = True,
     return frames.join(cut, on, how).drop("_iv_s", "_iv_b", "_iv_last")
 
 
+def _topmost(frames: DataFrame, intervals: DataFrame, closed: bool = True) -> DataFrame:
+    """Each frame (seq_id, t are its key) with ``_l`` of the covering interval (seq_id, start, end, _l, _r) of highest ``_r``, and how many cover it, ``_n``.
+
+    The frame's other columns travel along, so frames are shuffled once to their intervals and once to their key.
+    """
+    packed = frames.select("seq_id", "t", F.struct(*frames.columns).alias("_row"))
+    hits = interval_join(packed, intervals, closed, how="left")
+    top = hits.groupBy("seq_id", "t").agg(F.first("_row").alias("_row"), F.max_by("_l", "_r").alias("_l"), F.count("_r").alias("_n"))
+    return top.select("_row.*", "_l", "_n")
+
+
 def paint_labels(frames: DataFrame, annotations: DataFrame, label: str, default, rank: str = "ann_id", closed: bool = True) -> DataFrame:
     """``frames`` (seq_id, t) with the label of the last interval over each, by ``rank``, and how many cover it."""
-    hits = interval_join(frames.select("seq_id", "t"), annotations.select("seq_id", "start", "end", F.col(label).alias("_l"), F.col(rank).alias("_r")), closed)
-    top = hits.groupBy("seq_id", "t").agg(F.max_by("_l", "_r").alias("_l"), F.count("*").alias("_n"))
-    joined = frames.join(top, ["seq_id", "t"], "left")
-    return joined.withColumn("label", F.coalesce("_l", F.lit(default))).withColumn("n_cover", F.coalesce("_n", F.lit(0)).cast("long")).drop("_l", "_n")
+    joined = _topmost(frames, annotations.select("seq_id", "start", "end", F.col(label).alias("_l"), F.col(rank).alias("_r")), closed)
+    return joined.withColumn("label", F.coalesce("_l", F.lit(default))).withColumn("n_cover", F.col("_n")).drop("_l", "_n")
 
 
 def paint_parts(frames: DataFrame, annotations: DataFrame, parts: list[str], rank: str = "ann_id") -> DataFrame:
     """``frames`` with one boolean a part, all from the last interval over each frame."""
-    bundled = annotations.withColumn("_parts", F.struct(*parts))
-    hits = interval_join(frames.select("seq_id", "t"), bundled.select("seq_id", "start", "end", "_parts", F.col(rank).alias("_r")))
-    top = hits.groupBy("seq_id", "t").agg(F.max_by("_parts", "_r").alias("_p"))
-    joined = frames.join(top, ["seq_id", "t"], "left")
-    return joined.select(*frames.columns, *[F.coalesce(F.col(f"_p.{p}"), F.lit(False)).alias(p) for p in parts])
+    joined = _topmost(frames, annotations.select("seq_id", "start", "end", F.struct(*parts).alias("_l"), F.col(rank).alias("_r")))
+    return joined.select(*frames.columns, *[F.coalesce(F.col(f"_l.{p}"), F.lit(False)).alias(p) for p in parts])
 
 
 def action_mask(frames: DataFrame, actions: DataFrame, most_code: int = 7) -> DataFrame:

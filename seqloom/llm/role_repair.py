@@ -15,7 +15,9 @@ Defined results: null or unknown roles cost ``unknown`` to be given one; role na
 and lower-cased; null texts are empty; null turns come first; rows that repeat a turn are turns of
 their own, in the order of role and text; rows without a conversation id form one conversation; an
 empty table gives an empty result. Of equally cheap repairs the one that comes first in the order
-take, merge, insert and system, user, assistant is chosen, from the end backwards.
+take, merge, insert and system, user, assistant is chosen, from the end backwards. A text of any
+length is kept whole; ``<|`` in it is written ``< |``, so that no text can forge a frame. Only the
+operator's own columns are returned, whatever others ``turns`` has.
 """
 
 from __future__ import annotations

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from seqloom.functions import arrays as X
 from seqloom.operators import decode as L
 from seqloom.operators import metrics as K
 from seqloom.operators import pixels as M
-from seqloom.plans.inputs import FRAMES, SCORES, frames, scores, table, with_
+from seqloom.plans.assemblies import ASM
+from seqloom.plans.inputs import FRAMES, PARTS, SCORES, frames, part_actions, scores, table, with_
 from seqloom.plans.registry import query
+from seqloom.storage import shared_folder
 
 
 def _moves(s, d):
@@ -225,6 +229,41 @@ def q3(s, d):
     return activity_sessions(f, "4 hours").select("seq_id", F.unix_micros("win.start").alias("start_us"), "n")
 
 
+def _streamed(rows, operator):
+    """What a stateful operator gives on a stream of these rows: read from written files, run to their end, and read back."""
+    spark = rows.sparkSession
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{at}/in")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(16, int(before)))  # as many state stores
+    try:
+        out = operator(spark.readStream.schema(rows.schema).parquet(f"{at}/in").withWatermark("ts", "1 day"))
+        out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+@query("q4_online_states", with_(PARTS, ASM) + "SELECT seq_id, step, array_to_string(state, ',') AS state FROM asm")
+def q4(s, d):
+    from seqloom.streaming.online import track_states
+
+    acts = part_actions(s, d).withColumn("step", F.col("step").cast("int")).withColumn("ts", F.timestamp_seconds(F.col("step") + 172_800))
+    return _streamed(acts, track_states).select("seq_id", "step", F.array_join(F.col("state").cast("array<string>"), ",").alias("state"))
+
+
+FILTERED = f"{POSTERIOR[: POSTERIOR.index(' bk AS (')].rstrip().rstrip(',')} SELECT fr.seq_id, fr.t, CAST(list_position(a, list_max(a)) - 1 AS INTEGER) AS state, round(list_max(a) - ({LSE.format('a')}), 6) AS log_prob FROM fw JOIN fr ON fr.seq_id = fw.seq_id AND fr.i = fw.i"
+
+
+@query("q5_forward_filter", HEAD + FILTERED)
+def q5(s, d):
+    from seqloom.streaming.online import forward_filter
+
+    moves = np.maximum(_moves(s, d), -20.0)
+    x = scores(s, d).select("seq_id", "t", "score").withColumn("ts", F.timestamp_seconds(F.col("t") + 172_800))
+    return _streamed(x, lambda stream: forward_filter(stream, moves)).withColumn("log_prob", F.round("log_prob", 6))
+
+
 @query("q6_bounded_join", with_(FRAMES) + "SELECT a.seq_id, a.t AS click, b.t AS view FROM frames a JOIN frames b ON a.seq_id = b.seq_id AND a.label = 'click' AND b.label = 'view' AND b.us BETWEEN a.us AND a.us + 86400000000")
 def q6(s, d):
     from seqloom.streaming.online import bounded_join

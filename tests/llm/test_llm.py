@@ -466,7 +466,7 @@ def test_role_repair_is_cheapest(spark):
 def test_equal_repairs_and_odd_turns(spark):
     rows = [(1, 0, None, "x"), (2, 0, "user", "a"), (2, 1, "?", "b"), (2, 2, "assistant", "c"), (3, None, " USER ", None), (3, 0, "Assistant", "y"), (4, 0, "user", "w " * 200_000)]
     out = repair_roles(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("cost", F.lit("x")).withColumn("position", F.lit(9))).orderBy("conv_id", "position").collect()
-    assert [(r.repaired_role, r.action) for r in out if r.conv_id == 1] == [("user", "take")]  # as cheap as an assistant's turn
+    assert [(r.repaired_role, r.action) for r in out if r.conv_id == 1] == [("user", "relabel")]  # as cheap as an assistant's turn
     assert [r.action for r in out if r.conv_id == 2] == ["take", "merge-relabel", "take"]  # as cheap as take, take, merge
     assert [(r.turn, r.repaired_role, r.cost) for r in out if r.conv_id == 3] == [(None, "user", 0.0), (0, "assistant", 0.0)]
     assert next(len(r.rendered) for r in out if r.conv_id == 4) > 400_000

@@ -44,7 +44,7 @@ class PackingParams:
     window: int = 2048
     end_id: int = 1
     iterations: int = 200
-    cached_words: int = 500_000
+    cached_words: int = 120_000
     slices: int = 256
     slice_rows: int = 100_000
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.backoff_lm import score_texts
+from seqloom.llm.bpe import encode_texts
 from seqloom.llm.cross_polytope import near_vectors
 from seqloom.llm.disclosure import find_personal_data
 from seqloom.llm.mixing import mix
@@ -22,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tokenizer_path() -> str:
-    """The tokenizer of the packing query; a parameter of the operator."""
+    """The tokenizer of the queries on tokens; a parameter of the operators."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -79,6 +80,13 @@ def op10_set_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_pack_nnls, op3_pu_quality, op4_entropy_mix, op5_backoff_lm, op6_role_repair, op7_url_char_lm, op8_disclosure_pii, op9_quality_rules, op10_set_sketch_dedup)}
+def op11_bpe_speculate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digests of every document's ids and of the text that they decode to."""
+    coded = encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    n_tokens = F.expr("octet_length(ids) div 4")
+    return coded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_pack_nnls, op3_pu_quality, op4_entropy_mix, op5_backoff_lm, op6_role_repair, op7_url_char_lm, op8_disclosure_pii, op9_quality_rules, op10_set_sketch_dedup, op11_bpe_speculate)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -15,6 +15,7 @@ from seqloom.llm.pu_quality import score_quality, train
 from seqloom.llm.quality_rules import quality_rules
 from seqloom.llm.role_repair import repair_roles
 from seqloom.llm.set_sketch import near_duplicates
+from seqloom.llm.turn_repair import damaged, repair_report
 from seqloom.llm.url_filter import filter_urls
 
 
@@ -87,6 +88,17 @@ def op11_bpe_speculate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_pack_nnls, op3_pu_quality, op4_entropy_mix, op5_backoff_lm, op6_role_repair, op7_url_char_lm, op8_disclosure_pii, op9_quality_rules, op10_set_sketch_dedup, op11_bpe_speculate)}
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, once its rows are damaged."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report = repair_report(damaged(turns))
+    every = turns.groupBy(F.col("conv_id").alias("_id")).agg(F.count("*").alias("_n"))
+    out = every.join(report, F.col("_id").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return out.select(F.col("_id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_pack_nnls, op3_pu_quality, op4_entropy_mix, op5_backoff_lm, op6_role_repair, op7_url_char_lm, op8_disclosure_pii, op9_quality_rules, op10_set_sketch_dedup, op11_bpe_speculate, op12_turn_repair)}
 
 ORACLE_SQL: dict[str, str] = {}

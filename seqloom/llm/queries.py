@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.backoff_lm import score_texts
 from seqloom.llm.bpe import encode_texts
+from seqloom.llm.collocations import mine_collocations
 from seqloom.llm.cross_polytope import near_vectors
 from seqloom.llm.disclosure import find_personal_data
 from seqloom.llm.mixing import mix
@@ -99,6 +100,40 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("_id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_pack_nnls, op3_pu_quality, op4_entropy_mix, op5_backoff_lm, op6_role_repair, op7_url_char_lm, op8_disclosure_pii, op9_quality_rules, op10_set_sketch_dedup, op11_bpe_speculate, op12_turn_repair)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op13_quotient_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of two and three words of each language."""
+    return mine_collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_pack_nnls, op3_pu_quality, op4_entropy_mix, op5_backoff_lm, op6_role_repair, op7_url_char_lm, op8_disclosure_pii, op9_quality_rules, op10_set_sketch_dedup, op11_bpe_speculate, op12_turn_repair, op13_quotient_phrases)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op13_quotient_phrases": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        runs AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        words AS (SELECT lang, piece, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM runs),
+        ahead AS (SELECT lang, w1, lead(w1) OVER piece AS w2, lead(w1, 2) OVER piece AS w3 FROM words WINDOW piece AS (PARTITION BY piece ORDER BY i)),
+        f1 AS MATERIALIZED (SELECT lang, w1, count(*)::HUGEINT AS f FROM ahead GROUP BY ALL),
+        f2 AS MATERIALIZED (SELECT lang, w1, w2, count(*)::HUGEINT AS f FROM ahead WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        f3 AS MATERIALIZED (SELECT lang, w1, w2, w3, count(*)::HUGEINT AS f FROM ahead WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+        inside AS (SELECT lang, w1, w2, max(f) AS longer FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+        twos AS (
+            SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, t.f AS a, x.f AS l, y.f AS r, 1 AS cut
+            FROM f2 t JOIN f1 x ON x.lang = t.lang AND x.w1 = t.w1 JOIN f1 y ON y.lang = t.lang AND y.w1 = t.w2
+            LEFT JOIN inside z ON z.lang = t.lang AND z.w1 = t.w1 AND z.w2 = t.w2 WHERE longer IS NULL OR 100 * longer < 50 * t.f),
+        threes AS (
+            SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3 AS phrase, t.f AS a, x.f AS l, y.f AS r, 1 AS cut
+            FROM f3 t JOIN f1 x ON x.lang = t.lang AND x.w1 = t.w1 JOIN f2 y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+            UNION ALL
+            SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, x.f, y.f, 2
+            FROM f3 t JOIN f2 x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2 JOIN f1 y ON y.lang = t.lang AND y.w1 = t.w3),
+        scored AS (SELECT *, (1000000 * a * a) // (l * r) AS score FROM (SELECT * FROM twos UNION ALL SELECT * FROM threes)),
+        kept AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+        FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
+}

@@ -58,7 +58,7 @@ class CollocationParams:
     least: int = 10
     inside: int = 50
     top: int = 2000
-    block_words: int = 250_000
+    block_words: int = 800_000
     text_bytes: int = 1 << 20
     filter_keys: int = 3_000_000
     shard_keys: int = 2_000_000
@@ -150,12 +150,20 @@ def _blocks(docs: DataFrame, p: CollocationParams, text_col: str, lang_col: str)
     return docs.select(lang.alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, kinds)
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, tasks: int) -> DataFrame:
-    """``rows`` joined with the one row of ``table`` for their keys; rows of a key are dealt to ``tasks`` tasks by ``spread``."""
-    if tasks == 1:
-        return rows.join(table, keys)
-    copies = table.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
-    return rows.withColumn("_task", F.pmod(F.xxhash64(spread), F.lit(tasks)).cast("int")).join(copies, [*keys, "_task"]).drop("_task")
+def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str], uses: str, spread: Column, most: int) -> DataFrame:
+    """``rows`` joined with the one row of ``table`` for their keys.
+
+    ``uses`` says how many rows ask for a key. One that more than ``most`` ask for has a copy for each ``most`` rows, and these are dealt by
+    ``spread``; such keys are broadcast, and there are no more of them than rows over ``most``, which ``_most`` holds to 10,000.
+    """
+    copies = table.withColumn("_copies", (F.lit(1) + F.col(uses) / most).cast("int")).drop(uses)
+    hot = F.broadcast(copies.filter("_copies > 1").select(*keys, F.col("_copies").alias("_dealt")))
+    dealt = rows.join(hot, keys, "left").withColumn("_task", F.pmod(F.xxhash64(spread), F.coalesce("_dealt", F.lit(1))).cast("int")).drop("_dealt")
+    return dealt.join(copies.withColumn("_task", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies"), [*keys, "_task"]).drop("_task")
+
+
+def _most(rows: int, p: CollocationParams) -> int:
+    return max(p.same_key, rows // 10_000)
 
 
 def _phrases(codes: np.ndarray, skip: int, word_bits: int, half: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,16 +244,14 @@ def mine_collocations(docs: DataFrame, p: CollocationParams = CollocationParams(
     """Each language's best phrases: lang, rank (from 1), phrase, a, l, r, n, score."""
     blocks = stored(_blocks(docs, p, text_col, lang_col), "zstd")
     each = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("lang", F.col("x.words").alias("word"), F.col("x.counts").alias("k"))
-    totals = stored(each.groupBy("lang", "word").agg(F.sum("k").alias("f")))
+    totals = stored(each.groupBy("lang", "word").agg(F.sum("k").alias("f"), F.count("*").alias("blocks")))
     words_of = totals.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = totals.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+    words, asking = totals.agg(F.coalesce(F.sum("f"), F.lit(0)), F.coalesce(F.sum("blocks"), F.lit(0))).first()
     often = totals.filter(F.col("f") >= p.least)
     vocabulary = stored(numbered(often, "id", -F.col("f"), "lang", "word").withColumn("id", F.col("id") + 1))
     word_bits = max(1, vocabulary.count().bit_length())
-    # ids of each block's words: rows of a word are one for each block that has it
     asked = blocks.select("block", "lang", F.posexplode("words").alias("at", "word"))
-    tasks = 1 + blocks.count() // p.same_key
-    answered = _looked_up(asked, vocabulary.select("lang", "word", "id"), ["lang", "word"], F.col("block"), tasks)
+    answered = _looked_up(asked, vocabulary.select("lang", "word", "id", "blocks"), ["lang", "word"], "blocks", F.col("block"), _most(asking, p))
     given = answered.groupBy("block").agg(F.collect_list(F.shiftleft(F.col("at").cast("long") + 1, 40) + F.col("id")).alias("given"))  # at most block_words
     found = stored(count_phrases(blocks.select("block", "skip", "codes").join(given, "block"), word_bits, words, p))
     discard(blocks)
@@ -255,35 +261,36 @@ def mine_collocations(docs: DataFrame, p: CollocationParams = CollocationParams(
 def _best(found: DataFrame, vocabulary: DataFrame, words_of: DataFrame, p: CollocationParams) -> DataFrame:
     """Ranked phrases of the candidates (w1, w2, w3, a)."""
     rows = found.count()
-    tasks = 1 + rows // p.same_key
+    most, spread = _most(rows, p), F.struct("w1", "w2", "w3")
     pairs, triples = found.filter("w3 = 0"), found.filter("w3 > 0")
-    pair_counts = pairs.select(F.col("w1").alias("p1"), F.col("w2").alias("p2"), F.col("a").alias("f_pair"))
-    spread = F.struct("w1", "w2", "w3")
-
-    def word(df: DataFrame, k: int) -> DataFrame:
-        names = vocabulary.select(F.col("id").alias(f"w{k}"), F.col("f").alias(f"f{k}"), F.col("word").alias(f"word{k}"), *([F.col("lang")] if k == 1 else []))
-        return _looked_up(df, names, [f"w{k}"], spread, tasks)
+    # how often each word begins and ends a pair; how often each pair begins and ends a triple, and the most frequent of these
+    uses = pairs.select(F.explode(F.array(F.struct(F.col("w1").alias("id"), F.lit(1).alias("starts")), F.struct(F.col("w2").alias("id"), F.lit(0).alias("starts")))).alias("x")).select("x.*")
+    words = vocabulary.join(uses.groupBy("id").agg(F.sum("starts").alias("starts"), F.sum(1 - F.col("starts")).alias("ends")), "id")
+    sides = F.array(F.struct(F.col("w1").alias("p1"), F.col("w2").alias("p2"), "a", F.lit(1).alias("starts")), F.struct(F.col("w2").alias("p1"), F.col("w3").alias("p2"), "a", F.lit(0).alias("starts")))
+    around = triples.select(F.explode(sides).alias("x")).select("x.*").groupBy("p1", "p2").agg(F.max("a").alias("longer"), F.sum("starts").alias("starts"), F.sum(1 - F.col("starts")).alias("ends"))
 
-    # the most frequent triple around each pair
-    around = triples.select(F.explode(F.array(F.struct(F.col("w1").alias("p1"), F.col("w2").alias("p2"), "a"), F.struct(F.col("w2").alias("p1"), F.col("w3").alias("p2"), "a"))).alias("x"))
-    around = around.select("x.*").groupBy("p1", "p2").agg(F.max("a").alias("longer"))
-    left = pairs.join(around, (F.col("w1") == F.col("p1")) & (F.col("w2") == F.col("p2")), "left").filter(f"longer is null or 100 * longer < {p.inside} * a")
-    left = word(word(left.select("w1", "w2", "w3", "a"), 1), 2)
+    first = _looked_up(pairs, words.select(F.col("id").alias("w1"), "lang", F.col("f").alias("f1"), "starts"), ["w1"], "starts", spread, most)
+    both = _looked_up(first, words.select(F.col("id").alias("w2"), F.col("f").alias("f2"), "ends"), ["w2"], "ends", spread, most)
+    met = (F.col("w1") == F.col("p1")) & (F.col("w2") == F.col("p2"))
+    pair = stored(both.join(around, met, "left").select("lang", "w1", "w2", "w3", "a", "f1", "f2", "longer", F.coalesce("starts", F.lit(0)).alias("starts"), F.coalesce("ends", F.lit(0)).alias("ends")))
 
     def score(left_count: str, right_count: str) -> Column:
         return F.expr(f"(cast(1000000 as decimal(38,0)) * a * a) div (cast({left_count} as decimal(19,0)) * cast({right_count} as decimal(19,0)))")
 
-    twos = left.select("lang", "w1", "w2", "w3", F.concat_ws(" ", "word1", "word2").alias("phrase"), "a", F.col("f1").alias("l"), F.col("f2").alias("r"), score("f1", "f2").alias("score"))
-    firsts = _looked_up(triples, pair_counts.select(F.col("p1").alias("w1"), F.col("p2").alias("w2"), F.col("f_pair").alias("f12")), ["w1", "w2"], spread, tasks)
-    both = _looked_up(firsts, pair_counts.select(F.col("p1").alias("w2"), F.col("p2").alias("w3"), F.col("f_pair").alias("f23")), ["w2", "w3"], spread, tasks)
-    full = word(word(word(both, 1), 2), 3).withColumn("s1", score("f1", "f23")).withColumn("s2", score("f12", "f3"))
+    twos = pair.filter(f"longer is null or 100 * longer < {p.inside} * a").select("lang", "w1", "w2", "w3", "a", F.col("f1").alias("l"), F.col("f2").alias("r"), score("f1", "f2").alias("score"))
+    begun = _looked_up(triples, pair.select("w1", "w2", "lang", "f1", F.col("a").alias("f12"), "starts"), ["w1", "w2"], "starts", spread, most)
+    full = _looked_up(begun, pair.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("a").alias("f23"), F.col("f2").alias("f3"), "ends"), ["w2", "w3"], "ends", spread, most)
+    full = full.withColumn("s1", score("f1", "f23")).withColumn("s2", score("f12", "f3"))
     early = F.col("s1") <= F.col("s2")
-    threes = full.select(
-        "lang", "w1", "w2", "w3", F.concat_ws(" ", "word1", "word2", "word3").alias("phrase"), "a",
-        F.when(early, F.col("f1")).otherwise(F.col("f12")).alias("l"), F.when(early, F.col("f23")).otherwise(F.col("f3")).alias("r"), F.least("s1", "s2").alias("score"),
-    )
-    best = twos.unionByName(threes).withColumn("slice", F.pmod(F.xxhash64("w1", "w2", "w3"), F.lit(1 + rows // p.rank_rows)))
-    order = (F.col("score").desc(), F.col("a").desc(), "phrase")
-    near = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "slice").orderBy(*order))).filter(F.col("rank") <= p.top)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= p.top)
-    return ranked.join(words_of, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    threes = full.select("lang", "w1", "w2", "w3", "a", F.when(early, F.col("f1")).otherwise(F.col("f12")).alias("l"), F.when(early, F.col("f23")).otherwise(F.col("f3")).alias("r"), F.least("s1", "s2").alias("score"))
+    slice_ = F.pmod(F.xxhash64("w1", "w2", "w3"), F.lit(1 + rows // p.rank_rows))
+    best = twos.unionByName(threes).withColumn("slice", slice_)
+    for keys in (["lang", "slice"], ["lang"]):  # all that tie with the last place stay, until phrases tell them apart
+        best = best.withColumn("rank", F.rank().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("a").desc()))).filter(F.col("rank") <= p.top)
+    for k in (1, 2, 3):
+        names = vocabulary.select(F.col("id").alias(f"w{k}"), F.col("word").alias(f"word{k}"))
+        best = best.join(names, f"w{k}", "left")  # a pair has no third word
+    named = best.withColumn("phrase", F.concat_ws(" ", "word1", "word2", "word3"))
+    for keys in (["lang", "slice"], ["lang"]):
+        named = named.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("a").desc(), "phrase"))).filter(F.col("rank") <= p.top)
+    return named.join(words_of, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

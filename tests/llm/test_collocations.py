@@ -88,6 +88,7 @@ def test_large_counts_are_exact(spark):
     found = spark.createDataFrame([(1, 2, 0, big - 7)], "w1 long, w2 long, w3 long, a long")
     words = spark.createDataFrame([(1, "p", big, "en"), (2, "q", big + 11, "en")], "id long, word string, f long, lang string")
     row = _best(found, words, spark.createDataFrame([("en", 3 * big)], "lang string, n long"), CollocationParams()).first()
+    assert (row.phrase, row.l, row.r, row.n) == ("p q", big, big + 11, 3 * big)
     assert row.score == 1000000 * (big - 7) ** 2 // (big * (big + 11))
 
 

@@ -44,13 +44,13 @@ def remove_small_segments(df: DataFrame, min_len: int, label: str = "label") ->
     """Frames with runs below ``min_len`` taken over by the kept run before; -1 before the first kept run."""
     runs = to_segments(df, label)
     kept = F.last(F.when(F.col("n") >= min_len, F.col("label")), ignorenulls=True).over(Window.partitionBy("seq_id").orderBy("seg_id"))
-    return from_segments(runs.withColumn("label", F.coalesce(kept, F.lit(-1))))
+    return from_segments(runs.withColumn("label", F.coalesce(kept, F.lit(-1).cast(df.schema[label].dataType))))
 
 
-def joint_segments(df: DataFrame, channels: list[str], base: int = 2, min_len: int = 30) -> DataFrame:
-    """(seq_id, t, seg_id): segments of several channels read together as one number in ``base``."""
-    code = sum((F.col(c) * base**i for i, c in enumerate(channels)), F.lit(0))
-    coded = df.select("seq_id", "t", code.cast("int").alias("label"))
+def joint_segments(df: DataFrame, channels: list[str], min_len: int = 30) -> DataFrame:
+    """(seq_id, t, seg_id): segments of any number of channels read together; a null is a value of its own."""
+    key = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in channels])
+    coded = df.select("seq_id", "t", F.concat(F.lit("="), key).alias("label"))
     return segment_ids(remove_small_segments(coded, min_len) if min_len > 0 else coded).select("seq_id", "t", "seg_id")
 
 

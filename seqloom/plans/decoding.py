@@ -62,52 +62,135 @@ MATCHED = "WITH RECURSIVE " + FRAMES + """, a AS (SELECT seq_id, list(t ORDER BY
 
 @query("l1_viterbi", HEAD + _path() + " SELECT seq_id, t, pred FROM path")
 def l1(s, d):
-    return L.viterbi(scores(s, d), np.maximum(_moves(s, d), -20.0))
+    return L.viterbi(scores(s, d), np.maximum(_moves(s, d), -20.0)).drop("reason")
 
 
 @query("l2_uniform_decode", with_(SCORES) + "SELECT seq_id, t, CAST(list_position(score, list_max(score)) - 1 AS INTEGER) AS pred FROM scores")
 def l2(s, d):
-    return L.viterbi(scores(s, d), L.log_matrix(scores(s, d), "label", 10, "uniform"), start=None)
+    return L.viterbi(scores(s, d), L.log_matrix(scores(s, d), "label", 10, "uniform"), start=None).drop("reason")
 
 
 @query("l3_beam_decode", HEAD + _path(beam="5.0") + " SELECT seq_id, t, pred FROM path")
 def l3(s, d):
-    return L.viterbi(scores(s, d), np.maximum(_moves(s, d), -20.0), beam=-5.0)
+    return L.viterbi(scores(s, d), np.maximum(_moves(s, d), -20.0), beam=-5.0).drop("reason")
 
 
 @query("l4_marginals", HEAD + POSTERIOR)
 def l4(s, d):
-    return L.marginals(scores(s, d), np.maximum(_moves(s, d), -20.0)).withColumn("log_prob", F.round("log_prob", 6))
+    return L.marginals(scores(s, d), np.maximum(_moves(s, d), -20.0)).drop("reason").withColumn("log_prob", F.round("log_prob", 6))
 
 
 @query("l5_edge_scores", HEAD + _path(edge=" + CASE WHEN j = label % 10 AND k = (label + 1) % 10 THEN 1.0 ELSE 0.0 END") + " SELECT seq_id, t, pred FROM path")
 def l5(s, d):
     x = scores(s, d)
     edges = x.select("seq_id", "t", (F.col("label") % 10).alias("src"), ((F.col("label") + 1) % 10).alias("dst"), F.lit(1.0).alias("s"))
-    return L.viterbi_with_edges(x, edges, np.maximum(_moves(s, d), -20.0))
+    return L.viterbi_with_edges(x, edges, np.maximum(_moves(s, d), -20.0)).drop("reason")
 
 
-@query("l6_segmental_decode")
+#: Best score of each (segments before, class) as one list of 80, where it came from, and the path back. ``stay`` wins over ``enter`` of equal score.
+SEGMENTAL = """, fw AS (SELECT seq_id, i, list_transform(range(0, 80), lambda q: CASE WHEN q < 10 THEN score[q + 1] ELSE CAST('-infinity' AS DOUBLE) END) AS best, CAST([] AS BIGINT[]) AS came FROM fr WHERE i = 0
+ UNION ALL SELECT seq_id, i, list_transform(range(0, 80), lambda q: greatest(old[q + 1], inn[q + 1]) + score[q % 10 + 1]),
+  list_transform(range(0, 80), lambda q: CASE WHEN inn[q + 1] > old[q + 1] THEN list_position(list_transform(range(0, 10), lambda j: CASE WHEN j = q % 10 THEN CAST('-infinity' AS DOUBLE) ELSE old[q - q % 10 - 10 + j + 1] - 0.05 END), inn[q + 1]) - 1 + q - q % 10 - 10 ELSE q END)
+ FROM (SELECT r.seq_id, r.i, r.score, f.best AS old, list_transform(range(0, 80), lambda q: CASE WHEN q < 10 THEN CAST('-infinity' AS DOUBLE) ELSE list_max(list_transform(range(0, 10), lambda j: CASE WHEN j = q % 10 THEN CAST('-infinity' AS DOUBLE) ELSE f.best[q - q % 10 - 10 + j + 1] - 0.05 END)) END) AS inn
+  FROM fw f JOIN fr r ON r.seq_id = f.seq_id AND r.i = f.i + 1)),
+ bw AS (SELECT f.seq_id, f.i, list_position(best, list_max(best)) - 1 AS q, came FROM fw f JOIN fr r ON r.seq_id = f.seq_id AND r.i = f.i WHERE f.i = n - 1
+ UNION ALL SELECT f.seq_id, f.i, b.came[b.q + 1], f.came FROM bw b JOIN fw f ON f.seq_id = b.seq_id AND f.i = b.i - 1)
+ SELECT r.seq_id, r.t, CAST(q % 10 AS INTEGER) AS pred FROM bw b JOIN fr r ON r.seq_id = b.seq_id AND r.i = b.i"""
+FR = SCORES + """, fr AS MATERIALIZED (SELECT seq_id, t, score, CAST(row_number() OVER (PARTITION BY seq_id ORDER BY t) - 1 AS INTEGER) AS i, count(*) OVER (PARTITION BY seq_id) AS n FROM scores)"""
+
+
+@query("l6_segmental_decode", "WITH RECURSIVE " + FR + SEGMENTAL)
 def l6(s, d):
-    return L.segmental_decode(scores(s, d), np.full((10, 10), -0.05), 8)
+    return L.segmental_decode(scores(s, d), np.full((10, 10), -0.05), 8).drop("reason")
 
 
 def _durations():
     return np.log(np.array([[0.1, 0.2, 0.3, 0.2, 0.1, 0.1]] * 10))
 
 
-@query("l7_duration_decode")
+def _timed(k, moves, wide="score", first="0"):
+    """SQL of models with explicit durations over ``k`` states: ``hs`` holds what the last six frames left, less the running sum of scores.
+
+    ``fw`` has for each number of frames read the best score of a segment's end, how long it lasted and where the next one comes from.
+    """
+    each = lambda body, v="c": f"list_transform(range(0, {k}), lambda {v}: {body})"
+    return f""", du AS (SELECT [ln(0.1), ln(0.2), ln(0.3), ln(0.2), ln(0.1), ln(0.1)] AS d), mm AS MATERIALIZED (SELECT {each(each(moves), "j")} AS m),
+ wd AS MATERIALIZED (SELECT seq_id, t, i, n, {each(wide)} AS x FROM fr), hd AS (SELECT {each(f"CAST({first} AS DOUBLE)")} AS h)"""
+
+
+def _sums(k):
+    """SQL of the sums forwards (``fs``: entry scores less running sums) and backwards (``bs``: what follows plus running sums), and of each frame's state probabilities ``pr``."""
+    each = lambda body, v="c": f"list_transform(range(0, {k}), lambda {v}: {body})"
+    lse = lambda x: f"(CASE WHEN list_max({x}) > CAST('-infinity' AS DOUBLE) THEN list_max({x}) + ln(list_sum(list_transform({x}, lambda v: exp(v - list_max({x}))))) ELSE CAST('-infinity' AS DOUBLE) END)"
+    spans = "list_transform(range(0, len(hs)), lambda e: hs[e + 1][c + 1] + d[e + 1])"
+    ends = each(f"s[c + 1] + {lse(spans)}")
+    into = each(lse(f"list_transform(range(0, {k}), lambda j: y[j + 1] + m[j + 1][c + 1])"))
+    begin = each(f"{lse(spans)} - s[c + 1]")
+    outof = each(lse(f"list_transform(range(0, {k}), lambda j: m[c + 1][j + 1] + y[j + 1])"))
+    return f""", cs AS MATERIALIZED (SELECT seq_id, i + 1 AS i, n, list(v ORDER BY c) AS s FROM (SELECT seq_id, i, n, c, sum(v) OVER (PARTITION BY seq_id, c ORDER BY i) AS v FROM (SELECT seq_id, i, n, unnest(x) AS v, unnest(range(0, {k})) AS c FROM wd)) GROUP BY 1, 2, 3),
+ fs AS (SELECT seq_id, CAST(0 AS INTEGER) AS i, h, [h] AS hs, CAST([] AS DOUBLE[]) AS y FROM cs, hd WHERE i = 1
+ UNION ALL SELECT seq_id, i, {each("en[c + 1] - s[c + 1]")}, list_prepend({each("en[c + 1] - s[c + 1]")}, hs)[1:6], y FROM (SELECT *, {into} AS en FROM (SELECT c.seq_id, c.i, c.s, f.hs, {ends.replace("s[c + 1] +", "c.s[c + 1] +").replace("hs[", "f.hs[").replace("len(hs)", "len(f.hs)")} AS y FROM fs f JOIN cs c ON c.seq_id = f.seq_id AND c.i = f.i + 1, du), mm)),
+ tot AS MATERIALIZED (SELECT f.seq_id, {lse("y")} AS z FROM fs f JOIN cs c ON c.seq_id = f.seq_id AND c.i = f.i WHERE c.i = c.n),
+ bs AS (SELECT seq_id, i, s AS h, [s] AS hs FROM cs WHERE i = n
+ UNION ALL SELECT seq_id, i, {each("fo[c + 1] + s[c + 1]")}, list_prepend({each("fo[c + 1] + s[c + 1]")}, hs)[1:6] FROM (SELECT *, {outof} AS fo FROM (SELECT c.seq_id, c.i, c.s, b.hs, {begin.replace("s[c + 1]", "c.s[c + 1]").replace("hs[", "b.hs[").replace("len(hs)", "len(b.hs)")} AS y FROM bs b JOIN cs c ON c.seq_id = b.seq_id AND c.i = b.i - 1, du), mm)),
+ sg AS (SELECT f.seq_id, f.i AS a, b.i AS b, {each("exp(f.h[c + 1] + d[b.i - f.i] + b.h[c + 1] - z)")} AS w FROM fs f JOIN bs b ON b.seq_id = f.seq_id AND b.i > f.i AND b.i <= f.i + 6 JOIN tot ON tot.seq_id = f.seq_id, du),
+ pr AS (SELECT fr.seq_id, fr.t, c, sum(p) AS p FROM (SELECT seq_id, a, b, unnest(w) AS p, unnest(range(0, {k})) AS c FROM sg) JOIN fr USING (seq_id) WHERE fr.i >= a AND fr.i < b GROUP BY 1, 2, 3)"""
+
+
+APART = "CASE WHEN j = c THEN CAST('-infinity' AS DOUBLE) ELSE -ln(9) END"
+LASTING = """, fw AS (SELECT seq_id, CAST(0 AS INTEGER) AS i, list_transform(range(0, 10), lambda c: CAST(0 AS DOUBLE)) AS s, [h] AS hs, CAST([] AS DOUBLE[]) AS best, CAST([] AS BIGINT[]) AS lasted, CAST([] AS BIGINT[]) AS src FROM wd, hd WHERE i = 0
+ UNION ALL SELECT seq_id, i, s, list_prepend(list_transform(range(0, 10), lambda c: list_max(list_transform(range(0, 10), lambda j: best[j + 1] + m[j + 1][c + 1])) - s[c + 1]), hs)[1:6], best, lasted,
+  list_transform(range(0, 10), lambda c: list_position(list_transform(range(0, 10), lambda j: best[j + 1] + m[j + 1][c + 1]), list_max(list_transform(range(0, 10), lambda j: best[j + 1] + m[j + 1][c + 1]))) - 1)
+ FROM (SELECT seq_id, i, s, hs, list_transform(range(0, 10), lambda c: s[c + 1] + list_max(list_transform(range(0, len(hs)), lambda e: hs[e + 1][c + 1] + d[e + 1]))) AS best,
+   list_transform(range(0, 10), lambda c: list_position(list_transform(range(0, len(hs)), lambda e: hs[e + 1][c + 1] + d[e + 1]), list_max(list_transform(range(0, len(hs)), lambda e: hs[e + 1][c + 1] + d[e + 1])))) AS lasted
+  FROM (SELECT w.seq_id, w.i + 1 AS i, list_transform(range(0, 10), lambda c: f.s[c + 1] + w.x[c + 1]) AS s, f.hs FROM fw f JOIN wd w ON w.seq_id = f.seq_id AND w.i = f.i), du), mm),
+ bw AS (SELECT f.seq_id, f.i, list_position(best, list_max(best)) - 1 AS q, lasted[list_position(best, list_max(best))] AS l FROM fw f JOIN (SELECT DISTINCT seq_id, n FROM wd) e ON e.seq_id = f.seq_id AND e.n = f.i
+ UNION ALL SELECT f.seq_id, f.i, q, l FROM (SELECT f.seq_id, f.i, f.src[b.q + 1] AS q, f.lasted[f.src[b.q + 1] + 1] AS l FROM bw b JOIN fw f ON f.seq_id = b.seq_id AND f.i = b.i - b.l WHERE f.i > 0) f)
+ SELECT wd.seq_id, wd.t, CAST(q AS INTEGER) AS pred FROM bw JOIN wd ON wd.seq_id = bw.seq_id AND wd.i < bw.i AND wd.i >= bw.i - bw.l"""
+
+
+@query("l7_duration_decode", "WITH RECURSIVE " + FR + _timed(10, APART, "score[c + 1]") + LASTING)
 def l7(s, d):
-    return L.duration_decode(scores(s, d), _durations(), np.where(np.eye(10) > 0, -np.inf, -np.log(9)), np.zeros(10))
+    return L.duration_decode(scores(s, d), _durations(), np.where(np.eye(10) > 0, -np.inf, -np.log(9)), np.zeros(10)).drop("reason")
 
 
-@query("l8_joint_decode")
-def l8(s, d):
+LIKELIEST = " SELECT seq_id, t, CAST(arg_max(c, p) AS INTEGER) AS pred, round(ln(max(p)), 6) AS log_prob FROM pr GROUP BY 1, 2"
+
+
+@query("l7_duration_marginals", "WITH RECURSIVE " + FR + _timed(10, APART, "score[c + 1]") + _sums(10) + LIKELIEST)
+def l7_marginals(s, d):
+    out = L.duration_decode(scores(s, d), _durations(), np.where(np.eye(10) > 0, -np.inf, -np.log(9)), np.zeros(10), marginal=True)
+    return out.select("seq_id", "t", "pred", F.round("log_prob", 6).alias("log_prob"))
+
+
+@query("l7_self_move_marginals", "WITH RECURSIVE " + FR + _timed(10, "-ln(10)", "score[c + 1]") + _sums(10) + LIKELIEST)
+def l7_self_moves(s, d):
+    """The same where a state may follow itself."""
+    out = L.duration_decode(scores(s, d), _durations(), np.full((10, 10), -np.log(10)), np.zeros(10), marginal=True)
+    return out.select("seq_id", "t", "pred", F.round("log_prob", 6).alias("log_prob"))
+
+
+def _events_to_states(cost=0.0):
     table_ = np.full((10, 4, 4), -np.inf)
     for e in range(10):
         for a in range(4):
-            table_[e, a, (a + e) % 4] = 0.0
-    return L.joint_decode(scores(s, d), _durations(), table_, np.where(np.arange(4) == 0, 0.0, -np.inf))
+            table_[e, a, (a + e) % 4] = -cost * ((a + e) % 4)
+    return table_
+
+
+@query("l8_joint_decode")
+def l8(s, d):
+    return L.joint_decode(scores(s, d), _durations(), _events_to_states(), np.where(np.arange(4) == 0, 0.0, -np.inf)).drop("reason")
+
+
+#: State c of the programme is event c // 4 with state c % 4.
+JOINT = _timed(40, "CASE WHEN (j % 4 + c // 4) % 4 = c % 4 THEN -0.25 * (c % 4) ELSE CAST('-infinity' AS DOUBLE) END", "score[c // 4 + 1]", "CASE WHEN c // 4 % 4 = c % 4 THEN CAST(-0.25 * (c % 4) AS DOUBLE) ELSE CAST('-infinity' AS DOUBLE) END")
+
+
+@query("l8_joint_marginals", "WITH RECURSIVE " + FR + JOINT + _sums(40) + ", ev AS (SELECT seq_id, t, arg_max(e, p) AS event FROM (SELECT seq_id, t, c // 4 AS e, sum(p) AS p FROM pr GROUP BY 1, 2, 3) GROUP BY 1, 2), st AS (SELECT seq_id, t, arg_max(e, p) AS state FROM (SELECT seq_id, t, c % 4 AS e, sum(p) AS p FROM pr GROUP BY 1, 2, 3) GROUP BY 1, 2) SELECT seq_id, t, CAST(event AS INTEGER) AS event, CAST(state AS INTEGER) AS state FROM ev JOIN st USING (seq_id, t)")
+def l8_marginals(s, d):
+    """Event and state of each frame by their own posteriors, where each state has a cost of its own."""
+    return L.joint_decode(scores(s, d), _durations(), _events_to_states(0.25), np.where(np.arange(4) == 0, 0.0, -np.inf), True, "each").drop("reason")
 
 
 @query("l9_experiment", HEAD + _path() + ", acc AS (SELECT seq_id % 5 AS fold, seq_id, avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) AS a FROM path GROUP BY 1, 2) SELECT fold, round(avg(a), 6) AS accuracy, count(*) AS n FROM acc GROUP BY 1")

@@ -338,10 +338,10 @@ def k4(s, d):
 
 @query(
     "k5_overlap_score",
-    with_(FRAMES, LAB, SEGTEXT) + ", x AS (SELECT seq_id, sa, truth AS l, min(t) AS a, max(t) AS b FROM ns GROUP BY 1, 2, 3), y AS (SELECT seq_id, sb, pred AS l, min(t) AS c, max(t) AS e FROM ns GROUP BY 1, 2, 3), z AS (SELECT x.seq_id, sa, coalesce(max((least(b, e) - greatest(a, c) + 1) / (greatest(b, e) - least(a, c) + 1)) FILTER (c IS NOT NULL), 0) AS iou FROM x LEFT JOIN y ON x.seq_id = y.seq_id AND x.l = y.l AND c <= b AND a <= e GROUP BY 1, 2) SELECT seq_id, round(avg(iou), 6) AS overlap FROM z GROUP BY 1",
+    with_(FRAMES, LAB, SEGTEXT) + ", x AS (SELECT seq_id, sa, truth AS l, min(t) AS a, max(t) AS b FROM ns GROUP BY 1, 2, 3), y AS (SELECT seq_id, sb, pred AS l, min(t) AS c, max(t) AS e FROM ns GROUP BY 1, 2, 3), z AS (SELECT x.seq_id, sa, coalesce(max(CAST(least(b, e) - greatest(a, c) + 1 AS BIGINT) * 1000000000 // (greatest(b, e) - least(a, c) + 1)) FILTER (c IS NOT NULL), 0) AS iou FROM x LEFT JOIN y ON x.seq_id = y.seq_id AND x.l = y.l AND c <= b AND a <= e GROUP BY 1, 2) SELECT seq_id, ((2 * sum(iou) + 1000 * count(*)) // (2000 * count(*))) / 1000000 AS overlap FROM z GROUP BY 1",
 )
 def k5(s, d):
-    return K.overlap_score(_labels(s, d)).withColumn("overlap", F.round("overlap", 6))
+    return K.overlap_score(_labels(s, d))
 
 
 @query("k6_confusion", LABS + "SELECT pred, truth, count(*) AS n FROM lab GROUP BY 1, 2")

@@ -58,7 +58,7 @@ def d5(s, d):
 )
 def d6(s, d):
     f = frames(s, d).withColumn("a", (F.col("score") > 90).cast("int")).withColumn("b", (F.col("k") > 90).cast("int"))
-    return S.joint_segments(f, ["a", "b"], 2, 3)
+    return S.joint_segments(f, ["a", "b"], 3)
 
 
 @query("d7_reduce_segments", runs_of("label") + "SELECT seq_id, seg_id, round(avg(score), 6) AS mean_score, max(k) AS max_k, count(*) AS n FROM numbered GROUP BY 1, 2")

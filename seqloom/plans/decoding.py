@@ -14,7 +14,7 @@ from seqloom.operators import pixels as M
 from seqloom.plans.assemblies import ASM
 from seqloom.plans.inputs import FRAMES, PARTS, SCORES, frames, part_actions, scores, table, with_
 from seqloom.plans.registry import query
-from seqloom.storage import shared_folder
+from seqloom.storage import shared_folder, stored
 
 
 def _moves(s, d):
@@ -287,52 +287,76 @@ def m10(s, d):
     return p.groupBy("seq_id", "t", "color").agg(F.count("*").alias("n"))
 
 
-# batch twins of the streaming operators
+# streams: rows arrive in batches and out of order, and the result must be that of the whole table
+STEPS = 6
+
+
+def _arriving(rows, name):
+    """A stream of these rows: files written one after the other by time, in ``STEPS`` stretches, a third of each stretch a stretch late, read a few files a batch.
+
+    The watermark allows for rows two stretches late. A last row far ahead ends the stream, as it moves the watermark past all others.
+    """
+    from seqloom.streaming.online import stream_session
+
+    spark = rows.sparkSession
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    first, last = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    width = max(1_000_000, (last - first) // STEPS + 1) if first is not None else 1_000_000
+    late = F.when(F.pmod(F.xxhash64(*rows.columns), F.lit(3)) == 0, 1).otherwise(0)
+    dealt = stored(rows.withColumn("_file", (F.expr(f"(unix_micros(ts) - {first or 0}) div {width}") + late).cast("int")))
+    files = 4
+    for step in range(STEPS + 1):
+        dealt.filter(F.col("_file") == step).drop("_file").repartition(files).write.parquet(f"{at}/{name}/{step}")
+    blank = {c: F.array().cast(t) if t.startswith("array") else F.lit("0").cast(t) for c, t in rows.dtypes}
+    blank |= {"seq_id": F.lit(-ord(name[0])).cast("long"), "ts": F.timestamp_micros(F.lit((last or 0) + 10 * width + 10 * 86_400_000_000))}
+    end = spark.range(1).select(*[blank[c].alias(c) for c in rows.columns])
+    end.write.parquet(f"{at}/{name}/{STEPS + 1}")
+    stream = stream_session(spark).readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/{name}/*")
+    return stream.withWatermark("ts", f"{2 * width // 1_000_000 + 1} seconds"), at
+
+
+def _finished(out, at):
+    """The rows that a stream has written once it has read all files."""
+    query_ = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return out.sparkSession.read.schema(out.schema).parquet(f"{at}/out")
+
+
+def _timed_frames(s, d):
+    return frames(s, d).withColumn("ts", F.timestamp_micros("us"))
+
+
 @query("q1_best_event", with_(FRAMES) + ", w AS (SELECT us // 86400000000 AS day, label, score, us FROM frames) SELECT day, arg_max(label, struct_pack(s := score, u := -us)) AS label, max(score) AS score FROM w GROUP BY 1")
 def q1(s, d):
     from seqloom.streaming.online import best_event_per_window
 
-    f = frames(s, d).withColumn("ts", F.timestamp_micros("us"))
-    return best_event_per_window(f, "1 day").select(F.expr("unix_micros(win.start) div 86400000000").alias("day"), "label", "score")
+    stream, at = _arriving(_timed_frames(s, d).select("seq_id", "ts", "label", "score"), "frames")
+    return _finished(best_event_per_window(stream, "1 day").select(F.expr("unix_micros(win.start) div 86400000000").alias("day"), "label", "score"), at)
 
 
 @query("q2_sliding_correlation", with_(FRAMES) + ", w AS (SELECT CAST(unnest([us // 43200000000 - 1, us // 43200000000]) AS BIGINT) AS half, code, score FROM frames), a AS (SELECT half, avg(score) FILTER (code = 0) AS a, avg(score) FILTER (code = 1) AS b, count(*) AS n FROM w GROUP BY 1) SELECT half, round(a, 5) AS a, round(b, 5) AS b, n FROM a")
 def q2(s, d):
     from seqloom.streaming.online import sliding_pair
 
-    f = frames(s, d).withColumn("ts", F.timestamp_micros("us"))
-    return sliding_pair(f, 0, 1, "1 day", "12 hours").select(F.expr("unix_micros(win.start) div 43200000000").alias("half"), F.round("a", 5).alias("a"), F.round("b", 5).alias("b"), "n")
+    stream, at = _arriving(_timed_frames(s, d).select("seq_id", "ts", "code", "score"), "frames")
+    return _finished(sliding_pair(stream, 0, 1, "1 day", "12 hours").select(F.expr("unix_micros(win.start) div 43200000000").alias("half"), F.round("a", 5).alias("a"), F.round("b", 5).alias("b"), "n"), at)
 
 
 @query("q3_activity_sessions", with_(FRAMES) + ", g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY seq_id ORDER BY us) < 14400000000 THEN 0 ELSE 1 END AS f FROM frames), n AS (SELECT *, sum(f) OVER (PARTITION BY seq_id ORDER BY us) AS s FROM g) SELECT seq_id, min(us) AS start_us, count(*) AS n FROM n GROUP BY seq_id, s")
 def q3(s, d):
     from seqloom.streaming.online import activity_sessions
 
-    f = frames(s, d).withColumn("ts", F.timestamp_micros("us"))
-    return activity_sessions(f, "4 hours").select("seq_id", F.unix_micros("win.start").alias("start_us"), "n")
-
-
-def _streamed(rows, operator):
-    """What a stateful operator gives on a stream of these rows: read from written files, run to their end, and read back."""
-    spark = rows.sparkSession
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{at}/in")
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", min(16, int(before)))  # as many state stores
-    try:
-        out = operator(spark.readStream.schema(rows.schema).parquet(f"{at}/in").withWatermark("ts", "1 day"))
-        out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-    return spark.read.schema(out.schema).parquet(f"{at}/out")
+    stream, at = _arriving(_timed_frames(s, d).select("seq_id", "ts"), "frames")
+    return _finished(activity_sessions(stream, "4 hours").select("seq_id", F.unix_micros("win.start").alias("start_us"), "n"), at)
 
 
 @query("q4_online_states", with_(PARTS, ASM) + "SELECT seq_id, step, array_to_string(state, ',') AS state FROM asm")
 def q4(s, d):
     from seqloom.streaming.online import track_states
 
-    acts = part_actions(s, d).withColumn("step", F.col("step").cast("int")).withColumn("ts", F.timestamp_seconds(F.col("step") + 172_800))
-    return _streamed(acts, track_states).select("seq_id", "step", F.array_join(F.col("state").cast("array<string>"), ",").alias("state"))
+    acts = part_actions(s, d).select("seq_id", F.col("step").cast("int").alias("step"), "part", "op").withColumn("ts", F.timestamp_seconds(60 * F.col("step") + 172_800))
+    stream, at = _arriving(acts, "actions")
+    return _finished(track_states(stream), at).select("seq_id", "step", F.array_join(F.col("state").cast("array<string>"), ",").alias("state"))
 
 
 FILTERED = f"{POSTERIOR[: POSTERIOR.index(' bk AS (')].rstrip().rstrip(',')} SELECT fr.seq_id, fr.t, CAST(list_position(a, list_max(a)) - 1 AS INTEGER) AS state, round(list_max(a) - ({LSE.format('a')}), 6) AS log_prob FROM fw JOIN fr ON fr.seq_id = fw.seq_id AND fr.i = fw.i"
@@ -343,16 +367,16 @@ def q5(s, d):
     from seqloom.streaming.online import forward_filter
 
     moves = np.maximum(_moves(s, d), -20.0)
-    x = scores(s, d).select("seq_id", "t", "score").withColumn("ts", F.timestamp_seconds(F.col("t") + 172_800))
-    return _streamed(x, lambda stream: forward_filter(stream, moves)).withColumn("log_prob", F.round("log_prob", 6))
+    stream, at = _arriving(scores(s, d).select("seq_id", "t", "score").withColumn("ts", F.timestamp_seconds(60 * F.col("t") + 172_800)), "scores")
+    return _finished(forward_filter(stream, moves), at).withColumn("log_prob", F.round("log_prob", 6))
 
 
 @query("q6_bounded_join", with_(FRAMES) + "SELECT a.seq_id, a.t AS click, b.t AS view FROM frames a JOIN frames b ON a.seq_id = b.seq_id AND a.label = 'click' AND b.label = 'view' AND b.us BETWEEN a.us AND a.us + 86400000000")
 def q6(s, d):
+    """Two streams, each with a watermark of its own."""
     from seqloom.streaming.online import bounded_join
 
-    f = frames(s, d).withColumn("ts", F.timestamp_micros("us"))
-    a = f.filter("label = 'click'").select("seq_id", "ts", F.col("t").alias("click"))
-    b = f.filter("label = 'view'").select("seq_id", "ts", F.col("t").alias("view"))
-    return bounded_join(a, b, "1 day").select("seq_id", "click", "view")
-
+    f = _timed_frames(s, d)
+    a, at = _arriving(f.filter("label = 'click'").select("seq_id", "ts", F.col("t").alias("click")), "clicks")
+    b, _ = _arriving(f.filter("label = 'view'").select("seq_id", "ts", F.col("t").alias("view")), "views_")
+    return _finished(bounded_join(a, b, "1 day").select("seq_id", "click", "view"), at)

@@ -5,13 +5,26 @@ On a stream, set a watermark first (``with_lateness``); state is dropped once it
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+
+NEVER = -1  # no row was folded yet
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_session(spark: SparkSession, state_stores: int = 16) -> SparkSession:
+    """A session of the same application for streams: its own settings, at most ``state_stores`` stores for an operator, kept in RocksDB."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.shuffle.partitions", min(state_stores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return own
 
 
 def with_lateness(stream: DataFrame, delay: str) -> DataFrame:
@@ -43,47 +56,122 @@ def bounded_join(left: DataFrame, right: DataFrame, reach: str) -> DataFrame:
     return a.join(b, on).drop("_seq")
 
 
-def track_states(actions: DataFrame, timeout: str = "1 hour") -> DataFrame:
-    """(seq_id, step, state): the parts connected so far, kept as state for each sequence until the watermark passes its last action by ``timeout``."""
-    wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        parts = set(state.get[0]) if state.exists else set()
-        rows, last = [], None
-        pdf = pd.concat(list(batches)).sort_values("step")
-        for step, part, op, ts in pdf[["step", "part", "op", "ts"]].itertuples(index=False):
-            parts = parts | {part} if op == 1 else parts - {part} if op == -1 else parts
-            rows.append((key[0], step, sorted(int(p) for p in parts)))
-            last = ts if last is None else max(last, ts)
-        state.update((sorted(int(p) for p in parts),))
-        state.setTimeoutTimestamp(int(last.timestamp() * 1000) + wait)
-        yield pd.DataFrame(rows, columns=["seq_id", "step", "state"])
-
-    return actions.groupBy("seq_id").applyInPandasWithState(run, "seq_id long, step int, state array<int>", "state array<int>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def forward_filter(scores: DataFrame, moves: np.ndarray, timeout: str = "1 hour") -> DataFrame:
-    """(seq_id, t, state, log_prob): the likeliest present state given the scores so far."""
-    wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        belief = np.array(state.get[0]) if state.exists else None
-        rows, last = [], None
-        pdf = pd.concat(list(batches)).sort_values("t")
-        for t, score, ts in pdf[["t", "score", "ts"]].itertuples(index=False):
-            x = np.asarray(score, float)
-            belief = x if belief is None else np.logaddexp.reduce(belief[:, None] + moves, axis=0) + x
-            belief = belief - np.logaddexp.reduce(belief)
-            rows.append((key[0], int(t), int(belief.argmax()), float(belief.max())))
-            last = ts if last is None else max(last, ts)
-        state.update((belief.tolist(),))
-        state.setTimeoutTimestamp(int(last.timestamp() * 1000) + wait)
-        yield pd.DataFrame(rows, columns=["seq_id", "t", "state", "log_prob"])
-
-    return scores.groupBy("seq_id").applyInPandasWithState(run, "seq_id long, t int, state int, log_prob double", "belief array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+class _InOrder(StatefulProcessor):
+    """Folds the rows of a sequence in the order of time, whatever order they come in.
+
+    Rows wait, as state of their sequence, until the watermark has passed their time; a timer then hands over all that are due. What has
+    been folded so far is the rest of the state. It lasts for ``timeout`` after a row: one that comes later begins anew, and the state is
+    dropped once the watermark is that far and no row waits.
+    """
+
+    def __init__(self, value: str, order: str, carried: str, begin: tuple, fold: Callable[[tuple, int, Any], tuple[tuple, tuple]], out: list[str], timeout: str) -> None:
+        self.value, self.order, self.carried, self.begin, self.fold, self.out = value, order, carried, begin, fold, out
+        self.wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("folded", f"{self.carried}, last long, at array<long>, place array<long>, waiting array<{self.value}>")
+
+    def _get(self) -> tuple[tuple, int, list[tuple]]:
+        found = self.state.get()
+        if found is None:
+            return self.begin, NEVER, []
+        *carried, last, at, place, waiting = found
+        return tuple(carried), last, list(zip(at, place, waiting, strict=True))
+
+    def _put(self, carried: tuple, last: int, waiting: list[tuple]) -> None:
+        at, place, values = (list(x) for x in zip(*waiting, strict=True)) if waiting else ([], [], [])
+        self.state.update((*carried, last, at, place, values))
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:  # noqa: N802, N803
+        self._put(tuple(_plain(initialState[c].iloc[0]) for c in initialState.columns if c != "seq_id"), NEVER, [])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        carried, last, waiting = self._get()
+        before = min((x[0] for x in waiting), default=None)
+        for pdf in rows:
+            micros = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+            for us, place, value in zip(micros, pdf[self.order], pdf["value"], strict=True):
+                waiting.append((int(us), int(place), _plain(value)))
+        self._put(carried, last, waiting)
+        if before is None or min(x[0] for x in waiting) < before:
+            self._wake(waiting)
+        return iter([])
+
+    def _wake(self, waiting: list[tuple]) -> None:
+        """A timer for the first row that waits; it is set anew whenever one has gone off."""
+        if waiting:
+            self.handle.registerTimer(-(-min(x[0] for x in waiting) // 1000))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        carried, last, waiting = self._get()
+        due = sorted((x for x in waiting if x[0] <= now * 1000), key=lambda x: x[:2])
+        rows = []
+        for us, place, value in due:
+            if last != NEVER and us > (last + self.wait) * 1000:
+                carried = self.begin
+            last = -(-us // 1000)
+            carried, row = self.fold(carried, place, value)
+            rows.append((key[0], place, *row))
+        if due:
+            waiting = [x for x in waiting if x[0] > now * 1000]
+            self._put(carried, last, waiting)
+            if waiting:
+                self._wake(waiting)
+            else:
+                self.handle.registerTimer(max(last + self.wait, now + 1))
+            yield pd.DataFrame(rows, columns=self.out)
+        elif not waiting and last != NEVER and last + self.wait <= now:
+            self.state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(x: Any) -> Any:
+    """Lists and numbers of Python, as state takes them."""
+    if isinstance(x, np.ndarray):
+        return x.tolist()
+    if isinstance(x, np.generic):
+        return x.item()
+    return [_plain(y) for y in x] if isinstance(x, (list, tuple)) else x
+
+
+def _folded(rows: DataFrame, value: Column, kind: str, order: str, carried: str, begin: tuple, fold: Callable, out: str, timeout: str, initial: DataFrame | None) -> DataFrame:
+    keyed = rows.select("seq_id", F.col(order).cast("long").alias(order), "ts", value.alias("value")).filter(F.col(order).isNotNull() & F.col("value").isNotNull())
+    processor = _InOrder(kind, order, carried, begin, fold, [x.split()[0] for x in out.split(", ")], timeout)
+    return keyed.groupBy("seq_id").transformWithStateInPandas(processor, out, "Append", "EventTime", None if initial is None else initial.groupBy("seq_id"))
+
+
+def track_states(actions: DataFrame, timeout: str = "1 hour", initial: DataFrame | None = None) -> DataFrame:
+    """(seq_id, step, state): the parts connected so far, after each action (seq_id, step, part, op, ts) of a stream with a watermark.
+
+    Actions are taken in the order of ts and step once the watermark has passed them, in whatever batches they arrive; Spark drops and
+    counts those that come later still (``numRowsDroppedByWatermark``). Rows without a step are passed over. ``initial`` has the parts (seq_id, parts) that sequences begin with.
+    The session's state store must be RocksDB.
+    """
+
+    def fold(carried: tuple, step: int, action: list[int]) -> tuple[tuple, tuple]:
+        parts, (part, op) = set(carried[0]), action
+        parts = parts | {part} if op == 1 else parts - {part} if op == -1 else parts
+        return (sorted(parts),), (sorted(parts),)
+
+    value = F.array(F.col("part").cast("int"), F.col("op").cast("int"))
+    return _folded(actions, value, "array<int>", "step", "parts array<int>", ([],), fold, "seq_id long, step int, state array<int>", timeout, initial)
+
+
+def forward_filter(scores: DataFrame, moves: np.ndarray, timeout: str = "1 hour", initial: DataFrame | None = None) -> DataFrame:
+    """(seq_id, t, state, log_prob): the likeliest present state given all scores (seq_id, t, score, ts) up to it; order, lateness and state store as in ``track_states``.
+
+    ``initial`` has the log beliefs (seq_id, belief) that sequences go on from.
+    """
+
+    def fold(carried: tuple, t: int, score: list[float]) -> tuple[tuple, tuple]:
+        x = np.asarray(score, float)
+        belief = np.logaddexp.reduce(np.asarray(carried[0])[:, None] + moves, axis=0) + x if len(carried[0]) else x
+        belief = belief - np.logaddexp.reduce(belief)
+        return (belief.tolist(),), (int(belief.argmax()), float(belief.max()))
+
+    value = F.col("score").cast("array<double>")
+    return _folded(scores, value, "array<double>", "t", "belief array<double>", ([],), fold, "seq_id long, t int, state int, log_prob double", timeout, initial)

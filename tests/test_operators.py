@@ -173,20 +173,6 @@ def test_match_keyframes(spark):
     assert (r.matched, r.cost, r.false_alarms, r.misses) == (2, 2.0, 1, 0)
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from seqloom.streaming import online
-
-    a = spark.createDataFrame([(k, i, i % 3, 1 if i % 4 else -1) for k in range(3) for i in range(12)], "seq_id long, step int, part int, op int")
-    a = a.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("step") * 60))
-    a.write.parquet(str(tmp_path / "in"))
-    stream = online.with_lateness(spark.readStream.schema(a.schema).parquet(str(tmp_path / "in")), "1 hour")
-    q = online.track_states(stream).writeStream.format("memory").queryName("tracked").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {(r.seq_id, r.step): r.state for r in spark.table("tracked").collect()}
-    want = {(r.seq_id, r.step): r.state for r in states.assembly_states(a).collect()}
-    assert got == want
-
-
 def test_branch_states_of_whole_sequences(spark):
     from seqloom.plans.catalogue import QUERIES
     from seqloom.plans.inputs import part_actions

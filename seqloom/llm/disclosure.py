@@ -1,20 +1,28 @@
 """Personal data and the terms that give it away, with DataFrame operations only.
 
 Base kinds are found by pattern: e-mail and IP addresses, card and phone numbers; a match that
-fails its check (parts, digits, Luhn) is dropped. A found value is a protected entity, however rare
-it is; so are the domain and the local part of an e-mail address, which pool what their single
-addresses are too rare for. Words that stand beside an entity are counted over the corpus: the
-information that a term t gives about an entity e is their pointwise mutual information,
-log2(P(e|t) / P(e)), and e itself carries -log2 P(e) bits. P(e|t) is smoothed by ``smooth`` texts
-that hold e as often as any text does, so one text is weaker evidence than many. A term whose share
-of those bits reaches ``threshold`` discloses the entity: wherever it stands it is generalised to its
-class (a name, a word of the kind that it discloses), or removed from a share of ``remove`` on. All
-counts are of rows: the rows that hold a term, an entity, or both side by side.
-
-Nothing but counts and hits is shuffled. Places are added up along a text within its row; the words
-of the corpus are counted with a sum in each task before the shuffle; terms are looked for by a
-broadcast of at most ``broadcast_terms`` rows, beyond that by a bitmap of their hashes (8 MB
-whatever their number) that lets few other words through to an exact join.
+fails its check (parts, digits, Luhn) is dropped. A found value is a protected entity; so are the
+domain and the local part of an e-mail address, which pool what their single addresses are too rare
+for. All words of a text that holds an entity are candidates, and the corpus says what each reveals:
+
+* P(e|t), the chance that a text with term t holds entity e, is taken at its lower confidence bound
+  (Wilson, ``z`` deviations), so one text is no evidence however rare its words are. The bound is the
+  score; where it reaches ``threshold`` the term leaves at most -log2(threshold) bits of the entity
+  open and discloses it. It does not depend on how large the table is.
+* Copies of a text are one witness. The number of observations behind the bound is the effective
+  number of contexts (``context`` words on each side) that t stands in: n * n over the sum of squares of
+  how often each occurs, about 1 for a term that only copies, exact or near, of one text hold.
+* Chance is ruled out: if t had nothing to do with e, k texts with both would be a coincidence of
+  -k * log2 P(e) bits, of which ``evidence`` are asked for.
+
+Wherever a disclosing term stands it is generalised to its class (a name, a word of the kind that it
+discloses), or removed from a score of ``remove`` on.
+
+Counts and hits are shuffled, not texts. Places are added up along a text within its row; the words
+of the corpus are counted with a sum in each task before the shuffle; entities that too few texts hold
+to matter are left out before words are paired with them; terms are looked for by a broadcast of at
+most ``broadcast_terms`` rows, beyond that by a bitmap of their hashes (8 MB whatever their number)
+that lets few other words through to an exact join.
 
 The patterns never back up: runs of a class are taken whole and a match starts where a run starts,
 which finds what the plain patterns find and stays linear in the text.
@@ -30,6 +38,7 @@ their names.
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 
@@ -48,8 +57,7 @@ BASE_KINDS = (
 )
 KIND_ORDER = ("email", "ip", "card", "phone", "term")
 TERM = r"\p{L}++"
-NEAR = r"[^\x20\x09-\x0D]+"
-SPANS = "array<struct<start: bigint, end: bigint, value: string, words: array<string>>>"
+SPANS = "array<struct<start: bigint, end: bigint, value: string>>"
 PLACES = "array<struct<start: bigint, end: bigint, term: string>>"
 #: Bits of the bitmap of term hashes, and of one of its rows.
 BITMAP, BITMAP_ROW = 1 << 26, 1 << 15
@@ -57,15 +65,27 @@ BITMAP, BITMAP_ROW = 1 << 26, 1 << 15
 
 @dataclass(frozen=True)
 class DisclosureParams:
-    """``reach``: words on each side of an entity. ``smooth``: texts that the prior counts for. ``broadcast_terms``: most terms, or texts with terms, that are broadcast."""
+    """The meaning of each is in the module's text. ``broadcast_terms``: most terms, or texts with terms, that are broadcast."""
 
-    reach: int = 8
-    smooth: float = 0.5
-    threshold: float = 0.9
-    remove: float = 0.99
-    shortest: int = 3
+    z: float = 1.0
+    threshold: float = 0.6
+    remove: float = 0.9
+    evidence: float = 12.0
+    context: int = 3
     broadcast_terms: int = 200_000
 
+    @property
+    def least(self) -> int:
+        """Texts that a term and an entity must share at least: fewer can't reach the threshold."""
+        return max(1, math.ceil(self.threshold * self.z**2 / (1 - self.threshold)))
+
+
+def lower_bound(k: Column, n: Column, seen: Column, z: float) -> Column:
+    """Wilson's lower bound of a share of k in n, for ``seen`` observations."""
+    share = k / n
+    spread = F.sqrt(share * (1 - share) / seen + z * z / (4 * seen * seen))
+    return (share + z * z / (2 * seen) - z * spread) / (1 + z * z / seen)
+
 
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
@@ -112,61 +132,67 @@ def _text(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
 
-def _base(text: Column, p: DisclosureParams, beside: bool = True) -> dict[str, Column]:
-    """For each kind its valid matches as ``SPANS``; with ``beside`` also the words near each."""
-    near = lambda side: F.regexp_extract_all(lower_az(side), F.lit(NEAR), F.lit(0))
-    n = F.lit(p.reach)
-
-    def made(start: Column, end: Column, value: Column, before: Column, after: Column) -> Column:
-        left = near(before)
-        words = F.concat(F.slice(left, F.greatest(F.lit(1), F.size(left) - n + 1), n), F.slice(near(after), F.lit(1), n)) if beside else F.array().cast("array<string>")
-        return F.struct(start.alias("start"), end.alias("end"), value.alias("value"), words.alias("words"))
-
+def _base(text: Column) -> dict[str, Column]:
+    """For each kind its valid matches as ``SPANS``."""
+    made = lambda start, end, value, *_: F.struct(start.alias("start"), end.alias("end"), value.alias("value"))
     none = F.array().cast(SPANS)
     return {kind: F.when(text.rlike(cheap), _places(text, pattern, SPANS, lambda v, k=kind: _valid(k, v), made)).otherwise(none) for kind, cheap, pattern in BASE_KINDS}
 
 
-def base_spans(docs: DataFrame, p: DisclosureParams = DisclosureParams(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: id, print (a hash of the text) and for each kind an array of (start, end, value, words beside it)."""
+def base_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per row of ``docs``: its number, id, print (a hash of the text), for each kind an array of (start, end, value), and where there is any the different words of the text around them. Stored."""
     text = _text(text_col)
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("print"), *[c.alias(kind) for kind, c in _base(text, p).items()])
-
-
-def disclosing_terms(base: DataFrame, docs: DataFrame, p: DisclosureParams = DisclosureParams(), text_col: str = "text") -> DataFrame | None:
-    """(term, part, kind): terms that disclose an entity, the largest part of its information and that entity's kind; stored; None if there is none."""
-    kinds = [k for k, _, _ in BASE_KINDS]
-    total = base.count()
-
-    def of_kind(kind: str) -> Column:
-        return F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), F.lower(x["value"]).alias("value"), x["words"].alias("words")))
-
-    rows = F.concat(*[of_kind(k) for k in kinds])
-
-    def entities(x: Column) -> Column:
-        value = F.when(x["kind"].isin("card", "phone"), _digits(x["value"])).otherwise(x["value"])
-        group = lambda name, i: F.when(x["kind"] == "email", F.concat(F.lit(name), F.split(value, "@")[i]))
-        return F.array_compact(F.array(F.concat_ws(":", x["kind"], value), group("local:", 0), group("domain:", 1)))
-
-    # a row counts once for an entity and once for an entity and a term, however often it holds them
-    words = lambda x: F.array_distinct(F.concat(F.array(F.lit("")), F.transform(x["words"], lambda w: F.regexp_extract(w, r"^[^\p{L}]*(\p{L}+)[^\p{L}]*$", 1))))
-    pairs = F.flatten(F.transform(rows, lambda x: F.flatten(F.transform(entities(x), lambda e: F.transform(words(x), lambda t: F.struct(e.alias("entity"), x["kind"].alias("kind"), t.alias("term")))))))
-    beside = base.filter(" or ".join(f"size({k}) > 0" for k in kinds)).select(F.explode(F.array_distinct(pairs)).alias("x")).groupBy("x.entity", "x.kind", "x.term").agg(F.count("*").alias("n"))
-    beside = stored(beside.filter((F.length("term") >= p.shortest) | (F.col("term") == "")))
-    seen = beside.filter("term = ''").select("entity", F.col("n").alias("n_e"))
-    prior = F.least(F.lit(0.5), F.col("n_e") / F.lit(float(max(total, 1))))
-    part = lambda n_te, n_t: F.log2((n_te + p.smooth * prior) / (n_t + p.smooth) / prior) / -F.log2(prior)
-    # only the counts matter from here on, so a common term has few rows however many entities it stands beside
-    both = beside.filter("term <> ''").join(seen, "entity").groupBy("term", "kind", "n_e").agg(F.max("n").alias("n_te"))
-    both = stored(both.filter(part(F.col("n_te"), F.col("n_te")) >= p.threshold))
-    if both.isEmpty():
+    found = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("print"), text.alias("text"), *[c.alias(kind) for kind, c in _base(text).items()])
+    some = F.expr(" or ".join(f"size({k}) > 0" for k, _, _ in BASE_KINDS))
+    beside = F.regexp_replace("text", BASE_KINDS[0][2], " ")  # only addresses have words of their own
+    return stored(found.withColumn("beside", beside).withColumn("words", F.when(some, F.array_distinct(_words("beside")))).drop("text", "beside"))
+
+
+def _entities(x: Column, kind: str) -> Column:
+    """The entities of a match: its value, and of an address the local part and the domain."""
+    value = _digits(x["value"]) if kind in ("card", "phone") else F.lower(x["value"])
+    groups = [F.concat(F.lit("local:"), F.split(value, "@")[0]), F.concat(F.lit("domain:"), F.split(value, "@")[1])] if kind == "email" else []
+    return F.transform(F.array(F.concat(F.lit(f"{kind}:"), value), *groups), lambda e: F.struct(e.alias("entity"), F.lit(kind).alias("kind")))
+
+
+def disclosing_terms(base: DataFrame, docs: DataFrame, p: DisclosureParams = DisclosureParams(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame | None:
+    """(term, part, kind): terms that disclose an entity, the score of the one they reveal most and that entity's kind; stored; None if there is none. ``base`` as from ``base_spans``."""
+    total = float(max(base.count(), 1))
+    of_kind = lambda kind: F.transform(kind, lambda x: _entities(x, kind))
+    every = F.array_distinct(F.flatten(F.concat(*[of_kind(k) for k, _, _ in BASE_KINDS])))
+    held = base.filter("words is not null").select("row", F.explode(every).alias("x")).select("row", "x.*")
+    surprise = lambda n: -F.log2(F.least(F.lit(0.5), n / F.lit(total)))
+    often = held.groupBy("entity").agg(F.count("*").alias("n_e")).filter((F.col("n_e") >= p.least) & (F.col("n_e") * surprise(F.col("n_e")) >= p.evidence))
+    # an entity stands for itself by a hash from here on; its rows are short, its words join only row by row
+    of_row = held.join(often, "entity").groupBy("row").agg(F.collect_list(F.struct(F.xxhash64("entity").alias("e"), "kind", "n_e")).alias("entities"))
+    pairs = base.select("row", "words").join(of_row, "row").select("entities", F.explode("words").alias("term")).select("term", F.explode("entities").alias("x"))
+    shared = pairs.groupBy("term", "x.e", "x.kind", "x.n_e").agg(F.count("*").alias("k")).filter(F.col("k") >= p.least)
+    best = stored(shared.filter(F.col("k") * surprise(F.col("n_e")) >= p.evidence).groupBy("term", "kind").agg(F.max("k").alias("k"), F.max_by("n_e", "k").alias("n_e")))
+    if best.isEmpty():
         return None
     # every row's different words, summed in each task before the shuffle
-    spread = docs.select(F.explode(F.array_distinct(_words(text_col))).alias("term")).filter(F.length("term") >= p.shortest).groupBy("term").agg(F.count("*").alias("n_t"))
-    scored = both.join(spread, "term").select("term", "kind", part(F.col("n_te"), F.col("n_t")).alias("part")).filter(F.col("part") >= p.threshold)
+    spread = docs.select(F.explode(F.array_distinct(_words(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    gained = F.col("k") * F.lit(total) >= 2 * F.col("n_t") * F.col("n_e")  # at least twice as likely as without the term
+    likely = stored(best.join(spread, "term").filter((F.col("k") >= p.threshold * F.col("n_t")) & gained).select("term", "kind", "k", "n_t"))
+    if likely.isEmpty():
+        return None
+    seen = _contexts(docs, likely.select("term").distinct(), p, text_col, id_col)
+    scored = likely.join(seen, "term").select("term", "kind", lower_bound(F.col("k"), F.col("n_t"), F.col("seen"), p.z).alias("part")).filter(F.col("part") >= p.threshold)
     found = stored(scored.groupBy("term").agg(F.max("part").alias("part"), F.min_by("kind", F.struct(-F.col("part"), F.col("kind"))).alias("kind")))
     return None if found.isEmpty() else found
 
 
+def _contexts(docs: DataFrame, terms: DataFrame, p: DisclosureParams, text_col: str, id_col: str) -> DataFrame:
+    """(term, seen): the effective number of contexts in which each term first stands in a text."""
+    words, c = F.col("words"), p.context
+    here = _texts(docs, _rows_holding(docs, terms, p, text_col, id_col), p, text_col, id_col).select("terms", _words("text").alias("words"))
+    at = F.array_position(words, F.col("term"))
+    around = F.slice(words, F.greatest(F.lit(1), at - c).cast("int"), (F.least(at, F.lit(c + 1)) + c).cast("int"))
+    rows = here.select("words", F.explode(F.transform("terms", lambda x: x["term"])).alias("term")).select("term", F.xxhash64(around).alias("context"))
+    times = rows.groupBy("term", "context").agg(F.count("*").cast("double").alias("c"))
+    return times.groupBy("term").agg((F.sum("c") * F.sum("c") / F.sum(F.col("c") * F.col("c"))).alias("seen"))
+
+
 def _words(text_col: str) -> Column:
     return F.regexp_extract_all(lower_az(_text(text_col)), F.lit(TERM), F.lit(0))
 
@@ -188,19 +214,31 @@ def _holding(words: DataFrame, terms: DataFrame, p: DisclosureParams) -> DataFra
     return passed.drop("b_row", "b_at", "bits").join(terms, "term")
 
 
+def _rows_holding(docs: DataFrame, terms: DataFrame, p: DisclosureParams, text_col: str, id_col: str) -> DataFrame:
+    """(h_id, h_print, terms): ids and prints of the texts that hold any of ``terms``, and which; stored."""
+    words = docs.select(F.col(id_col).alias("h_id"), F.xxhash64(_text(text_col)).alias("h_print"), F.explode(F.array_distinct(_words(text_col))).alias("term"))
+    return stored(_holding(words, terms, p).groupBy("h_id", "h_print").agg(F.collect_set(F.struct(*terms.columns)).alias("terms")))
+
+
+def _texts(docs: DataFrame, held: DataFrame, p: DisclosureParams, text_col: str, id_col: str) -> DataFrame:
+    """(id, print, text, terms): the rows of ``docs`` that ``held`` names; equal rows stay as many as they are."""
+    few = held.count() <= p.broadcast_terms
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(_text(text_col)).alias("print"), _text(text_col).alias("text"))
+    return texts.join(F.broadcast(held) if few else held, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("print") == F.col("h_print"))).drop("h_id", "h_print")
+
+
 def texts_with_terms(docs: DataFrame, terms: DataFrame, p: DisclosureParams = DisclosureParams(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, print, terms, places): the rows with disclosing terms, those terms (term, part, kind) and where they stand; stored, one row for each id and text."""
-    words = docs.select(F.col(id_col).alias("id"), F.xxhash64(_text(text_col)).alias("print"), _text(text_col).alias("text"), F.explode(F.array_distinct(_words(text_col))).alias("term"))
-    held = _holding(words, terms, p).groupBy("id", "print").agg(F.first("text").alias("text"), F.collect_set(F.struct("term", "part", "kind")).alias("terms"))
+    held = _texts(docs, _rows_holding(docs, terms, p, text_col, id_col), p, text_col, id_col)
     names = F.transform("terms", lambda x: x["term"])
     places = _places(lower_az(F.col("text")), TERM, PLACES, lambda v: F.array_contains(names, v), lambda start, end, v, *_: F.struct(start.alias("start"), end.alias("end"), v.alias("term")))
-    return stored(held.select("id", "print", "terms", places.alias("places")))
+    return stored(held.select("id", "print", "terms", places.alias("places")).dropDuplicates(["id", "print"]))
 
 
 def find_personal_data(docs: DataFrame, p: DisclosureParams = DisclosureParams(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: id, counts by kind, base_sha256, spans and n_term."""
-    base = stored(base_spans(docs, p, text_col, id_col))
-    terms = disclosing_terms(base, docs, p, text_col)
+    base = base_spans(docs, text_col, id_col)
+    terms = disclosing_terms(base, docs, p, text_col, id_col)
     ranked = lambda c, i: F.transform(c, lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("rank"), x["end"].alias("end")))
     kinds = [k for k, _, _ in BASE_KINDS]
     rows = base.withColumn("found", F.concat(*[ranked(k, i) for i, k in enumerate(kinds)]))
@@ -218,8 +256,8 @@ def find_personal_data(docs: DataFrame, p: DisclosureParams = DisclosureParams()
 
 def sanitise(docs: DataFrame, p: DisclosureParams = DisclosureParams(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with every base match replaced by its kind in brackets, and every disclosing term by its class or removed; columns as they were."""
-    base = stored(base_spans(docs, p, text_col, id_col))
-    terms = disclosing_terms(base, docs, p, text_col)
+    base = base_spans(docs, text_col, id_col)
+    terms = disclosing_terms(base, docs, p, text_col, id_col)
     own = f"s{uuid.uuid4().hex}_"  # no column of a caller has this name
     text = _text(text_col)
     mark = "struct<start: bigint, end: bigint, rank: int, mark: string>"
@@ -227,7 +265,7 @@ def sanitise(docs: DataFrame, p: DisclosureParams = DisclosureParams(), text_col
     def base_cut(kind: str, rank: int, found: Column) -> Column:
         return F.transform(found, lambda x: F.struct(x["start"], x["end"], F.lit(rank), F.lit(f"[{kind.upper()}]")).cast(mark))
 
-    cuts = F.concat(*[base_cut(kind, i, c) for i, (kind, c) in enumerate(_base(text, p, beside=False).items())])
+    cuts = F.concat(*[base_cut(kind, i, c) for i, (kind, c) in enumerate(_base(text).items())])
     if terms is not None:
         with_terms = texts_with_terms(docs, terms, p, text_col, id_col)
         few = with_terms.count() <= p.broadcast_terms

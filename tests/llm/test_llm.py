@@ -568,46 +568,83 @@ def test_disclosing_terms(spark):
     rng = np.random.default_rng(6)
     texts = [f"{prose(rng, 20)} Zorbax wrote bob@corp.org {prose(rng, 20)}" for _ in range(5)] + [prose(rng, 40) + " wrote" for _ in range(60)] + ["Zorbax again", "clean text"]
     df = docs_of(spark, texts)
-    p = DisclosureParams(threshold=0.9, remove=2.0)
+    p = DisclosureParams(remove=2.0)
     out = {r.doc_id: r for r in find_personal_data(df, p).collect()}
     assert all(out[i].n_term == 1 and out[i].n_email == 1 for i in range(5)) and out[65].spans == "term:0:6" and out[66].spans == ""
     clean = {r.doc_id: r.text for r in sanitise(df, p).collect()}
     assert "[EMAIL]" in clean[0] and "[NAME:EMAIL] wrote" in clean[0] and "Zorbax" not in clean[0] and clean[65] == "[NAME:EMAIL] again" and clean[66] == texts[66]
     assert sanitise(df).columns == df.columns
-    removed = {r.doc_id: r.text for r in sanitise(df, DisclosureParams(remove=0.9)).collect()}
+    removed = {r.doc_id: r.text for r in sanitise(df, DisclosureParams(remove=0.6)).collect()}
     assert "  wrote [EMAIL]" in removed[0] and removed[65] == " again"
 
 
-def test_term_scores_against_counting(spark):
-    rng = np.random.default_rng(31)
-    texts = [f"{prose(rng, 12)} {rng.choice(['Mirela', 'Otto', 'Quint'])} wrote a{rng.integers(0, 4)}@d{rng.integers(0, 2)}.org {prose(rng, 12)}" for _ in range(60)]
-    texts += [f"{prose(rng, 8)} {rng.choice(['Mirela', 'Tess'])} {prose(rng, 8)}" for _ in range(140)]
-    p = DisclosureParams(threshold=0.3)
+def test_one_text_and_its_copies_are_no_evidence(spark):
+    rng = np.random.default_rng(9)
+    letters = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 9))
+    rare = [letters() for _ in range(40)]
+    text = " ".join(rare[:20]) + " ann@solo.org " + " ".join(rare[20:])
+    near = [" ".join(letters() if i == k else w for i, w in enumerate(text.split())) for k in (1, 9, 33)]
+    texts = [text] * 6 + near + [prose(rng, 40) for _ in range(300)]
     df = docs_of(spark, texts)
-    words_of = lambda t: set(re.findall(r"[^\W\d_]+", t.lower()))
-    n_t, n_e, n_te = Counter(), Counter(), Counter()
+    assert {r.n_term for r in find_personal_data(df).collect()} == {0}
+    twice = docs_of(spark, [*texts, f"{prose(rng, 10)} {rare[3]} {prose(rng, 10)} ann@solo.org", f"{rare[3]} {prose(rng, 10)} ann@solo.org {prose(rng, 5)}", f"{prose(rng, 9)} {rare[3]} ann@solo.org"])
+    terms = {r.term: r.part for r in disclosing_terms(base_spans(twice), twice).collect()}  # three texts of their own speak for one of these words, still beside nine copies
+    assert set(terms) <= {rare[3]}
+
+
+def scored_by_counting(texts, p):
+    words_of = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    n_t, n_e, n_te, contexts = Counter(), Counter(), Counter(), {}
     for t in texts:
-        n_t.update(words_of(t))
+        w = words_of(t)
+        n_t.update(set(w))
+        for x in set(w):
+            i = w.index(x)
+            contexts.setdefault(x, Counter())[tuple(w[max(0, i - p.context) : i + p.context + 1])] += 1
         seen = set()
         for m in re.finditer(KINDS[0][1], t):
-            near = t[: m.start()].lower().split()[-8:] + t[m.end() :].lower().split()[:8]
-            terms = {x for w in near for x in re.findall(r"^[\W\d_]*([^\W\d_]+)[\W\d_]*$", w)} | {""}
             local, domain = m.group().lower().split("@")
-            seen |= {(e, x) for e in (m.group().lower(), f"local:{local}", f"domain:{domain}") for x in terms}
-        n_e.update(e for e, x in seen if not x)
-        n_te.update((e, x) for e, x in seen if len(x) >= 3)
+            seen |= {m.group().lower(), f"local:{local}", f"domain:{domain}"}
+        n_e.update(seen)
+        n_te.update((e, x) for e in seen for x in set(words_of(re.sub(KINDS[0][1], " ", t))))
     want = {}
     for (e, x), k in n_te.items():
-        prior = min(0.5, n_e[e] / len(texts))
-        share = np.log2((k + p.smooth * prior) / (n_t[x] + p.smooth) / prior) / -np.log2(prior)
-        if share >= p.threshold:
-            want[x] = max(want.get(x, 0), share)
-    got = disclosing_terms(base_spans(df, p), df, p)
-    assert want and {r.term: pytest.approx(r.part) for r in got.collect()} == want
-    few = {r.doc_id: r.spans for r in find_personal_data(df, p).collect()}
-    many = {r.doc_id: r.spans for r in find_personal_data(df, DisclosureParams(threshold=0.3, broadcast_terms=0)).collect()}
+        prior, share = min(0.5, n_e[e] / len(texts)), k / n_t[x]
+        if k < p.least or -k * np.log2(prior) < p.evidence or share < p.threshold or k * len(texts) < 2 * n_t[x] * n_e[e]:
+            continue
+        c = np.array(list(contexts[x].values()), float)
+        m = c.sum() ** 2 / (c**2).sum()
+        bound = (share + p.z**2 / 2 / m - p.z * np.sqrt(share * (1 - share) / m + p.z**2 / 4 / m / m)) / (1 + p.z**2 / m)
+        if bound >= p.threshold:
+            want[x] = max(want.get(x, 0), bound)
+    return want
+
+
+def test_term_scores_against_counting(spark):
+    rng = np.random.default_rng(31)
+    texts = [f"{prose(rng, 12)} {rng.choice(['Mirela', 'Otto', 'Quint'])} wrote a{rng.integers(0, 4)}@d{rng.integers(0, 2)}.org {prose(rng, 12)}" for _ in range(60)]
+    texts += [f"{prose(rng, 8)} {rng.choice(['Mirela', 'Tess'])} {prose(rng, 8)}" for _ in range(340)] + [f"Anja {prose(rng, 9)} a{k}@d{k}.org" for k in range(9)] + ["Anja Li lives at x@y.org", "so says Li x@y.org", "Li, x@y.org"]
+    df = docs_of(spark, texts)
+    for p in (DisclosureParams(), DisclosureParams(threshold=0.3, evidence=8.0, context=1)):
+        want = scored_by_counting(texts, p)
+        got = disclosing_terms(base_spans(df), df, p)
+        assert want and {r.term: r.part for r in got.collect()} == {t: pytest.approx(x) for t, x in want.items()}
+    assert {"otto", "quint"} <= set(want)
+    few = {r.doc_id: r.spans for r in find_personal_data(df).collect()}
+    many = {r.doc_id: r.spans for r in find_personal_data(df, DisclosureParams(broadcast_terms=0)).collect()}
     assert few == many and "term" in "".join(few.values())
-    assert {r.text for r in sanitise(df, p).collect()} == {r.text for r in sanitise(df, DisclosureParams(threshold=0.3, broadcast_terms=0)).collect()}
+    assert {r.text for r in sanitise(df).collect()} == {r.text for r in sanitise(df, DisclosureParams(broadcast_terms=0)).collect()}
+
+
+def test_score_does_not_depend_on_the_size_of_the_table(spark):
+    rng = np.random.default_rng(4)
+    known = [f"{prose(rng, 9)} Zorbax {prose(rng, 9)} bob@corp.org" for _ in range(3)] + [f"{prose(rng, 9)} Zorbax {prose(rng, 9)}"]
+    scores = set()
+    for n in (100, 1600):
+        df = docs_of(spark, known + [prose(rng, 20) for _ in range(n)])
+        p = DisclosureParams(threshold=0.45)
+        scores.add({r.term: round(r.part, 9) for r in disclosing_terms(base_spans(df), df, p).collect()}["zorbax"])
+    assert len(scores) == 1
 
 
 def test_sanitise_keeps_every_column_and_row(spark):
@@ -628,9 +665,10 @@ def test_terms_of_rare_entities(spark):
     texts = [beside("Quillmar", "ann@solo.org"), beside("Corpex", "eve@firm.org"), beside("Corpex", "dan@firm.org"), beside("Jonquil", "joe@one.org"), beside("Jonquil", "joe@two.org")]
     df = docs_of(spark, texts + [prose(rng, 40) + " wrote" for _ in range(200)])
     out = {r.doc_id: r.n_term for r in find_personal_data(df).collect()}
-    assert [out[i] for i in range(5)] == [1] * 5 and not any(out[i] for i in range(5, 205))
+    assert [out[i] for i in range(5)] == [0, 1, 1, 1, 1] and not any(out[i] for i in range(5, 205))  # one text is no evidence
     clean = {r.doc_id: r.text for r in sanitise(df).collect()}
-    assert all("[NAME:EMAIL] wrote [EMAIL]" in clean[i] for i in range(5))
+    assert all("[NAME:EMAIL] wrote [EMAIL]" in clean[i] for i in range(1, 5)) and "Quillmar wrote [EMAIL]" in clean[0]
+
 
 
 # 9

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqloom.functions.graphs import components
 from seqloom.functions.tables import numbered
 from seqloom.storage import stored
 
@@ -130,14 +131,7 @@ def enumerate_states(finals: DataFrame, possible: Column | None = None, max_roun
 
 def component_signature(joints: DataFrame) -> DataFrame:
     """(state_id, a, b, same): for each pair of parts of a state whether joints connect them; +1 or -1. All states at once."""
-    both = joints.select("state_id", "a", "b").unionByName(joints.select("state_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    label = stored(both.select("state_id", F.col("a").alias("v")).distinct().withColumn("l", F.col("v")))
-    while True:
-        near = both.join(label.withColumnRenamed("v", "b"), ["state_id", "b"]).groupBy("state_id", F.col("a").alias("v")).agg(F.min("l").alias("m"))
-        new = stored(label.join(near, ["state_id", "v"]).select("state_id", "v", F.least("l", "m").alias("l"), (F.col("m") < F.col("l")).alias("moved")))
-        if new.filter("moved").isEmpty():
-            break
-        label = new.drop("moved")
+    label = components(joints, "state_id")
     one, two = label.select("state_id", F.col("v").alias("a"), F.col("l").alias("la")), label.select("state_id", F.col("v").alias("b"), F.col("l").alias("lb"))
     return one.join(two, "state_id").filter("a < b").select("state_id", "a", "b", F.when(F.col("la") == F.col("lb"), 1).otherwise(-1).alias("same"))
 
@@ -181,21 +175,32 @@ def propagate_poses(roots: DataFrame, joints: DataFrame, max_rounds: int = 100)
 def branch_states(actions: DataFrame, classes: DataFrame, steps: int | None = None) -> DataFrame:
     """(seq_id, step, state): all states possible when a part named by class may be any of its members (cls, part).
 
-    Connecting (1) needs a free member, disconnecting (-1) one in use; others (0) leave the state as it is. A sequence has
-    no states from an impossible action on. All sequences advance together, for ``steps`` or to the end of the longest.
+    Connecting (1) needs a free member, disconnecting (-1) one in use; others (0) leave the state as it is. Several actions at
+    a step are alternatives. A sequence has no states from an impossible action or a missing step on, nor from ``steps`` on.
+
+    One fold a sequence carries the set of its states over its actions, so the plan doesn't grow with the longest sequence;
+    a sequence, its actions and the states of all its steps are one row.
     """
-    actions = stored(actions.select("seq_id", "step", "cls", "op"))
-    if steps is None:
-        last = actions.agg(F.max("step")).first()[0]
-        steps = 0 if last is None else last + 1
-    now = stored(actions.select("seq_id").distinct().withColumn("state", F.array().cast("array<int>")))
-    out = now.select("seq_id", F.lit(0).alias("step"), "state").limit(0)
-    for k in range(steps):
-        act = actions.filter(F.col("step") == k).select("seq_id", "cls", "op")
-        grown = now.join(act, "seq_id").join(classes, "cls", "left")
-        used = F.array_contains("state", F.col("part"))
-        fits = F.when(F.col("op") == 1, ~used).when(F.col("op") == -1, used).otherwise(True)
-        after = F.when(F.col("op") == 1, F.array_sort(F.array_union("state", F.array("part")))).when(F.col("op") == -1, F.array_except("state", F.array("part"))).otherwise(F.col("state"))
-        now = stored(grown.filter(fits).select("seq_id", after.alias("state")).distinct())
-        out = out.unionByName(now.select("seq_id", F.lit(k).alias("step"), "state"))
-    return out
+    members = classes.filter("cls is not null and part is not null").groupBy("cls").agg(F.collect_set("part").alias("members"))
+    known = actions.filter("step >= 0" if steps is None else f"step >= 0 and step < {steps}").select("seq_id", "step", "cls", "op").join(members, "cls", "left")
+    choice = F.struct("op", F.coalesce("members", F.array().cast("array<int>")).alias("members"))
+    at = known.groupBy("seq_id", "step").agg(F.collect_set(choice).alias("choices"))
+    fold = at.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("step", "choices"))).alias("acts"))
+
+    def moved(state: Column, choice: Column) -> Column:
+        free, used = F.filter(choice["members"], lambda m: ~F.array_contains(state, m)), F.filter(choice["members"], lambda m: F.array_contains(state, m))
+        more = F.transform(free, lambda m: F.array_sort(F.array_union(state, F.array(m))))
+        less = F.transform(used, lambda m: F.array_except(state, F.array(m)))
+        return F.when(choice["op"] == 1, more).when(choice["op"] == -1, less).otherwise(F.array(state))
+
+    def after(states: Column, choices: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(states, lambda s: F.flatten(F.transform(choices, lambda c: moved(s, c))))))
+
+    start = F.struct(F.array(F.array().cast("array<int>")).alias("now"), F.array().cast("array<array<array<int>>>").alias("out"))
+
+    def step(acc: Column, act: Column) -> Column:
+        now = after(acc["now"], act["choices"])
+        return F.struct(now.alias("now"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+    walk = F.aggregate(F.filter("acts", lambda x, i: x["step"] == i), start, step, lambda acc: acc["out"])
+    return fold.select("seq_id", F.posexplode(walk).alias("step", "states")).select("seq_id", "step", F.explode("states").alias("state"))

@@ -54,8 +54,8 @@ def h19(s, d):
 COMPONENT_SCORES = "WITH RECURSIVE " + JOINTS + """, e AS (SELECT state_id, a, b FROM jo UNION SELECT state_id, b, a FROM jo), reach AS (SELECT state_id, a, a AS b FROM e UNION SELECT r.state_id, r.a, e.b FROM reach r JOIN e ON e.state_id = r.state_id AND e.a = r.b),
  v AS (SELECT DISTINCT state_id, a FROM e), sig AS (SELECT x.state_id, x.a, y.a AS b, CASE WHEN r.b IS NULL THEN -1 ELSE 1 END AS same FROM v x JOIN v y ON x.state_id = y.state_id AND x.a < y.a LEFT JOIN reach r ON r.state_id = x.state_id AND r.a = x.a AND r.b = y.a),
  f AS (SELECT l_orderkey AS state_id, least(l_partkey % 9, l_suppkey % 9) AS a, greatest(l_partkey % 9, l_suppkey % 9) AS b, l_quantity AS value FROM lineitem),
- s AS (SELECT state_id, sum(same * value / 100) AS s FROM sig JOIN f USING (state_id, a, b) GROUP BY 1)
- SELECT state_id, round(s, 6) AS s, round(s - ln(sum(exp(s)) OVER (PARTITION BY state_id // 100)), 6) AS log_prob FROM s"""
+ s AS (SELECT state_id, sum(same * (value / 100)) AS s FROM sig JOIN f USING (state_id, a, b) GROUP BY 1)
+ SELECT state_id, round(s, 6) AS s, round(s - ln(sum(exp(s)) OVER ()), 6) AS log_prob FROM s"""
 
 
 @query("i16_component_state_scores", COMPONENT_SCORES)
@@ -63,10 +63,44 @@ def i16(s, d):
     from seqloom.operators.states import component_signature
 
     sig = component_signature(_joints(s, d))
-    feats = table(s, d, "lineitem").select(F.col("l_orderkey").alias("state_id"), (F.col("l_partkey") % 9).cast("int").alias("a"), (F.col("l_suppkey") % 9).cast("int").alias("b"), F.col("l_quantity").alias("value"))
+    feats = table(s, d, "lineitem").select(F.col("l_orderkey").alias("state_id"), (F.col("l_partkey") % 9).cast("int").alias("a"), (F.col("l_suppkey") % 9).cast("int").alias("b"), (F.col("l_quantity") / 100).alias("value"))
     return R.component_state_scores(sig, feats).withColumn("s", F.round("s", 6)).withColumn("log_prob", F.round("log_prob", 6))
 
 
+FRAME_STATES = "WITH RECURSIVE " + JOINTS + """, e AS (SELECT state_id, a, b FROM jo UNION SELECT state_id, b, a FROM jo), reach AS (SELECT state_id, a, a AS b FROM e UNION SELECT r.state_id, r.a, e.b FROM reach r JOIN e ON e.state_id = r.state_id AND e.a = r.b),
+ u AS (SELECT min(state_id) AS state_id, pairs FROM (SELECT state_id, list(struct_pack(a := a, b := b) ORDER BY a, b) FILTER (a < b) AS pairs FROM reach GROUP BY 1) GROUP BY pairs),
+ sp AS (SELECT state_id, p.a AS a, p.b AS b FROM (SELECT state_id, unnest(pairs) AS p FROM u)),
+ f AS (SELECT c_nationkey AS seq_id, {t} AS t, least(l_partkey % 9, l_suppkey % 9) AS a, greatest(l_partkey % 9, l_suppkey % 9) AS b, sum(l_quantity - 25) AS value FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+ w AS (SELECT seq_id, t, sum(value) AS whole FROM f GROUP BY 1, 2),
+ i AS (SELECT seq_id, t, state_id, sum(value) AS inside FROM f JOIN sp USING (a, b) GROUP BY 1, 2, 3),
+ s AS (SELECT w.seq_id, w.t, u.state_id, (2 * coalesce(inside, 0) - whole) / 1000 AS s FROM w CROSS JOIN u LEFT JOIN i ON i.seq_id = w.seq_id AND i.t = w.t AND i.state_id = u.state_id),
+ """
+
+
+def _frame_scores(s, d, t):
+    """Features are whole numbers, so that ties don't depend on the order of addition."""
+    from seqloom.operators.states import component_signature
+
+    li, o, c = table(s, d, "lineitem"), table(s, d, "orders"), table(s, d, "customer")
+    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    a, b = (F.col("l_partkey") % 9).cast("int"), (F.col("l_suppkey") % 9).cast("int")
+    features = rows.groupBy(F.col("c_nationkey").alias("seq_id"), t.alias("t"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.sum(F.col("l_quantity") - 25).alias("value"))
+    return R.FrameScores(features, R.distinct_signatures(component_signature(_joints(s, d))), scale=0.001)
+
+
+@query("i16_frame_state_scores", FRAME_STATES.replace("{t}", "CAST(year(o_orderdate) AS INTEGER)") + "m AS (SELECT seq_id, t, ln(sum(exp(s))) AS norm FROM s GROUP BY 1, 2) SELECT seq_id, t, state_id, round(s, 6) AS s, round(s - norm, 6) AS log_prob FROM s JOIN m USING (seq_id, t)")
+def i16_frames(s, d):
+    """Every year of a nation against every different component structure of the orders."""
+    return _frame_scores(s, d, F.year("o_orderdate")).all().withColumn("s", F.round("s", 6)).withColumn("log_prob", F.round("log_prob", 6))
+
+
+@query("i16_best_states", FRAME_STATES.replace("{t}", "CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER)") + "m AS (SELECT seq_id, t, max(s) AS s, ln(sum(exp(s))) AS norm FROM s GROUP BY 1, 2) SELECT seq_id, t, round(m.s, 6) AS s, min(state_id) AS state_id, round(m.s - any_value(norm), 6) AS log_prob FROM s JOIN m USING (seq_id, t) WHERE s.s = m.s GROUP BY seq_id, t, m.s")
+def i16_best(s, d):
+    """The best component structure of every month of a nation."""
+    x = _frame_scores(s, d, F.year("o_orderdate") * 12 + F.month("o_orderdate")).best()
+    return x.withColumn("s", F.round("s", 6)).withColumn("log_prob", F.round("log_prob", 6))
+
+
 @query("k8_goal_agreement", with_(PARTS) + ", s AS (SELECT seq_id, list_distinct(list(part) FILTER (step % 2 = 0)) AS t, list_distinct(list(part) FILTER (step % 2 = 1)) AS p FROM acts GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (list_has_all([0, 1, 2, 3, 4, 5], coalesce(t, [])) = list_has_all([0, 1, 2, 3, 4, 5], coalesce(p, []))) AS agree FROM s")
 def k8(s, d):
     a = part_actions(s, d)

@@ -280,3 +280,74 @@ def test_overlap_across_stretches(spark):
     got = metrics.overlap_score(spark.createDataFrame(rows, "seq_id long, t int, truth int, pred int")).first().overlap
     want = [(600 / 700), (600 / 800), (600 / 800)]  # 0: 600 of 700; 1 and 2: shifted by 100
     assert math.isclose(got, sum(want) / 3, abs_tol=5e-7) and math.isclose(metrics.overlap_score(spark.createDataFrame(rows, "seq_id long, t int, truth int, pred int"), width=7).first().overlap, got)
+
+
+def test_components_of_a_long_chain_and_of_many_graphs(spark):
+    import random
+
+    from seqloom.functions.graphs import components
+
+    rng = random.Random(5)
+    names = list(range(10_000))
+    rng.shuffle(names)
+    chain = [(0, a, b) for a, b in zip(names, names[1:], strict=False)]
+    small = [(1 + i % 300, rng.randrange(12), rng.randrange(12)) for i in range(2000)]
+    edges = spark.createDataFrame([*chain, *small, *small[:50], (7, None, 3), (400, 5, 5)], "g int, a int, b int")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for g, a, b in [*small, (400, 5, 5)]:
+        low, high = sorted((find((g, a)), find((g, b))))
+        root[high] = low
+    got = {(r.g, r.v): r.l for r in components(edges, "g", most_rounds=20).collect()}
+    assert {v: found for (g, v), found in got.items() if g == 0} == dict.fromkeys(range(10_000), 0)
+    assert {k: found for k, found in got.items() if k[0]} == {k: find(k)[1] for k in root}
+    assert components(edges.limit(0), "g").count() == 0
+
+
+def test_branch_states_with_gaps_and_alternatives(spark):
+    from seqloom.operators.states import branch_states
+
+    acts = [(1, 0, 0, 1), (1, 1, 0, 1), (1, 3, 0, -1), (2, 1, 0, 1), (3, 0, 0, 1), (3, 0, 1, 1), (3, 1, 0, -1), (4, 0, 9, 0), (4, 1, 9, 1), (4, 2, 0, 1), (5, 0, None, 1)]
+    actions = spark.createDataFrame(acts, "seq_id long, step int, cls int, op int")
+    classes = spark.createDataFrame([(0, 1), (0, 2), (1, 5), (1, None)], "cls int, part int")
+    got = sorted((r.seq_id, r.step, tuple(r.state)) for r in branch_states(actions, classes).collect())
+    assert got == [(1, 0, (1,)), (1, 0, (2,)), (1, 1, (1, 2)), (3, 0, (1,)), (3, 0, (2,)), (3, 0, (5,)), (3, 1, ()), (4, 0, ())]
+    assert {r.step for r in branch_states(actions, classes, 1).collect()} == {0}
+    long = spark.createDataFrame([(9, k, 0, 1 if k % 2 == 0 else -1) for k in range(3000)], "seq_id long, step int, cls int, op int")
+    assert branch_states(long, classes).count() == 3000 // 2 * 3
+
+
+def test_frame_scores_equal_brute_force(spark):
+    import math
+    import random
+
+    from seqloom.operators.relations import FrameScores
+
+    rng = random.Random(2)
+    pairs = [(a, b) for a in range(5) for b in range(a + 1, 5)]
+    states = {k: sorted(rng.sample(pairs, rng.randrange(0, 6))) for k in range(3, 40)}
+    rows = [(s, t, *rng.choice([(a, b), (b, a)]), rng.choice([None, -2, -1, 0, 1, 3])) for s in range(3) for t in range(7) for a, b in rng.sample(pairs, 6)]
+    rows += [(0, 0, 1, 2, 4), (0, 1, 0, 77, 2), (0, 2, 3, 3, 1), (0, 3, None, 2, 9), (5, 0, 0, 1, None)]
+    features = spark.createDataFrame(rows, "seq_id int, t int, a int, b int, value int")
+    table = spark.createDataFrame([(k, [{"a": b if k % 2 else a, "b": a if k % 2 else b} for a, b in v]) for k, v in states.items()], "state_id int, pairs array<struct<a:int,b:int>>")
+    frames = {}
+    for s, t, a, b, v in rows:
+        f = frames.setdefault((s, t), {})
+        if None not in (a, b, v):
+            f[min(a, b), max(a, b)] = f.get((min(a, b), max(a, b)), 0) + v
+    for block in (1, 5, 1024):
+        x = FrameScores(features, table, scale=0.5, block=block, slices=3)
+        found, best = {(r.seq_id, r.t, r.state_id): r for r in x.all().collect()}, {(r.seq_id, r.t): r for r in x.best().collect()}
+        assert len(found) == len(frames) * len(states) and best.keys() == frames.keys()
+        for at, f in frames.items():
+            s = {k: 0.5 * sum(v if p in pairs_ else -v for p, v in f.items()) for k, pairs_ in states.items()}
+            norm = math.log(sum(map(math.exp, s.values())))
+            assert all(found[*at, k].s == v and abs(found[*at, k].log_prob - v + norm) < 1e-9 for k, v in s.items())
+            assert best[at].state_id == min(s, key=lambda k: (-s[k], k)) and best[at].s == max(s.values()) and abs(best[at].log_prob - max(s.values()) + norm) < 1e-9
+    assert FrameScores(features.limit(0), table).all().count() == 0
+    assert FrameScores(features, table.limit(0)).all().count() == FrameScores(features, table.limit(0)).best().count() == 0

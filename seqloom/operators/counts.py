@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqloom.functions.ranks import order_statistics
 from seqloom.functions.tables import beside
 from seqloom.operators.segments import to_segments
+from seqloom.storage import stored
 
 
 def transition_counts(frames: DataFrame, label: str, uniform: float = 0.0, diagonal: float = 0.0) -> DataFrame:
@@ -167,10 +169,25 @@ def fit_gaussians(points: DataFrame) -> DataFrame:
     return seen.groupBy("cls").agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("cxy"))
 
 
-def trim_and_refit(points: DataFrame, ratio: float = 0.05) -> DataFrame:
-    """Gaussians refitted without the lowest share of each class by score."""
-    order = F.percent_rank().over(Window.partitionBy("cls").orderBy("score"))
-    return fit_gaussians(points.withColumn("_r", order).filter(F.col("_r") >= ratio))
+def trim_and_refit(points: DataFrame, ratio: float = 0.05, few: int = 10_000) -> DataFrame:
+    """Gaussians refitted without the lowest share of each class by score.
+
+    A point is kept if the share of the class's other points that score less reaches ``ratio``, so ties are kept or dropped
+    together and a class of one point is dropped unless ``ratio`` is 0. Missing scores rank lowest. The score that bounds the
+    dropped ones is found by exact selection; no class is sorted.
+    """
+    scored = points.withColumn("score", F.col("score").cast("double"))
+    sizes = scored.groupBy("cls").agg(F.count("*").alias("_n"), F.count_if(F.col("score").isNull()).alias("_none"))
+    share = lambda m: F.when(F.col("_n") > 1, m / (F.col("_n") - 1)).otherwise(0.0)
+    near = F.floor((F.col("_n") - 1) * F.lit(float(ratio)))
+    # the least count of lower points that reaches the ratio, as the division decides it
+    least = F.array_min(F.filter(F.sequence(F.greatest(near - 1, F.lit(0)), near + 2), lambda m: share(m) >= ratio))
+    cut = stored(sizes.select("cls", "_none", F.coalesce(least, F.col("_n")).alias("_m")))
+    last = cut.filter("_m > _none").select("cls", (F.col("_m") - F.col("_none") - 1).alias("rank"))
+    bound = order_statistics(scored, last, "score", "cls", few=few).select("cls", F.coalesce("score", F.lit(float("nan"))).alias("_cut"))
+    kept = scored.join(cut, "cls").join(bound, "cls", "left")
+    above = F.when(F.col("_m") == 0, True).when(F.col("score").isNull(), False).when(F.col("_cut").isNull(), True).otherwise(F.col("score") > F.col("_cut"))
+    return fit_gaussians(kept.filter(above))
 
 
 def duration_gaussians(segments: DataFrame) -> DataFrame:

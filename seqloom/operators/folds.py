@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.functions.ranks import quantiles
 from seqloom.functions.tables import numbered
 
 
@@ -53,30 +56,40 @@ def summarize_cube(results: DataFrame, *by: str) -> DataFrame:
     return results.cube(*by).agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
 
 
-def plain_interval(results: DataFrame, confidence: float) -> DataFrame:
-    """(metric, low, mean, high): quantiles of the values themselves."""
+def plain_interval(results: DataFrame, confidence: float, few: int = 10_000) -> DataFrame:
+    """(metric, low, mean, high): quantiles of the values themselves, by exact selection; no metric's values are gathered or sorted."""
     low = (1 - confidence) / 2
-    return results.groupBy("metric").agg(F.percentile("value", low).alias("low"), F.avg("value").alias("mean"), F.percentile("value", 1 - low).alias("high"))
+    means = results.groupBy("metric").agg(F.avg("value").alias("mean"))
+    return means.join(quantiles(results, "value", {"low": low, "high": 1 - low}, "metric", few=few), "metric", "left").select("metric", "low", "mean", "high")
 
 
 def bootstrap_interval(results: DataFrame, replicates: int, confidence: float, seed: int = 0) -> DataFrame:
-    """(metric, low, mean, high): quantiles of the mean over replicates drawn with replacement.
+    """(metric, low, mean, high): quantiles of the mean over replicates that draw whole sequences with replacement.
 
-    Every row enters a replicate a Poisson(1) number of times, drawn by hash, so replicates are
-    sums over all rows and no sample is gathered anywhere.
+    Every sequence enters a replicate a Poisson(1) number of times, drawn by hash, so replicates are sums over all sequences
+    and no sample is gathered anywhere. A sequence's values are summed before they are multiplied by the replicates; one
+    digest of ``seed:seq_id:metric:block`` gives the draws of four of them, eight hex digits each. ``replicates`` is what the last quantiles hold.
     """
-    wide = results.filter("value is not null").withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.pmod(F.xxhash64("seq_id", "metric", "_r", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    steps, times, p, cdf = [0.36787944117144233], None, 0.36787944117144233, 0.36787944117144233
-    for k in range(1, 8):
-        p /= k
-        cdf += p
-        steps.append(cdf)
-    for k, edge in reversed(list(enumerate(steps))):
-        times = F.when(u < edge, k).otherwise(len(steps) if times is None else times)
-    means = wide.withColumn("_n", times).groupBy("metric", "_r").agg((F.sum(F.col("_n") * F.col("value")) / F.sum("_n")).alias("m"))
+    sums = results.filter("value is not null").groupBy("seq_id", "metric").agg(F.sum("value").alias("_s"), F.count("*").alias("_n"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("seq_id").cast("string"), "metric", F.col("_block").cast("string")).cast("binary"))
+    blocks = sums.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4)))).withColumn("_d", digest)
+    draws = blocks.select("metric", "_s", "_n", "_block", "_d", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("_i"))
+    draws = draws.withColumn("_r", F.col("_block") * 4 + F.col("_i")).filter(F.col("_r") < replicates)
+    u = F.conv(F.substring("_d", F.col("_i") * 8 + 1, F.lit(8)), 16, 10).cast("long")
+    times = sum((F.when(u >= edge, 1).otherwise(0) for edge in poisson_edges()), F.lit(0))
+    drawn = draws.withColumn("_k", times).groupBy("metric", "_r").agg(F.try_divide(F.sum(F.col("_k") * F.col("_s")), F.sum(F.col("_k") * F.col("_n"))).alias("m"))
     low = (1 - confidence) / 2
-    return means.groupBy("metric").agg(F.percentile("m", low).alias("low"), F.avg("m").alias("mean"), F.percentile("m", 1 - low).alias("high"))
+    return drawn.groupBy("metric").agg(F.percentile("m", low).alias("low"), F.avg("m").alias("mean"), F.percentile("m", 1 - low).alias("high"))
+
+
+def poisson_edges(most: int = 8) -> list[int]:
+    """Where the cumulative Poisson(1) distribution lies on 32-bit draws: a draw of at least k of them is a count of k."""
+    out, p, total = [], exp(-1), 0.0
+    for k in range(1, most + 1):
+        total += p
+        out.append(round(total * 2**32))
+        p /= k
+    return out
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, *by: str) -> DataFrame:

@@ -289,9 +289,14 @@ def j8(s, d):
     return J.plain_interval(_results(s, d), 0.68).select("metric", *[F.round(c, 5).alias(c) for c in ("low", "mean", "high")])
 
 
-@query("j8_bootstrap")
+DRAWS = """, w AS (SELECT seq_id, metric, sum(value) AS s, count(value) AS n FROM res WHERE value IS NOT NULL GROUP BY 1, 2),
+ u AS (SELECT metric, r, s, n, CAST('0x' || substr(md5('0:' || seq_id || ':' || metric || ':' || (r // 4)), (r % 4) * 8 + 1, 8) AS BIGINT) AS u FROM w, range(0, 50) x(r)),
+ m AS (SELECT metric, r, sum(k * s) / nullif(sum(k * n), 0) AS m FROM (SELECT *, len(list_filter([{edges}], lambda e: u >= e)) AS k FROM u) GROUP BY 1, 2) """
+
+
+@query("j8_bootstrap", "WITH " + RES + DRAWS.replace("{edges}", ", ".join(map(str, J.poisson_edges()))) + "SELECT metric, round(quantile_cont(m, 0.16), 5) AS low, round(avg(m), 5) AS mean, round(quantile_cont(m, 0.84), 5) AS high FROM m GROUP BY 1")
 def j8b(s, d):
-    return J.bootstrap_interval(_results(s, d), 50, 0.68)
+    return J.bootstrap_interval(_results(s, d), 50, 0.68).select("metric", *[F.round(c, 5).alias(c) for c in ("low", "mean", "high")])
 
 
 @query("j9_histogram", with_(FRAMES) + "SELECT label, CASE WHEN score < 0 THEN 0 WHEN score >= 200 THEN 21 ELSE CAST(floor(score / 10) + 1 AS INTEGER) END AS bucket, count(*) AS n FROM frames GROUP BY 1, 2")

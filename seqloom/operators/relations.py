@@ -13,14 +13,19 @@ from seqloom.storage import stored
 def one_block_transitions(states: DataFrame, blocks: int) -> DataFrame:
     """(src, dst, prob): the next state adds parts of one block only (block: part modulo ``blocks``); rows normalised.
 
-    Each state looks itself up less some parts of one block, so states meet by key.
+    For each block a state is indexed by its parts outside the block, which both states share, and its least part inside it
+    (-1 where it has none), which the next state must have too; only then are the parts inside compared. A state with k
+    parts in a block is looked up k + 1 times, not once a subset.
     """
     block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    mine = states.select(F.col("state_id").alias("dst"), "parts", block)
-    own = mine.withColumn("own", F.filter("parts", lambda x: x % blocks == F.col("block"))).filter(F.size("own") > 0)
-    subsets = F.aggregate("own", F.array(F.array().cast("array<int>")), lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(x)))))
-    less = own.select("dst", "parts", F.explode(subsets).alias("gone")).filter(F.size("gone") > 0).select("dst", F.array_except("parts", "gone").alias("key"))
-    pairs = less.join(states.select(F.col("state_id").alias("src"), F.col("parts").alias("key")), "key").select("src", "dst").distinct()
+    split = states.select("state_id", F.array_sort(F.array_distinct("parts")).alias("parts"), block)
+    within = lambda x: x % blocks == F.col("block")
+    split = split.select("state_id", "block", F.filter("parts", lambda x: ~within(x)).alias("outer"), F.filter("parts", within).alias("inner"))
+    lower = split.select(F.col("state_id").alias("src"), "block", "outer", F.coalesce(F.get("inner", F.lit(0)), F.lit(-1)).alias("anchor"), F.col("inner").alias("less"))
+    none = F.array(F.lit(-1))
+    upper = split.filter(F.size("inner") > 0).select(F.col("state_id").alias("dst"), "block", "outer", F.col("inner").alias("more"), F.explode(F.concat(none, "inner")).alias("anchor"))
+    met = lower.join(upper, ["block", "outer", "anchor"]).filter((F.size("less") < F.size("more")) & (F.size(F.array_except("less", "more")) == 0))
+    pairs = met.select("src", "dst")
     return pairs.withColumn("prob", 1 / F.count("*").over(Window.partitionBy("src")))
 
 

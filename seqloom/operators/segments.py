@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,6 +63,33 @@ def reduce_over_segments(df: DataFrame, *aggregates: Column) -> DataFrame:
     return df.groupBy("seq_id", "seg_id").agg(*aggregates)
 
 
+def reduce_with(df: DataFrame, reductions: dict[str, tuple[Callable, list[str]]], *aggregates: Column, most_rows: int = 1_000_000) -> DataFrame:
+    """One row a segment: Python reductions beside built-in aggregates.
+
+    A reduction is a callable from the segment's values, one numpy array a column in time order, to a number, given by name
+    with its columns (missing values are NaN). It runs as a grouped pandas aggregate, which no built-in aggregate can share a
+    pass with, so the two passes are joined on (seq_id, seg_id). A worker holds one segment; one of more than ``most_rows``
+    frames fails by name rather than by memory. NaN and None results are null.
+    """
+    keys = ["seq_id", "seg_id"]
+    used = list(dict.fromkeys(c for _, columns in reductions.values() for c in columns))
+    sized = df.select(*keys, "t", *used).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    fits = F.when(F.col("_n") <= most_rows, F.col("t")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("segment too long for a Python reduction:"), *keys)).cast(df.schema["t"].dataType))
+    checked = sized.withColumn("t", fits).drop("_n")
+
+    def as_aggregate(reduce: Callable) -> Callable:
+        def run(t: pd.Series, *columns: pd.Series) -> float:
+            order = t.to_numpy().argsort(kind="stable")
+            out = reduce(*[c.to_numpy(dtype=float, na_value=np.nan)[order] for c in columns])
+            return None if out is None or np.isnan(out) else float(out)
+
+        return F.pandas_udf(run, "double")
+
+    calls = [as_aggregate(f)("t", *[F.col(c).cast("double") for c in columns]).alias(name) for name, (f, columns) in reductions.items()]
+    out = checked.groupBy(*keys).agg(*calls)
+    return reduce_over_segments(df, *aggregates).join(out, keys) if aggregates else out
+
+
 def slice_means(df: DataFrame, active: Column, value: str) -> DataFrame:
     """(seq_id, t, mean): the mean of ``value`` over the active slice a frame lies in, 0 elsewhere."""
     marked = segment_ids(df.withColumn("_on", active.cast("int")), "_on")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.functions.tables import beside
+from seqloom.storage import stored
 
 
 def magnitude(x: Column, y: Column, z: Column) -> Column:
@@ -78,31 +79,56 @@ def gyro_angle(signal: DataFrame, rate: str, seconds: str) -> DataFrame:
     return signal.withColumn("_step", F.col(rate) * dt).withColumn("angle", F.sum("_step").over(order)).drop("_step")
 
 
-def orientation_track(signal: DataFrame, gravity: float = 9.81, still: float = 0.005) -> DataFrame:
+def orientation_track(signal: DataFrame, gravity: float = 9.81, still: float = 0.005, block: int = 256) -> DataFrame:
     """(seq_id, device, t, qw, qx, qy, qz, vx, vy, vz, px, py, pz) from gyro and accelerometer streams, a device a group.
 
     The quaternion integrates the angular rate; acceleration turned to the world frame less gravity
     is integrated twice; where acceleration changes by less than ``still`` the velocity is set to 0.
+
+    Products of quaternions are associative: a stream is cut into blocks of ``block`` samples, each is multiplied up on its
+    own, the blocks' products are multiplied up along the device, and every sample takes its block's start times its own
+    product so far. Velocity is a running sum since the last reset, position a running sum of it. A sample without one of its
+    rates or its time has no orientation, nor has what follows it on that device; a missing acceleration leaves the velocity of its
+    own sample's step out.
     """
-    cols = ["qw", "qx", "qy", "qz", "vx", "vy", "vz", "px", "py", "pz"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        s, w, a = pdf["s"].to_numpy(float), pdf[["gx", "gy", "gz"]].to_numpy(float), pdf[["ax", "ay", "az"]].to_numpy(float)
-        dt = np.diff(s, prepend=s[:1])
-        q, v, x, out = np.array([1.0, 0, 0, 0]), np.zeros(3), np.zeros(3), []
-        for i in range(len(pdf)):
-            half = 0.5 * dt[i] * w[i]
-            dq = np.array([1.0, *half])
-            q = np.array([q[0] * dq[0] - q[1:] @ dq[1:], *(q[0] * dq[1:] + dq[0] * q[1:] + np.cross(q[1:], dq[1:]))])
-            q /= np.linalg.norm(q)
-            world = a[i] + 2 * np.cross(q[1:], np.cross(q[1:], a[i]) + q[0] * a[i]) - np.array([0, 0, gravity])
-            v = np.zeros(3) if i and np.abs(a[i] - a[i - 1]).max() < still else v + world * dt[i]
-            x = x + v * dt[i]
-            out.append([*q, *v, *x])
-        return pd.concat([pdf[["seq_id", "device", "t"]].reset_index(drop=True), pd.DataFrame(out, columns=cols)], axis=1)
-
-    return signal.groupBy("seq_id", "device").applyInPandas(run, "seq_id long, device int, t int, " + ", ".join(f"{c} double" for c in cols))
+    of = ["seq_id", "device"]
+    order = Window.partitionBy(*of).orderBy("t")
+    dt = F.when(F.row_number().over(order) == 1, F.lit(0.0)).otherwise(F.col("s") - F.lag("s").over(order))
+    jump = F.greatest(*[F.abs(F.col(c) - F.lag(c).over(order)) for c in ("ax", "ay", "az")])
+    read = signal.withColumns({"_dt": dt, "_reset": F.coalesce(jump < still, F.lit(False)), "_b": F.floor((F.row_number().over(order) - 1) / block)})
+    x, y, z = (0.5 * F.col("_dt") * F.col(c) for c in ("gx", "gy", "gz"))
+    size = F.sqrt(1 + x * x + y * y + z * z)
+    turn = F.struct((1 / size).alias("w"), (x / size).alias("x"), (y / size).alias("y"), (z / size).alias("z"))
+    samples = read.select(*of, "_b", F.struct("t", "_dt", "_reset", "ax", "ay", "az", turn.alias("turn")).alias("r"))
+    blocks = samples.groupBy(*of, "_b").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    whole = F.array(F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))).cast("array<struct<w:double,x:double,y:double,z:double>>")
+    # each array begins with the unit quaternion and has one more element than its samples
+    scanned = stored(blocks.withColumn("_q", F.aggregate(F.transform("rows", lambda r: r["turn"]), whole, lambda acc, q: F.concat(acc, F.array(_multiplied(F.element_at(acc, -1), q))))))
+    lasts = scanned.select(*of, "_b", F.element_at("_q", -1).alias("q"))
+    along = lasts.groupBy(*of).agg(F.transform(F.array_sort(F.collect_list(F.struct("_b", "q"))), lambda r: r["q"]).alias("_all"))
+    starts = along.select(*of, F.posexplode(F.aggregate("_all", whole, lambda acc, q: F.concat(acc, F.array(_multiplied(F.element_at(acc, -1), q))))).alias("_b", "_start"))
+    tied = scanned.join(starts.withColumn("_b", F.col("_b").cast("long")), [*of, "_b"])
+    own = F.inline(F.arrays_zip(F.col("rows").alias("r"), F.slice("_q", F.lit(2), F.size("rows")).alias("q"))).alias("r", "q")
+    flat = tied.select(*of, "_start", own).select(*of, "r.*", _multiplied(F.col("_start"), F.col("q")).alias("q"))
+    a, u = [F.col(c) for c in ("ax", "ay", "az")], [F.col("q." + c) for c in "xyz"]
+    cross = lambda m, n: [m[1] * n[2] - m[2] * n[1], m[2] * n[0] - m[0] * n[2], m[0] * n[1] - m[1] * n[0]]
+    inner = [c + F.col("q.w") * b for c, b in zip(cross(u, a), a, strict=True)]
+    world = [b + 2 * c - down for b, c, down in zip(a, cross(u, inner), (0.0, 0.0, gravity), strict=True)]
+    moved = flat.select("*", *[F.when(F.col("_reset"), 0.0).otherwise(w * F.col("_dt")).alias("_s" + c) for w, c in zip(world, "xyz", strict=True)])
+    since = Window.partitionBy(*of, "_seg").orderBy("t")
+    fast = moved.withColumn("_seg", F.count_if("_reset").over(order)).withColumns({"v" + c: F.sum("_s" + c).over(since) for c in "xyz"})
+    placed = fast.withColumns({"p" + c: F.sum(F.col("v" + c) * F.col("_dt")).over(order) for c in "xyz"})
+    return placed.select(*of, "t", *[F.col("q." + c).alias("q" + c) for c in "wxyz"], *["v" + c for c in "xyz"], *["p" + c for c in "xyz"])
+
+
+def _multiplied(a: Column, b: Column) -> Column:
+    """The product of two unit quaternions (w, x, y, z), brought back to length one."""
+    raw = F.struct(
+        (a["w"] * b["w"] - a["x"] * b["x"] - a["y"] * b["y"] - a["z"] * b["z"]).alias("w"), (a["w"] * b["x"] + a["x"] * b["w"] + a["y"] * b["z"] - a["z"] * b["y"]).alias("x"),
+        (a["w"] * b["y"] - a["x"] * b["z"] + a["y"] * b["w"] + a["z"] * b["x"]).alias("y"), (a["w"] * b["z"] + a["x"] * b["y"] - a["y"] * b["x"] + a["z"] * b["w"]).alias("z"),
+    )
+    # bound to a name once, by a list of one
+    return F.transform(F.array(raw), lambda q: F.transform(F.array(F.sqrt(q["w"] * q["w"] + q["x"] * q["x"] + q["y"] * q["y"] + q["z"] * q["z"])), lambda n: F.struct(*[(q[c] / n).alias(c) for c in "wxyz"]))[0])[0]
 
 
 def pair_distance(positions: DataFrame) -> DataFrame:
@@ -199,23 +225,56 @@ def track_pairs(hands: DataFrame) -> DataFrame:
     return out.select("seq_id", "t", swap("x1", "x2"), swap("y1", "y2"), swap("x2", "x1"), swap("y2", "y1"))
 
 
-def track_pairs_with_gaps(hands: DataFrame) -> DataFrame:
-    """The same with missing detections: each is assigned to the nearer last seen place, and places are carried forward."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        last, out = [None, None], []
-        for x1, y1, x2, y2 in pdf[["x1", "y1", "x2", "y2"]].to_numpy(float):
-            now = [None if np.isnan(p).any() else p for p in (np.array([x1, y1]), np.array([x2, y2]))]
-            cost = lambda a, b: 0.0 if a is None or b is None else float(np.hypot(*(a - b)))
-            if cost(now[0], last[1]) + cost(now[1], last[0]) < cost(now[0], last[0]) + cost(now[1], last[1]):
-                now = now[::-1]
-            last = [b if a is None else a for a, b in zip(now, last, strict=True)]
-            out.append([v for p in last for v in (p if p is not None else (np.nan, np.nan))])
-        kept = pdf[["seq_id", "t"]].reset_index(drop=True)
-        return pd.concat([kept, pd.DataFrame(out, columns=["x1", "y1", "x2", "y2"])], axis=1)
+def track_pairs_with_gaps(hands: DataFrame, block: int = 256) -> DataFrame:
+    """The same with missing detections: each is assigned to the nearer last seen place, and places are carried forward.
 
-    return hands.groupBy("seq_id").applyInPandas(run, "seq_id long, t int, x1 double, y1 double, x2 double, y2 double")
+    A detection without an x or a y (null or NaN) is missing, and costs nothing in either place. A frame that sees both leaves
+    only two possibilities, kept or swapped. So each stretch from one such frame up to the next is folded on its own, once
+    for either start; what a stretch makes of its start is one of four functions (kept, swapped, always kept, always swapped),
+    and the functions of the stretches before it compose by a running count of swaps since the last constant one.
+    """
+    order = Window.partitionBy("seq_id").orderBy("t")
+    real = lambda c: F.when(~F.isnan(c), F.col(c))
+    seen = lambda i: F.when(real("x" + i).isNotNull() & real("y" + i).isNotNull(), F.struct(F.col("x" + i).alias("x"), F.col("y" + i).alias("y")))
+    frames = hands.select("seq_id", "t", seen("1").alias("a"), seen("2").alias("b"))
+    stretch = F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).over(order)
+    rows = frames.withColumn("_g", stretch).groupBy("seq_id", "_g").agg(F.array_sort(F.collect_list(F.struct("t", "a", "b"))).alias("rows"))
+    place = "struct<x:double,y:double>"
+    both = f"struct<p:{place},q:{place}>"
+    apart = lambda u, v: F.coalesce(F.sqrt((u["x"] - v["x"]) * (u["x"] - v["x"]) + (u["y"] - v["y"]) * (u["y"] - v["y"])), F.lit(0.0))
+    turns = lambda r, at: apart(r["a"], at["q"]) + apart(r["b"], at["p"]) < apart(r["a"], at["p"]) + apart(r["b"], at["q"])
+    pair = lambda p, q: F.struct(p.alias("p"), q.alias("q")).cast(both)
+
+    def moved(acc: Column, r: Column) -> Column:
+        swap = turns(r, acc["at"])
+        p = F.coalesce(F.when(swap, r["b"]).otherwise(r["a"]), acc["at"]["p"])
+        q = F.coalesce(F.when(swap, r["a"]).otherwise(r["b"]), acc["at"]["q"])
+        return F.struct(pair(p, q).alias("at"), F.concat(acc["way"], F.array(pair(p, q))).alias("way"))
+
+    def walked(acc: Column, few: Column) -> Column:
+        block = F.aggregate(few, F.struct(acc["at"].alias("at"), F.array().cast(f"array<{both}>").alias("way")), moved)
+        return F.struct(block["at"].alias("at"), F.concat(acc["ways"], F.array(block["way"])).alias("ways"))
+
+    # the way is laid down in blocks, so that a long stretch is not copied for each of its frames
+    first = F.get("rows", F.lit(0))
+    started = F.col("_g") > 0
+    rest = F.when(started, F.slice("rows", 2, F.size("rows"))).otherwise(F.col("rows"))
+    starts = F.when(F.size(rest) > 0, F.sequence(F.lit(1), F.greatest(F.size(rest), F.lit(1)), F.lit(block))).otherwise(F.array().cast("array<int>"))
+    folded = lambda p, q: F.aggregate("few", F.struct(pair(p, q).alias("at"), F.array().cast(f"array<array<{both}>>").alias("ways")), walked)
+    kept, turned = (F.when(started, first["a"]), F.when(started, first["b"])), (F.when(started, first["b"]), F.when(started, first["a"]))
+    cut = rows.withColumn("_rest", rest).withColumn("few", F.transform(starts, lambda i: F.slice("_rest", i, F.lit(block))))
+    folds = cut.select("seq_id", "_g", F.transform("rows", lambda r: r["t"]).alias("ts"), first.alias("first"), pair(*kept).alias("_at0"), pair(*turned).alias("_at1"), folded(*kept).alias("_f0"), folded(*turned).alias("_f1"))
+    along = Window.partitionBy("seq_id").orderBy("_g")
+    after = lambda f: F.coalesce(F.col("_g") > 0, F.lit(False)) & turns(F.col("first"), F.lag(f + ".at").over(along))
+    maps = folds.withColumns({"_m0": after("_f0"), "_m1": after("_f1")})
+    constant = F.col("_m0") == F.col("_m1")
+    swaps = maps.withColumn("_n", F.count_if(F.col("_m0") & ~F.col("_m1")).over(along))
+    since = F.last(F.when(constant, F.struct(F.col("_m0").cast("long").alias("m"), "_n")), ignorenulls=True).over(along)
+    chosen = swaps.withColumn("_c", since).withColumn("_o", (F.col("_c.m") + F.col("_n") - F.col("_c._n")) % 2 == 1)
+    pick = lambda name: F.when(F.col("_o"), F.col(name + "1")).otherwise(F.col(name + "0"))
+    head = F.when(F.col("_g") > 0, F.array(pick("_at"))).otherwise(F.array().cast(f"array<{both}>"))
+    way = chosen.select("seq_id", F.inline(F.arrays_zip(F.col("ts").alias("t"), F.concat(head, F.flatten(pick("_f")["ways"])).alias("w"))).alias("t", "w"))
+    return way.select("seq_id", "t", F.col("w.p.x").alias("x1"), F.col("w.p.y").alias("y1"), F.col("w.q.x").alias("x2"), F.col("w.q.y").alias("y2"))
 
 
 def activity_score(edges: DataFrame, action_class: int = 2) -> DataFrame:

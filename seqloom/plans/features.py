@@ -80,11 +80,23 @@ def f9(s, d):
     return x.select("seq_id", "device", "t", F.round(F.col("angle") / 1e6, 4).alias("angle"))
 
 
-@query("f9_orientation_track")
+TURNS = "WITH RECURSIVE " + FRAMES + ", " + SIGNAL + """, r AS (SELECT seq_id, device, t, coalesce(CAST(t AS DOUBLE) * 0.01 - lag(CAST(t AS DOUBLE) * 0.01) OVER w, 0) AS dt, value / 1000 AS gx, k / 1000 AS gy, k / 100 AS ay, CAST(9.81 AS DOUBLE) AS az, coalesce(abs(k / 100 - lag(k / 100) OVER w) < 0.005, false) AS still FROM sig WINDOW w AS (PARTITION BY seq_id, device ORDER BY t)),
+ h AS (SELECT *, 0.5 * dt * gx AS hx, 0.5 * dt * gy AS hy FROM r),
+ q AS (SELECT seq_id, device, t, CAST(1 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS z FROM h WHERE t = 0
+ UNION ALL SELECT seq_id, device, t, w / n, x / n, y / n, z / n FROM (SELECT *, sqrt(w * w + x * x + y * y + z * z) AS n FROM (SELECT h.seq_id, h.device, h.t, q.w - q.x * hx - q.y * hy AS w, q.w * hx + q.x - q.z * hy AS x, q.w * hy + q.y + q.z * hx AS y, q.z + q.x * hy - q.y * hx AS z FROM q JOIN h ON h.seq_id = q.seq_id AND h.device = q.device AND h.t = q.t + 1) a) b),
+ i AS (SELECT h.*, w, x, y, z, y * az - z * ay AS i1, w * ay - x * az AS i2, x * ay + w * az AS i3 FROM h JOIN q USING (seq_id, device, t)),
+ g AS (SELECT *, count(*) FILTER (still) OVER (PARTITION BY seq_id, device ORDER BY t) AS seg, 2 * (y * i3 - z * i2) AS wx, ay + 2 * (z * i1 - x * i3) AS wy, az - 9.81 + 2 * (x * i2 - y * i1) AS wz FROM i),
+ v AS (SELECT *, sum(CASE WHEN still THEN 0 ELSE wx * dt END) OVER s AS vx, sum(CASE WHEN still THEN 0 ELSE wy * dt END) OVER s AS vy, sum(CASE WHEN still THEN 0 ELSE wz * dt END) OVER s AS vz FROM g WINDOW s AS (PARTITION BY seq_id, device, seg ORDER BY t)),
+ p AS (SELECT *, sum(vx * dt) OVER s AS px, sum(vy * dt) OVER s AS py, sum(vz * dt) OVER s AS pz FROM v WINDOW s AS (PARTITION BY seq_id, device ORDER BY t))
+ SELECT seq_id, device, t, """ + ", ".join(f"round({a}, 6) + 0 AS {b}" for a, b in zip(["w", "x", "y", "z", "vx", "vy", "vz", "px", "py", "pz"], ["qw", "qx", "qy", "qz", "vx", "vy", "vz", "px", "py", "pz"], strict=True)) + " FROM p"
+
+
+@query("f9_orientation_track", TURNS)
 def f9b(s, d):
     x = signal(s, d)
     small = [(F.col("value") / 1000).alias("gx"), (F.col("k") / 1000).alias("gy"), F.lit(0.0).alias("gz"), F.lit(0.0).alias("ax"), (F.col("k") / 100).alias("ay"), F.lit(9.81).alias("az")]
-    return S.orientation_track(x.select("seq_id", "device", "t", (F.col("t") * 0.01).alias("s"), *small))
+    track = S.orientation_track(x.select("seq_id", "device", "t", (F.col("t") * 0.01).alias("s"), *small))
+    return track.select("seq_id", "device", "t", *[F.round(c, 6).alias(c) for c in track.columns[3:]])
 
 
 PLACES = "pl AS (SELECT seq_id, t, device AS part, CASE WHEN k > 10 THEN value END AS x, CAST(k AS DOUBLE) AS y, CAST(device AS DOUBLE) AS z FROM sig)"
@@ -173,7 +185,14 @@ def f18(s, d):
     return S.track_pairs(_hands(s, d, gaps=False))
 
 
-@query("f18_track_pairs_with_gaps")
+GAP = "coalesce(sqrt((x{0} - {1}x) ** 2 + (y{0} - {1}y) ** 2), 0)"
+TRACK = "WITH RECURSIVE " + FRAMES + ", " + HANDS + """, w AS (SELECT DISTINCT seq_id, -1 AS t, CAST(NULL AS DOUBLE) AS px, CAST(NULL AS DOUBLE) AS py, CAST(NULL AS DOUBLE) AS qx, CAST(NULL AS DOUBLE) AS qy FROM hands
+ UNION ALL SELECT seq_id, t, CASE WHEN f THEN coalesce(x2, px) ELSE coalesce(x1, px) END, CASE WHEN f THEN coalesce(y2, py) ELSE coalesce(y1, py) END, CASE WHEN f THEN coalesce(x1, qx) ELSE coalesce(x2, qx) END, CASE WHEN f THEN coalesce(y1, qy) ELSE coalesce(y2, qy) END
+ FROM (SELECT h.*, px, py, qx, qy, """ + f"{GAP.format(1, 'q')} + {GAP.format(2, 'p')} < {GAP.format(1, 'p')} + {GAP.format(2, 'q')}" + """ AS f FROM w JOIN hands h ON h.seq_id = w.seq_id AND h.t = w.t + 1) z)
+ SELECT seq_id, t, px AS x1, py AS y1, qx AS x2, qy AS y2 FROM w WHERE t >= 0"""
+
+
+@query("f18_track_pairs_with_gaps", TRACK)
 def f18b(s, d):
     return S.track_pairs_with_gaps(_hands(s, d))
 

@@ -28,6 +28,53 @@ def a1(s, d):
     return readers.read_detections(s, _text_file(table(s, d, "lineitem").select(F.concat_ws(",", F.col("l_orderkey").cast("string"), number("l_quantity"), y1, number("l_discount"), y2))))
 
 
+@query("a3_read_json_annotations", "SELECT 'n' || c_nationkey || '/' || c_custkey || '_' || lower(c_mktsegment) || '_lab' AS name, 'n' || c_nationkey AS furniture, CAST(c_custkey AS VARCHAR) AS person, lower(c_mktsegment) AS color, 'lab' AS place, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS ann_id, CAST(o_orderkey AS INTEGER) AS start, CAST(o_orderkey + 5 AS INTEGER) AS \"end\", o_orderpriority AS event FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 10 <> 3")
+def a3(s, d):
+    """The orders of a customer as one document a line; every tenth customer is on the list of ignored names."""
+    c, o = table(s, d, "customer"), table(s, d, "orders")
+    name = F.concat(F.lit("n"), "c_nationkey", F.lit("/"), "c_custkey", F.lit("_"), F.lower("c_mktsegment"), F.lit("_lab"))
+    entry = F.struct("o_orderkey", F.col("o_orderpriority").alias("label"), F.array(F.col("o_orderkey").cast("int"), (F.col("o_orderkey") + 5).cast("int")).alias("segment"))
+    held = c.join(o, F.col("c_custkey") == F.col("o_custkey")).groupBy(name.alias("name")).agg(F.array_sort(F.collect_list(entry)).alias("found"))
+    annotation = F.transform("found", lambda x: F.struct(x["label"].alias("label"), x["segment"].alias("segment")))
+    doc = F.to_json(F.struct(F.create_map("name", F.struct(F.lit("training").alias("subset"), annotation.alias("annotation"))).alias("database")))
+    ignored = c.filter("c_custkey % 10 = 3").select(name.alias("name"))
+    return readers.read_json_annotations(s, _text_file(held.select(doc)), ignored, lines=True)
+
+
+@query("a4_read_coco", "SELECT 's' || l_orderkey AS seq, CAST(l_linenumber AS INTEGER) AS t, l_returnflag AS category FROM lineitem")
+def a4(s, d):
+    """An order is a document: its lines are images, their return flags categories that all documents list."""
+    flags = ["A", "N", "R"]
+    ident = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    image = F.struct(ident.alias("id"), F.format_string("s%d_%05d.jpg", "l_orderkey", "l_linenumber").alias("file_name"))
+    kind = F.array_position(F.array(*[F.lit(m) for m in flags]), F.col("l_returnflag"))
+    docs = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(image).alias("images"), F.collect_list(F.struct(ident.alias("image_id"), kind.alias("category_id"))).alias("annotations"))
+    names = F.array(*[F.struct(F.lit(i + 1).alias("id"), F.lit(m).alias("name")) for i, m in enumerate(flags)])
+    return readers.read_coco(s, _text_file(docs.select(F.to_json(F.struct("images", names.alias("categories"), "annotations")))), lines=True)
+
+
+@query("a8_stack_poses", "SELECT 'p' || l_linestatus AS part, 'small' AS marker_size, 'cam' || l_returnflag AS camera, CAST(l_orderkey AS INTEGER) AS t, CASE WHEN l_linenumber % 3 > 0 THEN CAST(l_quantity AS DOUBLE) END AS p_x, CAST(l_discount AS DOUBLE) AS p_y, CAST(l_tax AS DOUBLE) AS p_z, 0.0 AS q_x, 0.0 AS q_y, 0.0 AS q_z, 1.0 AS q_w FROM lineitem WHERE l_linestatus IN ('F', 'O') AND l_returnflag IN ('A', 'N', 'R')")
+def a8(s, d):
+    li = table(s, d, "lineitem")
+    zero = [F.lit(x).alias(c) for c, x in (("q_x", 0.0), ("q_y", 0.0), ("q_z", 0.0), ("q_w", 1.0))]
+    root = f"{shared_folder(s)}/files-{uuid.uuid4().hex}"
+    for part in ("F", "O"):
+        for camera in ("A", "N", "R"):
+            rows = li.filter((F.col("l_linestatus") == part) & (F.col("l_returnflag") == camera))
+            p_x = F.when(F.col("l_linenumber") % 3 > 0, F.col("l_quantity").cast("double").cast("string")).otherwise("NaN")
+            exports.write_csv(rows.select(F.col("l_orderkey").alias("t"), p_x.alias("p_x"), F.col("l_discount").alias("p_y"), F.col("l_tax").alias("p_z"), *zero), f"{root}/p{part}/small/cam{camera}.csv")
+    return readers.stack_poses(s, f"{root}/*/*/*.csv")
+
+
+@query("g23_part_models", "SELECT DISTINCT 'm' || (l_suppkey % 4) AS model, 'p' || l_partkey AS part, CAST(l_partkey % 5 AS INTEGER) AS bin FROM lineitem")
+def g23(s, d):
+    """A part's suppliers as its product models."""
+    models = F.collect_set(F.concat(F.lit("m"), F.col("l_suppkey") % 4)).alias("models")
+    parts = table(s, d, "lineitem").groupBy("l_partkey").agg(models)
+    doc = F.to_json(F.struct(F.concat(F.lit("p"), "l_partkey").alias("part"), (F.col("l_partkey") % 5 + 1).alias("bin"), "models"))
+    return readers.part_models(readers.read_part_map(s, _text_file(parts.select(doc))))
+
+
 @query("a5_read_split_labels", "SELECT 'c' || o_custkey AS video_id, CAST(left(o_orderpriority, 1) AS INTEGER) AS action_id, o_orderpriority AS action_name, CAST(o_orderkey AS VARCHAR) AS start_frame, CAST(o_orderkey + 5 AS VARCHAR) AS end_frame, CASE o_orderkey % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'train' ELSE 'val' END AS split FROM orders")
 def a5(s, d):
     o = table(s, d, "orders")

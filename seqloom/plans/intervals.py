@@ -66,6 +66,14 @@ def d7(s, d):
     return S.reduce_over_segments(S.segment_ids(frames(s, d)), F.round(F.avg("score"), 6).alias("mean_score"), F.max("k").alias("max_k"), F.count("*").alias("n"))
 
 
+@query("d7_reduce_with_callables", runs_of("label") + "SELECT seq_id, seg_id, max(k) AS max_k, round(max(score) - min(score), 6) AS spread, arg_max(k, t) - arg_min(k, t) AS drift FROM numbered GROUP BY 1, 2")
+def d7_callables(s, d):
+    """Two reductions written in Python, the second one depending on the order of frames, beside a built-in one."""
+    spread, drift = lambda x: x.max() - x.min(), lambda k: k[-1] - k[0]
+    x = S.reduce_with(S.segment_ids(frames(s, d)), {"spread": (spread, ["score"]), "drift": (drift, ["k"])}, F.max("k").alias("max_k"))
+    return x.select("seq_id", "seg_id", "max_k", F.round("spread", 6).alias("spread"), F.col("drift").cast("int").alias("drift"))
+
+
 MEANS = "means AS (SELECT seq_id, t, CASE WHEN x = 1 THEN avg(k) OVER (PARTITION BY seq_id, seg_id) ELSE 0 END AS mean FROM numbered)"
 
 

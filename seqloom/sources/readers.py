@@ -27,9 +27,12 @@ def read_action_labels(spark: SparkSession, path: str, vocab: DataFrame | None =
 ANNOTATION = "database MAP<STRING, STRUCT<subset: STRING, annotation: ARRAY<STRUCT<label: STRING, segment: ARRAY<INT>>>>>"
 
 
-def read_json_annotations(spark: SparkSession, path: str, ignored: DataFrame | None = None) -> DataFrame:
-    """(name, furniture, person, color, place, ann_id, start, end, event): annotations keyed by sequence name ``furniture/person_color_place...``."""
-    raw = spark.read.schema(ANNOTATION).option("multiLine", True).json(path)
+def read_json_annotations(spark: SparkSession, path: str, ignored: DataFrame | None = None, lines: bool = False) -> DataFrame:
+    """(name, furniture, person, color, place, ann_id, start, end, event): annotations keyed by sequence name ``furniture/person_color_place...``.
+
+    A file is one document, which one task reads; with ``lines`` every line is one, and files are split among tasks.
+    """
+    raw = spark.read.schema(ANNOTATION).option("multiLine", not lines).json(path)
     seqs = raw.select(F.explode("database").alias("name", "entry"))
     if ignored is not None:
         seqs = seqs.join(ignored.select("name"), "name", "left_anti")
@@ -41,11 +44,14 @@ def read_json_annotations(spark: SparkSession, path: str, ignored: DataFrame | N
 COCO = "images ARRAY<STRUCT<id: BIGINT, file_name: STRING>>, categories ARRAY<STRUCT<id: BIGINT, name: STRING>>, annotations ARRAY<STRUCT<image_id: BIGINT, category_id: BIGINT>>"
 
 
-def read_coco(spark: SparkSession, path: str, pattern: str = r"^(.+)_(\d+)\.\w+$") -> DataFrame:
-    """(seq, t, category) of every object annotation; sequence and frame are read from the image's name."""
-    raw = spark.read.schema(COCO).option("multiLine", True).json(path)
-    images = raw.select(F.inline("images")).select(F.col("id").alias("image_id"), "file_name")
-    names = raw.select(F.inline("categories")).select(F.col("id").alias("category_id"), F.col("name").alias("category"))
+def read_coco(spark: SparkSession, path: str, pattern: str = r"^(.+)_(\d+)\.\w+$", lines: bool = False) -> DataFrame:
+    """(seq, t, category) of every object annotation; sequence and frame are read from the image's name.
+
+    Documents share one set of ids: an image or category that several of them list counts once. ``lines`` as in ``read_json_annotations``.
+    """
+    raw = spark.read.schema(COCO).option("multiLine", not lines).json(path)
+    images = raw.select(F.inline("images")).select(F.col("id").alias("image_id"), "file_name").distinct()
+    names = raw.select(F.inline("categories")).select(F.col("id").alias("category_id"), F.col("name").alias("category")).distinct()
     tied = raw.select(F.inline("annotations")).join(images, "image_id").join(names, "category_id")
     return tied.select(F.regexp_extract("file_name", pattern, 1).alias("seq"), F.regexp_extract("file_name", pattern, 2).cast("int").alias("t"), "category")
 
@@ -70,13 +76,24 @@ def read_marker_bundles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stack_poses(spark: SparkSession, path: str) -> DataFrame:
-    """(part, marker_size, camera, t, pose columns) from a tree part/size/camera.csv: long, one row a reading."""
+    """(part, marker_size, camera, t, pose columns) from a tree part/size/camera.csv, a file or a folder of files each: long, one row a reading."""
     schema = "t int, p_x double, p_y double, p_z double, q_x double, q_y double, q_z double, q_w double"
     rows = spark.read.schema(schema).option("header", True).csv(path).withColumn("_f", F.col("_metadata.file_path"))
-    at = lambda i: F.regexp_extract("_f", r"([^/]+)/([^/]+)/([^/.]+)\.csv$", i)
+    at = lambda i: F.regexp_extract("_f", r"([^/]+)/([^/]+)/([^/.]+)\.csv(?:/[^/]+)?$", i)
     return null_if_nan(rows.select(at(1).alias("part"), at(2).alias("marker_size"), at(3).alias("camera"), "t", "p_x", "p_y", "p_z", "q_x", "q_y", "q_z", "q_w"))
 
 
 def load_part_map(spark: SparkSession, entries: dict[str, tuple[int, list[str]]]) -> DataFrame:
     """(part, bin, models) from a mapping of part to bin (counted from 1) and product models."""
     return spark.createDataFrame([(p, b - 1, m) for p, (b, m) in entries.items()], "part string, bin int, models array<string>")
+
+
+def read_part_map(spark: SparkSession, path: str) -> DataFrame:
+    """(part, bin, models) from lines of JSON, a part each: its bin, counted from 1 there and from 0 here, and its product models."""
+    raw = spark.read.schema("part string, bin int, models array<string>").json(path)
+    return raw.select("part", (F.col("bin") - 1).alias("bin"), "models")
+
+
+def part_models(parts: DataFrame) -> DataFrame:
+    """(model, part, bin): the parts of each product model, from (part, bin, models)."""
+    return parts.select(F.explode("models").alias("model"), "part", "bin").distinct()

@@ -5,10 +5,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import arrays as X
-from seqloom.operators import align, clips, counts, decode, labels, metrics, segments, signals, states
+from seqloom.operators import align, clips, counts, decode, labels, metrics, relations, segments, signals, states
 
 
 def frames(spark, values, name="label", seq=1):
@@ -88,6 +89,75 @@ def test_track_pairs_agrees_with_sequential_form(spark):
     assert [tuple(r) for r in a] == [tuple(r) for r in b]
 
 
+def test_orientation_sample_by_sample(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for device, n in ((0, 50), (1, 1), (2, 9)):
+        q, v, x, before = np.array([1.0, 0, 0, 0]), np.zeros(3), np.zeros(3), None
+        for i in range(n):
+            s, w = 0.05 * i, rng.normal(size=3)
+            a = before if i % 7 == 3 else rng.normal(size=3)
+            rows.append((1, device, 3 * i, s, *map(float, w), *map(float, a)))
+            dt = 0.05 if i else 0.0
+            h = 0.5 * dt * w
+            q = np.array([q[0] - q[1:] @ h, *(q[0] * h + q[1:] + np.cross(q[1:], h))])
+            q /= np.linalg.norm(q)
+            world = a + 2 * np.cross(q[1:], np.cross(q[1:], a) + q[0] * a) - np.array([0, 0, 9.81])
+            v = np.zeros(3) if i and np.abs(a - before).max() < 0.005 else v + world * dt
+            x, before = x + v * dt, a
+            want[device, 3 * i] = [*q, *v, *x]
+    df = spark.createDataFrame(rows, "seq_id long, device int, t int, s double, gx double, gy double, gz double, ax double, ay double, az double").repartition(3)
+    for block in (4, 256):
+        out = signals.orientation_track(df, block=block)
+        got = {(r.device, r.t): list(r[3:]) for r in out.collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+    gap = signals.orientation_track(df.withColumn("gx", F.when(F.col("t") != 12, F.col("gx"))), block=4).filter("device = 0").orderBy("t").collect()
+    assert all((r.qw is None) == (r.t >= 12) for r in gap)
+    assert signals.orientation_track(df.limit(0)).count() == 0
+
+
+def test_python_reductions_beside_aggregates(spark):
+    rows = [(1, 0, t, v) for t, v in ((2, 5.0), (0, None), (1, 1.0))] + [(1, 1, 3, None), (2, 0, 0, 4.0)]
+    df = spark.createDataFrame(rows, "seq_id long, seg_id int, t int, v double").repartition(3)
+    out = segments.reduce_with(df, {"last": (lambda v: v[-1], ["v"]), "gaps": (lambda v: np.isnan(v).sum(), ["v"])}, F.count("*").alias("n"))
+    assert {tuple(r) for r in out.select("seq_id", "seg_id", "n", "last", "gaps").collect()} == {(1, 0, 3, 5.0, 1.0), (1, 1, 1, None, 1.0), (2, 0, 1, 4.0, 0.0)}
+    assert segments.reduce_with(df.limit(0), {"last": (lambda v: v[-1], ["v"])}).count() == 0
+    with pytest.raises(Exception, match="too long for a Python reduction"):
+        segments.reduce_with(df, {"last": (lambda v: v[-1], ["v"])}, most_rows=2).collect()
+
+
+def test_track_pairs_with_gaps_frame_by_frame(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for seq, (n, p) in enumerate([(60, 0.2), (60, 0.6), (40, 0.97), (40, 0.0), (1, 0.0), (1, 1.0), (30, 0.5)]):
+        for t in range(n):
+            a, b = [None if rng.random() < p else (float(rng.integers(0, 4)), float(rng.integers(0, 4))) for _ in range(2)]
+            rows.append((seq, 2 * t, *(a or (None, None)), *(b or (float("nan"), 1.0))))
+    h = spark.createDataFrame(rows, "seq_id long, t int, x1 double, y1 double, x2 double, y2 double")
+    want, last = {}, {}
+    for seq, t, *v in rows:
+        now = [None if x is None or x != x else (x, y) for x, y in (v[:2], v[2:])]
+        before = last.get(seq, [None, None])
+        cost = lambda u, w: 0.0 if u is None or w is None else float(np.sqrt((u[0] - w[0]) ** 2 + (u[1] - w[1]) ** 2))
+        if cost(now[0], before[1]) + cost(now[1], before[0]) < cost(now[0], before[0]) + cost(now[1], before[1]):
+            now = now[::-1]
+        last[seq] = [w if u is None else u for u, w in zip(now, before, strict=True)]
+        want[seq, t] = tuple(x for p in last[seq] for x in (p or (None, None)))
+    for block in (3, 256):
+        out = signals.track_pairs_with_gaps(h, block)
+        assert {(r.seq_id, r.t): (r.x1, r.y1, r.x2, r.y2) for r in out.collect()} == want
+    assert "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_one_block_transitions_by_pairs(spark):
+    rng = np.random.default_rng(6)
+    sets = {tuple(sorted(rng.choice(12, rng.integers(0, 7), replace=False).tolist())) for _ in range(150)} | {(), tuple(range(0, 90, 3)), tuple(range(0, 87, 3)), (3,)}
+    states_ = spark.createDataFrame([(str(x), list(x)) for x in sets], "state_id string, parts array<int>")
+    out = {(r.src, r.dst) for r in relations.one_block_transitions(states_, 3).collect()}
+    want = {(str(a), str(b)) for a in sets for b in sets if set(a) < set(b) and len({x % 3 for x in set(b) - set(a)}) == 1}
+    assert out == want
+
+
 def test_assembly_states(spark):
     a = spark.createDataFrame([(1, 0, 7, 1), (1, 1, 8, 1), (1, 2, 7, -1)], "seq_id long, step int, part int, op int")
     assert [r.state for r in states.assembly_states(a).orderBy("step").collect()] == [[7], [7, 8], [8]]

@@ -31,6 +31,16 @@ def test_coco(spark, tmp_path):
     assert [tuple(r) for r in readers.read_coco(spark, str(tmp_path / "c.json")).collect()] == [("0003", 17, "bolt")]
 
 
+def test_documents_by_line(spark, tmp_path):
+    doc = lambda i: json.dumps({"images": [{"id": i, "file_name": f"s{i}_0004.png"}], "categories": [{"id": 1, "name": "nut"}], "annotations": [{"image_id": i, "category_id": 1}] * 2})
+    (tmp_path / "c.json").write_text(doc(1) + "\n" + doc(2) + "\n")
+    assert sorted(tuple(r) for r in readers.read_coco(spark, str(tmp_path / "c.json"), lines=True).collect()) == [("s1", 4, "nut")] * 2 + [("s2", 4, "nut")] * 2
+    (tmp_path / "p.json").write_text('{"part": "nose", "bin": 1, "models": ["a", "b", "a"]}\n{"part": "tail", "bin": 4, "models": []}\n')
+    parts = readers.read_part_map(spark, str(tmp_path / "p.json"))
+    assert {r.part: r.bin for r in parts.collect()} == {"nose": 0, "tail": 3}
+    assert {tuple(r) for r in readers.part_models(parts).collect()} == {("a", "nose", 0), ("b", "nose", 0)}
+
+
 def test_split_labels(spark, tmp_path):
     head = "video_id,action_id,action_name,start_frame,end_frame\n"
     (tmp_path / "a.csv").write_text(head + "v1,0,take,5,9\n")

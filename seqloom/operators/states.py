@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from seqloom.functions.graphs import components
 from seqloom.functions.tables import numbered
-from seqloom.storage import stored
+from seqloom.storage import discard, stored
 
 
 def build_vocab(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -156,20 +156,61 @@ def connected_mask(intervals: DataFrame, joints: DataFrame) -> DataFrame:
     return intervals.join(touched, "state_id").select("seq_id", "start", "end", "device")
 
 
-def propagate_poses(roots: DataFrame, joints: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(state_id, part, x, y, z) from root parts along joints (state_id, parent, child, dx, dy, dz), a level a round."""
-    frontier = stored(roots.select("state_id", "part", "x", "y", "z"))
-    seen = frontier
+def propagate_poses(roots: DataFrame, joints: DataFrame, max_rounds: int = 64, tolerance: float = 1e-9) -> DataFrame:
+    """(state_id, part, x, y, z) from root parts along joints (state_id, parent, child, dx, dy, dz); parts that no root reaches are left out.
+
+    Every part that waits for a place points at one parent, a placed one if it has any. Pointers then jump to the pointer's
+    pointer and add up their offsets, so a chain of n joints takes about log n rounds; when no more of them end at a placed
+    part, those that do are placed. Only parts that had pointed at an unreachable parent take another pass. At the end
+    all joints are held against the places: one that puts a placed part elsewhere, by more than ``tolerance``, is a ValueError, and
+    so is a root with two places. Tables of earlier rounds are deleted.
+    """
+    moves = ["dx", "dy", "dz"]
+    placed = stored(roots.select("state_id", "part", "x", "y", "z").distinct())
+    if placed.groupBy("state_id", "part").count().filter("count > 1").head(1):
+        raise ValueError("a root has two places")
+    known = stored(joints.select("state_id", "parent", "child", *moves).dropna().distinct())
     for _ in range(max_rounds):
-        moved = frontier.join(joints, (frontier["state_id"] == joints["state_id"]) & (frontier["part"] == joints["parent"]))
-        placed = moved.select(frontier["state_id"], F.col("child").alias("part"), *[(F.col(c) + F.col("d" + c)).alias(c) for c in "xyz"])
-        if placed.groupBy("state_id", "part").agg(F.count_distinct("x", "y", "z").alias("n")).filter("n > 1").head(1):
-            raise ValueError("two joints place a part differently")
-        frontier = stored(placed.distinct().join(seen.select("state_id", "part"), ["state_id", "part"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = stored(seen.unionByName(frontier))
-    raise RuntimeError("poses did not settle")
+        at = placed.select("state_id", "part", F.lit(True).alias("rooted"))
+        waiting = known.filter("parent <> child").join(at.select("state_id", F.col("part").alias("child")), ["state_id", "child"], "left_anti")
+        ends = waiting.join(at.withColumnRenamed("part", "parent"), ["state_id", "parent"], "left").withColumn("rooted", F.coalesce("rooted", F.lit(False)))
+        one = F.min(F.struct(~F.col("rooted"), F.col("parent").alias("ptr"), *moves, "rooted")).alias("_j")
+        links = stored(ends.groupBy("state_id", F.col("child").alias("part")).agg(one).select("state_id", "part", "_j.ptr", *[f"_j.{c}" for c in moves], "_j.rooted"))
+        settled = links.filter("rooted").count()
+        if settled == 0:
+            discard(links)
+            break
+        links, settled = _jumped(links, settled, moves)
+        base = placed.select("state_id", F.col("part").alias("ptr"), "x", "y", "z")
+        found = links.filter("rooted").join(base, ["state_id", "ptr"]).select("state_id", "part", *[(F.col(c) + F.col("d" + c)).alias(c) for c in "xyz"])
+        more = stored(placed.unionByName(found))
+        discard(placed)
+        discard(links)
+        placed = more
+    else:
+        raise RuntimeError("poses did not settle")
+    parent = placed.select("state_id", F.col("part").alias("parent"), *[F.col(c).alias("_" + c) for c in "xyz"])
+    child = placed.select("state_id", F.col("part").alias("child"), "x", "y", "z")
+    off = F.greatest(*[F.abs(F.col("_" + c) + F.col("d" + c) - F.col(c)) for c in "xyz"])
+    if known.join(parent, ["state_id", "parent"]).join(child, ["state_id", "child"]).filter(off > tolerance).head(1):
+        raise ValueError("two joints place a part differently")
+    discard(known)
+    return placed
+
+
+def _jumped(links: DataFrame, settled: int, moves: list[str]) -> tuple[DataFrame, int]:
+    """Pointers (state_id, part, ptr, offsets, rooted) moved on by doubling until no more of them end at a placed part; each distance
+    up to the longest has a part, so a round that settles none is the last."""
+    while True:
+        step = links.select("state_id", F.col("part").alias("ptr"), F.col("ptr").alias("_ptr"), *[F.col(c).alias("_" + c) for c in moves], F.col("rooted").alias("_rooted"))
+        added = [(F.col(c) + F.coalesce(F.col("_" + c), F.lit(0.0))).alias(c) for c in moves]
+        on = links.join(step, ["state_id", "ptr"], "left")
+        new = stored(on.select("state_id", "part", F.coalesce("_ptr", "ptr").alias("ptr"), *added, F.coalesce("_rooted", "rooted").alias("rooted")))
+        discard(links)
+        now = new.filter("rooted").count()
+        if now == settled:
+            return new, now
+        links, settled = new, now
 
 
 def branch_states(actions: DataFrame, classes: DataFrame, steps: int | None = None) -> DataFrame:

@@ -116,6 +116,42 @@ def test_orientation_sample_by_sample(spark):
     assert signals.orientation_track(df.limit(0)).count() == 0
 
 
+def test_poses_of_a_long_chain_in_few_rounds(spark, monkeypatch):
+    n, written = 10_000, []
+    keep = states.stored
+    monkeypatch.setattr(states, "stored", lambda df: written.append(1) or keep(df))
+    ids = spark.range(n).select(F.lit(1).alias("state_id"), F.xxhash64("id").alias("parent"), F.xxhash64(F.col("id") + 1).alias("child"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(-2.0).alias("dz"))
+    root = spark.range(1).select(F.lit(1).alias("state_id"), F.xxhash64("id").alias("part"), *[F.lit(0.0).alias(c) for c in "xyz"])
+    out = states.propagate_poses(root, ids)
+    r = out.agg(F.count("*").alias("n"), F.max("x").alias("x"), F.sum("z").alias("z")).first()
+    assert (r.n, r.x, r.z) == (n + 1, float(n), -float(n * (n + 1))) and len(written) <= 20
+
+
+def test_poses_by_levels(spark):
+    rng = np.random.default_rng(9)
+    joints, roots, want = [], [], {}
+    for state in range(12):
+        spot = {p: tuple(map(float, rng.integers(-5, 5, 3))) for p in range(14)}
+        pairs = [(int(a), int(b)) for a, b in rng.integers(0, 14, (14, 2))]
+        joints += [(state, a, b, *(v - u for u, v in zip(spot[a], spot[b], strict=True))) for a, b in pairs]
+        first = [p for p in (0, 5) if state]
+        roots += [(state, p, *spot[p]) for p in first]
+        reached, todo = set(first), list(first)
+        while todo:
+            a = todo.pop()
+            new = {b for u, b in pairs if u == a} - reached
+            reached |= new
+            todo += new
+        want |= {(state, p): spot[p] for p in reached}
+    j = spark.createDataFrame(joints, "state_id int, parent int, child int, dx double, dy double, dz double")
+    r = spark.createDataFrame(roots, "state_id int, part int, x double, y double, z double")
+    assert {(x.state_id, x.part): (x.x, x.y, x.z) for x in states.propagate_poses(r, j).collect()} == want
+    assert states.propagate_poses(r, j.limit(0)).count() == len(roots)
+    odd = spark.createDataFrame([(1, 0, 20, 1.0, 0.0, 0.0), (1, 0, 20, 2.0, 0.0, 0.0)], j.schema)
+    with pytest.raises(ValueError, match="differently"):
+        states.propagate_poses(r, odd)
+
+
 def test_python_reductions_beside_aggregates(spark):
     rows = [(1, 0, t, v) for t, v in ((2, 5.0), (0, None), (1, 1.0))] + [(1, 1, 3, None), (2, 0, 0, 4.0)]
     df = spark.createDataFrame(rows, "seq_id long, seg_id int, t int, v double").repartition(3)

@@ -132,9 +132,8 @@ def expand_event_rules(rules: DataFrame, categories: DataFrame) -> DataFrame:
 
 def state_connections(states: DataFrame) -> DataFrame:
     """(state_id, joint, connected): 1 where a state has a joint, 0 for the other joints of the vocabulary."""
-    joints = states.select(F.explode("parts").alias("joint")).distinct().agg(F.collect_set("joint").alias("_all"))
-    full = states.join(F.broadcast(joints)).select("state_id", "parts", F.explode("_all").alias("joint"))  # one row
-    return full.select("state_id", "joint", F.array_contains("parts", F.col("joint")).cast("int").alias("connected"))
+    joints = states.select(F.explode("parts").alias("joint")).distinct()
+    return beside(states.select("state_id", "parts"), joints).select("state_id", "joint", F.array_contains("parts", F.col("joint")).cast("int").alias("connected"))
 
 
 def event_state_scores(modes: DataFrame, connections: DataFrame, moves: DataFrame) -> DataFrame:

@@ -527,6 +527,31 @@ def test_url_models_against_recursion(spark, context, least):
     assert got == {i: pytest.approx(ratio(u)) for i, u in enumerate(asked)}
 
 
+def random_urls(rng, starts, each, length):
+    marks = list("abcdefghijklmnopqrstuvwxyz0/.-_=&%:")
+    return [start + "".join(rng.choice(marks, length)) for start in starts for _ in range(each)]
+
+
+def test_url_models_lose_no_gram(spark):
+    rng = np.random.default_rng(7)
+    urls = [(u, int("x.org" in u)) for u in random_urls(rng, ("http://x.org/", "http://a.com/de/"), 20, 1500)]
+    asked = [urls[0][0][700:711], urls[-1][0][700:708] + "q", urls[0][0][40:44] + urls[-1][0][60:65]]
+    ratio, _, n_grams = plain_url_model(urls, 5, 1)
+    assert n_grams > 200_000
+    rows = list(enumerate([*(u for u, _ in urls), *asked]))
+    out = filter_urls(spark.createDataFrame(rows, "page_id long, url string"), UrlParams(folds=2**31 - 1)).filter("rule is null").collect()
+    assert {r.page_id - len(urls): r.ratio for r in out} == {i: pytest.approx(ratio(u)) for i, u in enumerate(asked)}
+
+
+@pytest.mark.parametrize("most", [0, 60])
+def test_url_grams_by_shuffle_as_by_broadcast(spark, most):
+    rng = np.random.default_rng(8)
+    urls = random_urls(rng, ("http://x.org/", "http://a.com/de/", "http://q.net/", "http://q.net/fr/"), 30, 20)
+    df = spark.createDataFrame(list(enumerate([*urls, *urls[:70], None, "", "x"])), "page_id long, url string")
+    whole, dealt = ({r.page_id: r for r in filter_urls(df, p).collect()} for p in (UrlParams(), UrlParams(broadcast_grams=most)))
+    assert len(whole) == len(urls) + 73 and dealt == whole
+
+
 # 8
 
 

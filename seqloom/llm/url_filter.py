@@ -153,15 +153,14 @@ def language_models(labelled: DataFrame, p: UrlParams = UrlParams()) -> tuple[di
 def _gram_ratios(asked: DataFrame, model: tuple[dict[int, DataFrame], dict[int, DataFrame], float], p: UrlParams) -> DataFrame:
     """Adds ratio, what the last character of the n-gram adds, to ``asked``, whose gram are different longest n-grams."""
     grams, backs, empty = model
-    ctx = F.substring("gram", 1, p.context)
-    ratio = F.lit(empty)
+    asked = asked.withColumn("ratio", F.lit(empty))
     for k in range(p.context + 1):
         if k:
-            asked = asked.join(backs[k].select(F.col("ctx").alias(f"c{k}"), F.col("back").alias(f"b{k}")), F.right(ctx, F.lit(k)) == F.col(f"c{k}"), "left")
-            ratio = F.coalesce(f"b{k}", F.lit(0.0)) + ratio
-        asked = asked.join(grams[k].select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"r{k}")), F.right("gram", F.lit(k + 1)) == F.col(f"g{k}"), "left")
-        ratio = F.coalesce(F.col(f"r{k}"), ratio)
-    return asked.select("gram", "spots", ratio.cast("decimal(18,15)").alias("ratio"))
+            side = backs[k].select(F.col("ctx").alias("of"), "back")
+            asked = asked.join(side, F.substring("gram", p.context - k + 1, k) == F.col("of"), "left").withColumn("ratio", F.coalesce("back", F.lit(0.0)) + F.col("ratio"))
+        side = grams[k].select(F.col("gram").alias("end"), F.col("ratio").alias("known"))
+        asked = asked.select("gram", "spots", "ratio").join(side, F.right("gram", F.lit(k + 1)) == F.col("end"), "left").select("gram", "spots", F.coalesce("known", "ratio").alias("ratio"))
+    return asked.withColumn("ratio", F.col("ratio").cast("decimal(18,15)"))
 
 
 def _ratios(rows: DataFrame, model: tuple[dict[int, DataFrame], dict[int, DataFrame], float], p: UrlParams) -> DataFrame:

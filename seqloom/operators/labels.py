@@ -51,10 +51,13 @@ def action_mask(frames: DataFrame, actions: DataFrame, most_code: int = 7) -> Da
 
 
 def activity_phase(frames: DataFrame, actions: DataFrame, most_code: int = 7) -> DataFrame:
-    """``frames`` with ``phase``: 0 before the first action, 1 during, 2 after the last; tags don't count."""
+    """``frames`` with ``phase``: 0 before the first action, 1 during, 2 after the last; tags don't count.
+
+    Frames are often made by an explode, which Spark's size estimates don't see, so the join is never left to a broadcast.
+    """
     span = actions.filter(F.col("action") <= most_code).groupBy("seq_id").agg(F.min_by("start", "ann_id").alias("_s"), F.max_by("end", "ann_id").alias("_e"))
     phase = F.when(F.col("t") < F.col("_s"), 0).when(F.col("t") > F.col("_e"), 2).otherwise(1)
-    return frames.join(span, "seq_id").withColumn("phase", phase).drop("_s", "_e")
+    return frames.hint("merge").join(span, "seq_id").withColumn("phase", phase).drop("_s", "_e")
 
 
 def bin_labels(frames: DataFrame, actions: DataFrame, bins: DataFrame, part: str = "part", null_bin: int = 0) -> DataFrame:

@@ -457,3 +457,22 @@ def test_frame_scores_equal_brute_force(spark):
             assert best[at].state_id == min(s, key=lambda k: (-s[k], k)) and best[at].s == max(s.values()) and abs(best[at].log_prob - max(s.values()) + norm) < 1e-9
     assert FrameScores(features.limit(0), table).all().count() == 0
     assert FrameScores(features, table.limit(0)).all().count() == FrameScores(features, table.limit(0)).best().count() == 0
+
+
+def _exploded(spark):
+    """Five sequences of 300 frames each, whose table Spark estimates at the size of five rows."""
+    ends = spark.range(5).groupBy(F.col("id").alias("seq_id")).agg(F.lit(299).alias("n"))
+    return ends.select("seq_id", F.explode(F.sequence(F.lit(0), "n")).alias("t"))
+
+
+def _broadcasts(df):
+    """The plan that ran has a broadcast."""
+    return "BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_frames_are_not_broadcast_for_phases(spark):
+    actions = spark.createDataFrame([(0, 1, 10, 20, 1), (0, 2, 30, 40, 7), (1, 3, 5, 6, 0), (2, 4, 0, 1, 8)], "seq_id long, ann_id long, start int, end int, action int")
+    out = labels.activity_phase(_exploded(spark), actions)
+    got = {(r.seq_id, r.t): r.phase for r in out.collect()}
+    assert got == {(s, t): 0 if t < a else 2 if t > b else 1 for s, a, b in ((0, 10, 40), (1, 5, 6)) for t in range(300)}
+    assert not _broadcasts(out)

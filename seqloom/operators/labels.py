@@ -120,12 +120,16 @@ def expand_pairs(pairs: DataFrame, holes: DataFrame, both: bool = False) -> Data
 
 
 def until_first_touch(frames: DataFrame, actions: DataFrame, items: DataFrame, most_code: int = 1) -> DataFrame:
-    """(seq_id, t, item, in_basket): 1 until the first action touching an item begins; untouched items stay 1."""
+    """(seq_id, t, item, in_basket): 1 until the first action touching an item begins; untouched items stay 1.
+
+    Items get their first touch before they meet the frames, which are neither broadcast (see ``activity_phase``) nor shuffled once more with their items.
+    """
     touched = actions.filter(F.col("action") <= most_code).select("seq_id", "ann_id", "start", F.explode(F.array("object", "target")).alias("item")).filter("item is not null")
     first = touched.groupBy("seq_id", "item").agg(F.min_by("start", "ann_id").alias("_first"))
-    grid = frames.select("seq_id", "t").join(items.select("seq_id", "item").distinct(), "seq_id")
+    wanted = items.select("seq_id", "item").distinct().join(first, ["seq_id", "item"], "left")
+    grid = frames.select("seq_id", "t").hint("merge").join(wanted, "seq_id")
     flag = F.when(F.col("_first").isNull() | (F.col("t") < F.col("_first")), 1).otherwise(0)
-    return grid.join(first, ["seq_id", "item"], "left").select("seq_id", "t", "item", flag.alias("in_basket"))
+    return grid.select("seq_id", "t", "item", flag.alias("in_basket"))
 
 
 def resting_devices(devices: DataFrame, actions: DataFrame) -> DataFrame:

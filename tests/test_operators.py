@@ -461,13 +461,19 @@ def test_frame_scores_equal_brute_force(spark):
 
 def _exploded(spark):
     """Five sequences of 300 frames each, whose table Spark estimates at the size of five rows."""
-    ends = spark.range(5).groupBy(F.col("id").alias("seq_id")).agg(F.lit(299).alias("n"))
+    ends = spark.range(5).groupBy(F.col("id").alias("seq_id")).agg((F.max("id") * 0 + 299).cast("int").alias("n"))
     return ends.select("seq_id", F.explode(F.sequence(F.lit(0), "n")).alias("t"))
 
 
-def _broadcasts(df):
-    """The plan that ran has a broadcast."""
-    return "BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString()
+def _broadcasts_frames(df):
+    """The plan that ran has the explode of the frames below a broadcast."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i in (i for i, x in enumerate(lines) if "BroadcastExchange" in x):
+        below = itertools.takewhile(lambda j: depth[j] > depth[i], range(i + 1, len(lines)))
+        if any("Generate explode(sequence" in lines[j] for j in below):
+            return True
+    return False
 
 
 def test_exploded_frames_are_not_broadcast_for_phases(spark):
@@ -475,4 +481,15 @@ def test_exploded_frames_are_not_broadcast_for_phases(spark):
     out = labels.activity_phase(_exploded(spark), actions)
     got = {(r.seq_id, r.t): r.phase for r in out.collect()}
     assert got == {(s, t): 0 if t < a else 2 if t > b else 1 for s, a, b in ((0, 10, 40), (1, 5, 6)) for t in range(300)}
-    assert not _broadcasts(out)
+    assert not _broadcasts_frames(out)
+
+
+def test_exploded_frames_are_not_broadcast_for_items(spark):
+    actions = spark.createDataFrame([(0, 1, 10, 1, 3, 4), (0, 2, 5, 1, 3, None), (0, 3, 2, 7, 4, 3), (1, 4, 7, 0, 5, 6)], "seq_id long, ann_id long, start int, action int, object int, target int")
+    items = spark.createDataFrame([(0, 3), (0, 3), (0, 9), (1, 6), (1, None), (7, 1)], "seq_id long, item int")
+    out = labels.until_first_touch(_exploded(spark), actions, items)
+    rows = out.collect()
+    got = {(r.seq_id, r.item, r.t): r.in_basket for r in rows}
+    first = {(0, 3): 10, (0, 9): 300, (1, 6): 7, (1, None): 300}
+    assert len(rows) == len(got) and got == {(s, i, t): int(t < f) for (s, i), f in first.items() for t in range(300)}
+    assert not _broadcasts_frames(out)

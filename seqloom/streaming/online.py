@@ -5,6 +5,7 @@ On a stream, set a watermark first (``with_lateness``); state is dropped once it
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -14,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-NEVER = -1  # no row was folded yet
+NEVER = -1  # no row was folded yet, no timer is set
+UNNAMED = -1  # the share of rows without a sequence
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -62,68 +64,80 @@ class _InOrder(StatefulProcessor):
     Rows wait, as state of their sequence, until the watermark has passed their time; a timer then hands over all that are due. What has
     been folded so far is the rest of the state. It lasts for ``timeout`` after a row: one that comes later begins anew, and the state is
     dropped once the watermark is that far and no row waits.
+
+    Spark calls Python once for each key and batch, and each look at state or timers is a message to the JVM. So a key is a share of the
+    sequences: its state is one value, a pickled dict of its sequences, and it has one timer, for whatever is due first.
     """
 
-    def __init__(self, value: str, order: str, carried: str, begin: tuple, fold: Callable[[tuple, int, Any], tuple[tuple, tuple]], out: list[str], timeout: str) -> None:
-        self.value, self.order, self.carried, self.begin, self.fold, self.out = value, order, carried, begin, fold, out
+    def __init__(self, order: str, begin: tuple, fold: Callable[[tuple, int, Any], tuple[tuple, tuple]], out: list[str], timeout: str) -> None:
+        self.order, self.begin, self.fold, self.out = order, begin, fold, out
         self.wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("folded", f"{self.carried}, last long, at array<long>, place array<long>, waiting array<{self.value}>")
+        self.state = handle.getValueState("folded", "sequences binary, timer long")
 
-    def _get(self) -> tuple[tuple, int, list[tuple]]:
+    def _get(self) -> tuple[dict[int, list], int]:
+        """[carried, last, waiting] of each sequence of the share, and when its timer goes off."""
         found = self.state.get()
-        if found is None:
-            return self.begin, NEVER, []
-        *carried, last, at, place, waiting = found
-        return tuple(carried), last, list(zip(at, place, waiting, strict=True))
+        return ({}, NEVER) if found is None else (pickle.loads(bytes(found[0])), found[1])
 
-    def _put(self, carried: tuple, last: int, waiting: list[tuple]) -> None:
-        at, place, values = (list(x) for x in zip(*waiting, strict=True)) if waiting else ([], [], [])
-        self.state.update((*carried, last, at, place, values))
+    def _put(self, sequences: dict[int, list], timer: int) -> None:
+        if sequences:
+            self.state.update((pickle.dumps(sequences, pickle.HIGHEST_PROTOCOL), timer))
+        else:
+            self.state.clear()
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:  # noqa: N802, N803
-        self._put(tuple(_plain(initialState[c].iloc[0]) for c in initialState.columns if c != "seq_id"), NEVER, [])
+        sequences, timer = self._get()
+        carried = [c for c in initialState.columns if c not in ("share", "seq_id")]
+        for seq, *values in zip(_ids(key, initialState), *[initialState[c] for c in carried], strict=True):
+            sequences[seq] = [tuple(_plain(v) for v in values), NEVER, []]
+        self._put(sequences, timer)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        carried, last, waiting = self._get()
-        before = min((x[0] for x in waiting), default=None)
+        sequences, timer = self._get()
+        first = None
         for pdf in rows:
-            micros = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-            for us, place, value in zip(micros, pdf[self.order], pdf["value"], strict=True):
-                waiting.append((int(us), int(place), _plain(value)))
-        self._put(carried, last, waiting)
-        if before is None or min(x[0] for x in waiting) < before:
-            self._wake(waiting)
+            micros = pdf["ts"].astype("datetime64[us]").astype("int64")
+            first = micros.min() if first is None else min(first, micros.min())
+            for seq, us, place, value in zip(_ids(key, pdf), micros.tolist(), pdf[self.order].tolist(), pdf["value"], strict=True):
+                sequences.setdefault(seq, [self.begin, NEVER, []])[2].append((us, place, _plain(value)))
+        if first is not None and (timer == NEVER or -(-int(first) // 1000) < timer):
+            timer = self._wake(timer, -(-int(first) // 1000))
+        self._put(sequences, timer)
         return iter([])
 
-    def _wake(self, waiting: list[tuple]) -> None:
-        """A timer for the first row that waits; it is set anew whenever one has gone off."""
-        if waiting:
-            self.handle.registerTimer(-(-min(x[0] for x in waiting) // 1000))
+    def _wake(self, before: int, at: int) -> int:
+        """The share's timer goes off at ``at`` and no longer at ``before``."""
+        if before != NEVER:
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(at)
+        return at
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
-        carried, last, waiting = self._get()
-        due = sorted((x for x in waiting if x[0] <= now * 1000), key=lambda x: x[:2])
-        rows = []
-        for us, place, value in due:
-            if last != NEVER and us > (last + self.wait) * 1000:
-                carried = self.begin
-            last = -(-us // 1000)
-            carried, row = self.fold(carried, place, value)
-            rows.append((key[0], place, *row))
-        if due:
+        sequences, _ = self._get()
+        rows, due = [], None
+        for seq, held in list(sequences.items()):
+            carried, last, waiting = held
+            for us, place, value in sorted((x for x in waiting if x[0] <= now * 1000), key=lambda x: x[:2]):
+                if last != NEVER and us > (last + self.wait) * 1000:
+                    carried = self.begin
+                last = -(-us // 1000)
+                carried, row = self.fold(carried, place, value)
+                rows.append((seq, place, *row))
             waiting = [x for x in waiting if x[0] > now * 1000]
-            self._put(carried, last, waiting)
-            if waiting:
-                self._wake(waiting)
+            if waiting or last == NEVER or last + self.wait > now:
+                sequences[seq] = [carried, last, waiting]
+                ends = -(-min(x[0] for x in waiting) // 1000) if waiting else last + self.wait if last != NEVER else None
+                due = ends if due is None else due if ends is None else min(due, ends)
             else:
-                self.handle.registerTimer(max(last + self.wait, now + 1))
+                del sequences[seq]
+        timer = NEVER if due is None else self._wake(NEVER, max(due, now + 1))  # Spark deletes the one that has gone off
+        self._put(sequences, timer)
+        if rows:
             yield pd.DataFrame(rows, columns=self.out)
-        elif not waiting and last != NEVER and last + self.wait <= now:
-            self.state.clear()
 
     def close(self) -> None:
         pass
@@ -138,18 +152,26 @@ def _plain(x: Any) -> Any:
     return [_plain(y) for y in x] if isinstance(x, (list, tuple)) else x
 
 
-def _folded(rows: DataFrame, value: Column, kind: str, order: str, carried: str, begin: tuple, fold: Callable, out: str, timeout: str, initial: DataFrame | None) -> DataFrame:
-    keyed = rows.select("seq_id", F.col(order).cast("long").alias(order), "ts", value.alias("value")).filter(F.col(order).isNotNull() & F.col("value").isNotNull())
-    processor = _InOrder(kind, order, carried, begin, fold, [x.split()[0] for x in out.split(", ")], timeout)
-    return keyed.groupBy("seq_id").transformWithStateInPandas(processor, out, "Append", "EventTime", None if initial is None else initial.groupBy("seq_id"))
+def _ids(key: tuple, pdf: pd.DataFrame) -> list[int | None]:
+    """The sequences of a share's rows; those without an id are a sequence, and a share of their own."""
+    return [None] * len(pdf) if key[0] == UNNAMED else pdf["seq_id"].tolist()
+
+
+def _folded(rows: DataFrame, value: Column, order: str, begin: tuple, fold: Callable, out: str, timeout: str, initial: DataFrame | None, shares: int) -> DataFrame:
+    seq = F.col("seq_id").cast("long")
+    share = F.when(seq.isNull(), UNNAMED).otherwise(F.pmod(F.xxhash64(seq), F.lit(shares))).cast("int").alias("share")
+    keyed = rows.select(share, seq.alias("seq_id"), F.col(order).cast("long").alias(order), "ts", value.alias("value")).filter(F.col(order).isNotNull() & F.col("value").isNotNull())
+    processor = _InOrder(order, begin, fold, [x.split()[0] for x in out.split(", ")], timeout)
+    started = None if initial is None else initial.withColumn("seq_id", seq).select(share, *initial.columns).groupBy("share")
+    return keyed.groupBy("share").transformWithStateInPandas(processor, out, "Append", "EventTime", started)
 
 
-def track_states(actions: DataFrame, timeout: str = "1 hour", initial: DataFrame | None = None) -> DataFrame:
+def track_states(actions: DataFrame, timeout: str = "1 hour", initial: DataFrame | None = None, shares: int = 1024) -> DataFrame:
     """(seq_id, step, state): the parts connected so far, after each action (seq_id, step, part, op, ts) of a stream with a watermark.
 
     Actions are taken in the order of ts and step once the watermark has passed them, in whatever batches they arrive; Spark drops and
     counts those that come later still (``numRowsDroppedByWatermark``). Rows without a step are passed over. ``initial`` has the parts (seq_id, parts) that sequences begin with.
-    The session's state store must be RocksDB.
+    The session's state store must be RocksDB. Sequences are dealt into ``shares``, of which a worker holds one at a time with its state.
     """
 
     def fold(carried: tuple, step: int, action: list[int]) -> tuple[tuple, tuple]:
@@ -158,10 +180,10 @@ def track_states(actions: DataFrame, timeout: str = "1 hour", initial: DataFrame
         return (sorted(parts),), (sorted(parts),)
 
     value = F.array(F.col("part").cast("int"), F.col("op").cast("int"))
-    return _folded(actions, value, "array<int>", "step", "parts array<int>", ([],), fold, "seq_id long, step int, state array<int>", timeout, initial)
+    return _folded(actions, value, "step", ([],), fold, "seq_id long, step int, state array<int>", timeout, initial, shares)
 
 
-def forward_filter(scores: DataFrame, moves: np.ndarray, timeout: str = "1 hour", initial: DataFrame | None = None) -> DataFrame:
+def forward_filter(scores: DataFrame, moves: np.ndarray, timeout: str = "1 hour", initial: DataFrame | None = None, shares: int = 1024) -> DataFrame:
     """(seq_id, t, state, log_prob): the likeliest present state given all scores (seq_id, t, score, ts) up to it; order, lateness and state store as in ``track_states``.
 
     ``initial`` has the log beliefs (seq_id, belief) that sequences go on from.
@@ -174,4 +196,4 @@ def forward_filter(scores: DataFrame, moves: np.ndarray, timeout: str = "1 hour"
         return (belief.tolist(),), (int(belief.argmax()), float(belief.max()))
 
     value = F.col("score").cast("array<double>")
-    return _folded(scores, value, "array<double>", "t", "belief array<double>", ([],), fold, "seq_id long, t int, state int, log_prob double", timeout, initial)
+    return _folded(scores, value, "t", ([],), fold, "seq_id long, t int, state int, log_prob double", timeout, initial, shares)

@@ -123,3 +123,12 @@ def test_join_of_two_streams(spark, arriving, finished):
     assert {(r.click, r.view) for r in got} == {(1, 10), (2, 11)}
     assert late == 1
     assert all(isinstance(r.ts_left, datetime.datetime) for r in got)
+
+
+def test_many_sequences_share_state(spark, arriving, finished):
+    """Python is called for a share of sequences at a time; a large id and rows without one keep their own order."""
+    ids = [*range(1500), 2**60 + 1, None]
+    batches = [[(s, t, t, 1, 1000 + 60 * t) for s in ids] for t in (1, 0)] + [[(-1, 0, 0, 0, 90_000)]]
+    got, late, progress = finished(online.track_states(arriving(batches, ACT, "5 minutes")))
+    assert sorted((r.seq_id is None, r.seq_id or 0, r.step, list(r.state)) for r in got) == sorted((s is None, s or 0, t, list(range(t + 1))) for s in ids for t in (0, 1))
+    assert late == 0 and 1 < max(p.stateOperators[0].numRowsTotal for p in progress) <= 1025

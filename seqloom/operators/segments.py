@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,27 +67,46 @@ def reduce_with(df: DataFrame, reductions: dict[str, tuple[Callable, list[str]]]
     """One row a segment: Python reductions beside built-in aggregates.
 
     A reduction is a callable from the segment's values, one numpy array a column in time order, to a number, given by name
-    with its columns (missing values are NaN). It runs as a grouped pandas aggregate, which no built-in aggregate can share a
-    pass with, so the two passes are joined on (seq_id, seg_id). A worker holds one segment; one of more than ``most_rows``
-    frames fails by name rather than by memory. NaN and None results are null.
+    with its columns (missing values are NaN). Segments are read as a stream of Arrow batches in the order of (seq_id, seg_id, t), so
+    the only cost of a segment in Python is the call itself; the built-in aggregates are joined on (seq_id, seg_id). A worker holds a batch and
+    one segment; one of more than ``most_rows`` frames fails by name rather than by memory. NaN and None results are null.
     """
     keys = ["seq_id", "seg_id"]
     used = list(dict.fromkeys(c for _, columns in reductions.values() for c in columns))
-    sized = df.select(*keys, "t", *used).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    fits = F.when(F.col("_n") <= most_rows, F.col("t")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("segment too long for a Python reduction:"), *keys)).cast(df.schema["t"].dataType))
-    checked = sized.withColumn("t", fits).drop("_n")
-
-    def as_aggregate(reduce: Callable) -> Callable:
-        def run(t: pd.Series, *columns: pd.Series) -> float:
-            order = t.to_numpy().argsort(kind="stable")
-            out = reduce(*[c.to_numpy(dtype=float, na_value=np.nan)[order] for c in columns])
-            return None if out is None or np.isnan(out) else float(out)
-
-        return F.pandas_udf(run, "double")
-
-    calls = [as_aggregate(f)("t", *[F.col(c).cast("double") for c in columns]).alias(name) for name, (f, columns) in reductions.items()]
-    out = checked.groupBy(*keys).agg(*calls)
-    return reduce_over_segments(df, *aggregates).join(out, keys) if aggregates else out
+    at = Window.partitionBy(*keys).orderBy(F.col("t").asc_nulls_last())
+    too_long = F.raise_error(F.concat_ws(" ", F.lit("segment too long for a Python reduction:"), *keys)).cast("boolean")
+    first = F.when(F.row_number().over(at) <= most_rows, F.row_number().over(at) == 1).otherwise(too_long)
+    rows = df.select(*keys, first.alias("_first"), "t", *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(used)])
+
+    def reduced(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """Whole segments."""
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        starts = np.flatnonzero(whole.column("_first").to_numpy())
+        bounds = list(zip(starts.tolist(), [*starts[1:].tolist(), len(whole)], strict=True))
+        out = whole.select(keys).take(pa.array(starts))
+        for name, (reduce, columns) in reductions.items():
+            values = [np.array(whole.column(f"_v{used.index(c)}").to_numpy()) for c in columns]
+            results = [reduce(*[v[i:j] for v in values]) for i, j in bounds]
+            out = out.append_column(name, pa.array([None if x is None or np.isnan(x) else float(x) for x in results], pa.float64()))
+        return out.combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            begins = np.flatnonzero(batch.column("_first").to_numpy(zero_copy_only=False))
+            if len(begins) and (held or begins[-1]):
+                yield reduced([*held, batch.slice(0, begins[-1])])
+                held = []
+            if batch.num_rows:
+                held.append(batch.slice(begins[-1]) if len(begins) else batch)
+        if held:
+            yield reduced(held)
+
+    types = ", ".join([*[f"{k} {df.schema[k].dataType.simpleString()}" for k in keys], *[f"`{name}` double" for name in reductions]])
+    out = rows.sortWithinPartitions(*keys, F.col("t").asc_nulls_last()).select(*keys, "_first", *[f"_v{i}" for i in range(len(used))]).mapInArrow(run, types)
+    if not aggregates:
+        return out
+    return reduce_over_segments(df, *aggregates).join(out, keys)
 
 
 def slice_means(df: DataFrame, active: Column, value: str) -> DataFrame:

@@ -493,3 +493,21 @@ def test_exploded_frames_are_not_broadcast_for_items(spark):
     first = {(0, 3): 10, (0, 9): 300, (1, 6): 7, (1, None): 300}
     assert len(rows) == len(got) and got == {(s, i, t): int(t < f) for (s, i), f in first.items() for t in range(300)}
     assert not _broadcasts_frames(out)
+
+
+def test_python_reductions_over_batches(spark):
+    """Segments longer than an Arrow batch, many short ones, and callables that write into their values; no worker call a segment."""
+    rows = [(s, t, 0 if t < 25_000 else t // 3, float((t * 7919) % 1009)) for s in (1, 2) for t in range(30_000)]
+    df = spark.createDataFrame(rows, "seq_id long, t int, seg_id int, v double")
+
+    def middle(v):
+        v.sort()
+        return v[len(v) // 2]
+
+    out = segments.reduce_with(df, {"middle": (middle, ["v"]), "drift": (lambda v, w: v[-1] - w[0], ["v", "v"])}, F.count("*").alias("n"))
+    got = {(r.seq_id, r.seg_id): (r.middle, r.drift, r.n) for r in out.collect()}
+    want = {}
+    for s, _, g, v in rows:
+        want.setdefault((s, g), []).append(v)
+    assert got == {k: (sorted(v)[len(v) // 2], v[-1] - v[0], len(v)) for k, v in want.items()}
+    assert "Aggregate" not in segments.reduce_with(df, {"middle": (middle, ["v"])})._jdf.queryExecution().optimizedPlan().toString()

@@ -78,9 +78,13 @@ def read_marker_bundles(spark: SparkSession, path: str) -> DataFrame:
 def stack_poses(spark: SparkSession, path: str) -> DataFrame:
     """(part, marker_size, camera, t, pose columns) from a tree part/size/camera.csv, a file or a folder of files each: long, one row a reading."""
     schema = "t int, p_x double, p_y double, p_z double, q_x double, q_y double, q_z double, q_w double"
-    rows = spark.read.schema(schema).option("header", True).csv(path).withColumn("_f", F.col("_metadata.file_path"))
-    at = lambda i: F.regexp_extract("_f", r"([^/]+)/([^/]+)/([^/.]+)\.csv(?:/[^/]+)?$", i)
-    return null_if_nan(rows.select(at(1).alias("part"), at(2).alias("marker_size"), at(3).alias("camera"), "t", "p_x", "p_y", "p_z", "q_x", "q_y", "q_z", "q_w"))
+    rows = spark.read.schema(schema).option("header", True).csv(path).withColumn("_p", F.split(F.col("_metadata.file_path"), "/"))
+    back = lambda i: F.get("_p", F.size("_p") - i)
+    camera = lambda i: F.substring_index(back(i), ".", 1)
+    fits = lambda i: (camera(i) != "") & (back(i) == F.concat(camera(i), F.lit(".csv"))) & (back(i + 1) != "") & (back(i + 2) != "")
+    level = rows.withColumn("_i", F.when(fits(2), 2).when(fits(1), 1))  # pieces of the path from the end, without a pattern, which would search every row's path
+    at = [F.coalesce(x, F.lit("")).alias(name) for x, name in ((back(F.col("_i") + 2), "part"), (back(F.col("_i") + 1), "marker_size"), (camera(F.col("_i")), "camera"))]
+    return null_if_nan(level.select(*at, "t", "p_x", "p_y", "p_z", "q_x", "q_y", "q_z", "q_w"))
 
 
 def load_part_map(spark: SparkSession, entries: dict[str, tuple[int, list[str]]]) -> DataFrame:

@@ -68,3 +68,15 @@ def test_part_map_and_results(spark, tmp_path):
     exports.append_results(one, str(tmp_path / "r"))
     exports.append_results(one, str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r")).count() == 2
+
+
+def test_poses_are_placed_by_paths_without_patterns(spark, tmp_path):
+    """Files and folders of files, odd names, and no pattern matched against the path of every row."""
+    line = "t,p_x,p_y,p_z,q_x,q_y,q_z,q_w\n0,1,2,3,0,0,0,1\n"
+    for at in ("leg/small/cam1.csv", "leg/big/cam2.csv/part-0.csv", "leg/big/cam2.csv/part-1", "leg.v2/y/cam3.csv", "arm/a.b/cam4.txt.csv"):
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_text(line)
+    out = readers.stack_poses(spark, [str(tmp_path / "*" / "*" / "*.csv")])
+    got = sorted((r.part, r.marker_size, r.camera) for r in out.collect())
+    assert got == sorted([("leg", "small", "cam1"), ("leg", "big", "cam2"), ("leg", "big", "cam2"), ("leg.v2", "y", "cam3"), ("", "", "")])
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -2,15 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.storage import discard, stored
 
 
-def components(edges: DataFrame, *scope: str, most_rounds: int = 64) -> DataFrame:
+def grouped_components(edges: DataFrame, *scope: str, few: int = 64) -> tuple[DataFrame, DataFrame | None]:
+    """(scope, groups), the components of each scope with at most ``few`` edges as arrays of vertices; and the edges of all other scopes, None if there are none.
+
+    A small graph is one row and one fold over its edges, so it takes one shuffle rather than some for each round.
+    """
+    ends = edges.select(*scope, "a", "b").dropna(subset=[*scope, "a", "b"])
+    large = stored(ends.groupBy(*scope).agg(F.count("*").alias("_n")).filter(F.col("_n") > few).select(*scope))
+    rest = None
+    if not large.isEmpty():
+        rest, ends = ends.join(large, [*scope], "left_semi"), ends.join(large, [*scope], "left_anti")
+    kind = ends.select(F.array("a", "b").alias("x")).schema["x"].dataType.simpleString()
+    none = F.array().cast(f"array<{kind}>")
+
+    def joined(groups: Column, e: Column) -> Column:
+        met = lambda g: F.array_contains(g, e["a"]) | F.array_contains(g, e["b"])
+        return F.concat(F.filter(groups, lambda g: ~met(g)), F.array(F.array_distinct(F.concat(F.array(e["a"], e["b"]), F.flatten(F.filter(groups, met))))))
+
+    rows = ends.groupBy(*scope).agg(F.collect_list(F.struct("a", "b")).alias("_e"))
+    return rows.select(*scope, F.aggregate("_e", none, joined).alias("groups")), rest
+
+
+def components(edges: DataFrame, *scope: str, most_rounds: int = 64, few: int = 64) -> DataFrame:
     """(scope, v, l): the least vertex that each vertex of an edge (scope, a, b) is connected with, within its scope.
 
+    Scopes of at most ``few`` edges are folded (``grouped_components``), others settle in rounds. Edges with a null end or scope are left out.
+    """
+    if not scope:
+        return components_by_rounds(edges, most_rounds=most_rounds)
+    small, rest = grouped_components(edges, *scope, few=few)
+    folded = small.select(*scope, F.explode("groups").alias("_g")).select(*scope, F.explode("_g").alias("v"), F.array_min("_g").alias("l"))
+    return folded if rest is None else folded.unionByName(components_by_rounds(rest, *scope, most_rounds=most_rounds))
+
+
+def components_by_rounds(edges: DataFrame, *scope: str, most_rounds: int = 64) -> DataFrame:
+    """``components`` of graphs of any size.
+
     Every vertex points at a smaller one. A round hooks a vertex and the one it points at below the least grandparent
     among its neighbours, then lets all point at their grandparents, so distances halve and a chain of n vertices settles in
     about log n rounds rather than n. When no grandparent has moved, every vertex points at the least one.

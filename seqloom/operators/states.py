@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqloom.functions.graphs import components
+from seqloom.functions.graphs import components_by_rounds, grouped_components
 from seqloom.functions.tables import numbered
 from seqloom.storage import discard, stored
 
@@ -131,9 +131,15 @@ def enumerate_states(finals: DataFrame, possible: Column | None = None, max_roun
 
 def component_signature(joints: DataFrame) -> DataFrame:
     """(state_id, a, b, same): for each pair of parts of a state whether joints connect them; +1 or -1. All states at once."""
-    label = components(joints, "state_id")
-    one, two = label.select("state_id", F.col("v").alias("a"), F.col("l").alias("la")), label.select("state_id", F.col("v").alias("b"), F.col("l").alias("lb"))
-    return one.join(two, "state_id").filter("a < b").select("state_id", "a", "b", F.when(F.col("la") == F.col("lb"), 1).otherwise(-1).alias("same"))
+    small, rest = grouped_components(joints, "state_id")
+    parts = F.flatten(F.transform("groups", lambda g: F.transform(g, lambda v: F.struct(v.alias("v"), F.array_min(g).alias("l")))))
+    first = small.select("state_id", parts.alias("p")).select("state_id", "p", F.explode("p").alias("x"))
+    pairs = first.select("state_id", "x", F.explode("p").alias("y")).select("state_id", F.col("x.v").alias("a"), F.col("y.v").alias("b"), F.col("x.l").alias("la"), F.col("y.l").alias("lb"))
+    if rest is not None:
+        label = components_by_rounds(rest, "state_id")
+        one, two = label.select("state_id", F.col("v").alias("a"), F.col("l").alias("la")), label.select("state_id", F.col("v").alias("b"), F.col("l").alias("lb"))
+        pairs = pairs.unionByName(one.join(two, "state_id"))
+    return pairs.filter("a < b").select("state_id", "a", "b", F.when(F.col("la") == F.col("lb"), 1).otherwise(-1).alias("same"))
 
 
 def adjacency(joints: DataFrame) -> DataFrame:

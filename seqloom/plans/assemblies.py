@@ -99,9 +99,14 @@ def g12(s, d):
 JOINTS = "jo AS (SELECT DISTINCT l_orderkey AS state_id, CAST(l_partkey % 9 AS INTEGER) AS a, CAST(l_suppkey % 9 AS INTEGER) AS b FROM lineitem WHERE l_partkey % 9 <> l_suppkey % 9)"
 
 
-def _joints(s, d):
+def _joint_rows(s, d):
+    """The joints, some more than once."""
     li = table(s, d, "lineitem")
-    return li.select(F.col("l_orderkey").alias("state_id"), (F.col("l_partkey") % 9).cast("int").alias("a"), (F.col("l_suppkey") % 9).cast("int").alias("b")).filter("a <> b").distinct()
+    return li.select(F.col("l_orderkey").alias("state_id"), (F.col("l_partkey") % 9).cast("int").alias("a"), (F.col("l_suppkey") % 9).cast("int").alias("b")).filter("a <> b")
+
+
+def _joints(s, d):
+    return _joint_rows(s, d).distinct()
 
 
 @query("g13_undirected", "WITH " + JOINTS + " SELECT state_id, count(*) AS n FROM (SELECT DISTINCT state_id, least(a, b), greatest(a, b) FROM jo) GROUP BY 1")
@@ -129,7 +134,7 @@ def g15(s, d):
     "WITH RECURSIVE " + JOINTS + ", e AS (SELECT state_id, a, b FROM jo UNION SELECT state_id, b, a FROM jo), r AS (SELECT state_id, a, a AS b FROM e UNION SELECT r.state_id, r.a, e.b FROM r JOIN e ON r.state_id = e.state_id AND r.b = e.a), v AS (SELECT DISTINCT state_id, a FROM e) SELECT x.state_id, x.a, y.a AS b, CASE WHEN r.a IS NULL THEN -1 ELSE 1 END AS same FROM v x JOIN v y ON x.state_id = y.state_id AND x.a < y.a LEFT JOIN r ON r.state_id = x.state_id AND r.a = x.a AND r.b = y.a",
 )
 def g16(s, d):
-    return G.component_signature(_joints(s, d))
+    return G.component_signature(_joint_rows(s, d))
 
 
 POSES = "WITH RECURSIVE " + JOINTS + """, j AS (SELECT state_id, b AS child, min(a) AS parent FROM jo WHERE a < b GROUP BY 1, 2),

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqloom.functions.graphs import grouped_components
 from seqloom.functions.tables import numbered
+from seqloom.operators.states import component_signature
 from seqloom.storage import stored
 
 
@@ -34,8 +36,31 @@ def component_state_scores(signatures: DataFrame, features: DataFrame) -> DataFr
 
     The softmax needs two sums over all states, which are made beforehand on every partition; no states are gathered.
     """
+    return _with_log_prob(_signed_sums(signatures, features))
+
+
+def joint_state_scores(joints: DataFrame, features: DataFrame) -> DataFrame:
+    """``component_state_scores`` of the signatures that joints (state_id, a, b) have, without a row for each pair of parts.
+
+    A state's components, an array, meet its features on the state alone; only those of large states are met pair by pair.
+    """
+    small, rest = grouped_components(joints, "state_id")
+    both = small.join(features.select("state_id", "a", "b", "value").filter("a <> b"), "state_id")
+    one, two = (lambda g: F.array_contains(g, F.col("a"))), (lambda g: F.array_contains(g, F.col("b")))
+    known = both.filter(F.exists("groups", one) & F.exists("groups", two))
+    sums = known.groupBy("state_id").agg(F.sum(F.when(F.exists("groups", lambda g: one(g) & two(g)), F.col("value")).otherwise(-F.col("value"))).alias("s"))
+    if rest is not None:
+        sums = sums.unionByName(_signed_sums(component_signature(rest), features))
+    return _with_log_prob(sums)
+
+
+def _signed_sums(signatures: DataFrame, features: DataFrame) -> DataFrame:
     pair = features.select("state_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "value")
-    s = stored(signatures.join(pair, ["state_id", "a", "b"]).groupBy("state_id").agg(F.sum(F.col("same") * F.col("value")).alias("s")))
+    return signatures.join(pair, ["state_id", "a", "b"]).groupBy("state_id").agg(F.sum(F.col("same") * F.col("value")).alias("s"))
+
+
+def _with_log_prob(sums: DataFrame) -> DataFrame:
+    s = stored(sums)
     top = s.agg(F.max("s").alias("_top"))
     norm = s.join(F.broadcast(top)).agg((F.first("_top") + F.log(F.sum(F.exp(F.col("s") - F.col("_top"))))).alias("_norm"))  # one row
     return s.join(F.broadcast(norm)).select("state_id", "s", (F.col("s") - F.col("_norm")).alias("log_prob"))  # one row

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import counts as H
 from seqloom.operators import relations as R
-from seqloom.plans.assemblies import JOINTS, _joints
+from seqloom.plans.assemblies import JOINTS, _joint_rows, _joints
 from seqloom.plans.evaluation import STATES, _states
 from seqloom.plans.inputs import ANN, MONTHS, PARTS, annotations, months, part_actions, table, with_
 from seqloom.plans.registry import query
@@ -60,11 +60,8 @@ COMPONENT_SCORES = "WITH RECURSIVE " + JOINTS + """, e AS (SELECT state_id, a, b
 
 @query("i16_component_state_scores", COMPONENT_SCORES)
 def i16(s, d):
-    from seqloom.operators.states import component_signature
-
-    sig = component_signature(_joints(s, d))
     feats = table(s, d, "lineitem").select(F.col("l_orderkey").alias("state_id"), (F.col("l_partkey") % 9).cast("int").alias("a"), (F.col("l_suppkey") % 9).cast("int").alias("b"), (F.col("l_quantity") / 100).alias("value"))
-    return R.component_state_scores(sig, feats).withColumn("s", F.round("s", 6)).withColumn("log_prob", F.round("log_prob", 6))
+    return R.joint_state_scores(_joint_rows(s, d), feats).withColumn("s", F.round("s", 6)).withColumn("log_prob", F.round("log_prob", 6))
 
 
 FRAME_STATES = "WITH RECURSIVE " + JOINTS + """, e AS (SELECT state_id, a, b FROM jo UNION SELECT state_id, b, a FROM jo), reach AS (SELECT state_id, a, a AS b FROM e UNION SELECT r.state_id, r.a, e.b FROM reach r JOIN e ON e.state_id = r.state_id AND e.a = r.b),

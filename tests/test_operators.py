@@ -511,3 +511,37 @@ def test_python_reductions_over_batches(spark):
         want.setdefault((s, g), []).append(v)
     assert got == {k: (sorted(v)[len(v) // 2], v[-1] - v[0], len(v)) for k, v in want.items()}
     assert "Aggregate" not in segments.reduce_with(df, {"middle": (middle, ["v"])})._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_signatures_of_small_and_large_states(spark, monkeypatch):
+    """Small states are folded without rounds; large ones, which settle in rounds, have the same signatures and scores."""
+    import random
+
+    from seqloom.functions import graphs
+
+    rng = random.Random(3)
+    rows = [(s, rng.randrange(30), rng.randrange(30)) for s in range(40) for _ in range(rng.randrange(1, 20))] + [(0, 1, None), (None, 1, 2), (50, 4, 4)]
+    joints = spark.createDataFrame(rows, "state_id long, a int, b int")
+    features = spark.createDataFrame([(s, rng.randrange(30), rng.randrange(30), float(rng.randrange(100))) for s in range(42) for _ in range(60)], "state_id long, a int, b int, value double")
+    label = {}
+    for s, a, b in rows:
+        if s is not None and b is not None:
+            of = label.setdefault(s, {})
+            x, y = of.setdefault(a, {a}), of.setdefault(b, {b})
+            for v in x | y:
+                of[v] = x | y
+    want = {(s, a, b): 1 if b in of[a] else -1 for s, of in label.items() for a in of for b in of if a < b}
+    limits, rounds = [], graphs.components_by_rounds
+    few = graphs.grouped_components
+    for most in (64, 5):
+        for module in (states, relations):
+            monkeypatch.setattr(module, "grouped_components", lambda e, *scope, n=most: few(e, *scope, few=n))
+        monkeypatch.setattr(states, "components_by_rounds", lambda *x: limits.append(most) or rounds(*x))  # noqa: B023
+        signatures = states.component_signature(joints)
+        assert {(r.state_id, r.a, r.b): r.same for r in signatures.collect()} == want
+        pairs = {(r.state_id): (r.s, r.log_prob) for r in relations.component_state_scores(signatures, features).collect()}
+        joined = {(r.state_id): (r.s, r.log_prob) for r in relations.joint_state_scores(joints, features).collect()}
+        assert pairs.keys() == joined.keys() and all(np.allclose(pairs[k], joined[k]) for k in pairs)
+        assert set(limits) == (set() if most == 64 else {5})
+    got = {(r.state_id, r.v): r.l for r in graphs.components(joints, "state_id", few=5).collect()}
+    assert got == {(s, v): min(g) for s, of in label.items() for v, g in of.items()}

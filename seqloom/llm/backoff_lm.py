@@ -89,14 +89,17 @@ def _counts_of(data: bytes) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, p: LmParams) -> DataFrame:
-    """(block, n_words, ids, held, texts): consecutive rows of a partition, about ``block_bytes`` of text."""
+    """(block, n_bytes, ids, held, lengths, texts): consecutive rows of a partition, about ``block_bytes`` of text.
+
+    The texts of a block are one compressed value, as executors hold rows of many blocks at once when they read, send and sort them; a worker unpacks one at a time.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = TaskContext.get().partitionId() << 24
         ids, held, texts, size = [], [], [], 0
 
         def flush() -> pd.DataFrame:
-            return pd.DataFrame({"block": [block], "n_bytes": [size], "ids": [ids], "held": [held], "texts": [texts]})
+            return pd.DataFrame({"block": [block], "n_bytes": [size], "ids": [ids], "held": [held], "lengths": [[len(t) for t in texts]], "texts": [zstandard.ZstdCompressor(level=3).compress("".join(texts).encode())]})
 
         for pdf in batches:
             for i, h, t in zip(pdf["id"], pdf["held"], pdf["text"], strict=True):
@@ -110,7 +113,18 @@ def _blocks(docs: DataFrame, p: LmParams) -> DataFrame:
         if ids:
             yield flush()
 
-    return docs.mapInPandas(run, "block long, n_bytes long, ids array<long>, held array<boolean>, texts array<string>")
+    return docs.mapInPandas(run, "block long, n_bytes long, ids array<long>, held array<boolean>, lengths array<int>, texts binary")
+
+
+def _texts(lengths: np.ndarray, packed: bytes) -> list[str]:
+    """The texts of a block, from their lengths in characters."""
+    whole = zstandard.ZstdDecompressor().decompress(packed).decode()
+    ends = np.cumsum(lengths).tolist()
+    return [whole[i:j] for i, j in zip([0, *ends], ends)]  # noqa: B905
+
+
+#: A block is a row of some MB: Parquet is to look after every row whether a page and a row group are full, not after a hundred.
+BLOCK_ROWS = {"parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1, "parquet.block.size": 16 << 20}
 
 
 def _grams(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -150,8 +164,8 @@ def _requests(blocks: DataFrame, bits: int, width: int, p: LmParams) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for block, texts, held in zip(pdf["block"], pdf["texts"], pdf["held"], strict=True):
-                grams, owner = _grams(list(texts), p.order)
+            for block, lengths, texts, held in zip(pdf["block"], pdf["lengths"], pdf["texts"], pdf["held"], strict=True):
+                grams, owner = _grams(_texts(lengths, texts), p.order)
                 train = ~np.asarray(held, bool)[owner]
                 for k, g in enumerate(_keyed(grams, width), 1):
                     keys, inverse = np.unique(g, return_inverse=True)
@@ -161,7 +175,7 @@ def _requests(blocks: DataFrame, bits: int, width: int, p: LmParams) -> DataFram
                     ends = np.append(at[1:], len(keys))
                     yield pd.DataFrame({"k": k, "shard": shard[at], "block": block, "grams": [_shrunk(keys[i:j]) for i, j in zip(at, ends, strict=True)], "counts": [_counts_to(counts[i:j]) for i, j in zip(at, ends, strict=True)]})
 
-    return blocks.select("block", "held", "texts").mapInPandas(run, "k int, shard long, block long, grams binary, counts binary")
+    return blocks.select("block", "held", "lengths", "texts").mapInPandas(run, "k int, shard long, block long, grams binary, counts binary")
 
 
 def _totals(requests: DataFrame) -> DataFrame:
@@ -266,7 +280,7 @@ def score_texts(docs: DataFrame, p: LmParams = LmParams(), text_col: str = "text
     """Scores every row of ``docs`` under a model of the rows outside the held-out fold; columns as in ``OUT``."""
     fold = F.coalesce(F.crc32(F.col(id_col).cast("string")) % p.fold == p.held, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), fold.alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks = stored(_blocks(rows, p), "zstd")
+    blocks = stored(_blocks(rows, p), "zstd", BLOCK_ROWS)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(4, int(p.order * total / 8 // p.grams_a_shard).bit_length())
     width = min(64, max(bits, int(p.order * total / 4).bit_length() + 20))
@@ -276,14 +290,14 @@ def score_texts(docs: DataFrame, p: LmParams = LmParams(), text_col: str = "text
 
     def run(block: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         outs = []
-        for ids, held, texts in zip(block["ids"], block["held"], block["texts"], strict=True):
-            grams, owner = _grams(list(texts), p.order)
+        for ids, held, lengths, texts in zip(block["ids"], block["held"], block["lengths"], block["texts"], strict=True):
+            grams, owner = _grams(_texts(lengths, texts), p.order)
             here, counts = [], []
             for k, g in enumerate(_keyed(grams, width), 1):
                 mine = got[got["k"] == k].sort_values("shard")
                 counts.append(np.concatenate([_counts_of(x) for x in mine["counts"]]))
                 here.append(np.unique(g, return_inverse=True)[1])
-            base, score, n_tokens, n_known = walk(here, counts, owner, len(texts), stats, p)
+            base, score, n_tokens, n_known = walk(here, counts, owner, len(lengths), stats, p)
             outs.append(pd.DataFrame({"doc_id": ids, "held_out": held, "n_tokens": n_tokens, "n_known": n_known, "train_tokens": stats[3], "base_score": base, "score": score}))
         return pd.concat(outs) if outs else pd.DataFrame(columns=[x.split()[0] for x in OUT.split(", ")])
 

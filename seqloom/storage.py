@@ -26,11 +26,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and return a DataFrame that reads it back."""
+def stored(df: DataFrame, compression: str = "snappy", options: dict | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, with these options of the Parquet writer, and return a DataFrame that reads it back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(compression=compression, **(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

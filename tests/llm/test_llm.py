@@ -822,3 +822,22 @@ def test_pipeline_stages_on_odd_rows(spark):
         docs = spark.createDataFrame(got, docs.schema)
     out = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
     assert sum(r.length for r in out if r.start == 0) and len({r.row_copy for r in out}) == len(got)
+
+
+def test_blocks_of_texts_are_packed_rows(spark):
+    """A block's texts are one compressed value, far below their size, in row groups of a few blocks, and come back whole."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from seqloom.llm.backoff_lm import BLOCK_ROWS, _blocks, _texts
+    from seqloom.storage import stored
+
+    texts = ["", "a\0b\n", "ünïcode 𝄞𝄞 x", *[f"word{i % 7} and the same again " * 40 for i in range(600)]]
+    df = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "id long, held boolean, text string").coalesce(1)
+    table = stored(_blocks(df, LmParams(block_bytes=20_000)), "zstd", BLOCK_ROWS | {"parquet.block.size": 10_000})
+    rows = sorted(table.collect(), key=lambda r: r.block)
+    assert len(rows) > 20 and [t for r in rows for t in _texts(r.lengths, bytes(r.texts))] == texts
+    assert sum(len(r.texts) for r in rows) * 10 < sum(r.n_bytes for r in rows)
+    (path,) = Path(table.stored_at.removeprefix("file:")).glob("*.parquet")
+    assert pq.ParquetFile(path).num_row_groups > 1
